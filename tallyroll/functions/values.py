@@ -114,8 +114,8 @@ def human_size(size: Column) -> Column:
 
 def currency_text(amount: Column) -> Column:
     """Russian grouping with the currency code; nothing or zero shows a dash."""
-    grouped = F.translate(F.format_number(amount.cast("decimal(18,2)"), 2), ",.", " ,")
-    return F.when(amount.isNull() | (amount == 0), F.lit("-")).otherwise(F.concat(grouped, F.lit(" UZS")))
+    grouped = F.translate(F.format_number(amount.cast("decimal(18,2)"), 2), ",.", "\u00a0,")
+    return F.when(amount.isNull() | (amount == 0), F.lit("-")).otherwise(F.concat(grouped, F.lit("\u00a0UZS")))
 
 
 def local_time_text(time: Column) -> Column:

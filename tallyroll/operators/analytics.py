@@ -226,14 +226,12 @@ def request_counts(requests: DataFrame) -> DataFrame:
 
 def duration_histogram(requests: DataFrame, seconds: Column, bounds: Sequence[float] = HISTOGRAM_BOUNDS) -> DataFrame:
     """Cumulative histogram in one pass: rows up to each bound, all rows under '+Inf', sum and count."""
-    counts = {f"{b:g}": F.count_if(seconds <= b) for b in bounds}
-    counts["+Inf"] = F.count(seconds)
-    wide = requests.agg(
-        *[c.alias(n) for n, c in counts.items()],
-        F.coalesce(F.sum(seconds), F.lit(0)).cast("decimal(28,6)").alias("_sum"),
-    )
-    return wide.unpivot(["_sum"], list(counts), "le", "requests").select(
-        "le", "requests", F.col("_sum").alias("total_seconds")
+    names = [f"{b:g}" for b in bounds] + ["+Inf"]
+    counts = [F.count_if(seconds <= b) for b in bounds] + [F.count(seconds)]
+    entries = [F.struct(F.lit(n).alias("le"), c.alias("requests")) for n, c in zip(names, counts)]
+    total = F.coalesce(F.sum(seconds), F.lit(0)).cast("decimal(28,6)")
+    return requests.agg(F.array(*entries).alias("_rows"), total.alias("total_seconds")).select(
+        F.inline("_rows"), "total_seconds"
     )
 
 

@@ -13,14 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A key with at least this share of the rows is hot; there can be at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    out = None
-    for k in keys:
-        test = left[k].eqNullSafe(right[k])
-        out = test if out is None else out & test
-    return out
+# Fewer rows than this do not hurt, whatever their share.
+HOT_ROWS = 1_000_000
 
 
 def carried_sums(df: DataFrame, keys: Sequence[str], bucket: str, sums: Mapping[str, Column]) -> DataFrame:
@@ -51,52 +45,69 @@ def row_numbers(
     )
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
-    """Left join to a dimension unique on its key, safe for hot keys of the fact.
+def join_dimension(
+    fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None, how: str = "left", salts: int = 64
+) -> DataFrame:
+    """Join to a dimension that is unique on its key, safe for hot and null keys of the fact.
 
-    Hot keys are found by a pre-aggregated count. There are at most 1 / HOT_SHARE of them, so the
-    matching dimension rows are always small enough to broadcast; all other keys join as usual.
-    Null keys match nothing and stay out of both joins.
+    A pre-aggregated count finds the hot keys; at most 1 / HOT_SHARE keys can be hot, so that list is
+    always small enough to broadcast. Rows of hot and null keys spread over ``salts`` partitions,
+    and only the dimension rows of hot keys are repeated to meet them.
     """
     dim_key = dim_key or key
     counts = fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     hot = (
         counts.join(F.broadcast(total), F.col("_n") > F.col("_total") * HOT_SHARE)
-        .filter(F.col("_n") > 1_000_000)
+        .filter(F.col("_n") >= HOT_ROWS)
         .select(F.col(key).alias("_hot"))
     )
-    hot_dim = dim.join(F.broadcast(hot), F.col(dim_key) == F.col("_hot")).drop("_hot")
-    flagged = fact.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    renamed = {c: f"_d_{c}" for c in dim.columns}
-    heavy = flagged.filter(F.col("_hot").isNotNull() | F.col(key).isNull()).drop("_hot")
-    light = flagged.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot")
-    small = F.broadcast(hot_dim.withColumnsRenamed(renamed))
-    full = dim.withColumnsRenamed(renamed)
-    joined = heavy.join(small, F.col(key) == F.col(f"_d_{dim_key}"), "left").unionByName(
-        light.join(full, F.col(key) == F.col(f"_d_{dim_key}"), "left")
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
+    left = fact.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(0)
     )
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = (
+        dim.join(F.broadcast(hot), F.col(dim_key) == F.col("_hot"), "left")
+        .withColumn("_copy", F.explode(copies))
+        .drop("_hot")
+        .withColumnsRenamed({c: f"_d_{c}" for c in dim.columns})
+    )
+    joined = left.join(right, (F.col(key) == F.col(f"_d_{dim_key}")) & (F.col("_salt") == F.col("_copy")), how)
     keep = [c for c in dim.columns if c != dim_key]
     return joined.select(*fact.columns, *[F.col(f"_d_{c}").alias(c) for c in keep])
 
 
-def last_before(
-    points: DataFrame, keys: Sequence[str], bucket: str, order: str, value: str, name: str
-) -> DataFrame:
-    """Last non-null ``value`` up to and including each row, carried across buckets."""
-    inside = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    closing = points.filter(F.col(value).isNotNull()).groupBy(*keys, bucket).agg(
-        F.max_by(value, order).alias("_closing")
+def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: str, values: Sequence[str]) -> DataFrame:
+    """Replace each value by the last non-null one so far; ``bucket`` must follow ``order``.
+
+    Only one row per bucket travels between buckets, whatever the size of the group.
+    """
+    marked = df.withColumn("_bucket", bucket)
+    closing = marked.groupBy(*keys, "_bucket").agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_c_{v}") for v in values]
     )
-    all_buckets = points.select(*keys, bucket).distinct()
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    opening = (
-        all_buckets.join(closing, [*keys, bucket], "left")
-        .withColumn("_opening", F.last("_closing", ignorenulls=True).over(earlier))
-        .drop("_closing")
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    opening = closing.select(
+        *keys, "_bucket", *[F.last(f"_c_{v}", ignorenulls=True).over(earlier).alias(f"_o_{v}") for v in values]
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        marked.join(opening, [*keys, "_bucket"])
+        .withColumns({v: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_o_{v}")) for v in values})
+        .select(*df.columns)
     )
+
+
+def next_in_group(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``value`` of the following row in the group, null for the last one; bucketed as above."""
+    marked = df.withColumn("_bucket", bucket)
+    opening = marked.groupBy(*keys, "_bucket").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    following = opening.select(*keys, "_bucket", F.lead("_first").over(across).alias("_following"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        points.join(opening, [*keys, bucket], "left")
-        .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_opening")))
-        .drop("_opening")
+        marked.join(following, [*keys, "_bucket"])
+        .withColumn(name, F.coalesce(F.lead(value).over(inside), F.col("_following")))
+        .select(*df.columns, name)
     )
