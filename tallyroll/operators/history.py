@@ -28,17 +28,20 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: str = "row_number")
     )
 
 
-def typed_orders(records: DataFrame, as_of: Column) -> DataFrame:
-    """Records with a ``cells`` map to typed order rows, aliases resolved and defaults set."""
-    cell = {f: V.first_cell(F.col("cells"), names) for f, names in V.FIELD_ALIASES.items()}
-    typed = records.select(
-        "file",
-        "row_number",
-        F.coalesce(cell["order_number"], F.lit("")).alias("order_number"),
-        cell["machine_code"].alias("machine_code"),
-        V.parse_price(cell["order_price"]).alias("order_price"),
-        cell["payment_type"].alias("payment_type"),
-        V.parse_time(cell["creation_time"]).alias("creation_time"),
+def typed_orders(records: DataFrame, as_of: Column, extra: Sequence[str] = ()) -> DataFrame:
+    """Records with a ``cells`` map to typed order rows, aliases resolved and defaults set.
+
+    ``extra`` names further columns of the records to keep.
+    """
+    texts = records.select(
+        "file", "row_number", *extra, *[V.first_cell(F.col("cells"), names).alias(f) for f, names in V.FIELD_ALIASES.items()]
+    )
+    typed = texts.withColumns(
+        {
+            "order_number": F.coalesce("order_number", F.lit("")),
+            "order_price": V.parse_price(F.col("order_price")),
+            "creation_time": V.parse_time(F.col("creation_time")),
+        }
     )
     return V.with_defaults(keep_first(typed, ["file", "order_number"]), as_of)
 

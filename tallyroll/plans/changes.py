@@ -285,7 +285,7 @@ def snk_5(t):
     "snk_7_preview",
     """SELECT order_id, version, field_name, old_value, new_value, change_type,
         (SELECT CASE WHEN count(*) > 100 THEN '100 of ' || count(*) END FROM {order_changes}) AS note
-    FROM {order_changes} ORDER BY order_id, version, field_name, new_value LIMIT 100""",
+    FROM {order_changes} ORDER BY order_id, version, field_name, new_value, old_value, change_type LIMIT 100""",
 )
 def snk_7(t):
     return X.preview(t.order_changes)

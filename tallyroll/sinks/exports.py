@@ -100,7 +100,7 @@ def write_change_json(orders: DataFrame, changes: DataFrame, as_of: Column, fold
 def preview(changes: DataFrame) -> DataFrame:
     """First 100 changes with long texts cut, and a note saying how many there are."""
     total = changes.agg(A.count_rows().alias("_total"))
-    first = changes.orderBy("order_id", "version", "field_name", "new_value").limit(PREVIEW_ROWS)
+    first = changes.orderBy("order_id", "version", "field_name", "new_value", "old_value", "change_type").limit(PREVIEW_ROWS)
     return first.join(F.broadcast(total)).select(
         "order_id", "version", shorten(F.col("field_name"), NAME_WIDTH).alias("field_name"),
         shorten(F.coalesce("old_value", F.lit("")), VALUE_WIDTH).alias("old_value"),

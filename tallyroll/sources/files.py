@@ -43,6 +43,14 @@ _LATIN = bytes(_HIGH).decode("latin-1")
 _CYRILLIC = bytes(_HIGH).decode("cp1251")
 
 
+def as_cp1251(df: DataFrame) -> DataFrame:
+    """Text columns and names whose latin-1 bytes are the cp1251 bytes of the input, for writing."""
+    table = str.maketrans(_CYRILLIC, _LATIN)
+    return df.select(
+        *[F.translate(F.col(f"`{c}`").cast("string"), _CYRILLIC, _LATIN).alias(c.translate(table)) for c in df.columns]
+    )
+
+
 # ---- formats and catalogue -------------------------------------------------------------------
 
 
@@ -127,16 +135,18 @@ def _header_names(fields: Column, lower: bool) -> Column:
 
 
 def _fields(record: Column, sep: str) -> Column:
+    """Fields of a record; only records that hold a quote take the slow way."""
     mark = "\\t" if sep == "\t" else sep
     parts = F.regexp_extract_all(
         F.concat(F.lit(sep), record), F.lit(f'{mark}((?:[^"{mark}]++|"[^"]*+")*+)'), F.lit(1)
     )
-    return F.transform(
+    unquoted = F.transform(
         parts,
         lambda p: F.when(
             p.startswith('"'), F.replace(F.substr(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))
         ).otherwise(p),
     )
+    return F.when(record.contains('"'), unquoted).otherwise(F.split(record, mark, -1))
 
 
 def delimited_records(files: DataFrame, sep: str = ",", lower_headers: bool = False) -> DataFrame:
@@ -146,16 +156,18 @@ def delimited_records(files: DataFrame, sep: str = ",", lower_headers: bool = Fa
     ``surplus`` counts the fields beyond the header, for the caller to quarantine.
     """
     records = F.regexp_extract_all(F.col("text"), F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), F.lit(0))
+    # Outer, as the optimiser would otherwise test the whole text for being empty a second time.
     split = (
         decode_text(files)
         .select("file", "encoding", records.alias("_records"))
         .withColumn("_names", _header_names(_fields(F.col("_records")[0], sep), lower_headers))
-        .select("file", "encoding", "_names", F.posexplode("_records").alias("row_number", "_record"))
+        .select("file", "encoding", "_names", F.posexplode_outer("_records").alias("row_number", "_record"))
         .filter(F.col("row_number") > 0)
         .withColumn("_values", _fields(F.col("_record"), sep))
     )
     width = F.size("_names")
-    padded = F.transform(F.col("_names"), lambda n, i: F.coalesce(F.get(F.col("_values"), i), F.lit("")))
+    # No lambda over the values: it would parse the record again for every field.
+    padded = F.slice(F.concat(F.col("_values"), F.array_repeat(F.lit(""), width)), F.lit(1), width)
     return split.select(
         "file",
         "encoding",
@@ -174,8 +186,19 @@ def record_cells(records: DataFrame) -> DataFrame:
 
 
 def csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """All-string scan of any size, split across tasks; headers normalised, blanks kept as ''."""
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding, multiLine=False)
+    """All-string scan of any size, split across tasks; headers normalised, blanks kept as ''.
+
+    Spark reads no cp1251, so those bytes come in as latin-1 and are mapped per column.
+    """
+    cyrillic = encoding.lower() in ("cp1251", "windows-1251")
+    df = spark.read.csv(
+        path, header=True, inferSchema=False, sep=sep, encoding="ISO-8859-1" if cyrillic else encoding
+    )
+    if cyrillic:
+        table = str.maketrans(_LATIN, _CYRILLIC)
+        df = df.select(
+            *[F.translate(F.col(f"`{c}`"), _LATIN, _CYRILLIC).alias(c.translate(table)) for c in df.columns]
+        )
     return normalise_headers(df).fillna("")
 
 
