@@ -5,15 +5,21 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Archive members that are read.
 MEMBER_FORMATS = ("csv", "xlsx", "xls", "json", "xml", "txt", "tsv")
+BATCH_BYTES = 8 * 1024 * 1024
+BATCH_ROWS = 1000
+BATCH_LEAVES = 20_000
 
 
 def json_leaves(node, path: str = "") -> Iterator[tuple[str, object]]:
@@ -29,41 +35,51 @@ def json_leaves(node, path: str = "") -> Iterator[tuple[str, object]]:
         yield from json_leaves(child, f"{path}.{key}" if path else str(key))
 
 
+def json_rows(text: str) -> Iterator[tuple]:
+    """(pos, path, value) per leaf that is not null; text that is not JSON gives none."""
+    try:
+        leaves = dict(json_leaves(json.loads(text)))
+    except (TypeError, ValueError, RecursionError):
+        return
+    for pos, (path, leaf) in enumerate(leaves.items()):
+        if leaf is not None and leaf == leaf:
+            yield pos, path, str(leaf)
+
+
+def xml_rows(text: str) -> Iterator[tuple]:
+    """(pos, path, value, attributes) of element texts and attributes in document order."""
+    try:
+        stack = [(ElementTree.fromstring(text), "")]
+    except (TypeError, ValueError, ElementTree.ParseError):
+        return
+    pos = 0
+    while stack:
+        node, above = stack.pop()
+        path = f"{above}.{node.tag}" if above else node.tag
+        body = (node.text or "").strip()
+        if body:
+            yield pos, path, body, dict(node.attrib)
+            pos += 1
+        for name, value in node.attrib.items():
+            yield pos, f"{path}@{name}", value, {}
+            pos += 1
+        stack.extend((child, path) for child in reversed(node))
+
+
 @udtf(returnType="pos int, path string, value string")
 class FlattenJson:
-    """One row per leaf that is not null; text that is not JSON gives no rows."""
+    """JSON leaves for SQL: ``FROM t, LATERAL flatten_json(t.text)``."""
 
     def eval(self, text: str):
-        try:
-            leaves = dict(json_leaves(json.loads(text)))
-        except (TypeError, ValueError, RecursionError):
-            return
-        for pos, (path, leaf) in enumerate(leaves.items()):
-            if leaf is not None and leaf == leaf:
-                yield pos, path, str(leaf)
+        yield from json_rows(text)
 
 
 @udtf(returnType="pos int, path string, value string, attributes map<string,string>")
 class FlattenXml:
-    """Element text and attributes in document order; broken XML gives no rows."""
+    """XML texts and attributes for SQL."""
 
     def eval(self, text: str):
-        try:
-            stack = [(ElementTree.fromstring(text), "")]
-        except (TypeError, ValueError, ElementTree.ParseError):
-            return
-        pos = 0
-        while stack:
-            node, above = stack.pop()
-            path = f"{above}.{node.tag}" if above else node.tag
-            body = (node.text or "").strip()
-            if body:
-                yield pos, path, body, dict(node.attrib)
-                pos += 1
-            for name, value in node.attrib.items():
-                yield pos, f"{path}@{name}", value, {}
-                pos += 1
-            stack.extend((child, path) for child in reversed(node))
+        yield from xml_rows(text)
 
 
 def register(spark: SparkSession) -> None:
@@ -72,26 +88,69 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("flatten_xml", FlattenXml)
 
 
+def _rows_per_text(df: DataFrame, text: str, rows: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """Every row of ``df`` once per tuple that ``rows`` gives for its text, which is left out.
+
+    Whole Arrow batches cross to Python and back; the other columns are only repeated.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
+    added = StructType.fromDDL(schema)
+    out_schema = StructType(kept + added.fields)
+    arrow = [to_arrow_type(f.dataType) for f in added.fields]
+    names = [f.name for f in out_schema.fields]
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            index = pa.array(origin, pa.int64())
+            same = [batch.column(f.name).take(index) for f in kept]
+            new = [pa.array(column, kind) for column, kind in zip(zip(*found), arrow)]
+            return pa.RecordBatch.from_arrays(same + new, names)
+
+        for batch in batches:
+            origin, found = [], []
+            for i, body in enumerate(batch.column(text)):
+                for row in rows(body.as_py()):
+                    origin.append(i)
+                    found.append(row)
+                if len(found) >= BATCH_LEAVES:
+                    yield flush()
+                    origin, found = [], []
+            if found:
+                yield flush()
+
+    return df.select(*[f.name for f in kept], text).mapInArrow(expand, out_schema)
+
+
 def flatten_json(df: DataFrame, text: str) -> DataFrame:
-    return df.lateralJoin(FlattenJson(F.col(text).outer()))
+    """``df`` without the text, one row per JSON leaf: adds pos, path and value."""
+    return _rows_per_text(df, text, json_rows, "pos int, path string, value string")
 
 
 def flatten_xml(df: DataFrame, text: str) -> DataFrame:
-    return df.lateralJoin(FlattenXml(F.col(text).outer()))
+    """``df`` without the text, one row per text node and attribute."""
+    return _rows_per_text(df, text, xml_rows, "pos int, path string, value string, attributes map<string,string>")
 
 
 def expand_archives(archives: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """One row (archive, member, format, bytes) per readable member.
 
     A member that cannot be read is a row with ``error``; a broken archive is one row without a
-    member. Members leave one at a time, so a batch never holds a whole expanded archive.
+    member. Members leave in batches of a few MB, so a task never holds a whole expanded archive.
     """
+    columns = ["archive", "member", "format", "bytes", "error"]
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for archive, data in zip(batch[name], batch[content]):
                 for row in members(archive, data):
-                    yield pd.DataFrame([row], columns=["archive", "member", "format", "bytes", "error"])
+                    rows.append(row)
+                    size += len(row[3] or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     def members(archive: str, data: bytes) -> Iterator[tuple]:
         try:

@@ -197,7 +197,7 @@ def user_stats(users: DataFrame, orders: DataFrame, files: DataFrame) -> DataFra
 
 
 def system_summary(users: DataFrame, orders: DataFrame, files: DataFrame, active: Column) -> DataFrame:
-    """One row with counts, a map of file formats and the orders of each day of the latest 30 days."""
+    """One row with counts, a map of file formats and a list of the orders of each day."""
     people = users.agg(count_rows().alias("total_users"), F.count_if(active).alias("active_users"))
     sales = orders.agg(
         count_rows().alias("total_orders"), F.count_if(F.col("match_status") == "matched").alias("completed_orders")
@@ -213,8 +213,6 @@ def system_summary(users: DataFrame, orders: DataFrame, files: DataFrame, active
     daily = (
         orders.groupBy(F.col("creation_time").cast("date").alias("day"))
         .agg(count_rows().alias("orders"))
-        .orderBy(F.desc("day"))
-        .limit(30)
         .agg(F.array_sort(F.collect_list(F.struct("day", "orders"))).alias("daily_stats"))
     )
     return people.join(F.broadcast(sales)).join(F.broadcast(formats)).join(F.broadcast(daily))
@@ -261,12 +259,22 @@ def first_row(df: DataFrame, order: str = "id") -> DataFrame:
     return df.orderBy(order).limit(1)
 
 
-def progress(files: DataFrame, total: str = "total_rows", step: int = 100) -> DataFrame:
+def progress(files: DataFrame, total: str = "total_rows", step: int = 100, block: int = 10_000) -> DataFrame:
     """Progress marks of a file every ``step`` rows, from its row total alone.
 
-    The marks follow from the total, so no row of the file is read again.
+    The marks follow from the total, so no row of the file is read again. Long files are first cut
+    into blocks of marks that spread over the tasks, which also keeps every array short.
     """
-    marks = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col(total) - 1, F.lit(0)).cast("bigint"), F.lit(step).cast("bigint"))
-    return files.filter(F.col(total) > 0).withColumn("row_number", F.explode(marks)).withColumn(
-        "progress", F.round(F.col("row_number") * 100.0 / F.col(total), 4).cast("double")
+    zero, width = F.lit(0).cast("bigint"), F.lit(step * block).cast("bigint")
+    last = (F.col(total) - 1).cast("bigint")
+    blocks = (
+        files.filter(F.col(total) > 0)
+        .withColumn("_block", F.explode(F.sequence(zero, last, width)))
+        .repartition(*files.columns, "_block")
+    )
+    marks = F.sequence(F.col("_block"), F.least(last, F.col("_block") + width - 1), F.lit(step).cast("bigint"))
+    return (
+        blocks.withColumn("row_number", F.explode(marks))
+        .drop("_block")
+        .withColumn("progress", F.round(F.col("row_number") * 100.0 / F.col(total), 4).cast("double"))
     )

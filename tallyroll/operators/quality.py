@@ -36,15 +36,17 @@ def _is_broken(kind: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([broken(k, d) for k, d in zip(kind, content)], dtype=object)
 
 
-def validate_files(files: DataFrame, name: str, content: str) -> DataFrame:
+def validate_files(files: DataFrame, name: str, content: str, length: str | None = None) -> DataFrame:
     """Adds file_type, file_size, mime_type, errors and valid.
 
+    ``length`` names a column with the size, for files too large to have been loaded.
+
     An unknown extension, excess size or an empty file stops the check of that file. Only XML and
     ZIP contents go to Python; everything else is decided in the JVM.
     """
     data = F.col(content).cast("binary")
     text = data.cast("string")
-    size = F.octet_length(data).cast("bigint")
+    size = F.col(length) if length else F.octet_length(data).cast("bigint")
     ext = F.col("file_type")
     opened = F.col("file_size").between(1, MAX_FILE_BYTES)
     utf8 = F.is_valid_utf8(text)

@@ -108,11 +108,21 @@ def session_file_totals(sessions: DataFrame, files: DataFrame, size: str) -> Dat
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
-    """Similarity 100 and the first id for later files of equal hash, else 0 and null."""
-    first = files.groupBy("content_hash").agg(F.min("id").alias("_first"))
+    """Similarity 100 and the first id for later files of equal hash, else 0 and null.
+
+    One aggregate gives the first id and the number of copies of every hash, and only hashes with
+    copies go into the join.
+    """
+    copies = (
+        files.groupBy("content_hash")
+        .agg(F.min("id").alias("_first"), count_rows().alias("_n"))
+        .filter(F.col("_n") > 1)
+    )
     later = F.col("id") != F.col("_first")
     return (
-        join_dimension(files, first, "content_hash")
+        join_dimension(
+            files, copies.select("content_hash", "_first"), "content_hash", counts=copies.select("content_hash", "_n")
+        )
         .withColumn("similarity", F.when(later, 100.0).otherwise(0.0))
         .withColumn("duplicate_of_id", F.when(later, F.col("_first")))
         .drop("_first")

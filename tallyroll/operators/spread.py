@@ -46,16 +46,24 @@ def row_numbers(
 
 
 def join_dimension(
-    fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None, how: str = "left", salts: int = 64
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    dim_key: str | None = None,
+    how: str = "left",
+    counts: DataFrame | None = None,
+    salts: int = 64,
 ) -> DataFrame:
     """Join to a dimension that is unique on its key, safe for hot and null keys of the fact.
 
     A pre-aggregated count finds the hot keys; at most 1 / HOT_SHARE keys can be hot, so that list is
     always small enough to broadcast. Rows of hot and null keys spread over ``salts`` partitions,
-    and only the dimension rows of hot keys are repeated to meet them.
+    and only the dimension rows of hot keys are repeated to meet them. A caller that has counted the
+    fact's keys already gives ``counts`` as (key, _n).
     """
     dim_key = dim_key or key
-    counts = fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     hot = (
         counts.join(F.broadcast(total), F.col("_n") > F.col("_total") * HOT_SHARE)

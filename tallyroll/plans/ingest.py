@@ -13,7 +13,7 @@ from tallyroll.session import scratch_dir
 from tallyroll.sources import files as S
 
 # Keeps every written file far below the size limit of one file.
-RECORDS_PER_FILE = 200_000
+RECORDS_PER_FILE = 50_000
 
 
 def write_delimited(df, folder, encoding="utf-8", sep=","):
@@ -170,15 +170,18 @@ def udf_2(t):
 def archives(t):
     """One ZIP per file entry: the text, a small table and a member that is not read."""
 
+    def packed(file_id, text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("doc/text.txt", text)
+            z.writestr("rows.csv", f"order_number,price\nA{file_id},1\nB{file_id},2\n")
+            z.writestr("tool.exe", "x")
+        return out.getvalue()
+
     def pack(batches):
         for batch in batches:
-            for file_id, text in zip(batch["id"], batch["content"]):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("doc/text.txt", text)
-                    z.writestr("rows.csv", f"order_number,price\nA{file_id},1\nB{file_id},2\n")
-                    z.writestr("tool.exe", "x")
-                yield pd.DataFrame({"file": [f"{file_id}.zip"], "content": [out.getvalue()]})
+            content = [packed(i, text) for i, text in zip(batch["id"], batch["content"])]
+            yield pd.DataFrame({"file": batch["id"].astype(str) + ".zip", "content": content})
 
     return t.file_entries.select("id", "content").mapInPandas(pack, "file string, content binary")
 

@@ -6,6 +6,7 @@ from tallyroll.functions import values as V
 from tallyroll.operators import analytics as A, filters as P, history as H, quality as Q, reconcile as R, relations as J
 from tallyroll.operators.spread import row_numbers
 from tallyroll.plans.registry import query
+from tallyroll.session import scratch_dir
 
 
 @query(
@@ -112,7 +113,11 @@ def join_7_totals(t):
 
 
 def hashed_files(t):
-    return t.file_entries.select("id", "original_name", V.content_hash(F.col("content")).alias("content_hash"))
+    """The file catalogue as a written table, so that every content is read and hashed once."""
+    folder = scratch_dir(t.spark, "catalogue")
+    hashed = t.file_entries.select("id", "original_name", V.content_hash(F.col("content")).alias("content_hash"))
+    hashed.write.parquet(folder)
+    return t.spark.read.schema(hashed.schema).parquet(folder)
 
 
 DUPLICATES_SQL = """SELECT id, original_name, CASE WHEN id <> first THEN 100.0::double ELSE 0.0::double END AS similarity,

@@ -361,7 +361,7 @@ def agg_12(t):
           FROM {file_entries} GROUP BY 1)) AS popular_file_formats,
       (SELECT string_agg(d || '=' || n, ',' ORDER BY d) FROM
          (SELECT cast(cast(creation_time AS date) AS string) AS d, count(*) AS n FROM {sales_orders}
-          GROUP BY 1 ORDER BY d DESC LIMIT 30)) AS daily_stats""",
+          GROUP BY 1)) AS daily_stats""",
 )
 def agg_13(t):
     files = t.file_entries.select(extension(F.col("original_name")).alias("file_type"))

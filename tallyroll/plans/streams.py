@@ -228,7 +228,6 @@ def str_8(t):
     HAVING max(seen_at) + INTERVAL '30' MINUTE <= (SELECT max(seen_at) FROM {requests}) - INTERVAL '10' MINUTE""",
 )
 def str_9(t):
-    t.spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return result(t, S.activity_sessions(streams(t).requests), "sessions")
 
 

@@ -28,12 +28,19 @@ KINDS = {"orders": ORDER_SCHEMA, "changes": CHANGE_SCHEMA, "files": STATUS_SCHEM
 
 
 def arriving_files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """Stream of (file, content, length) of CSV files."""
+    """Stream of (file, length, content) of CSV files; too large ones come without their content."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.load(path).filter(F.col("length") <= S.MAX_FILE_BYTES).select(F.col("path").alias("file"), "content")
+
+    def files() -> DataFrame:
+        reader = spark.readStream.format("binaryFile").schema(schema)
+        reader = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+        if per_trigger:
+            reader = reader.option("maxFilesPerTrigger", per_trigger)
+        return reader.load(path)
+
+    small = files().filter(F.col("length") <= S.MAX_FILE_BYTES).select(F.col("path").alias("file"), "length", "content")
+    large = files().filter(F.col("length") > S.MAX_FILE_BYTES).select(F.col("path").alias("file"), "length")
+    return small.unionByName(large, allowMissingColumns=True)
 
 
 def read_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -65,7 +72,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
     def write(df: DataFrame, kind: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{kind}/batch={batch_id}")
 
-    checked = Q.validate_files(batch, "file", "content")
+    checked = Q.validate_files(batch, "file", "content", "length")
     good = checked.filter(F.col("valid")).select("file", "content")
     typed = H.typed_orders(S.delimited_records(good, lower_headers=True), now)
     # One order may stand in several files of a batch.

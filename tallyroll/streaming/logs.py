@@ -146,8 +146,7 @@ def minute_matches(purchases: DataFrame, clicks: DataFrame, minutes: int = 30, d
 def activity_sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Activity sessions per client: a pause longer than ``gap`` ends one.
 
-    With spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition set, sessions merge
-    inside each task before the shuffle, which keeps a busy client cheap.
+    The runner has sessions merge inside each task before the shuffle, which keeps a busy client cheap.
     """
     return (
         timed(requests)

@@ -20,8 +20,20 @@ class StreamTables(Tables):
         return super().__getattr__(name)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def prepare_state(stream: DataFrame) -> None:
+    """State on local disk with a change log in the checkpoint, so it may outgrow the memory."""
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+
+
 def to_parquet(stream: DataFrame, folder: str) -> DataFrame:
     """Process what is there, exactly once, and give the written result as a batch frame."""
+    prepare_state(stream)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
