@@ -68,9 +68,14 @@ def first_present(columns: Sequence[str], aliases: Sequence[str]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def first_cell(cells: Column, aliases: Sequence[str]) -> Column:
-    """The same over a header -> text map, where every row may have other headers."""
-    return F.coalesce(*[blank_to_null(cells[a]) for a in aliases])
+def filled_cells(cells: Column) -> Column:
+    """The cells of a header -> text map that are not blank."""
+    return F.map_filter(cells, lambda name, text: F.trim(text) != "")
+
+
+def first_cell(filled: Column, aliases: Sequence[str]) -> Column:
+    """First alias among the filled cells, where every row may have other headers."""
+    return F.trim(F.coalesce(*[filled[a] for a in aliases]))
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:

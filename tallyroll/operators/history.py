@@ -33,7 +33,8 @@ def typed_orders(records: DataFrame, as_of: Column, extra: Sequence[str] = ()) -
 
     ``extra`` names further columns of the records to keep.
     """
-    texts = records.select(
+    filled = records.withColumn("cells", V.filled_cells(F.col("cells")))
+    texts = filled.select(
         "file", "row_number", *extra, *[V.first_cell(F.col("cells"), names).alias(f) for f, names in V.FIELD_ALIASES.items()]
     )
     typed = texts.withColumns(
@@ -231,10 +232,10 @@ def file_outcomes(files: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def _last_per_field(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("order_id", "version", "field_name").agg(
-        F.max_by("new_value", F.struct("changed_at", "new_value")).alias("new_value"),
-        F.max("changed_at").alias("changed_at"),
+    last = changes.groupBy("order_id", "version", "field_name").agg(
+        F.max(F.struct("changed_at", "new_value")).alias("_w")
     )
+    return last.select("order_id", "version", "field_name", "_w.new_value", "_w.changed_at")
 
 
 def versions(changes: DataFrame) -> DataFrame:
@@ -251,10 +252,11 @@ def versions(changes: DataFrame) -> DataFrame:
 
 def state_at_versions(changes: DataFrame, fields: Sequence[str] = COMPARED) -> DataFrame:
     """The state of every field as of each version, carried over versions that did not set it."""
-    wide = (
-        _last_per_field(changes)
-        .groupBy("order_id", "version")
-        .agg(*[F.max(F.when(F.col("field_name") == f, F.col("new_value"))).alias(f) for f in fields])
-    )
+
+    def last_write(field: str) -> Column:
+        write = F.when(F.col("field_name") == field, F.struct("changed_at", "new_value"))
+        return F.max(write)["new_value"].alias(field)
+
+    wide = changes.groupBy("order_id", "version").agg(*[last_write(f) for f in fields])
     bucket = F.floor(F.col("version") / VERSIONS_PER_BUCKET)
     return carry_last(wide, ["order_id"], bucket, "version", fields)

@@ -89,9 +89,10 @@ def join_dimension(
 def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: str, values: Sequence[str]) -> DataFrame:
     """Replace each value by the last non-null one so far; ``bucket`` must follow ``order``.
 
-    Only one row per bucket travels between buckets, whatever the size of the group.
+    Only one row per bucket travels between buckets, whatever the size of the group. Rows without
+    a key are left out here, so that both uses of the input are the same plan and run once.
     """
-    marked = df.withColumn("_bucket", bucket)
+    marked = df.withColumn("_bucket", bucket).dropna(subset=[*keys, "_bucket"])
     closing = marked.groupBy(*keys, "_bucket").agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_c_{v}") for v in values]
     )
