@@ -28,23 +28,28 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: str = "row_number")
     )
 
 
-def typed_orders(records: DataFrame, as_of: Column, extra: Sequence[str] = ()) -> DataFrame:
-    """Records with a ``cells`` map to typed order rows, aliases resolved and defaults set.
-
-    ``extra`` names further columns of the records to keep.
-    """
+def typed_rows(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Records with a ``cells`` map to typed rows, aliases resolved; ``extra`` columns are kept."""
     filled = records.withColumn("cells", V.filled_cells(F.col("cells")))
     texts = filled.select(
         "file", "row_number", *extra, *[V.first_cell(F.col("cells"), names).alias(f) for f, names in V.FIELD_ALIASES.items()]
     )
-    typed = texts.withColumns(
+    return texts.withColumns(
         {
             "order_number": F.coalesce("order_number", F.lit("")),
             "order_price": V.parse_price(F.col("order_price")),
             "creation_time": V.parse_time(F.col("creation_time")),
         }
     )
-    return V.with_defaults(keep_first(typed, ["file", "order_number"]), as_of)
+
+
+def clean_orders(rows: DataFrame, as_of: Column) -> DataFrame:
+    """First row per file and order number, with defaults set."""
+    return V.with_defaults(keep_first(rows, ["file", "order_number"]), as_of)
+
+
+def typed_orders(records: DataFrame, as_of: Column, extra: Sequence[str] = ()) -> DataFrame:
+    return clean_orders(typed_rows(records, extra), as_of)
 
 
 def cell_log(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,11 +27,26 @@ def carried_sums(df: DataFrame, keys: Sequence[str], bucket: str, sums: Mapping[
     return per_bucket.withColumns({n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in sums})
 
 
+def even_buckets(df: DataFrame, column: str, count: int = 10_000, name: str = "_bucket") -> DataFrame:
+    """Cut the range of a whole-number column into ``count`` buckets in its order.
+
+    The range is one row, found by a scan of that column, so the number of buckets stays the same
+    however the data grows.
+    """
+    span = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    width = F.greatest(F.ceil((F.col("_high") - F.col("_low") + 1) / count), F.lit(1))
+    return (
+        df.join(F.broadcast(span))
+        .withColumn(name, F.floor((F.col(column) - F.col("_low")) / width))
+        .drop("_low", "_high")
+    )
+
+
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column], name: str = "row_number"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 10_000, name: str = "row_number"
 ) -> DataFrame:
-    """1-based number inside each group; ``bucket`` must be the leading part of ``order``."""
-    marked = df.withColumn("_bucket", bucket)
+    """1-based number inside each group; the first order column is a whole number to cut by."""
+    marked = even_buckets(df, order[0], buckets)
     start = carried_sums(marked, keys, "_bucket", {"_start": F.count(F.lit(1))})
     start = start.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_b"), "_start")
     test = marked["_bucket"].eqNullSafe(start["_b"])

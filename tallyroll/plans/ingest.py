@@ -188,21 +188,27 @@ def archives(t):
 
 @query(
     "src_7_archives",
-    f"""SELECT id || '.zip' AS archive, cast(2 AS bigint) AS extracted_files, n + 3 AS total_rows, m + 3 AS processed_rows,
+    """SELECT id || '.zip' AS archive, 'doc/text.txt' AS member, 'txt' AS format, strlen(content) AS size, sha256(content) AS hash
+        FROM {file_entries}
+    UNION ALL SELECT id || '.zip', 'rows.csv', 'csv', strlen(body), sha256(body) FROM (SELECT id, 'order_number,price' || chr(10)
+        || 'A' || id || ',1' || chr(10) || 'B' || id || ',2' || chr(10) AS body FROM {file_entries})""",
+)
+def src_7(t):
+    return X.expand_archives(archives(t), "file").filter(F.col("error").isNull()).select(
+        "archive", "member", "format", F.octet_length("bytes").cast("bigint").alias("size"), F.sha2("bytes", 256).alias("hash")
+    )
+
+
+@query(
+    "agg_10_archive_totals",
+    f"""SELECT id || '.zip' AS archive, cast(2 AS bigint) AS extracted_files, n + 4 AS total_rows, m + 3 AS processed_rows,
         'doc/text.txt,rows.csv' AS files_processed
     FROM (SELECT id, count(*) AS n, count(*) FILTER (line <> '') AS m FROM ({LINES_SQL}) GROUP BY 1)""",
 )
-def src_7(t):
+def agg_10(t):
     members = X.expand_archives(archives(t), "file").filter(F.col("error").isNull())
-    lines = S.text_totals(
-        members.select(
-            F.struct("archive", "member").alias("k"),
-            F.when(F.col("format") == "csv", F.regexp_replace(F.col("bytes").cast("string"), r"\n$", ""))
-            .otherwise(F.col("bytes").cast("string")).alias("text"),
-        ),
-        "k", "text",
-    )
-    return A.archive_totals(lines.select("k.*", "total_rows", "processed_rows"))
+    texts = members.select(F.struct("archive", "member").alias("k"), F.col("bytes").cast("string").alias("text"))
+    return A.archive_totals(S.text_totals(texts, "k", "text").select("k.*", "total_rows", "processed_rows"))
 
 
 @query(
@@ -313,6 +319,14 @@ def fn_3(t):
     )
 
 
+@query(
+    "fn_4_headers",
+    "SELECT id AS number, order_number AS order_text, machine_code AS machine FROM {sales_orders}",
+)
+def fn_4(t):
+    return V.normalise_headers(t.sales_orders.select("id", "order_number", "machine_code").toDF(" Number", "ORDER_Text ", "Machine"))
+
+
 @query(
     "fn_5_defaults",
     """SELECT id, coalesce(order_number, 'none') AS order_number, coalesce(machine_code, 'UNKNOWN') AS machine_code,

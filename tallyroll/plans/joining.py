@@ -299,9 +299,8 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdat
 
 
 def numbered_lines(t):
-    """Order lines as rows of yearly files, numbered; the bucket is a range of order keys."""
-    lines = t.sql(LINES)
-    return row_numbers(lines, ["file"], F.floor(F.col("l_orderkey") / 5000), LINE_ORDER)
+    """Order lines as rows of yearly files, numbered in order."""
+    return row_numbers(t.sql(LINES), ["file"], LINE_ORDER)
 
 
 NUMBERED_SQL = f"SELECT *, row_number() OVER (PARTITION BY file ORDER BY {', '.join(LINE_ORDER)}) AS row_number FROM ({LINES})"

@@ -24,7 +24,11 @@ CHANGE_SCHEMA = (
 STATUS_SCHEMA = (
     "file string, status string, errors array<string>, total_rows bigint, new_rows bigint, updated_rows bigint, batch bigint"
 )
-KINDS = {"orders": ORDER_SCHEMA, "changes": CHANGE_SCHEMA, "files": STATUS_SCHEMA}
+REJECT_SCHEMA = (
+    "file string, row_number bigint, surplus int, order_number string, machine_code string, order_price decimal(12,2), "
+    "payment_type string, creation_time timestamp_ntz, failed_checks array<string>, batch bigint"
+)
+KINDS = {"orders": ORDER_SCHEMA, "changes": CHANGE_SCHEMA, "files": STATUS_SCHEMA, "rejects": REJECT_SCHEMA}
 
 
 def arriving_files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -65,7 +69,10 @@ def current_orders(
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, author: int) -> None:
-    """One micro-batch: validate, parse, clean, compare with the known orders, write the delta."""
+    """One micro-batch: validate, parse, clean, compare with the known orders, write the delta.
+
+    Bad files and rows with more fields than the header are recorded and skipped; the run goes on.
+    """
     spark = batch.sparkSession
     now = F.lit(as_of).cast("timestamp_ntz")
 
@@ -74,7 +81,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
 
     checked = Q.validate_files(batch, "file", "content", "length")
     good = checked.filter(F.col("valid")).select("file", "content")
-    typed = H.typed_orders(S.delimited_records(good, lower_headers=True), now)
+    rows = H.typed_rows(S.delimited_records(good, lower_headers=True), ["surplus"]).persist()
+    fitting, misfits = Q.quarantine(rows, {"field_count": F.col("surplus") == 0})
+    typed = H.clean_orders(fitting.drop("surplus"), now)
     # One order may stand in several files of a batch.
     incoming = latest_per_order(typed).persist()
     if batch_id > 0:
@@ -88,6 +97,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
         write(snapshot.filter(F.col("action").isin("inserted", "updated")).drop("action"), "orders")
         changes = H.change_log(H.diff(known, incoming), now, F.lit(author).cast("bigint"))
         write(changes, "changes")
+        write(misfits, "rejects")
         totals = incoming.groupBy("file").agg(count_rows().alias("total_rows"))
         outcomes = snapshot.groupBy("file").agg(
             F.count_if(F.col("action") == "inserted").alias("new_rows"),
@@ -103,6 +113,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
     finally:
         snapshot.unpersist()
         incoming.unpersist()
+        rows.unpersist()
 
 
 def latest_per_order(typed: DataFrame) -> DataFrame:

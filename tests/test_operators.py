@@ -111,7 +111,7 @@ def test_hot_and_null_keys_join_like_any_other(spark, monkeypatch):
 def test_row_numbers_across_buckets(spark):
     values = [(k, v) for k in ("a", None) for v in random.Random(1).sample(range(1000), 60)]
     df = spark.createDataFrame(values, "k string, v bigint")
-    got = {(r.k, r.v): r.row_number for r in spread.row_numbers(df, ["k"], F.floor(F.col("v") / 100), ["v"]).collect()}
+    got = {(r.k, r.v): r.row_number for r in spread.row_numbers(df, ["k"], ["v"], 10).collect()}
     for k in ("a", None):
         assert [got[k, v] for v in sorted(v for x, v in values if x == k)] == list(range(1, 61))
 
@@ -183,3 +183,37 @@ def test_brute_force(spark, tmp_path, clearing):
     blocked = [r.blocked for r in got]
     assert blocked == ([0] * 8 if clearing else [0, 0, 0, 0, 0, 1, 1, 0])
     assert got[-1].succeeded == 1
+
+
+def test_ingest_survives_bad_files_and_rows(spark, tmp_path):
+    """Two deliveries through one stream: bad files and rows are recorded, orders follow the last delivery."""
+    from functools import partial
+
+    from tallyroll.streaming import ingest as I
+    from tallyroll.streaming.runs import for_each_batch
+
+    source, folder = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    handle = partial(I.ingest_batch, folder=folder, as_of="2024-01-01", author=1)
+
+    def deliver(name, data):
+        (source / name).write_bytes(data)
+
+    def run():
+        for_each_batch(I.arriving_files(spark, str(source)), folder, handle)
+
+    deliver("a.csv", b"order_number,price\nA,10\nA,11\nB,5,surplus\n,7\n")
+    deliver("b.csv", b"  \n")
+    run()
+    deliver("c.csv", "номер_заказа,цена\nA,12\nC,1\n".encode("cp1251"))
+    run()
+    orders = {r.order_number[:5]: (float(r.order_price), r.batch) for r in I.current_orders(spark, folder).collect()}
+    assert orders == {"A": (12.0, 1), "AUTO_": (7.0, 0), "C": (1.0, 1)}
+    changes = [tuple(r)[:5] for r in I.read_kind(spark, folder, "changes").collect()]
+    assert changes == [("A", "order_price", "10.00", "12.00", "changed")]
+    files = {r.file[-5:]: (r.status, r.new_rows, r.updated_rows) for r in I.read_kind(spark, folder, "files").collect()}
+    assert files == {"a.csv": ("completed", 2, 0), "b.csv": ("failed", 0, 0), "c.csv": ("completed", 1, 1)}
+    rejects = I.read_kind(spark, folder, "rejects").collect()
+    assert [(r.order_number, r.failed_checks) for r in rejects] == [("B", ["field_count"])]
+    log = [(r.type, r.batch, r.files, r.failed_files) for r in I.run_log(spark, folder).orderBy("type", "batch").collect()]
+    assert log == [("completed", 1, 3, 1), ("progress", 0, 2, 1), ("progress", 1, 3, 1)]
