@@ -220,7 +220,7 @@ def str_8(t):
 
 @query(
     "str_9_activity_sessions",
-    """WITH x AS (SELECT client, seen_at, coalesce(seen_at >= lag(seen_at) OVER w + INTERVAL '30' MINUTE, true) AS fresh
+    """WITH x AS (SELECT client, seen_at, coalesce(seen_at > lag(seen_at) OVER w + INTERVAL '30' MINUTE, true) AS fresh
         FROM {requests} WINDOW w AS (PARTITION BY client ORDER BY seen_at)),
     y AS (SELECT client, seen_at, sum(fresh::int) OVER (PARTITION BY client ORDER BY seen_at ROWS UNBOUNDED PRECEDING) AS g FROM x)
     SELECT client, cast(min(seen_at) AS string) AS session_start, cast(max(seen_at) + INTERVAL '30' MINUTE AS string) AS session_end,

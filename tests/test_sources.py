@@ -91,6 +91,7 @@ def test_broken_archives_do_not_stop_the_run(spark, folder):
         ("a.csv", b"\x98\xff", ["unknown encoding"]),
         ("a.json", b"{", ["invalid JSON"]),
         ("a.json", b'{"a":1}', []),
+        ("a.json", b"12 and more", ["invalid JSON"]),
         ("a.xml", b"<a>", ["invalid XML"]),
         ("a.xml", b"<a/>", []),
         ("a.pdf", b"hello", ["invalid PDF"]),
