@@ -162,14 +162,11 @@ def weekday_counts(orders: DataFrame) -> DataFrame:
 
 
 def payment_share(orders: DataFrame) -> DataFrame:
-    """Each payment type's share of all orders; the window runs over the few aggregated rows."""
+    """Each payment type's share of all orders; over the few aggregated rows."""
     mix = orders.groupBy(or_default(F.col("payment_type")).alias("payment_type")).agg(
         count_rows().alias("orders_count")
     )
-    everything = mix.agg(F.sum("orders_count").alias("_all"))
-    return mix.join(F.broadcast(everything)).withColumn(
-        "share", ratio(F.col("orders_count"), F.col("_all"))
-    ).drop("_all")
+    return mix.withColumn("share", ratio(F.col("orders_count"), mix.agg(F.sum("orders_count")).scalar()))
 
 
 def top_locations(orders: DataFrame, locations: DataFrame, limit: int = 5) -> DataFrame:
@@ -215,7 +212,11 @@ def system_summary(users: DataFrame, orders: DataFrame, files: DataFrame, active
         .agg(count_rows().alias("orders"))
         .agg(F.array_sort(F.collect_list(F.struct("day", "orders"))).alias("daily_stats"))
     )
-    return people.join(F.broadcast(sales)).join(F.broadcast(formats)).join(F.broadcast(daily))
+
+    def single(df: DataFrame) -> list[Column]:
+        return [df.select(c).scalar().alias(c) for c in df.columns]
+
+    return people.select("*", *single(sales), *single(formats), *single(daily))
 
 
 def request_counts(requests: DataFrame) -> DataFrame:

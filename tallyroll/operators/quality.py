@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyroll.sources.files import FORMATS, MAX_FILE_BYTES, extension, mime_type, strip
+from tallyroll.sources.files import FORMATS, MAX_FILE_BYTES, extension, mime_type
 
 # Allowed codes.
 MATCH_STATUSES = ["matched", "unmatched", "partial"]
@@ -65,7 +65,7 @@ def validate_files(files: DataFrame, name: str, content: str, length: str | None
     )
     delimited = ext.isin("csv", "tsv")
     second = (
-        F.when(delimited & utf8 & (strip(text) == ""), "no data")
+        F.when(delimited & utf8 & ~text.rlike(r"(?U)\S"), "no data")
         .when(delimited & ~utf8 & ~cyrillic, "unknown encoding")
         .when((ext == "json") & F.col("_broken"), "invalid JSON")
         .when((ext == "xml") & F.col("_broken"), "invalid XML")

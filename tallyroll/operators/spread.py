@@ -30,16 +30,12 @@ def carried_sums(df: DataFrame, keys: Sequence[str], bucket: str, sums: Mapping[
 def even_buckets(df: DataFrame, column: str, count: int = 10_000, name: str = "_bucket") -> DataFrame:
     """Cut the range of a whole-number column into ``count`` buckets in its order.
 
-    The range is one row, found by a scan of that column, so the number of buckets stays the same
-    however the data grows.
+    The range comes from a scan of that column alone, and the number of buckets stays the same however
+    the data grows.
     """
-    span = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    width = F.greatest(F.ceil((F.col("_high") - F.col("_low") + 1) / count), F.lit(1))
-    return (
-        df.join(F.broadcast(span))
-        .withColumn(name, F.floor((F.col(column) - F.col("_low")) / width))
-        .drop("_low", "_high")
-    )
+    low, high = df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
+    width = F.greatest(F.ceil((high - low + 1) / count), F.lit(1))
+    return df.withColumn(name, F.floor((F.col(column) - low) / width))
 
 
 def row_numbers(
@@ -79,12 +75,8 @@ def join_dimension(
     dim_key = dim_key or key
     if counts is None:
         counts = fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = (
-        counts.join(F.broadcast(total), F.col("_n") > F.col("_total") * HOT_SHARE)
-        .filter(F.col("_n") >= HOT_ROWS)
-        .select(F.col(key).alias("_hot"))
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.filter((F.col("_n") >= HOT_ROWS) & (F.col("_n") > total * HOT_SHARE)).select(F.col(key).alias("_hot"))
     spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
     left = fact.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
         "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(0)

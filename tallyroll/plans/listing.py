@@ -330,10 +330,10 @@ def agg_9(t):
                WHERE is_active AND expires_at > timestamp '2024-01-15 12:00:00') AS live_tokens""",
 )
 def agg_11(t):
+    runs = t.run_sessions.agg(F.count_if(P.is_open_session())).scalar()
+    live = t.access_sessions.agg(F.count_if(P.is_live(as_of()))).scalar()
     users = t.app_users.agg(A.count_rows().alias("users"))
-    runs = t.run_sessions.agg(F.count_if(P.is_open_session()).alias("open_sessions"))
-    live = t.access_sessions.agg(F.count_if(P.is_live(as_of())).alias("live_tokens"))
-    return users.join(F.broadcast(runs)).join(F.broadcast(live))
+    return users.select("users", runs.alias("open_sessions"), live.alias("live_tokens"))
 
 
 @query(

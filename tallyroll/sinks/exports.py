@@ -99,16 +99,13 @@ def write_change_json(orders: DataFrame, changes: DataFrame, as_of: Column, fold
 
 def preview(changes: DataFrame) -> DataFrame:
     """First 100 changes with long texts cut, and a note saying how many there are."""
-    total = changes.agg(A.count_rows().alias("_total"))
+    total = changes.agg(A.count_rows()).scalar()
     first = changes.orderBy("order_id", "version", "field_name", "new_value", "old_value", "change_type").limit(PREVIEW_ROWS)
-    return first.join(F.broadcast(total)).select(
+    return first.select(
         "order_id", "version", shorten(F.col("field_name"), NAME_WIDTH).alias("field_name"),
         shorten(F.coalesce("old_value", F.lit("")), VALUE_WIDTH).alias("old_value"),
         shorten(F.coalesce("new_value", F.lit("")), VALUE_WIDTH).alias("new_value"), "change_type",
-        F.when(
-            F.col("_total") > PREVIEW_ROWS,
-            F.concat(F.lit(f"{PREVIEW_ROWS} of "), F.col("_total").cast("string")),
-        ).alias("note"),
+        F.when(total > PREVIEW_ROWS, F.concat(F.lit(f"{PREVIEW_ROWS} of "), total.cast("string"))).alias("note"),
     )
 
 
