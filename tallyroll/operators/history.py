@@ -134,6 +134,12 @@ def classify(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The next snapshot, with an ``action`` per row: inserted, updated, unchanged or kept."""
+    same = stored.columns
+    return resolve(compare(stored.select(*same), incoming.select(*same)))
+
+
+def resolve(compared: DataFrame) -> DataFrame:
+    """Snapshot rows and actions of a comparison."""
     action = (
         F.when(F.col("presence") == "only_new", "inserted")
         .when(F.col("presence") == "only_old", "kept")
@@ -141,13 +147,12 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         .otherwise("unchanged")
     )
     taken = F.when(F.col("action").isin("inserted", "updated"), F.col("_n")).otherwise(F.col("_o"))
-    same = stored.columns
-    return (
-        compare(stored.select(*same), incoming.select(*same))
-        .withColumn("action", action)
-        .select(taken.alias("_row"), "action")
-        .select("_row.*", "action")
-    )
+    return compared.withColumn("action", action).select(taken.alias("_row"), "action").select("_row.*", "action")
+
+
+def differences(compared: DataFrame, key: str = "order_number") -> DataFrame:
+    """The field differences of a comparison, as ``diff`` gives them."""
+    return compared.filter(F.col("presence") == "both").select(key, F.inline("changes"))
 
 
 def action_counts(snapshot: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
 
     checked = Q.validate_files(batch, "file", "content", "length")
     good = checked.filter(F.col("valid")).select("file", "content")
-    rows = H.typed_rows(S.delimited_records(good, lower_headers=True), ["surplus"]).persist()
+    rows = H.typed_rows(S.delimited_records(good, lower_headers=True), ["surplus"])
     fitting, misfits = Q.quarantine(rows, {"field_count": F.col("surplus") == 0})
     typed = H.clean_orders(fitting.drop("surplus"), now)
     # One order may stand in several files of a batch.
@@ -92,11 +92,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
         stored = spark.createDataFrame([], ORDER_SCHEMA)
     columns = ["order_number", *H.COMPARED, "creation_time", "file"]
     known = stored.select(columns)
-    snapshot = H.upsert(known, incoming.select(columns)).persist()
+    compared = H.compare(known, incoming.select(columns)).persist()
+    snapshot = H.resolve(compared)
     try:
         write(snapshot.filter(F.col("action").isin("inserted", "updated")).drop("action"), "orders")
-        changes = H.change_log(H.diff(known, incoming), now, F.lit(author).cast("bigint"))
-        write(changes, "changes")
+        write(H.change_log(H.differences(compared), now, F.lit(author).cast("bigint")), "changes")
         write(misfits, "rejects")
         totals = incoming.groupBy("file").agg(count_rows().alias("total_rows"))
         outcomes = snapshot.groupBy("file").agg(
@@ -111,9 +111,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
         )
         write(status, "files")
     finally:
-        snapshot.unpersist()
+        compared.unpersist()
         incoming.unpersist()
-        rows.unpersist()
 
 
 def latest_per_order(typed: DataFrame) -> DataFrame:
