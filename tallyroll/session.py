@@ -24,7 +24,11 @@ def local_session(app: str = "tallyroll", cores: str = "*", shuffle_partitions:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the results depend on, plus skew handling; all can change at run time."""
+    """Settings the results depend on, plus skew handling; all can change at run time.
+
+    Python workers on this machine find the package from any working folder; elsewhere it must be installed.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
