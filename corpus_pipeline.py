@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.llm import quality
+from tallyroll.llm import lines, pii, quality, simhash
 from tallyroll.llm.common import prepare, stored
-from tallyroll.llm.queries import packed
+from tallyroll.llm.queries import PSEUDONYM_KEY, packed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).filter("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without cross-site boilerplate lines."""
+    prepare(spark)
+    return lines.without_boilerplate(docs).select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    prepare(spark)
+    return simhash.first_of_each(docs, words=3, bits=2)
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with pseudonyms for personal data and secrets."""
+    prepare(spark)
+    return pii.with_pseudonyms(docs, PSEUDONYM_KEY).select(*docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of every document lies in the sequences."""
     prepare(spark)
@@ -23,6 +41,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("pii_pseudonyms", pii_pseudonyms),
     ("best_fit_packing", best_fit_packing),
 ]
 

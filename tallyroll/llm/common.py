@@ -1,26 +1,22 @@
-"""What the operators of this folder share: scratch tables, text batches, joins that stand hot keys."""
+"""What the operators of this folder share: session settings, scratch tables, batches of texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyroll.session import scratch_dir
+from tallyroll import session
 
 # Rows in one Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 512
-# A key with more than this share of the rows is hot, so at most 1 / HOT_SHARE keys are.
-HOT_SHARE = 0.001
-SALTS = 48
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators rely on."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    session.prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
@@ -31,7 +27,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage, survives lost executors, and gives later joins two plain inputs whose
     skewed partitions adaptive execution can split.
     """
-    path = scratch_dir(df.sparkSession, label)
+    path = session.scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,7 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
     """Cut batches where their texts pass ``limit`` bytes; one longer text is a slice of its own."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         begin = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > limit:
@@ -54,30 +50,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             held += size
         if begin < len(sizes):
             yield batch.slice(begin)
-
-
-def hot_keys(keys: DataFrame, total: Column | None = None) -> DataFrame:
-    """Of a table (key, n) the keys with more than HOT_SHARE of all rows, at most 1 / HOT_SHARE of them."""
-    total = keys.agg(F.sum("n")).scalar() if total is None else total
-    return keys.filter(F.col("n") > F.greatest(total * HOT_SHARE, F.lit(1000))).select("key")
-
-
-def join_unique(fact: DataFrame, key: str, dim: DataFrame, values: Sequence[str], counts: DataFrame) -> DataFrame:
-    """Left join to ``dim`` (unique on ``key``) that spreads the rows of hot and null keys over salts.
-
-    ``counts`` has (key, n) for the fact. Only the list of hot keys is broadcast; it has at most
-    1 / HOT_SHARE rows. Any name beside the joined ones stays as it is.
-    """
-    hot = F.broadcast(hot_keys(counts).withColumnRenamed("key", "_hot"))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns[:4]], F.rand(7)), F.lit(SALTS)).cast("int")
-    left = fact.join(hot, fact[key] == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | F.col(f"`{key}`").isNull(), salt).otherwise(0)
-    )
-    right = dim.select(F.col(key).alias("_key"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    right = (
-        right.join(hot, F.col("_key") == F.col("_hot"), "left")
-        .withColumn("_copy", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    joined = left.drop("_hot").join(right, (F.col(f"`{key}`") == F.col("_key")) & (F.col("_salt") == F.col("_copy")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in fact.columns], *[F.col(f"_v_{v}").alias(v) for v in values])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyroll.llm import bpe, packing, quality
+from tallyroll.llm import ann, bpe, lines, lm, packing, pii, quality, simhash, urls, warc
 from tallyroll.llm.common import prepare
+from tallyroll.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, written and read back."""
+    path = scratch_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    found = warc.read_archives(spark, path, payload=False)
+    number = F.lit(len(warc.ID_PREFIX) + 1)
+
+    def page(name: str) -> Column:
+        return F.try_to_number(F.col(name).substr(number, F.length(name)), F.lit("S9999999999999999999")).cast("long")
+
+    return found.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), q AS (
+    SELECT *, max(page_id) OVER (PARTITION BY hex) AS last_id,
+        list_transform(range(0, 40, 5), lambda i: ('0x' || hex[i + 1:i + 5])::BIGINT) AS twenty
+    FROM p
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32),
+        lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((twenty[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+    CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM q
+"""
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+# Words that name the usual categories of public blocklists.
+SEEDS = ["ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam"]
+
+
+def seeded(pages: DataFrame) -> DataFrame:
+    """Labelled urls: 1 where a word of the host is a seed, else 0."""
+    words = F.split(urls.host_of(F.col("url")), "[.-]")
+    return pages.select("url", F.arrays_overlap(words, F.array(*map(F.lit, SEEDS))).cast("int").alias("label"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, RULES, labelled=seeded(pages), keep=["page_id"])
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sequences of at most 1024 ids: where each piece of a document lies."""
@@ -40,6 +106,13 @@ def packed(documents: DataFrame) -> DataFrame:
     return packing.pack(pieces, ["doc_id", "piece"])
 
 
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2, keep=["doc_id"])
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
@@ -52,6 +125,47 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A key for these tables; a real one comes from the caller and stays out of the code.
+PSEUDONYM_KEY = b"tallyroll test key"
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms, and what was found in them."""
+    masked = pii.with_pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id", "text"])
+    kinds = F.array_join(F.array_sort(F.transform("pii", lambda x: x["kind"])), ",")
+    return masked.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), kinds.alias("kinds"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand on five sites or more, but for their first occurrence."""
+    return lines.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
+ORACLES["op8_line_dedup"] = """
+WITH l AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place
+    FROM documents
+), c AS (
+    SELECT line, min((doc_id, place)) AS first FROM l
+    WHERE length(line) >= 20 AND regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 5
+), m AS (
+    SELECT l.*, c.first IS NOT NULL AND (l.doc_id, l.place) <> c.first AS gone FROM l LEFT JOIN c ON l.line = c.line
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
+    count(*) FILTER (WHERE gone) AS removed_lines
+FROM m GROUP BY doc_id
+UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
+"""
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    return lm.score(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and outlier verdict of every document."""
