@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MONEY = "decimal(12,2)"
+MONEY = "decimal(20,2)"
 
 # Header aliases per field, the first non-blank one wins.
 FIELD_ALIASES = {
@@ -31,30 +31,43 @@ SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]
 # Days back per date preset (0 is today).
 DATE_PRESETS = [0, 1, 7, 30, 90]
 
-# Shape -> format; day first where dots separate, month first where slashes do. The shape is tested
-# first, since a failed parse costs far more than a pattern.
-ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
-TIME_FORMATS = {
-    r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}$": "dd.MM.yyyy HH:mm:ss",
-    r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}$": "dd.MM.yyyy HH:mm",
-    r"^\d{2}\.\d{2}\.\d{4}$": "dd.MM.yyyy",
-    r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$": "MM/dd/yyyy HH:mm:ss",
-    r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy",
+# Shape -> formats; day first where dots separate, month first where slashes do if the month allows it.
+# The shape is tested first, since a failed parse costs far more than a pattern.
+CLOCK_SHAPE, ZONE_SHAPE = r"( \d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?", r" ?(Z|z|UTC|[+-]\d{2}(:?\d{2})?)"
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}" + CLOCK_SHAPE
+DATE_FORMATS = {
+    r"^\d{1,2}\.\d{1,2}\.\d{4}": ["d.M.yyyy"],
+    r"^\d{4}\.\d{1,2}\.\d{1,2}": ["yyyy.M.d"],
+    r"^\d{1,2}/\d{1,2}/\d{4}": ["M/d/yyyy", "d/M/yyyy"],
+    r"^\d{4}/\d{1,2}/\d{1,2}": ["yyyy/M/d"],
 }
 
 
 def parse_price(text: Column) -> Column:
-    """Price text to decimal(12,2); anything unreadable is 0. The sign is lost and two dots give 0."""
+    """Price text to MONEY; unreadable text is 0, a number too large for MONEY is null.
+
+    The sign is lost and two dots give 0.
+    """
     digits = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"[^0-9.]", "")
-    return F.coalesce(digits.try_cast(MONEY), F.lit(0).cast(MONEY))
+    readable = digits.rlike(r"^(\d+\.?\d*|\.\d+)$")
+    return F.when(readable, digits.try_cast(MONEY)).otherwise(F.lit(0).cast(MONEY))
 
 
 def parse_time(text: Column, as_of: Column | None = None) -> Column:
-    """First format that fits; otherwise ``as_of`` (null when not given), never the wall clock."""
-    clean = F.trim(text)
-    parsed = F.when(clean.rlike(ISO_SHAPE), clean.try_cast("timestamp_ntz"))
-    for shape, form in TIME_FORMATS.items():
-        parsed = parsed.when(clean.rlike(shape), F.try_to_timestamp(clean, F.lit(form)).cast("timestamp_ntz"))
+    """First format that fits, in UTC if a zone is given; otherwise ``as_of`` (null when not given), never the wall clock."""
+    clean = F.regexp_replace(F.replace(F.trim(text), F.lit(","), F.lit(".")), r"(?<=\d)T(?=\d)", " ")
+    parsed = F.when(clean.rlike(ISO_SHAPE + "$"), clean.try_cast("timestamp_ntz"))
+    # Spark reads zones as +hh:mm.
+    zoned = F.regexp_replace(F.regexp_replace(clean, r" ?(z|UTC)$", "Z"), r" ?([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    zoned = F.regexp_replace(zoned, r":$", ":00").try_cast("timestamp")
+    parsed = parsed.when(clean.rlike(ISO_SHAPE + ZONE_SHAPE + "$"), F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz"))
+    clock = F.regexp_extract(clean, r" (.*)$", 1)
+    clock = F.when(clock == "", "00:00:00").when(clock.rlike(r"^\d{1,2}:\d{2}$"), F.concat(clock, F.lit(":00"))).otherwise(clock)
+    day = F.regexp_extract(clean, r"^(\S+)", 1)
+    for shape, forms in DATE_FORMATS.items():
+        date = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in forms])
+        whole = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), clock)
+        parsed = parsed.when(clean.rlike(shape + CLOCK_SHAPE + "$"), whole.try_cast("timestamp_ntz"))
     return parsed if as_of is None else F.coalesce(parsed, as_of.cast("timestamp_ntz"))
 
 

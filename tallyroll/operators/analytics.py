@@ -170,10 +170,10 @@ def payment_share(orders: DataFrame) -> DataFrame:
 
 
 def top_locations(orders: DataFrame, locations: DataFrame, limit: int = 5) -> DataFrame:
-    """Best machines with their place; machines are aggregated before the join."""
+    """Best machines with their place, null where it is not known; machines are aggregated before the join."""
     best = machine_totals(orders).select("machine_code", "orders_count", "total_revenue")
     return (
-        best.join(locations, "machine_code")
+        best.join(locations, "machine_code", "left")
         .orderBy(F.desc("total_revenue"), "machine_code")
         .limit(limit)
     )

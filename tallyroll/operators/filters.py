@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHORT_LIST = 1000
-
 
 @dataclass(frozen=True)
-class OrderFilters:
+class OrderCriteria:
     """Every given field must hold; the ones left out do not restrict."""
 
     order_number: str | None = None
@@ -59,7 +58,7 @@ def without_change_type(orders: DataFrame, changes: DataFrame, change_type: str)
     return orders.join(hits, "id", "left_anti")
 
 
-def filter_orders(orders: DataFrame, f: OrderFilters, changes: DataFrame | None = None) -> DataFrame:
+def filter_orders(orders: DataFrame, f: OrderCriteria, changes: DataFrame | None = None) -> DataFrame:
     if f.order_number:
         orders = orders.filter(contains_text(F.col("order_number"), f.order_number))
     for name in ("machine_code", "payment_type", "match_status"):
@@ -78,15 +77,11 @@ def present(column: Column) -> Column:
 
 
 def by_keys(df: DataFrame, key: str, wanted: Iterable[str] | DataFrame) -> DataFrame:
-    """Rows whose key is wanted: a short list becomes IN, a frame of keys a semi join."""
-    if isinstance(wanted, DataFrame):
-        keys = wanted.select(F.col(wanted.columns[0]).alias(key)).filter(present(F.col(key))).distinct()
-        return df.join(keys, key, "left_semi")
-    keys = [k for k in wanted if k is not None and str(k).strip()]
-    if len(keys) <= SHORT_LIST:
-        return df.filter(F.col(key).isin(keys))
-    spark = df.sparkSession
-    return by_keys(df, key, spark.createDataFrame([(k,) for k in keys], df.select(key).schema))
+    """Rows whose key is among the wanted ones, a list or the first column of a frame; blank keys want nothing."""
+    if not isinstance(wanted, DataFrame):
+        wanted = df.sparkSession.createDataFrame([(k,) for k in wanted], df.select(key).schema)
+    keys = wanted.select(F.col(wanted.columns[0]).alias(key)).filter(present(F.col(key)))
+    return df.join(keys.distinct(), key, "left_semi")
 
 
 def is_approved() -> Column:
@@ -114,25 +109,32 @@ def has_prefix(column: Column, pattern: str) -> Column:
     return column.like(pattern)
 
 
+def one_of(column: str, wanted: str | Iterable[str]) -> Column:
+    return F.col(column).isin([wanted] if isinstance(wanted, str) else list(wanted))
+
+
+def between(column: str, low: Column | None, high: Column | None) -> Column:
+    """Both ends inclusive; an end that is not given is open."""
+    ends = [F.col(column) >= low] * (low is not None) + [F.col(column) <= high] * (high is not None)
+    return reduce(Column.__and__, ends, F.lit(True))
+
+
+def row_bound(value: int | None) -> Column | None:
+    return None if value is None else F.lit(value)
+
+
+# Key of a change filter -> predicate of its value.
+CHANGE_PREDICATES: Mapping[str, Callable[..., Column]] = {
+    "change_type": lambda v: one_of("change_type", v),
+    "columns": lambda v: one_of("column_name", v),
+    "row_range": lambda v: between("row_number", row_bound(v.get("min")), row_bound(v.get("max"))),
+    "date_range": lambda v: between("changed_at", instant(v.get("start")), instant(v.get("end"))),
+}
+
+
 def filter_changes(changes: DataFrame, spec: Mapping) -> DataFrame:
-    """Change filter: change_type, row_range, columns and date_range, each optional."""
-
-    def as_list(value) -> list:
-        return [value] if isinstance(value, str) else list(value)
-
-    if "change_type" in spec:
-        changes = changes.filter(F.col("change_type").isin(as_list(spec["change_type"])))
-    if "row_range" in spec:
-        bounds = spec["row_range"]
-        changes = changes.filter(F.col("row_number") >= bounds.get("min", 0))
-        if "max" in bounds:
-            changes = changes.filter(F.col("row_number") <= bounds["max"])
-    if "columns" in spec:
-        changes = changes.filter(F.col("column_name").isin(as_list(spec["columns"])))
-    if "date_range" in spec:
-        period = spec["date_range"]
-        changes = in_period(changes, "changed_at", period.get("start"), period.get("end"))
-    return changes
+    """Changes that meet every predicate the filter names."""
+    return changes.filter(reduce(Column.__and__, [CHANGE_PREDICATES[k](v) for k, v in spec.items()], F.lit(True)))
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyroll.functions import values as V
-from tallyroll.operators.spread import carry_last
+from tallyroll.operators.spread import carry_last, join_dimension
 
 # The fields a change is looked for in.
 COMPARED = ["machine_code", "order_price", "payment_type", "match_status"]
-VERSIONS_PER_BUCKET = 1000
+# The fields a new order's first version starts with.
+BASE_FIELDS = ["order_number", "machine_code", "order_price"]
 
 
 # ---- a delivery to typed rows ------------------------------------------------------------------
@@ -28,18 +29,23 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: str = "row_number")
     )
 
 
-def typed_rows(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Records with a ``cells`` map to typed rows, aliases resolved; ``extra`` columns are kept."""
+def typed_rows(records: DataFrame, extra: Sequence[str] = (), flags: bool = False) -> DataFrame:
+    """Records with a ``cells`` map to typed rows, aliases resolved; ``extra`` columns are kept.
+
+    With ``flags`` a row also says which given values cannot be read: ``price_unfit`` and ``time_unread``.
+    """
     filled = records.withColumn("cells", V.filled_cells(F.col("cells")))
     texts = filled.select(
         "file", "row_number", *extra, *[V.first_cell(F.col("cells"), names).alias(f) for f, names in V.FIELD_ALIASES.items()]
     )
+    price, time = V.parse_price(F.col("order_price")), V.parse_time(F.col("creation_time"))
+    marks = {
+        "price_unfit": F.col("order_price").isNotNull() & price.isNull(),
+        "time_unread": F.col("creation_time").isNotNull() & time.isNull(),
+    }
     return texts.withColumns(
-        {
-            "order_number": F.coalesce("order_number", F.lit("")),
-            "order_price": V.parse_price(F.col("order_price")),
-            "creation_time": V.parse_time(F.col("creation_time")),
-        }
+        {"order_number": F.coalesce("order_number", F.lit("")), "order_price": price, "creation_time": time}
+        | (marks if flags else {})
     )
 
 
@@ -59,6 +65,37 @@ def cell_log(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return texts.unpivot(list(keys), names, "column_name", "new_value").filter(F.col("new_value").isNotNull())
 
 
+def value_pairs(fields: Sequence[str] = COMPARED) -> Column:
+    """Array of (field_name, old_value, new_value, change_type) that builds a new row from nothing."""
+    entries = [
+        F.when(
+            V.as_text(F.col(f)) != "",
+            F.struct(
+                F.lit(f).alias("field_name"), F.lit("").alias("old_value"), V.as_text(F.col(f)).alias("new_value"),
+                F.lit("new").alias("change_type"),
+            ),
+        )
+        for f in fields
+    ]
+    return F.array_compact(F.array(*entries))
+
+
+def in_sequence(states: DataFrame, order: Sequence[str], key: str = "order_number", fields: Sequence[str] = COMPARED) -> DataFrame:
+    """Adds to every delivered state of a key how it differs from the one before: ``first`` and ``changes``.
+
+    The first state of a key has a ``new`` change for every field it sets. A key stands at most once in a
+    file, so a window holds as many rows as there are files.
+    """
+    texts = {f for f in fields if dict(states.dtypes)[f] == "string"}
+    before = F.lag(F.struct(*fields)).over(Window.partitionBy(key).orderBy(*order))
+    beside = states.withColumns({"_o": before, "_n": F.struct(*fields)})
+    return (
+        beside.withColumn("first", F.col("_o").isNull())
+        .withColumn("changes", F.when(F.col("first"), value_pairs(fields)).otherwise(_differences(fields, texts)))
+        .drop("_o", "_n")
+    )
+
+
 # ---- comparing two snapshots -------------------------------------------------------------------
 
 
@@ -241,23 +278,30 @@ def file_outcomes(files: DataFrame, snapshot: DataFrame) -> DataFrame:
 # ---- versions ----------------------------------------------------------------------------------
 
 
-def _last_per_field(changes: DataFrame) -> DataFrame:
-    last = changes.groupBy("order_id", "version", "field_name").agg(
-        F.max(F.struct("changed_at", "new_value")).alias("_w")
-    )
-    return last.select("order_id", "version", "field_name", "_w.new_value", "_w.changed_at")
-
+def versions(changes: DataFrame, orders: DataFrame | None = None, base: Sequence[str] = BASE_FIELDS) -> DataFrame:
+    """One document per order and version: a map of the fields it set, last write per field.
 
-def versions(changes: DataFrame) -> DataFrame:
-    """One document per order and version: a map of the fields it set, last write per field."""
-    return (
-        _last_per_field(changes)
-        .groupBy("order_id", "version")
-        .agg(
-            F.max("changed_at").alias("changed_at"),
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "new_value")))).alias("fields"),
-        )
+    A version with a ``new`` change starts from the order's ``base`` fields, which the other changes of the
+    version overwrite; without ``orders``, or for an order that is not known, it starts empty.
+    """
+    is_new = F.col("change_type") == "new"
+    kept = changes.withColumn("field_name", F.when(~F.coalesce(is_new, F.lit(False)), F.col("field_name")))
+    last = kept.groupBy("order_id", "version", "field_name").agg(
+        F.max(F.struct("changed_at", "new_value")).alias("_w"), F.max("changed_at").alias("changed_at"), F.max(is_new).alias("new")
+    )
+    entry = F.when(F.col("field_name").isNotNull(), F.struct("field_name", "_w.new_value"))
+    documents = last.groupBy("order_id", "version").agg(
+        F.max("changed_at").alias("changed_at"), F.max("new").alias("new"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fields"),
     )
+    if orders is None:
+        return documents.drop("new")
+    pairs = F.create_map(*[x for f in base for x in (F.lit(f), F.col(f).cast("string"))])
+    heads = orders.select(F.col("id").alias("_order"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("_base"))
+    found = join_dimension(documents, heads, "order_id", "_order")
+    start = F.map_filter("_base", lambda k, v: ~F.map_contains_key("fields", k))
+    fields = F.when(F.col("new") & F.col("_base").isNotNull(), F.map_concat(start, "fields")).otherwise(F.col("fields"))
+    return found.select("order_id", "version", "changed_at", fields.alias("fields"))
 
 
 def state_at_versions(changes: DataFrame, fields: Sequence[str] = COMPARED) -> DataFrame:
@@ -268,5 +312,4 @@ def state_at_versions(changes: DataFrame, fields: Sequence[str] = COMPARED) -> D
         return F.max(write)["new_value"].alias(field)
 
     wide = changes.groupBy("order_id", "version").agg(*[last_write(f) for f in fields])
-    bucket = F.floor(F.col("version") / VERSIONS_PER_BUCKET)
-    return carry_last(wide, ["order_id"], bucket, "version", fields)
+    return carry_last(wide, ["order_id"], "version", fields)

@@ -40,10 +40,13 @@ def _is_broken(kind: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([broken(k, d) for k, d in zip(kind, content)], dtype=object)
 
 
-def validate_files(files: DataFrame, name: str, content: str, length: str | None = None) -> DataFrame:
+def validate_files(
+    files: DataFrame, name: str, content: str, length: str | None = None, splittable: Sequence[str] = ()
+) -> DataFrame:
     """Adds file_type, file_size, mime_type, errors and valid.
 
-    ``length`` names a column with the size, for files too large to have been loaded.
+    ``length`` names a column with the size, for files too large to have been loaded; those of a
+    ``splittable`` format are valid.
 
     An unknown extension, excess size or an empty file stops the check of that file. Only JSON, XML
     and ZIP contents go to Python (Spark's own JSON parser overlooks what follows the first value);
@@ -60,7 +63,7 @@ def validate_files(files: DataFrame, name: str, content: str, length: str | None
 
     first = (
         F.when(~ext.isin(list(FORMATS)), F.concat(F.lit("unsupported format: "), ext))
-        .when(F.col("file_size") > MAX_FILE_BYTES, "file too large")
+        .when((F.col("file_size") > MAX_FILE_BYTES) & ~ext.isin(list(splittable)), "file too large")
         .when(F.col("file_size") == 0, "file is empty")
     )
     delimited = ext.isin("csv", "tsv")
@@ -121,7 +124,7 @@ def domain_report(orders: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def conflicts(reconciled: DataFrame, first: str, others: Sequence[str], large: float = 1000.0) -> DataFrame:
-    """Errors of reconciled orders: amounts that differ, missing reports and orphans.
+    """Errors of reconciled orders: amounts that differ, several records, missing reports and orphans.
 
     All rules read the same wide row, so no join is needed.
     """
@@ -147,6 +150,9 @@ def conflicts(reconciled: DataFrame, first: str, others: Sequence[str], large: f
         both = F.to_json(F.struct(main.cast("string").alias(first), amount.cast("string").alias(other)))
         has_other = F.array_contains("source_files", other)
         found.append(F.when(gap > 0.01, entry("amount_mismatch", severity, other, both, "check the amounts")))
+        number = F.col(f"{other}_records")
+        several = F.to_json(F.struct(number.cast("string").alias("records"), amount.cast("string").alias(other)))
+        found.append(F.when(number > 1, entry("duplicate_record", F.lit("medium"), other, several, "check for a double payment")))
         found.append(
             F.when(has_main & ~has_other, entry("missing_record", F.lit("low"), other, F.lit("{}"), "wait for the report"))
         )

@@ -14,14 +14,16 @@ TOLERANCE = 0.01
 def reconcile(sources: Mapping[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
     """One row per order number over all sources, each a frame (order_number, amount, seen_at).
 
-    The sources meet in one shuffle of pre-aggregated rows. The score is the number of sources
-    whose amount agrees with the first source that has one; matched means all of them do.
-    Rows without an order number are left to ``match_by_amount``.
+    The sources meet in one shuffle of pre-aggregated rows. Several rows of one source add up, and their
+    number stays as ``<name>_records``. The score is the number of sources whose amount agrees with the first
+    source that has one; matched means that all sources that know the order agree and more than one does.
+    An order that the first source does not know is temporary. Rows without an order number are left to
+    ``match_by_amount``, whose matches can come back as a source of their own.
     """
     rows = None
     for name, df in sources.items():
         part = df.filter(present(F.col("order_number"))).select(
-            "order_number", F.lit(name).alias("source"), F.col("amount").cast("decimal(12,2)").alias("amount"),
+            "order_number", F.lit(name).alias("source"), F.col("amount").cast("decimal(20,2)").alias("amount"),
             F.col("seen_at"),
         )
         rows = part if rows is None else rows.unionByName(part)
@@ -30,29 +32,43 @@ def reconcile(sources: Mapping[str, DataFrame], tolerance: float = TOLERANCE) ->
         return F.when(F.col("source") == name, F.col(column))
 
     wide = rows.groupBy("order_number").agg(
-        *[F.max(of(n, "amount")).alias(f"{n}_amount") for n in sources],
-        *[F.max(F.when(F.col("source") == n, 1).otherwise(0)).alias(f"_has_{n}") for n in sources],
+        *[F.sum(of(n, "amount")).cast("decimal(20,2)").alias(f"{n}_amount") for n in sources],
+        *[F.count_if(F.col("source") == n).alias(f"{n}_records") for n in sources],
         F.min("seen_at").alias("first_seen"),
+        F.max("seen_at").alias("_last"),
     )
     reference = F.coalesce(*[F.col(f"{n}_amount") for n in sources])
-    found = F.array_compact(F.array(*[F.when(F.col(f"_has_{n}") == 1, F.lit(n)) for n in sources]))
+    found = F.array_compact(F.array(*[F.when(F.col(f"{n}_records") > 0, F.lit(n)) for n in sources]))
     agreeing = sum(
-        F.when(F.abs(F.col(f"{n}_amount") - reference) <= F.lit(tolerance).cast("decimal(12,2)"), 1).otherwise(0)
+        F.when(F.abs(F.col(f"{n}_amount") - reference) <= F.lit(tolerance).cast("decimal(20,2)"), 1).otherwise(0)
         for n in sources
     )
     status = (
-        F.when(F.col("match_score") == len(sources), "matched")
-        .when(F.size("source_files") > 1, "partial")
-        .otherwise("unmatched")
+        F.when(F.size("source_files") < 2, "unmatched")
+        .when(F.col("match_score") == F.size("source_files"), "matched")
+        .otherwise("partial")
     )
+    main = next(iter(sources))
     return (
         wide.withColumn("source_files", found)
         .withColumn("match_score", agreeing.cast("int"))
         .withColumn("match_status", status)
-        .drop(*[f"_has_{n}" for n in sources])
+        .withColumn("is_temporary", F.col(f"{main}_records") == 0)
+        .withColumn("last_matched_at", F.when(F.size("source_files") > 1, F.col("_last")))
+        .drop("_last")
     )
 
 
+def matched_source(orders: DataFrame, payments: DataFrame, numbers: DataFrame, minutes: int = 5) -> DataFrame:
+    """Payments without an order number as a source (order_number, amount, seen_at), by their nearest order.
+
+    ``numbers`` gives (id, order_number) of the orders.
+    """
+    matches = match_by_amount(orders, payments, minutes)
+    found = matches.join(payments.withColumnRenamed("id", "payment_id"), "payment_id")
+    return found.join(numbers, found["order_id"] == numbers["id"]).select("order_number", "amount", "seen_at")
+
+
 def match_by_amount(orders: DataFrame, payments: DataFrame, minutes: int = 5) -> DataFrame:
     """Payments to orders of equal amount within +-``minutes``: (payment_id, order_id, seconds_apart).
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroll.operators.analytics import count_rows, money_sum
-from tallyroll.operators.spread import carried_sums, join_dimension, next_in_group
-
-VERSIONS_PER_PAGE = 1000
+from tallyroll.operators.spread import join_dimension, key_counts, next_in_group, running_sums
 
 
 def pending_users_with_stats(users: DataFrame, orders: DataFrame) -> DataFrame:
@@ -44,43 +42,49 @@ def enrich_orders(orders: DataFrame, users: DataFrame, files: DataFrame) -> Data
     """Orders with their creator's name and their file's name; one creator may own a third of them."""
     people = users.select(F.col("id").alias("_user"), F.col("username").alias("creator_name"))
     sources = files.select(F.col("id").alias("_file"), F.col("original_name").alias("source_file"))
-    named = join_dimension(orders, people, "created_by", "_user")
-    return join_dimension(named, sources, "source_file_id", "_file")
+    counts = key_counts(orders, ["created_by", "source_file_id"])
+    named = join_dimension(orders, people, "created_by", "_user", counts=counts["created_by"])
+    return join_dimension(named, sources, "source_file_id", "_file", counts=counts["source_file_id"])
+
+
+def with_orders(documents: DataFrame, orders: DataFrame) -> DataFrame:
+    """Documents (id, version, ...) with their ``order``; orders without one stand alone.
+
+    An order may own a third of the documents. Documents of unknown orders drop out, whatever their version.
+    """
+    heads = orders.select("id", F.struct(*orders.columns).alias("order"))
+    found = join_dimension(documents, heads, "id", how="inner")
+    alone = heads.join(documents.select("id").distinct(), "id", "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
-def nest_changes(orders: DataFrame, changes: DataFrame, per_page: int = VERSIONS_PER_PAGE) -> DataFrame:
-    """Orders with their changes in time order, as (id, page, order, changes).
+def nest_changes(orders: DataFrame, changes: DataFrame) -> DataFrame:
+    """One document per order and version, (id, version, changes, order), changes in time order.
 
-    An order with a long history gets several pages of ``per_page`` versions, so no task holds
-    one whole history. Orders and changes meet in a single shuffle; the order is on page 0.
+    The form is the same for short and long histories, and changes without a version are one version.
     """
-    heads = orders.select("id", F.lit(0).cast("bigint").alias("page"), F.struct(*orders.columns).alias("order"))
-    page = F.floor(F.col("version") / per_page).cast("bigint")
     entry = F.struct("changed_at", "version", "field_name", "old_value", "new_value", "change_type")
-    items = changes.select(F.col("order_id").alias("id"), page.alias("page"), entry.alias("change"))
-    return (
-        heads.unionByName(items, allowMissingColumns=True)
-        .groupBy("id", "page")
-        .agg(
-            F.first("order", ignorenulls=True).alias("order"),
-            F.array_sort(F.collect_list("change")).alias("changes"),
-        )
-        .filter((F.col("page") > 0) | F.col("order").isNotNull())
+    documents = changes.groupBy(F.col("order_id").alias("id"), "version").agg(
+        F.array_sort(F.collect_list(entry)).alias("changes")
     )
+    return with_orders(documents, orders)
+
 
+def session_files(sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that some given session's user uploaded since it began, latest first.
 
-def session_files(session: DataFrame, files: DataFrame) -> DataFrame:
-    """Files the session's user uploaded since it began, latest first; ``session`` is one row."""
-    one = session.select("created_by", "started_at").limit(1)
-    own = (F.col("uploaded_by") == F.col("created_by")) & (F.col("uploaded_at") >= F.col("started_at"))
-    return files.join(F.broadcast(one), own).drop("created_by", "started_at").orderBy(F.desc("uploaded_at"), "id")
+    A user's sessions come down to the earliest one, so a file is listed once.
+    """
+    since = sessions.groupBy(F.col("created_by").alias("_user")).agg(F.min("started_at").alias("_since"))
+    found = join_dimension(files, since, "uploaded_by", "_user", how="inner")
+    return found.filter(F.col("uploaded_at") >= F.col("_since")).drop("_since").orderBy(F.desc("uploaded_at"), "id")
 
 
 def session_file_totals(sessions: DataFrame, files: DataFrame, size: str) -> DataFrame:
     """For every session the number and size of those files, without forming the pairs.
 
     A session's files are all files of its user less the ones before it, and the latter is a
-    running sum over both kinds of rows in time order, cut into hours.
+    running sum over both kinds of rows in time order. Sessions without user or start have no files.
     """
     uploads = files.select(
         F.col("uploaded_by").alias("user"), F.col("uploaded_at").cast("timestamp_ntz").alias("time"),
@@ -90,21 +94,17 @@ def session_file_totals(sessions: DataFrame, files: DataFrame, size: str) -> Dat
         F.col("created_by").alias("user"), F.col("started_at").cast("timestamp_ntz").alias("time"),
         F.lit(0).alias("kind"), F.col("id"), F.lit(0).cast("bigint").alias("size"),
     )
-    points = uploads.unionByName(starts).filter(F.col("user").isNotNull()).withColumn(
-        "hour", F.date_trunc("hour", F.col("time"))
-    )
-    before = carried_sums(points, ["user"], "hour", {"_n": F.sum("kind"), "_s": F.sum("size")})
+    uploads = uploads.filter(F.col("user").isNotNull() & F.col("time").isNotNull())
+    whole = F.col("user").isNotNull() & F.col("time").isNotNull()
+    points = running_sums(uploads.unionByName(starts.filter(whole)), ["user"], ["time", "kind"], {"_n": "kind", "_s": "size"})
     totals = uploads.groupBy("user").agg(count_rows().alias("_all"), F.sum("size").alias("_all_size"))
-    inside = Window.partitionBy("user", "hour").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = points.join(before, ["user", "hour"]).withColumns(
-        {"_n": F.col("_n") + F.sum("kind").over(inside), "_s": F.col("_s") + F.sum("size").over(inside)}
-    )
-    found = join_dimension(counted.filter(F.col("kind") == 0), totals, "user")
+    found = join_dimension(points.filter(F.col("kind") == 0), totals, "user")
+    none = F.lit(0).cast("bigint")
     return found.select(
         "id",
         (F.coalesce("_all", F.lit(0)) - F.col("_n")).cast("bigint").alias("files"),
-        (F.coalesce("_all_size", F.lit(0)) - F.col("_s")).cast("bigint").alias("bytes"),
-    )
+        (F.coalesce("_all_size", F.lit(0)) - F.coalesce("_s", F.lit(0))).cast("bigint").alias("bytes"),
+    ).union(starts.filter(~whole).select("id", none, none))
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
@@ -148,8 +148,7 @@ def split_batch(incoming: DataFrame, stored: DataFrame, key: str = "order_number
 
 def session_validity(sessions: DataFrame) -> DataFrame:
     """A new session of a user ends the earlier one: adds ``valid_until`` and ``is_latest``."""
-    hour = F.date_trunc("hour", F.col("created_at"))
-    ends = next_in_group(sessions, ["user_id"], hour, ["created_at", "id"], "created_at", "_next")
+    ends = next_in_group(sessions, ["user_id"], ["created_at", "id"], "created_at", "_next")
     return ends.withColumns(
         {
             "valid_until": F.least(F.coalesce("_next", F.col("expires_at")), F.col("expires_at")),

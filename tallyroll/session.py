@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tallyroll", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,13 +38,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only a local session without that setting falls back to the machine's own temporary folder.
+    Only a local session without that setting falls back to the machine's own temporary folder, which goes
+    when the interpreter ends.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyroll-"))
+        own = tempfile.TemporaryDirectory(prefix="tallyroll-", ignore_cleanup_errors=True)
+        context._tallyroll_scratch = own  # kept as long as the context
+        context.setCheckpointDir(own.name)
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    It cuts the lineage, survives lost executors, and every later pass sees the same rows. Joins of stored
+    tables are plain shuffles, whose skewed partitions adaptive execution can split.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroll.functions.values import iso_text, shorten
 from tallyroll.operators import analytics as A
+from tallyroll.operators.relations import with_orders
 
-# Widths of the preview.
+# Widths and rows of the preview, the mark and names of the information rows, change types.
 VALUE_WIDTH = 30
 NAME_WIDTH = 20
 PREVIEW_ROWS = 100
 INFO_MARK = "ORDER_INFO"
+INFO_NAMES = ("order_number", "filename", "total_rows")
+CHANGE_TYPES = ("new", "updated", "filled", "changed")
 
 
 # ---- change exports ----------------------------------------------------------------------------
 
 
 def change_rows(order: DataFrame, changes: DataFrame) -> DataFrame:
-    """Three ORDER_INFO rows of the order on top of its change rows, ``line`` giving the order.
+    """Three ORDER_INFO rows on top of the change rows, which name their order.
 
     ``order`` holds (order_number, filename, total_rows); without changes only the info remains.
     """
@@ -29,7 +32,7 @@ def change_rows(order: DataFrame, changes: DataFrame) -> DataFrame:
             F.array(
                 *[
                     F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("new_value"))
-                    for name in ("order_number", "filename", "total_rows")
+                    for name in INFO_NAMES
                 ]
             )
         ).alias("line", "_e")
@@ -38,8 +41,8 @@ def change_rows(order: DataFrame, changes: DataFrame) -> DataFrame:
         F.lit("info").alias("change_type"),
     )
     rows = changes.select(
-        (F.col("version").cast("bigint") + 2).alias("line"), F.col("version").cast("string").alias("row_number"),
-        F.col("field_name").alias("column_name"), "old_value", "new_value", "change_type",
+        F.lit(len(INFO_NAMES)).cast("bigint").alias("line"), "order_id", "version",
+        F.col("version").cast("string").alias("row_number"), F.col("field_name").alias("column_name"), "old_value", "new_value", "change_type",
         iso_text(F.col("changed_at")).alias("created_at"),
     )
     return info.unionByName(rows, allowMissingColumns=True)
@@ -47,48 +50,35 @@ def change_rows(order: DataFrame, changes: DataFrame) -> DataFrame:
 
 def write_change_csv(order: DataFrame, changes: DataFrame, folder: str) -> None:
     """Change export as CSV in UTF-8, sorted; the byte-order mark is left out."""
-    rows = change_rows(order, changes).orderBy("line", "column_name", "new_value")
+    rows = change_rows(order, changes).orderBy("line", "order_id", "version", "column_name", "new_value")
     rows.select(
-        "row_number", "column_name", "old_value", "new_value", "change_type", "created_at"
+        "order_id", "row_number", "column_name", "old_value", "new_value", "change_type", "created_at"
     ).write.mode("errorifexists").csv(folder, header=True)
 
 
-def change_documents(
-    orders: DataFrame, changes: DataFrame, as_of: Column, per_part: int = 1000
-) -> DataFrame:
-    """{export_info, order, changes, summary} per order, long histories in parts of ``per_part`` versions.
+def change_documents(orders: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """{export_info, order, changes, summary} per order and version, the same form for all histories.
 
-    The summary of a part counts its own changes, so the parts of an order add up.
+    The summary of a document counts its own changes, so the documents of an order add up.
     """
     entry = F.struct(
         F.col("version").alias("row_number"), F.col("field_name").alias("column_name"), "old_value", "new_value",
         "change_type", iso_text(F.col("changed_at")).alias("created_at"),
     )
-    kinds = ("new", "updated", "filled", "changed")
-    items = changes.select(
-        F.col("order_id").alias("id"), F.floor(F.col("version") / per_part).cast("bigint").alias("part"),
-        entry.alias("_entry"), "change_type",
-    )
-    heads = orders.select("id", F.lit(0).cast("bigint").alias("part"), F.struct(*orders.columns).alias("order"))
-    whole = (
-        heads.unionByName(items, allowMissingColumns=True)
-        .groupBy("id", "part")
-        .agg(
-            F.first("order", ignorenulls=True).alias("order"),
-            F.array_sort(F.collect_list("_entry")).alias("changes"),
-            F.count("_entry").alias("total_changes"),
-            *[F.count_if(F.col("change_type") == k).alias(f"_{k}") for k in kinds],
-        )
-        .filter((F.col("part") > 0) | F.col("order").isNotNull())
+    documents = changes.groupBy(F.col("order_id").alias("id"), "version").agg(
+        F.array_sort(F.collect_list(entry)).alias("changes"),
+        A.count_rows().alias("total_changes"),
+        *[F.count_if(F.col("change_type") == k).alias(f"_{k}") for k in CHANGE_TYPES],
     )
+    whole = with_orders(documents, orders).fillna(0, ["total_changes", *[f"_{k}" for k in CHANGE_TYPES]])
     return whole.select(
         F.struct(
-            F.col("id").alias("order_id"), "part", iso_text(as_of).alias("export_date"), F.lit("json").alias("format")
+            F.col("id").alias("order_id"), "version", iso_text(as_of).alias("export_date"), F.lit("json").alias("format")
         ).alias("export_info"),
         "order",
         "changes",
         F.struct(
-            "total_changes", F.struct(*[F.col(f"_{k}").alias(k) for k in kinds]).alias("by_type")
+            "total_changes", F.struct(*[F.col(f"_{k}").alias(k) for k in CHANGE_TYPES]).alias("by_type")
         ).alias("summary"),
     )
 
@@ -146,13 +136,15 @@ def file_history(files: DataFrame) -> DataFrame:
 # ---- appends -----------------------------------------------------------------------------------
 
 
-def append_rows(df: DataFrame, folder: str, as_of: Column, stamps: tuple[str, ...] = ("created_at", "updated_at")) -> None:
-    """Append a batch; missing time stamps get ``as_of``."""
+def append_rows(
+    df: DataFrame, folder: str, as_of: Column, batch: int, stamps: tuple[str, ...] = ("created_at", "updated_at")
+) -> None:
+    """Append a batch under its number; missing time stamps get ``as_of``. A repeated batch replaces itself."""
     present = [c for c in stamps if c in df.columns]
     filled = df.withColumns(
         {c: (F.coalesce(F.col(c), as_of) if c in present else as_of).cast("timestamp_ntz") for c in stamps}
     )
-    filled.write.mode("append").parquet(folder)
+    filled.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
 def _csv(df: DataFrame, folder: str) -> None:
