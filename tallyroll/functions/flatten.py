@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -17,28 +18,78 @@ from pyspark.sql.types import StructType
 
 # Archive members that are read.
 MEMBER_FORMATS = ("csv", "xlsx", "xls", "json", "xml", "txt", "tsv")
+# Fixed value: the largest member that is read as a whole.
+MEMBER_BYTES = 100 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 BATCH_ROWS = 1000
 BATCH_LEAVES = 20_000
 
 
-def json_leaves(node, path: str = "") -> Iterator[tuple[str, object]]:
-    """(dotted path, leaf) in document order; empty containers leave nothing."""
-    if isinstance(node, dict):
-        pairs = node.items()
-    elif isinstance(node, list):
-        pairs = enumerate(node)
-    else:
-        yield path, node
-        return
-    for key, child in pairs:
-        yield from json_leaves(child, f"{path}.{key}" if path else str(key))
+SPACES = re.compile(r"[ \t\n\r]*")
+
+
+def json_leaves(text: str) -> Iterator[tuple[str, object]]:
+    """(dotted path, leaf) in document order, however deep; empty containers leave nothing.
+
+    Containers lie on a stack of their own and only scalars go to the parser. Raises ValueError for text
+    that is not JSON.
+    """
+    scalar = json.JSONDecoder().raw_decode
+    skip = lambda i: SPACES.match(text, i).end()
+    stack: list[tuple[str, str, int]] = []  # container kind, path, members so far
+    at, path, want = skip(0), "", "value"
+    while True:
+        mark = text[at : at + 1]
+        if want == "value" or (want == "first" and mark not in "]}"):
+            if want == "first" and stack[-1][0] == "{":
+                want = "key"
+                continue
+            if stack and stack[-1][0] == "[":
+                kind, above, n = stack[-1]
+                stack[-1] = (kind, above, n + 1)
+                path = f"{above}.{n}" if above else str(n)
+            if mark in ("{", "["):
+                stack.append((mark, path, 0))
+                at, want = skip(at + 1), "first"
+                continue
+            leaf, end = scalar(text, at)
+            yield path, leaf
+            at, want = skip(end), "after"
+        elif want == "key":
+            if mark != '"':
+                raise ValueError("a name is missing")
+            name, end = scalar(text, at)
+            at = skip(end)
+            if text[at : at + 1] != ":":
+                raise ValueError("a colon is missing")
+            above = stack[-1][1]
+            at, path, want = skip(at + 1), f"{above}.{name}" if above else name, "object value"
+        elif want == "object value":
+            if mark in ("{", "["):
+                stack.append((mark, path, 0))
+                at, want = skip(at + 1), "first"
+                continue
+            leaf, end = scalar(text, at)
+            yield path, leaf
+            at, want = skip(end), "after"
+        else:  # the end of a container, or what follows a value
+            if not stack:
+                if at < len(text):
+                    raise ValueError("text after the end")
+                return
+            if mark == ("}" if stack[-1][0] == "{" else "]"):
+                stack.pop()
+                at, want = skip(at + 1), "after"
+            elif mark == "," and want == "after":
+                at, want = skip(at + 1), "key" if stack[-1][0] == "{" else "value"
+            else:
+                raise ValueError("a comma or an end is missing")
 
 
 def json_rows(text: str) -> Iterator[tuple]:
     """(pos, path, value) per leaf that is not null; text that is not JSON gives none."""
     try:
-        leaves = dict(json_leaves(json.loads(text)))
+        leaves = dict(json_leaves(text))
     except (TypeError, ValueError, RecursionError):
         return
     for pos, (path, leaf) in enumerate(leaves.items()):
@@ -66,7 +117,7 @@ def xml_rows(text: str) -> Iterator[tuple]:
         stack.extend((child, path) for child in reversed(node))
 
 
-@udtf(returnType="pos int, path string, value string")
+@udtf(returnType="pos int, path string, value string", useArrow=True)
 class FlattenJson:
     """JSON leaves for SQL: ``FROM t, LATERAL flatten_json(t.text)``."""
 
@@ -74,7 +125,7 @@ class FlattenJson:
         yield from json_rows(text)
 
 
-@udtf(returnType="pos int, path string, value string, attributes map<string,string>")
+@udtf(returnType="pos int, path string, value string, attributes map<string,string>", useArrow=True)
 class FlattenXml:
     """XML texts and attributes for SQL."""
 
@@ -134,8 +185,9 @@ def flatten_xml(df: DataFrame, text: str) -> DataFrame:
 def expand_archives(archives: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """One row (archive, member, format, bytes) per readable member.
 
-    A member that cannot be read is a row with ``error``; a broken archive is one row without a
-    member. Members leave in batches of a few MB, so a task never holds a whole expanded archive.
+    A member that is not read (another format, damaged, beyond MEMBER_BYTES) is a row with ``error``; a broken
+    archive is one row without a member. Members leave in batches of a few MB, so a task never holds a whole
+    expanded archive, however small its file is.
     """
     columns = ["archive", "member", "format", "bytes", "error"]
 
@@ -161,7 +213,13 @@ def expand_archives(archives: DataFrame, name: str = "path", content: str = "con
         with opened:
             for info in opened.infolist():
                 kind = info.filename.rsplit(".", 1)[-1].lower()
-                if info.is_dir() or kind not in MEMBER_FORMATS:
+                if info.is_dir():
+                    continue
+                if kind not in MEMBER_FORMATS:
+                    yield archive, info.filename, kind, None, f"unsupported format: {kind}"
+                    continue
+                if info.file_size > MEMBER_BYTES:
+                    yield archive, info.filename, kind, None, "member too large"
                     continue
                 try:
                     yield archive, info.filename, kind, opened.read(info), None

@@ -1,20 +1,23 @@
 """Delivered files to rows.
 
-Files are at most 100 MB each (larger ones fail validation), so one file is a bounded unit of
-work: it is read whole, decoded and split inside the JVM, and its row numbers need no shuffle.
+A file of at most MAX_FILE_BYTES is a bounded unit of work: it is read whole, decoded and split inside the
+JVM, and its row numbers need no shuffle. Larger delimited and text files are scanned in splits, line by
+line, and numbered afterwards; larger files of other formats and unsupported ones give one row that says why.
 Every reader takes a frame (file, content) and gives the long cell log
-(file, row_number, column_name, new_value).
+(file, row_number, column_name, new_value); the column ``error`` of row 0 holds what could not be read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroll.functions import flatten
 from tallyroll.functions.values import content_hash, normalise_headers
+from tallyroll.operators.spread import row_numbers
+from tallyroll.session import stored
 
 # Supported formats and their mime types.
 FORMATS = {
@@ -31,7 +34,9 @@ FORMATS = {
     "txt": "text/plain",
     "tsv": "text/tab-separated-values",
 }
+# Fixed value: the largest file that is read as a whole.
 MAX_FILE_BYTES = 100 * 1024 * 1024
+ERROR = "error"
 # Cell texts that count as missing, as pandas has them.
 MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -78,12 +83,34 @@ def detect_format(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def binary_files(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
-    """(file, content) of files within the size limit; the limit is pushed to the file listing."""
+def listed(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
+    """Files below a folder as Spark lists them, of one extension in any case if ``ext`` is given."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if ext:
-        reader = reader.option("pathGlobFilter", "*.{" + f"{ext},{ext.upper()}" + "}")
-    return reader.load(path).filter(F.col("length") <= MAX_FILE_BYTES).select(F.col("path").alias("file"), "content")
+        reader = reader.option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext))
+    return reader.load(path)
+
+
+def binary_files(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
+    """(file, content) of files within the size limit; the limit is pushed to the file listing."""
+    files = listed(spark, path, ext).filter(F.col("length") <= MAX_FILE_BYTES)
+    return files.select(F.col("path").alias("file"), "content")
+
+
+def large_files(spark: SparkSession, path: str, ext: str) -> list[str]:
+    """Paths beyond the size limit; the file listing itself is a list on the driver already."""
+    return [r["path"] for r in listed(spark, path, ext).filter(F.col("length") > MAX_FILE_BYTES).select("path").collect()]
+
+
+def refused_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_number, column_name, new_value) with the reason for every file no reader takes."""
+    ext = extension(F.col("path"))
+    whole = [k for k in READERS if k not in SPLIT]
+    reason = F.when(~ext.isin(list(READERS)), F.concat(F.lit("no reader for format: "), ext)).when(
+        ext.isin(whole) & (F.col("length") > MAX_FILE_BYTES), "file too large"
+    )
+    files = listed(spark, path).select(F.col("path").alias("file"), reason.alias("reason")).filter("reason is not null")
+    return _long(files, F.lit(0), F.lit(ERROR), F.col("reason"))
 
 
 def catalogue(files: DataFrame, name: str, content: str, storage: str = "uploads") -> DataFrame:
@@ -125,46 +152,74 @@ def _header_names(fields: Column, lower: bool) -> Column:
         clean = F.lower(F.trim(name)) if lower else name
         return F.when(F.trim(name) == "", F.concat(F.lit("unnamed: "), i.cast("string"))).otherwise(clean)
 
-    names = F.transform(fields, named)
+    def unique(given: Column, name: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(1), F.size(given) + 1), lambda k: F.concat(name, F.lit("."), k.cast("string")))
+        free = F.filter(more, lambda m: ~F.array_contains(given, m))
+        return F.concat(given, F.array(F.when(F.array_contains(given, name), F.get(free, F.lit(0))).otherwise(name)))
 
-    def unique(name: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
-        return F.when(before > 0, F.concat(name, F.lit("."), before.cast("string"))).otherwise(name)
+    return F.aggregate(F.transform(fields, named), F.array().cast("array<string>"), unique)
 
-    return F.transform(names, unique)
+
+# A quote opens a field only at its start; what follows the closing quote up to the separator belongs to it.
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _mark(sep: str) -> str:
+    return "\\t" if sep == "\t" else sep
+
+
+def _record_pattern(sep: str) -> str:
+    """A record: fields, where a quoted one may span lines and one whose quote stays open ends with its line."""
+    mark = _mark(sep)
+    field = f"(?:{QUOTED}[^{mark}\\r\\n]*+|[^{mark}\\r\\n]*+)"
+    return f"(?=[^\\r\\n]){field}(?:{mark}{field})*+"
 
 
 def _fields(record: Column, sep: str) -> Column:
-    """Fields of a record; only records that hold a quote take the slow way."""
-    mark = "\\t" if sep == "\t" else sep
-    parts = F.regexp_extract_all(
-        F.concat(F.lit(sep), record), F.lit(f'{mark}((?:[^"{mark}]++|"[^"]*+")*+)'), F.lit(1)
-    )
-    unquoted = F.transform(
-        parts,
-        lambda p: F.when(
-            p.startswith('"'), F.replace(F.substr(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(p),
-    )
-    return F.when(record.contains('"'), unquoted).otherwise(F.split(record, mark, -1))
+    """Raw fields of a record; only records that hold a quote take the slow way."""
+    mark = _mark(sep)
+    parts = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(f"{mark}({QUOTED}[^{mark}]*+|[^{mark}]*+)"), F.lit(1))
+    return F.when(record.contains('"'), parts).otherwise(F.split(record, mark, -1))
+
+
+def _unquoted(fields: Column) -> Column:
+    """Texts of raw fields."""
+
+    def text(p: Column) -> Column:
+        inner = F.regexp_extract(p, f"(?s)^({QUOTED})", 1)
+        body = F.replace(F.substr(inner, F.lit(2), F.length(inner) - 2), F.lit('""'), F.lit('"'))
+        return F.when(inner != "", F.concat(body, F.substr(p, F.length(inner) + 1))).otherwise(p)
+
+    return F.when(F.exists(fields, lambda p: p.startswith('"')), F.transform(fields, text)).otherwise(fields)
+
+
+def _unclosed(fields: Column) -> Column:
+    """Whether some field opens a quote and does not close it."""
+    return F.exists(fields, lambda p: p.startswith('"') & ~p.rlike(f"(?s)^{QUOTED}"))
 
 
 def delimited_records(files: DataFrame, sep: str = ",", lower_headers: bool = False) -> DataFrame:
-    """(file, encoding, row_number, cells, surplus): one row per record, cells by header name.
+    """(file, encoding, row_number, cells, surplus, unclosed): one row per record, cells by header name.
 
-    Quoted fields may hold separators, quotes and line breaks. Missing trailing fields are blank;
-    ``surplus`` counts the fields beyond the header, for the caller to quarantine.
+    Quoted fields may hold separators, quotes and line breaks; a quote inside a field is plain text. Missing
+    trailing fields are blank; ``surplus`` counts the fields beyond the header and ``unclosed`` marks a quote
+    that never closes, for the caller to quarantine.
     """
-    records = F.regexp_extract_all(F.col("text"), F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), F.lit(0))
+    records = F.regexp_extract_all(F.col("text"), F.lit(_record_pattern(sep)), F.lit(0))
     # Outer, as the optimiser would otherwise test the whole text for being empty a second time.
     split = (
         decode_text(files)
         .select("file", "encoding", records.alias("_records"))
-        .withColumn("_names", _header_names(_fields(F.col("_records")[0], sep), lower_headers))
+        .withColumn("_names", _header_names(_unquoted(_fields(F.get("_records", F.lit(0)), sep)), lower_headers))
         .select("file", "encoding", "_names", F.posexplode_outer("_records").alias("row_number", "_record"))
         .filter(F.col("row_number") > 0)
-        .withColumn("_values", _fields(F.col("_record"), sep))
     )
+    return _by_name(split, sep)
+
+
+def _by_name(records: DataFrame, sep: str) -> DataFrame:
+    """Records (file, encoding, _names, row_number, _record) to cells."""
+    split = records.withColumn("_raw", _fields(F.col("_record"), sep)).withColumn("_values", _unquoted(F.col("_raw")))
     width = F.size("_names")
     # No lambda over the values: it would parse the record again for every field.
     padded = F.slice(F.concat(F.col("_values"), F.array_repeat(F.lit(""), width)), F.lit(1), width)
@@ -174,6 +229,33 @@ def delimited_records(files: DataFrame, sep: str = ",", lower_headers: bool = Fa
         F.col("row_number").cast("bigint").alias("row_number"),
         F.map_from_arrays("_names", padded).alias("cells"),
         F.greatest(F.size("_values") - width, F.lit(0)).alias("surplus"),
+        _unclosed(F.col("_raw")).alias("unclosed"),
+    )
+
+
+def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, row_number, encoding, text) of every line, blank ones too; files of any size in splits."""
+    raw = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("content"),
+    )
+    # Written once, as the numbering reads the lines several times.
+    lines = row_numbers(stored(raw, "lines"), ["file"], ["_block", "_at"])
+    return decode_text(lines).select("file", "row_number", "encoding", "text")
+
+
+def split_records(spark: SparkSession, paths: Sequence[str], sep: str = ",", lower_headers: bool = False) -> DataFrame:
+    """What ``delimited_records`` gives, for files too large to read whole.
+
+    Every line is a record: a quoted line break shows as an unclosed quote. Row numbers count lines.
+    """
+    lines = stored(numbered_lines(spark, paths), "lines")
+    names = lines.filter(F.col("row_number") == 1).select(
+        F.col("file").alias("_file"), _header_names(_unquoted(_fields(F.col("text"), sep)), lower_headers).alias("_names")
+    )
+    body = lines.filter((F.col("row_number") > 1) & (F.col("text") != "")).join(names, F.col("file") == F.col("_file"))
+    return _by_name(
+        body.select("file", "encoding", "_names", (F.col("row_number") - 1).alias("row_number"), F.col("text").alias("_record")), sep
     )
 
 
@@ -188,18 +270,32 @@ def record_cells(records: DataFrame) -> DataFrame:
 def csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """All-string scan of any size, split across tasks; headers normalised, blanks kept as ''.
 
-    Spark reads no cp1251, so those bytes come in as latin-1 and are mapped per column.
+    Files are read in groups of equal header and put together by name, so their columns may stand in any
+    order. Only groups with a line break inside quotes are read file by file. Spark reads no cp1251, so
+    those bytes come in as latin-1 and are mapped per column.
     """
     cyrillic = encoding.lower() in ("cp1251", "windows-1251")
-    df = spark.read.csv(
-        path, header=True, inferSchema=False, sep=sep, encoding="ISO-8859-1" if cyrillic else encoding
+    table = str.maketrans(_LATIN, _CYRILLIC)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
+        "value",
     )
-    if cyrillic:
-        table = str.maketrans(_LATIN, _CYRILLIC)
-        df = df.select(
-            *[F.translate(F.col(f"`{c}`"), _LATIN, _CYRILLIC).alias(c.translate(table)) for c in df.columns]
+    open_quote = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.max(open_quote).alias("broken"))
+    groups: dict[tuple, list[str]] = {}
+    for r in heads.collect():  # one row per file, as the driver's file listing has
+        groups.setdefault((r["head"], r["broken"]), []).append(r["file"])
+    parts = []
+    for (_, broken), files in sorted(groups.items()):
+        df = spark.read.csv(
+            files, header=True, inferSchema=False, sep=sep, quote='"', escape='"', multiLine=broken,
+            encoding="ISO-8859-1" if cyrillic else encoding,
         )
-    return normalise_headers(df).fillna("")
+        if cyrillic:
+            df = df.select(*[F.translate(F.col(f"`{c}`"), _LATIN, _CYRILLIC).alias(c.translate(table)) for c in df.columns])
+        parts.append(normalise_headers(df).fillna(""))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).fillna("")
 
 
 # ---- plain text, JSON, XML, archives -----------------------------------------------------------
@@ -269,35 +365,56 @@ def xml_cells(files: DataFrame) -> DataFrame:
 
 
 def zip_cells(files: DataFrame) -> DataFrame:
-    """Cells of all readable members, the file named ``archive/member``."""
-    members = flatten.expand_archives(files, "file").filter(F.col("error").isNull())
-    return reduce(
-        DataFrame.union,
-        [
-            READERS[kind](
-                members.filter(F.col("format") == kind).select(
-                    F.concat_ws("/", "archive", "member").alias("file"), F.col("bytes").alias("content")
-                )
-            )
-            for kind in ("csv", "tsv", "txt", "json", "xml")
-        ],
+    """Cells of all readable members, the file named ``archive/member``; the others are error rows.
+
+    The archives are expanded once and the members written, each format then reads its own.
+    """
+    members = stored(flatten.expand_archives(files, "file"), "members").withColumn("file", F.concat_ws("/", "archive", "member"))
+    unread = F.when(F.col("error").isNotNull(), F.col("error")).when(
+        ~F.col("format").isin(list(MEMBER_READERS)), F.concat(F.lit("no reader for format: "), "format")
     )
+    good = members.filter(unread.isNull())
+    parts = [
+        reader(good.filter(F.col("format") == kind).select("file", F.col("bytes").alias("content")))
+        for kind, reader in MEMBER_READERS.items()
+    ]
+    errors = members.filter(unread.isNotNull()).select("file", unread.alias("reason"))
+    return reduce(DataFrame.union, [*parts, _long(errors, F.lit(0), F.lit(ERROR), F.col("reason"))])
+
+
+def csv_split(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return record_cells(split_records(spark, paths))
+
+
+def tsv_split(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return record_cells(split_records(spark, paths, sep="\t"))
+
+
+def txt_split(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    lines = numbered_lines(spark, paths).withColumn("line", strip(F.col("text"))).filter(F.col("line") != "")
+    return _long(lines, F.col("row_number"), F.lit("text_line"), F.col("line"))
 
 
 # Format -> reader; add an entry to support another format.
-READERS: Mapping[str, Callable[[DataFrame], DataFrame]] = {
+MEMBER_READERS: Mapping[str, Callable[[DataFrame], DataFrame]] = {
     "csv": csv_cells,
     "tsv": tsv_cells,
     "txt": txt_cells,
     "json": json_cells,
     "xml": xml_cells,
-    "zip": zip_cells,
 }
+READERS = {**MEMBER_READERS, "zip": zip_cells}
+# Format -> reader of files that are too large to be read as a whole.
+SPLIT: Mapping[str, Callable[[SparkSession, Sequence[str]], DataFrame]] = {"csv": csv_split, "tsv": tsv_split, "txt": txt_split}
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The cell log of a folder; every file is read once, by the reader of its format."""
-    return reduce(DataFrame.union, [reader(binary_files(spark, path, kind)) for kind, reader in READERS.items()])
+    """The cell log of a folder; every file goes to the reader of its format or is a row with the reason."""
+    parts = [reader(binary_files(spark, path, kind)) for kind, reader in READERS.items()]
+    for kind, reader in SPLIT.items():
+        if paths := large_files(spark, path, kind):
+            parts.append(reader(spark, paths))
+    return reduce(DataFrame.union, [*parts, refused_files(spark, path)])
 
 
 def union_sheets(sheets: Mapping[str, DataFrame]) -> DataFrame:
