@@ -11,7 +11,9 @@ APP_LINE = (
 ACCESS_LINE = (
     r'^(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}) - - \[([^\]]+)\] "(\w+) (\S+) HTTP/([\d.]+)" (\d+) (\d+).*$'
 )
+# Names of the services and of the gateway's component.
 SERVICE = "backend"
+GATEWAY, GATEWAY_COMPONENT = "gateway", "api-gateway"
 # Message pattern -> component. Several may match one line.
 COMPONENT_RULES = {
     "telegram-bot": r"Telegram",
@@ -75,6 +77,7 @@ def gateway_fields(message: Column) -> Column:
             F.try_variant_get(doc, "$.response.status", "int").alias("status"),
             F.try_variant_get(doc, "$.latencies.request", "double").alias("latency_ms"),
             F.try_variant_get(doc, "$.correlation_id", "string").alias("correlation_id"),
+            F.timestamp_millis(F.try_variant_get(doc, "$.started_at", "bigint")).alias("time"),
         ),
     )
 
@@ -98,27 +101,41 @@ def tags(level: Column, duration: Column) -> Column:
 
 
 def enrich(lines: DataFrame, line: str = "line", environment: str = "production", version: str = "1.0.0") -> DataFrame:
-    """Parse, tag and annotate application log lines; works on batches and streams."""
+    """Parse, tag and annotate log lines of the application, of web access and of the gateway, mixed as they come.
+
+    Works on batches and streams; a line of no known form keeps its text and has no time.
+    """
     parsed = lines.withColumn("_f", app_fields(F.col(line)))
     message = F.coalesce(F.col("_f.message"), F.col(line))
+    parsed = parsed.withColumn("_a", access_fields(message)).withColumn(
+        "_g", F.when(F.ltrim(F.col(line)).startswith("{"), gateway_fields(F.col(line)))
+    )
+    gateway = F.col("_g").isNotNull()
+    own = F.when(gateway, F.array(F.lit(GATEWAY_COMPONENT))).otherwise(F.array().cast("array<string>"))
     return (
         parsed.withColumns(
             {
-                "time": F.col("_f.time"),
+                "time": F.coalesce("_f.time", "_a.time", "_g.time"),
                 "level": F.col("_f.level"),
                 "logger": F.col("_f.logger"),
                 "message": message,
-                "components": components(message),
+                "client_ip": F.coalesce("_a.client_ip", "_g.client_ip"),
+                "method": F.coalesce("_a.method", "_g.method"),
+                "request": F.coalesce("_a.request", "_g.uri"),
+                "response_code": F.coalesce("_a.response_code", "_g.status"),
+                "latency_ms": F.col("_g.latency_ms"),
+                "trace_id": F.col("_g.correlation_id"),
+                "components": F.concat(own, components(message)),
                 "duration": duration_of(message),
+                "service": F.when(gateway, GATEWAY).otherwise(SERVICE),
             }
         )
         .withColumns(
             {
                 "tags": tags(F.col("level"), F.col("duration")),
-                "service": F.lit(SERVICE),
                 "environment": F.lit(environment),
                 "version": F.lit(version),
             }
         )
-        .drop("_f")
+        .drop("_f", "_a", "_g")
     )

@@ -1,49 +1,57 @@
-"""Incremental ingest of arriving order files with status, change log and run log.
+"""Incremental ingest of arriving files of all formats, with status steps, change log and run log.
 
-The order table is a list of append-only deltas, one per micro-batch, holding only inserted and
-updated rows; the current state is the latest row per order number. A batch therefore writes work
-in proportion to itself, and a repeated batch overwrites its own folders.
+The order table is a list of append-only deltas, one per micro-batch, holding only inserted and updated rows,
+bucketed by order number; the current state is the latest row per order number. A batch therefore reads and
+writes work in proportion to itself, and a repeated batch overwrites its own folders. Files count in the
+order in which they arrived, so the cut into batches does not change orders, log or totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tallyroll.functions import values as V
 from tallyroll.operators import history as H, quality as Q
 from tallyroll.operators.analytics import count_rows
+from tallyroll.session import stored
 from tallyroll.sources import files as S
 
 ORDER_SCHEMA = (
-    "order_number string, machine_code string, order_price decimal(12,2), payment_type string, "
-    "creation_time timestamp_ntz, match_status string, file string, batch bigint"
+    "order_number string, machine_code string, order_price decimal(20,2), payment_type string, "
+    "creation_time timestamp_ntz, match_status string, file string, arrived timestamp, batch bigint, bucket int"
 )
 CHANGE_SCHEMA = (
     "order_number string, field_name string, old_value string, new_value string, change_type string, "
-    "changed_at timestamp_ntz, changed_by bigint, batch bigint"
+    "changed_at timestamp_ntz, changed_by bigint, file string, arrived timestamp, batch bigint"
 )
 STATUS_SCHEMA = (
-    "file string, status string, errors array<string>, total_rows bigint, new_rows bigint, updated_rows bigint, batch bigint"
+    "file string, status string, errors array<string>, total_rows bigint, new_rows bigint, updated_rows bigint, "
+    "rejected_rows bigint, batch bigint"
 )
 REJECT_SCHEMA = (
-    "file string, row_number bigint, surplus int, order_number string, machine_code string, order_price decimal(12,2), "
+    "file string, row_number bigint, order_number string, machine_code string, order_price decimal(20,2), "
     "payment_type string, creation_time timestamp_ntz, failed_checks array<string>, batch bigint"
 )
-KINDS = {"orders": ORDER_SCHEMA, "changes": CHANGE_SCHEMA, "files": STATUS_SCHEMA, "rejects": REJECT_SCHEMA}
+STEP_SCHEMA = "file string, step int, status string, at timestamp_ntz, batch bigint"
+KINDS = {"orders": ORDER_SCHEMA, "changes": CHANGE_SCHEMA, "files": STATUS_SCHEMA, "rejects": REJECT_SCHEMA, "steps": STEP_SCHEMA}
+BUCKETS = 16
 
 
 def arriving_files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """Stream of (file, length, content) of CSV files; too large ones come without their content."""
+    """Stream of (file, arrived, length, content) of all files; too large ones come without their content."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
 
     def files() -> DataFrame:
-        reader = spark.readStream.format("binaryFile").schema(schema)
-        reader = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+        reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
         if per_trigger:
             reader = reader.option("maxFilesPerTrigger", per_trigger)
-        return reader.load(path)
+        found = reader.load(path).filter(~F.col("path").rlike("/[_.][^/]*$"))
+        return found.withColumnsRenamed({"path": "file", "modificationTime": "arrived"})
 
-    small = files().filter(F.col("length") <= S.MAX_FILE_BYTES).select(F.col("path").alias("file"), "length", "content")
-    large = files().filter(F.col("length") > S.MAX_FILE_BYTES).select(F.col("path").alias("file"), "length")
+    small = files().filter(F.col("length") <= S.MAX_FILE_BYTES).select("file", "arrived", "length", "content")
+    large = files().filter(F.col("length") > S.MAX_FILE_BYTES).select("file", "arrived", "length")
     return small.unionByName(large, allowMissingColumns=True)
 
 
@@ -51,78 +59,116 @@ def read_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.schema(KINDS[kind]).parquet(f"{folder}/{kind}")
 
 
+def bucket_of() -> Column:
+    return F.pmod(F.hash("order_number"), F.lit(BUCKETS))
+
+
 def current_orders(
     spark: SparkSession, folder: str, before: int | None = None, keys: DataFrame | None = None
 ) -> DataFrame:
     """Latest row per order number, optionally of earlier batches or of some order numbers only.
 
-    Wanted keys cut the deltas down before they are grouped, so a small batch does not shuffle the
-    whole history.
+    Wanted keys name the buckets that are read at all, and cut the deltas down before they are grouped.
     """
     deltas = read_kind(spark, folder, "orders")
     if before is not None:
         deltas = deltas.filter(F.col("batch") < before)
     if keys is not None:
-        deltas = deltas.join(keys.select("order_number"), "order_number", "left_semi")
-    rest = [c for c in deltas.columns if c != "order_number"]
+        touched = [r[0] for r in keys.select(bucket_of()).distinct().collect()]  # at most BUCKETS numbers
+        deltas = deltas.filter(F.col("bucket").isin(touched)).join(keys.select("order_number"), "order_number", "left_semi")
+    rest = [c for c in deltas.columns if c not in ("order_number", "bucket")]
     return deltas.groupBy("order_number").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("order_number", "_r.*")
 
 
+def records_of(spark: SparkSession, good: DataFrame) -> DataFrame:
+    """(file, row_number, cells, surplus, unclosed) of all formats.
+
+    Delimited files give their records. Of the others only cells whose name is an order field come into the
+    records; a JSON file is one row.
+    """
+    kind = S.extension(F.col("file"))
+    columns = ["file", "row_number", "cells", "surplus", "unclosed"]
+    large = [r["file"] for r in good.filter(F.col("content").isNull()).select("file").collect()]  # files of one trigger
+    parts = []
+    for ext, sep in (("csv", ","), ("tsv", "\t")):
+        small = good.filter((kind == ext) & F.col("content").isNotNull()).select("file", "content")
+        parts.append(S.delimited_records(small, sep, lower_headers=True).select(columns))
+        if paths := [p for p in large if p.lower().endswith(f".{ext}")]:
+            parts.append(S.split_records(spark, paths, sep, lower_headers=True).select(columns))
+    names = [a for aliases in V.FIELD_ALIASES.values() for a in aliases]
+    for ext in ("txt", "json", "xml", "zip"):
+        small = good.filter((kind == ext) & F.col("content").isNotNull()).select("file", "content")
+        cells = S.READERS[ext](small).filter(F.col("column_name") != S.ERROR)
+        name = F.lower(F.trim("column_name"))
+        found = [F.min(F.when(name == n, F.col("new_value"))) for n in names]
+        entries = F.create_map(*[x for n, v in zip(names, found) for x in (F.lit(n), v)])
+        rows = cells.groupBy("file", "row_number").agg(F.map_filter(entries, lambda k, v: v.isNotNull()).alias("cells"))
+        parts.append(rows.select("file", "row_number", "cells", F.lit(0).alias("surplus"), F.lit(False).alias("unclosed")))
+    return reduce(DataFrame.union, parts)
+
+
+def checks() -> dict[str, Column]:
+    """What a row must meet to become an order."""
+    return {
+        "field_count": F.col("surplus") == 0,
+        "closed_quotes": ~F.col("unclosed"),
+        "price_fits": ~F.col("price_unfit"),
+        "time_readable": ~F.col("time_unread"),
+    }
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, author: int) -> None:
-    """One micro-batch: validate, parse, clean, compare with the known orders, write the delta.
+    """One micro-batch: validate, parse once, clean, compare in order of arrival, write what is new.
 
-    Bad files and rows with more fields than the header are recorded and skipped; the run goes on.
+    Bad files and rows are recorded with their reasons; the run goes on.
     """
     spark = batch.sparkSession
     now = F.lit(as_of).cast("timestamp_ntz")
 
-    def write(df: DataFrame, kind: str) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/{kind}/batch={batch_id}")
-
-    checked = Q.validate_files(batch, "file", "content", "length")
-    good = checked.filter(F.col("valid")).select("file", "content")
-    rows = H.typed_rows(S.delimited_records(good, lower_headers=True), ["surplus"])
-    fitting, misfits = Q.quarantine(rows, {"field_count": F.col("surplus") == 0})
-    typed = H.clean_orders(fitting.drop("surplus"), now)
-    # One order may stand in several files of a batch.
-    incoming = latest_per_order(typed).persist()
-    if batch_id > 0:
-        stored = current_orders(spark, folder, batch_id, incoming)
-    else:
-        stored = spark.createDataFrame([], ORDER_SCHEMA)
-    columns = ["order_number", *H.COMPARED, "creation_time", "file"]
-    known = stored.select(columns)
-    compared = H.compare(known, incoming.select(columns)).persist()
-    snapshot = H.resolve(compared)
-    try:
-        write(snapshot.filter(F.col("action").isin("inserted", "updated")).drop("action"), "orders")
-        write(H.change_log(H.differences(compared), now, F.lit(author).cast("bigint")), "changes")
-        write(misfits, "rejects")
-        totals = incoming.groupBy("file").agg(count_rows().alias("total_rows"))
-        outcomes = snapshot.groupBy("file").agg(
-            F.count_if(F.col("action") == "inserted").alias("new_rows"),
-            F.count_if(F.col("action") == "updated").alias("updated_rows"),
-        )
-        status = (
-            checked.select("file", F.when(F.col("valid"), "completed").otherwise("failed").alias("status"), "errors")
-            .join(totals, "file", "left")
-            .join(outcomes, "file", "left")
-            .fillna(0, ["total_rows", "new_rows", "updated_rows"])
-        )
-        write(status, "files")
-    finally:
-        compared.unpersist()
-        incoming.unpersist()
-
-
-def latest_per_order(typed: DataFrame) -> DataFrame:
-    """One row per order number; the row of the last file by name counts."""
-    rest = [c for c in typed.columns if c != "order_number"]
-    return (
-        typed.groupBy("order_number")
-        .agg(F.max_by(F.struct(*rest), F.struct("file", "row_number")).alias("_r"))
-        .select("order_number", "_r.*")
+    def write(df: DataFrame, kind: str, part: str = "") -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/{kind}/batch={batch_id}{part}")
+
+    def step(df: DataFrame, number: int, status: Column) -> DataFrame:
+        return df.select("file", F.lit(number).alias("step"), status.alias("status"), now.alias("at"))
+
+    started = batch.select("file")
+    write(step(started, 0, F.lit("pending")).union(step(started, 1, F.lit("processing"))), "steps", "/part=0")
+    checked = Q.validate_files(batch, "file", "content", "length", splittable=list(S.SPLIT))
+    states = stored(checked.select("file", "arrived", "valid", "errors"), "arrived")
+    rows = H.typed_rows(records_of(spark, checked.filter("valid")), ["surplus", "unclosed"], flags=True)
+    # A member of an archive arrived with its archive.
+    source = F.regexp_extract("file", r"(?i)^(.*?\.zip)/", 1)
+    rows = stored(rows.withColumn("source", F.when(source != "", source).otherwise(F.col("file"))), "rows")
+    fitting, misfits = Q.quarantine(rows, checks())
+    fields = ["order_number", *H.COMPARED, "creation_time", "file", "arrived"]
+    arrivals = states.select(F.col("file").alias("source"), "arrived")
+    # Rows without any order field, as of plain texts, are counted but give no order.
+    orders = fitting.filter(F.greatest(*[F.col(c).isNotNull() for c in ("machine_code", "payment_type", "creation_time")]) | (F.col("order_number") != "") | (F.col("order_price") > 0))
+    clean = H.clean_orders(orders.select("file", "row_number", "source", "order_number", "machine_code", "order_price", "payment_type", "creation_time"), now)
+    incoming = stored(clean.join(arrivals, "source").select(fields), "incoming")
+    known = current_orders(spark, folder, batch_id, incoming).select(fields) if batch_id > 0 else spark.createDataFrame([], ORDER_SCHEMA).select(fields)
+    both = known.withColumn("known", F.lit(True)).union(incoming.withColumn("known", F.lit(False)))
+    compared = stored(H.in_sequence(both, [F.desc("known"), "arrived", "file"]).filter(~F.col("known")), "compared")
+    effective = compared.filter(F.col("first") | (F.size("changes") > 0))
+    rest = [c for c in fields if c != "order_number"]
+    last = effective.groupBy("order_number").agg(F.max_by(F.struct(*rest), F.struct("arrived", "file")).alias("_r"))
+    delta = last.select("order_number", "_r.*").withColumn("bucket", bucket_of())
+    delta.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/orders/batch={batch_id}")
+    log = effective.select("order_number", F.inline("changes"), "file", "arrived")
+    write(H.change_log(log, now, F.lit(author).cast("bigint")).select(*[c.split()[0] for c in CHANGE_SCHEMA.split(", ")][:-1]), "changes")
+    write(misfits.drop("surplus", "unclosed", "price_unfit", "time_unread", "source"), "rejects")
+    totals = rows.groupBy(F.col("source").alias("file")).agg(count_rows().alias("total_rows"))
+    bad = misfits.groupBy(F.col("source").alias("file")).agg(count_rows().alias("rejected_rows"))
+    outcome = F.regexp_extract("file", r"(?i)^(.*?\.zip)/", 1)
+    outcomes = compared.groupBy(F.when(outcome != "", outcome).otherwise(F.col("file")).alias("file")).agg(
+        F.count_if("first").alias("new_rows"), F.count_if(~F.col("first") & (F.size("changes") > 0)).alias("updated_rows")
     )
+    status = F.when(F.col("valid"), "completed").otherwise("failed")
+    found = states.select("file", status.alias("status"), "errors")
+    for other in (totals, outcomes, bad):
+        found = found.join(other, "file", "left")
+    write(found.fillna(0, ["total_rows", "new_rows", "updated_rows", "rejected_rows"]), "files")
+    write(step(states, 2, status), "steps", "/part=1")
 
 
 def run_log(spark: SparkSession, folder: str) -> DataFrame:

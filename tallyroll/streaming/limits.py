@@ -1,74 +1,110 @@
 """Keyed state: anchored request limits, brute-force blocking and re-delivered files.
 
-Rows are combined to one per key and second before they are shuffled, so the state function of a
-busy client sees at most one row per second and task batch. Seconds are the resolution of the logs.
+Requests are first counted per client and second, with a partial count before the shuffle, and leave that
+query (``per_second``, written to a folder) when the watermark has passed their second. The limits read that
+folder as a stream. So the state function of a client sees one row per second however many requests there
+are, and sees the seconds in order however they arrived. Seconds are the resolution of the logs. Requests
+without a client count as those of the client ``unknown``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyroll.operators.analytics import count_rows
 
-def combine(stream: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    """Sum ``counts`` per keys inside every Arrow batch; a stateless step, no shuffle."""
-    names, totals = list(keys), list(counts)
-    selected = stream.select(*names, *totals)
+UNKNOWN = "unknown"
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.groupby(names, as_index=False, sort=False)[totals].sum()
 
-    return selected.mapInPandas(add, selected.schema)
+def per_second(requests: DataFrame, counts: Mapping[str, Column], delay: str) -> DataFrame:
+    """(client, time, second, counts...), one row per client and second, when no earlier one can come.
 
+    What a batch gives for a client lies in one file, so readers see a client's seconds in order.
+    """
+    timed = requests.withColumn("time", F.col("seen_at").cast("timestamp")).withWatermark("time", delay)
+    client = F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN)).alias("client")
+    return (
+        timed.groupBy(F.window("time", "1 second"), client)
+        .agg(*[c.alias(n) for n, c in counts.items()])
+        .select("client", F.window_time("window").alias("time"), F.unix_seconds("window.start").alias("second"), *counts)
+        .repartition("client")
+    )
+
+
+def stepped(
+    seconds: DataFrame,
+    counts: list[str],
+    step: Callable[[tuple | None, tuple], tuple[tuple | None, tuple]],
+    output: str,
+    state: str,
+    end: Callable[[tuple], int],
+) -> DataFrame:
+    """Run ``step(state, row) -> (state, result)`` over each client's seconds in order.
+
+    ``end(state)`` is the last second at which the state still matters; after it the state goes.
+    """
+    names = [part.split()[0] for part in output.split(", ")]
+
+    def decide(key, batches: Iterator[pd.DataFrame], held: GroupState):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now = held.get if held.exists else None
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("second")
+        out = []
+        for row in rows[["second", *counts]].itertuples(index=False, name=None):
+            now, result = step(now, tuple(int(x) for x in row))
+            out.append((key[0], row[0], *result))
+        if now is not None:
+            held.update(now)
+            held.setTimeoutTimestamp(max((end(now) + 1) * 1000, held.getCurrentWatermarkMs() + 1))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    timed = seconds.withWatermark("time", "0 seconds")
+    return timed.groupBy("client").applyInPandasWithState(
+        decide, output, state, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def request_seconds(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    return per_second(requests, {"n": count_rows()}, delay)
 
-def _per_second(batches: Iterator[pd.DataFrame], counts: Sequence[str]) -> list[tuple]:
-    """(second, counts...) in time order; partial counts of one second add up."""
-    totals: dict[int, list[int]] = {}
-    for batch in batches:
-        for row in batch[["second", *counts]].itertuples(index=False):
-            known = totals.setdefault(int(row[0]), [0] * len(counts))
-            for i, n in enumerate(row[1:]):
-                known[i] += int(n)
-    return [(second, *totals[second]) for second in sorted(totals)]
 
+def login_seconds(logins: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    return per_second(logins, {"wrong": F.count_if(~F.col("success")), "right": F.count_if("success")}, delay)
 
-def anchored_limit(requests: DataFrame, most: int = 100, seconds: int = 3600) -> DataFrame:
+
+def anchored_limit(counted: DataFrame, most: int = 100, seconds: int = 3600) -> DataFrame:
     """At most ``most`` requests per client in a window that starts with its first request.
 
     Refused requests do not count; the first request strictly later than the window's length opens
     a new one. Gives (client, second, window_start, passed, refused).
     """
 
-    def decide(key, batches, state: GroupState):
-        start, used = state.get if state.exists else (None, 0)
-        out = []
-        for second, n in _per_second(batches, ["n"]):
-            if start is None or second - start > seconds:
-                start, used = second, 0
-            passed = min(n, most - used)
-            used += passed
-            out.append((key[0], second, start, passed, n - passed))
-        if start is not None:
-            state.update((start, used))
-        yield pd.DataFrame(out, columns=["client", "second", "window_start", "passed", "refused"])
-
-    rows = requests.select(
-        "client", F.unix_seconds(F.col("seen_at").cast("timestamp")).alias("second"), F.lit(1).cast("bigint").alias("n")
-    )
-    return combine(rows, ["client", "second"], ["n"]).groupBy("client").applyInPandasWithState(
-        decide,
-        "client bigint, second bigint, window_start bigint, passed bigint, refused bigint",
+    def step(state, row):
+        (second, n), (start, used) = row, state or (None, 0)
+        if start is None or second - start > seconds:
+            start, used = second, 0
+        passed = min(n, most - used)
+        return (start, used + passed), (start, passed, n - passed)
+
+    return stepped(
+        counted,
+        ["n"],
+        step,
+        "client string, second bigint, window_start bigint, passed bigint, refused bigint",
         "start bigint, used bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+        lambda state: state[0] + seconds,
     )
 
 
-def brute_force(logins: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
+def brute_force(counted: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
     """Block a client after ``most`` failures within the window of the first one.
 
     A success clears the count, and so does an attempt after the window. Blocked attempts change
@@ -76,55 +112,47 @@ def brute_force(logins: DataFrame, most: int = 5, seconds: int = 900) -> DataFra
     (client, second, failed, succeeded, blocked).
     """
 
-    def decide(key, batches, state: GroupState):
-        first, failures = state.get if state.exists else (None, 0)
-        out = []
-        for second, wrong, right in _per_second(batches, ["wrong", "right"]):
-            if first is not None and second - first > seconds:
-                first, failures = None, 0
-            failed = min(wrong, most - failures)
-            if failed and first is None:
-                first = second
-            failures += failed
-            free = failures < most
-            succeeded = right if free else 0
-            if succeeded:
-                first, failures = None, 0
-            out.append((key[0], second, failed, succeeded, wrong - failed + right - succeeded))
-        if first is not None:
-            state.update((first, failures))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["client", "second", "failed", "succeeded", "blocked"])
-
-    rows = logins.select(
-        "client",
-        F.unix_seconds(F.col("seen_at").cast("timestamp")).alias("second"),
-        (~F.col("success")).cast("bigint").alias("wrong"),
-        F.col("success").cast("bigint").alias("right"),
-    )
-    return combine(rows, ["client", "second"], ["wrong", "right"]).groupBy("client").applyInPandasWithState(
-        decide,
-        "client bigint, second bigint, failed bigint, succeeded bigint, blocked bigint",
+    def step(state, row):
+        (second, wrong, right), (first, failures) = row, state or (None, 0)
+        if first is not None and second - first > seconds:
+            first, failures = None, 0
+        failed = min(wrong, most - failures)
+        if failed and first is None:
+            first = second
+        failures += failed
+        succeeded = right if failures < most else 0
+        if succeeded:
+            first = None
+        result = (failed, succeeded, wrong - failed + right - succeeded)
+        return None if first is None else (first, failures), result
+
+    return stepped(
+        counted,
+        ["wrong", "right"],
+        step,
+        "client string, second bigint, failed bigint, succeeded bigint, blocked bigint",
         "first bigint, failures bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+        lambda state: state[0] + seconds,
     )
 
 
-def first_deliveries(files: DataFrame, delay: str = "7 days") -> DataFrame:
-    """One row per content hash; re-deliveries within the delay are dropped.
+FIRST_SCHEMA = "content_hash string, id bigint, time timestamp, batch bigint"
 
-    Copies inside a task batch fall away before the shuffle, and only hash, id and time travel.
-    """
-    slim = files.select("content_hash", "id", F.col("uploaded_at").cast("timestamp").alias("time"))
 
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.sort_values(["time", "id"]).drop_duplicates("content_hash")
+def first_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """The first delivery of every content so far."""
+    return spark.read.schema(FIRST_SCHEMA).parquet(f"{folder}/first")
 
-    return (
-        slim.mapInPandas(drop, slim.schema)
-        .withWatermark("time", delay)
-        .dropDuplicatesWithinWatermark(["content_hash"])
-    )
+
+def keep_first_deliveries(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """Files whose content has never come before, whenever that was; copies in the batch count once.
+
+    The hashes of all earlier batches are kept, so nothing is forgotten and nothing is late.
+    """
+    slim = batch.select("content_hash", "id", F.col("uploaded_at").cast("timestamp").alias("time"))
+    first = slim.groupBy("content_hash").agg(F.min(F.struct("time", "id")).alias("_f"))
+    first = first.select("content_hash", "_f.id", "_f.time")
+    if batch_id > 0:
+        known = first_deliveries(batch.sparkSession, folder).filter(F.col("batch") < batch_id)
+        first = first.join(known.select("content_hash"), "content_hash", "left_anti")
+    first.write.mode("overwrite").parquet(f"{folder}/first/batch={batch_id}")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyroll.functions.logs import enrich
 from tallyroll.operators.analytics import count_rows
+from tallyroll.session import stored
+from tallyroll.streaming.runs import BYTES_PER_TRIGGER
 
 # A service may get this many requests of a client per calendar window.
 SERVICE_LIMITS = {"minute": 100, "hour": 1000}
@@ -16,16 +18,18 @@ GLOBAL_LIMITS = {"minute": 1000, "hour": 10000, "day": 50000}
 ERROR_SHARE = 0.05
 SLOW_MS = 1000.0
 ROUTES = {"logs": None, "errors": "error", "performance": "performance"}
+FILES_PER_DAY = 4
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
     """Lines of arriving text files as column ``line``."""
-    return spark.readStream.text(path).withColumnRenamed("value", "line")
+    reader = spark.readStream.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+    return reader.text(path).withColumnRenamed("value", "line")
 
 
 def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of arriving JSON-lines files."""
-    return spark.readStream.schema(schema).json(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).json(path)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -35,15 +39,14 @@ def parsed(lines: DataFrame) -> DataFrame:
 def route(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Every record to the daily log; errors and performance records to their own places as well.
 
-    The batch is parsed once, and a repeated batch overwrites its own folders.
+    The batch is parsed once, a day goes to a few files, and a repeated batch overwrites its own folders.
     """
-    rows = batch.withColumn("day", F.coalesce(F.date_format("time", "yyyy.MM.dd"), F.lit("unknown"))).persist()
-    try:
-        for name, tag in ROUTES.items():
-            part = rows if tag is None else rows.filter(F.array_contains("tags", tag))
-            part.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}/batch={batch_id}")
-    finally:
-        rows.unpersist()
+    day = F.coalesce(F.date_format("time", "yyyy.MM.dd"), F.lit("unknown"))
+    spread = F.pmod(F.xxhash64("message"), F.lit(FILES_PER_DAY))
+    rows = stored(batch.withColumn("day", day).repartition("day", spread), "routed")
+    for name, tag in ROUTES.items():
+        part = rows if tag is None else rows.filter(F.array_contains("tags", tag))
+        part.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}/batch={batch_id}")
 
 
 def timed(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -95,17 +98,17 @@ def alerts(
     )
 
 
-def over_limits(requests: DataFrame, limits: Mapping[str, int], by: str = "client") -> DataFrame:
-    """Calendar windows in which a client exceeds the limit of that window size."""
+def over_limits(requests: DataFrame, limits: Mapping[str, int] = GLOBAL_LIMITS, by: Sequence[str] = ("client",)) -> DataFrame:
+    """Calendar windows in which a client, or a client of a service, exceeds the limit of that window size."""
     out = None
     for unit, limit in limits.items():
         part = (
             timed(requests)
-            .groupBy(F.window("time", f"1 {unit}"), by)
+            .groupBy(F.window("time", f"1 {unit}"), *by)
             .agg(count_rows().alias("requests"))
             .filter(F.col("requests") > limit)
             .select(
-                F.lit(unit).alias("unit"), F.col("window.start").alias("window_start"), by, "requests",
+                F.lit(unit).alias("unit"), F.col("window.start").alias("window_start"), *by, "requests",
                 (F.col("requests") - limit).alias("excess"),
             )
         )
@@ -113,33 +116,32 @@ def over_limits(requests: DataFrame, limits: Mapping[str, int], by: str = "clien
     return out
 
 
-def minute_matches(purchases: DataFrame, clicks: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
-    """Purchases with the same user's earlier clicks within an interval, as a stream-stream join.
+def service_limits(requests: DataFrame, limits: Mapping[str, int] = SERVICE_LIMITS) -> DataFrame:
+    """The same per service and client; the service is the path's part after the version."""
+    service = F.regexp_extract("endpoint", r"^/api/v\d+/([^/?]+)", 1)
+    return over_limits(requests.withColumn("service", service), limits, ["service", "client"])
 
-    Both sides are first counted per user and minute, so the join sees one row per user and
-    minute however many events a user has, and a purchase minute meets at most ``minutes`` rows.
+
+def interval_matches(purchases: DataFrame, clicks: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
+    """Purchases with the same user's clicks at most ``minutes`` before them, to the instant, as a stream-stream join.
+
+    The watermarks bound the state: a side's rows go when no row of the other side can reach them.
     """
 
-    def per_minute(events: DataFrame, name: str) -> DataFrame:
-        return (
-            events.withColumn("time", F.col("ts").cast("timestamp"))
-            .withWatermark("time", delay)
-            .groupBy(F.window("time", "1 minute"), "user_id")
-            .agg(count_rows().alias(name))
-            .select(
-                F.window_time("window").alias(f"{name}_time"), F.col("window.start").alias(f"{name}_minute"),
-                F.col("user_id").alias(f"{name}_user"), name,
-            )
+    def side(events: DataFrame, name: str) -> DataFrame:
+        timed = events.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", delay)
+        return timed.select(
+            F.col("time").alias(f"{name}_time"), F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id")
         )
 
-    bought, clicked = per_minute(purchases, "purchases"), per_minute(clicks, "clicks")
-    inside: Column = (
-        (F.col("purchases_user") == F.col("clicks_user"))
-        & (F.col("clicks_time") <= F.col("purchases_time"))
-        & (F.col("clicks_time") >= F.col("purchases_time") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    bought, clicked = side(purchases, "purchase"), side(clicks, "click")
+    inside = (
+        (F.col("purchase_user") == F.col("click_user"))
+        & (F.col("click_time") <= F.col("purchase_time"))
+        & (F.col("click_time") >= F.col("purchase_time") - F.expr(f"INTERVAL {minutes} MINUTES"))
     )
     return bought.join(clicked, inside).select(
-        F.col("purchases_user").alias("user_id"), "purchases_minute", "purchases", "clicks_minute", "clicks"
+        F.col("purchase_user").alias("user_id"), "purchase_id", "purchase_time", "click_id", "click_time"
     )
 
 

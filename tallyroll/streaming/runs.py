@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tallyroll.tables import BASE_TABLES, Tables
 
+# How much one micro-batch reads, so that a backlog is worked off in pieces.
+BYTES_PER_TRIGGER = str(10 * 1024**3)
+FAR = "9000-01-01 00:00:00"
+
 
 class StreamTables(Tables):
     """The same logical tables with every base table read as a stream."""
@@ -15,11 +19,29 @@ class StreamTables(Tables):
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES and name not in self._made:
             schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+            reader = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
             # The bracket makes it a pattern, which takes a single file as well as a folder.
-            self._made[name] = self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
+            self._made[name] = reader.parquet(f"{self.folder}/{name}.parque[t]")
         return super().__getattr__(name)
 
 
+def with_clock(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and a second one of clock ticks from ``folder``: rows that hold a time and nothing else.
+
+    A tick moves the watermark on while no data come. Its own windows lie after it and stay open.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/clock")
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/clock"))
+
+
+def tick(stream: DataFrame, time: str, folder: str) -> None:
+    """A tick after all data: every window and session that is still open ends."""
+    spark, kinds = stream.sparkSession, dict(stream.dtypes)
+    row = [F.lit(FAR if c == time else None).cast(kinds[c]).alias(c) for c in stream.columns]
+    spark.range(1).select(*row).write.mode("append").parquet(f"{folder}/clock")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,18 +53,28 @@ def prepare_state(stream: DataFrame) -> None:
     conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
 
 
-def to_parquet(stream: DataFrame, folder: str) -> DataFrame:
-    """Process what is there, exactly once, and give the written result as a batch frame."""
+def to_parquet(stream: DataFrame, folder: str, then: Callable[[], None] | None = None) -> DataFrame:
+    """Process what is there, exactly once, and give the written result as a batch frame.
+
+    ``then`` may make more arrive, such as a clock tick, which the same query processes next.
+    """
     prepare_state(stream)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        (
+            stream.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+
+    run()
+    if then:
+        then()
+        run()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
