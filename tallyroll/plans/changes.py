@@ -164,13 +164,20 @@ LAST_SQL = """SELECT order_id, version, field_name, last(new_value ORDER BY chan
 
 @query(
     "win_3_versions",
-    f"""SELECT order_id, version, cast(max(changed_at) AS string) AS changed_at,
-        string_agg(field_name || '=' || new_value, ',' ORDER BY field_name) AS fields
-    FROM ({LAST_SQL}) GROUP BY 1, 2""",
+    """WITH v AS (SELECT order_id, version, max(changed_at) AS changed_at, bool_or(change_type = 'new') AS fresh FROM {order_changes} GROUP BY 1, 2),
+    s AS (SELECT order_id, version, field_name, last(new_value ORDER BY changed_at, new_value) AS new_value FROM {order_changes}
+        WHERE change_type <> 'new' GROUP BY 1, 2, 3),
+    b AS (SELECT v.order_id, v.version, f AS field_name, CASE f WHEN 'order_number' THEN order_number WHEN 'machine_code' THEN machine_code
+            ELSE cast(order_price AS string) END AS new_value
+        FROM v JOIN {sales_orders} o ON o.id = v.order_id, (SELECT unnest(['order_number', 'machine_code', 'order_price']) AS f) WHERE fresh),
+    u AS (SELECT * FROM s UNION ALL SELECT * FROM b WHERE new_value IS NOT NULL AND (order_id, version, field_name) NOT IN (SELECT order_id, version, field_name FROM s))
+    SELECT v.order_id, v.version, cast(changed_at AS string) AS changed_at,
+        coalesce(string_agg(field_name || '=' || new_value, ',' ORDER BY field_name), '') AS fields
+    FROM v LEFT JOIN u ON u.order_id = v.order_id AND u.version = v.version GROUP BY 1, 2, 3""",
 )
 def win_3(t):
-    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return H.versions(t.order_changes).withColumn("fields", pairs)
+    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return H.versions(t.order_changes, t.sales_orders).withColumn("fields", pairs)
 
 
 @query(
@@ -187,7 +194,7 @@ def win_4(t):
 
 # ---- exports: written, then read back ----------------------------------------------------------
 
-CHANGE_ROWS_SQL = """SELECT cast(version AS string) AS row_number, field_name AS column_name, old_value, new_value, change_type,
+CHANGE_ROWS_SQL = """SELECT order_id, cast(version AS string) AS row_number, field_name AS column_name, old_value, new_value, change_type,
         strftime(changed_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM {order_changes}"""
 
 
@@ -195,10 +202,10 @@ CHANGE_ROWS_SQL = """SELECT cast(version AS string) AS row_number, field_name AS
     "snk_1_change_csv",
     f"""WITH n AS (SELECT count(*) AS n FROM {{order_changes}}),
     i AS (SELECT unnest(['order_number', 'filename', 'total_rows']) AS k)
-    SELECT 'ORDER_INFO' AS row_number, k AS column_name, NULL AS old_value,
+    SELECT cast(NULL AS bigint) AS order_id, 'ORDER_INFO' AS row_number, k AS column_name, NULL AS old_value,
         CASE k WHEN 'order_number' THEN 'ALL' WHEN 'filename' THEN 'changes.csv' ELSE cast(n AS string) END AS new_value,
         'info' AS change_type, NULL AS created_at FROM n, i
-    UNION ALL SELECT row_number, column_name, nullif(old_value, ''), new_value, change_type, created_at FROM ({CHANGE_ROWS_SQL})""",
+    UNION ALL SELECT order_id, row_number, column_name, nullif(old_value, ''), new_value, change_type, created_at FROM ({CHANGE_ROWS_SQL})""",
 )
 def snk_1(t):
     folder = scratch_dir(t.spark, "change-csv")
@@ -206,30 +213,30 @@ def snk_1(t):
         F.lit("ALL").alias("order_number"), F.lit("changes.csv").alias("filename"), "total_rows"
     )
     X.write_change_csv(head, t.order_changes, folder)
-    schema = "row_number string, column_name string, old_value string, new_value string, change_type string, created_at string"
+    schema = "order_id bigint, row_number string, column_name string, old_value string, new_value string, change_type string, created_at string"
     return t.spark.read.schema(schema).csv(folder, header=True)
 
 
 @query(
     "snk_2_change_json",
-    """SELECT o.id AS order_id, o.order_number, count(c.order_id) AS total_changes,
+    """SELECT o.id AS order_id, o.order_number, c.version, count(c.order_id) AS total_changes,
         count(*) FILTER (c.change_type = 'filled') AS filled,
         coalesce(string_agg(c.version || '/' || c.field_name || '/' || c.new_value, ';'
             ORDER BY c.version, c.field_name, c.old_value, c.new_value, c.change_type, c.changed_at), '') AS changes
-    FROM {sales_orders} o LEFT JOIN {order_changes} c ON c.order_id = o.id GROUP BY 1, 2""",
+    FROM {sales_orders} o LEFT JOIN {order_changes} c ON c.order_id = o.id GROUP BY 1, 2, 3""",
 )
 def snk_2(t):
     folder = scratch_dir(t.spark, "change-json")
     X.write_change_json(t.sales_orders.select("id", "order_number"), t.order_changes, now(), folder)
     schema = (
-        "export_info struct<order_id:bigint>, order struct<order_number:string>, "
+        "export_info struct<order_id:bigint,version:bigint>, order struct<order_number:string>, "
         "changes array<struct<row_number:bigint,column_name:string,new_value:string>>, "
         "summary struct<total_changes:bigint,by_type:struct<filled:bigint>>"
     )
     entry = lambda c: F.concat_ws("/", c["row_number"].cast("string"), c["column_name"], c["new_value"])
     return t.spark.read.schema(schema).json(folder).select(
-        "export_info.order_id", "order.order_number", "summary.total_changes", "summary.by_type.filled",
-        F.array_join(F.transform("changes", entry), ";").alias("changes"),
+        "export_info.order_id", "order.order_number", "export_info.version", "summary.total_changes", "summary.by_type.filled",
+        F.coalesce(F.array_join(F.transform("changes", entry), ";"), F.lit("")).alias("changes"),
     )
 
 
@@ -276,9 +283,10 @@ def snk_4(t):
 )
 def snk_5(t):
     folder = scratch_dir(t.spark, "append")
-    X.append_rows(t.stored_orders.select("order_number", F.col("creation_time").alias("updated_at")), folder, now())
-    X.append_rows(t.incoming_orders.select("order_number"), folder, now())
-    return t.spark.read.schema("order_number string, created_at timestamp_ntz, updated_at timestamp_ntz").parquet(folder)
+    X.append_rows(t.stored_orders.select("order_number", F.col("creation_time").alias("updated_at")), folder, now(), 0)
+    X.append_rows(t.incoming_orders.select("order_number"), folder, now(), 1)
+    schema = "order_number string, created_at timestamp_ntz, updated_at timestamp_ntz, batch int"
+    return t.spark.read.schema(schema).parquet(folder).drop("batch")
 
 
 @query(

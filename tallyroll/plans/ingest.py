@@ -217,7 +217,8 @@ def agg_10(t):
         FROM ({LINES_SQL}) WHERE line <> ''
     UNION ALL SELECT id || '.zip/rows.csv', r, 'order_number', CASE r WHEN 1 THEN 'A' ELSE 'B' END || id
         FROM {{file_entries}}, (SELECT unnest([1, 2]) AS r)
-    UNION ALL SELECT id || '.zip/rows.csv', r, 'price', cast(r AS string) FROM {{file_entries}}, (SELECT unnest([1, 2]) AS r)""",
+    UNION ALL SELECT id || '.zip/rows.csv', r, 'price', cast(r AS string) FROM {{file_entries}}, (SELECT unnest([1, 2]) AS r)
+    UNION ALL SELECT id || '.zip/tool.exe', 0, 'error', 'unsupported format: exe' FROM {{file_entries}}""",
 )
 def udf_3(t):
     return S.zip_cells(archives(t))

@@ -72,21 +72,21 @@ def join_5(t):
 
 @query(
     "join_6_nest_changes",
-    """SELECT o.id, o.order_number, count(c.order_id) AS changes,
+    """SELECT o.id, o.order_number, c.version, count(c.order_id) AS changes,
        coalesce(string_agg(cast(c.changed_at AS string) || '/' || c.version || '/' || c.field_name || '/' || c.old_value
                   || '/' || c.new_value || '/' || c.change_type, ';' ORDER BY c.changed_at, c.version, c.field_name,
                   c.old_value, c.new_value, c.change_type), '') AS history
-    FROM {sales_orders} o LEFT JOIN {order_changes} c ON c.order_id = o.id GROUP BY 1, 2""",
+    FROM {sales_orders} o LEFT JOIN {order_changes} c ON c.order_id = o.id GROUP BY 1, 2, 3""",
 )
 def join_6(t):
-    pages = J.nest_changes(t.sales_orders.select("id", "order_number"), t.order_changes)
+    documents = J.nest_changes(t.sales_orders.select("id", "order_number"), t.order_changes)
     entry = lambda c: F.concat_ws(
         "/", F.date_format(c["changed_at"], "yyyy-MM-dd HH:mm:ss"), c["version"].cast("string"), c["field_name"],
         c["old_value"], c["new_value"], c["change_type"],
     )
-    return pages.select(
-        "id", "order.order_number", F.size("changes").cast("bigint").alias("changes"),
-        F.array_join(F.transform("changes", entry), ";").alias("history"),
+    return documents.select(
+        "id", "order.order_number", "version", F.coalesce(F.size("changes"), F.lit(0)).cast("bigint").alias("changes"),
+        F.coalesce(F.array_join(F.transform("changes", entry), ";"), F.lit("")).alias("history"),
     )
 
 
@@ -158,66 +158,100 @@ def join_10(t):
 # ---- reconciliation ----------------------------------------------------------------------------
 
 
+SOURCES = ("hardware", "sales", "payme", "fiscal", "click", "uzum")
+
+
 def reconciled(t):
+    """Sources with an order number, and those that get one by amount and time."""
     hardware = t.sales_orders.select("order_number", F.col("order_price").alias("amount"), F.col("creation_time").alias("seen_at"))
-    return R.reconcile({"hardware": hardware, "sales": t.sales_reports, "payme": t.payme_payments})
+    numbers = t.sales_orders.select("id", "order_number")
+
+    def matched(payments):
+        return R.matched_source(t.timed_orders, payments.select("id", "amount", "seen_at"), numbers)
+
+    return R.reconcile(
+        {
+            "hardware": hardware,
+            "sales": t.sales_reports,
+            "payme": t.payme_payments,
+            "fiscal": matched(t.fiscal_receipts),
+            "click": matched(t.loose_payments.filter("provider = 'click'")),
+            "uzum": matched(t.loose_payments.filter("provider = 'uzum'")),
+        }
+    )
+
+
+def _match_sql(payments):
+    return f"""WITH o AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {{timed_orders}}),
+    p AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {payments}),
+    c AS (SELECT p.id AS payment_id, o.id AS order_id, abs(o.s - p.s) AS apart
+          FROM p JOIN o ON o.amount = p.amount AND o.s BETWEEN p.s - 300 AND p.s + 300),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY apart, order_id) = 1)
+    SELECT payment_id, order_id, apart AS seconds_apart FROM b
+    QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY apart, payment_id) = 1"""
+
 
+def _loose_source(name, payments):
+    return f"""SELECT n.order_number, '{name}', p.amount, p.seen_at FROM ({_match_sql(payments)}) m
+        JOIN {payments} p ON p.id = m.payment_id JOIN {{sales_orders}} n ON n.id = m.order_id"""
 
-RECONCILED_SQL = """SELECT order_number, hardware_amount, sales_amount, payme_amount, cast(first_seen AS string) AS first_seen,
-        array_to_string(list_filter([CASE WHEN h THEN 'hardware' END, CASE WHEN s THEN 'sales' END,
-                                     CASE WHEN p THEN 'payme' END], lambda x: x IS NOT NULL), ',') AS source_files,
+
+RECONCILED_SQL = f"""SELECT order_number, {", ".join(f"{n}_amount, {n}_records" for n in SOURCES)}, first_seen,
+        array_to_string(list_filter([{", ".join(f"CASE WHEN {n}_records > 0 THEN '{n}' END" for n in SOURCES)}],
+            lambda x: x IS NOT NULL), ',') AS source_files,
         cast(score AS bigint) AS match_score,
-        CASE WHEN score = 3 THEN 'matched' WHEN h::int + s::int + p::int > 1 THEN 'partial' ELSE 'unmatched' END AS match_status
-    FROM (SELECT *, coalesce((abs(hardware_amount - ref) <= 0.01)::int, 0) + coalesce((abs(sales_amount - ref) <= 0.01)::int, 0)
-                 + coalesce((abs(payme_amount - ref) <= 0.01)::int, 0) AS score
-          FROM (SELECT coalesce(a.order_number, b.order_number, c.order_number) AS order_number,
-                   a.order_price AS hardware_amount, b.amount AS sales_amount, c.amount AS payme_amount,
-                   coalesce(a.order_price, b.amount, c.amount) AS ref,
-                   a.order_number IS NOT NULL AS h, b.order_number IS NOT NULL AS s, c.order_number IS NOT NULL AS p,
-                   least(a.creation_time, b.seen_at, c.seen_at) AS first_seen
-                FROM {sales_orders} a FULL JOIN {sales_reports} b ON a.order_number = b.order_number
-                FULL JOIN (SELECT * FROM {payme_payments} WHERE trim(order_number) <> '') c
-                  ON coalesce(a.order_number, b.order_number) = c.order_number))"""
+        CASE WHEN known < 2 THEN 'unmatched' WHEN score = known THEN 'matched' ELSE 'partial' END AS match_status,
+        hardware_records = 0 AS is_temporary, CASE WHEN known > 1 THEN last_seen END AS last_matched_at
+    FROM (SELECT *, {" + ".join(f"({n}_records > 0)::int" for n in SOURCES)} AS known,
+            {" + ".join(f"coalesce((abs({n}_amount - ref) <= 0.01)::int, 0)" for n in SOURCES)} AS score
+        FROM (SELECT *, coalesce({", ".join(f"{n}_amount" for n in SOURCES)}) AS ref
+            FROM (SELECT order_number, min(seen_at) AS first_seen, max(seen_at) AS last_seen,
+                    {", ".join(f"cast(sum(amount) FILTER (source = '{n}') AS decimal(20,2)) AS {n}_amount, count(*) FILTER (source = '{n}') AS {n}_records" for n in SOURCES)}
+                FROM (SELECT order_number, 'hardware' AS source, order_price AS amount, creation_time AS seen_at FROM {{sales_orders}}
+                    UNION ALL SELECT order_number, 'sales', amount, seen_at FROM {{sales_reports}}
+                    UNION ALL SELECT order_number, 'payme', amount, seen_at FROM {{payme_payments}}
+                    UNION ALL {_loose_source("fiscal", "{fiscal_receipts}")}
+                    UNION ALL {_loose_source("click", "(SELECT * FROM {loose_payments} WHERE provider = 'click')")}
+                    UNION ALL {_loose_source("uzum", "(SELECT * FROM {loose_payments} WHERE provider = 'uzum')")})
+                WHERE trim(order_number) <> '' GROUP BY order_number)))"""
 
 
 @query(
     "join_11_reconcile",
-    f"""SELECT order_number, cast(hardware_amount AS double) AS hardware_amount, cast(sales_amount AS double) AS sales_amount,
-        cast(payme_amount AS double) AS payme_amount, first_seen, source_files, match_score, match_status FROM ({RECONCILED_SQL})""",
+    f"""SELECT order_number, {", ".join(f"cast({n}_amount AS double) AS {n}_amount, {n}_records" for n in SOURCES)},
+        cast(first_seen AS string) AS first_seen, source_files, match_score, match_status, is_temporary,
+        cast(last_matched_at AS string) AS last_matched_at FROM ({RECONCILED_SQL})""",
 )
 def join_11(t):
     return reconciled(t)
 
 
-@query(
-    "join_12_fuzzy_match",
-    """WITH o AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {timed_orders}),
-    p AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {loose_payments}),
-    c AS (SELECT p.id AS payment_id, o.id AS order_id, abs(o.s - p.s) AS apart
-          FROM p JOIN o ON o.amount = p.amount AND o.s BETWEEN p.s - 300 AND p.s + 300),
-    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY apart, order_id) = 1)
-    SELECT payment_id, order_id, apart AS seconds_apart FROM b
-    QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY apart, payment_id) = 1""",
-)
+@query("join_12_fuzzy_match", _match_sql("{loose_payments}"))
 def join_12(t):
     return R.match_by_amount(t.timed_orders, t.loose_payments, 5)
 
 
-CONFLICTS_SQL = f"""SELECT order_number, error_type, severity, 'hardware' AS source_table, target_table, conflicting_values FROM (
-      SELECT order_number, o AS target_table,
-        CASE WHEN has_main AND NOT has_other THEN 'missing_record' WHEN NOT has_main AND has_other THEN 'orphan_record'
-             WHEN abs(hardware_amount - amount) > 0.01 THEN 'amount_mismatch' END AS error_type,
-        CASE WHEN has_main AND NOT has_other THEN 'low' WHEN NOT has_main AND has_other THEN 'high'
-             WHEN abs(hardware_amount - amount) >= 1000 THEN 'high' ELSE 'medium' END AS severity,
-        CASE WHEN has_main AND has_other THEN '{{{{"hardware":"' || hardware_amount || '","' || o || '":"' || amount || '"}}}}' ELSE '{{{{}}}}' END AS conflicting_values
-      FROM (SELECT order_number, hardware_amount, contains(source_files, 'hardware') AS has_main, o,
-                   contains(source_files, o) AS has_other, CASE o WHEN 'sales' THEN sales_amount ELSE payme_amount END AS amount
-            FROM ({RECONCILED_SQL}), (SELECT unnest(['sales', 'payme']) AS o)))
-    WHERE error_type IS NOT NULL""".replace("{{", "{").replace("}}", "}")
+def _pair(name, value, other):
+    """Text of a JSON object with the two values, as DuckDB puts it together."""
+    return f"'{{{{\"{name}\":\"' || {value} || '\",\"' || {other} || '\":\"' || amount || '\"}}}}'".replace("{{", "{").replace("}}", "}")
+
+
+CONFLICTS_SQL = f"""WITH e AS (SELECT order_number, hardware_amount, hardware_records > 0 AS has_main, o,
+            CASE o {" ".join(f"WHEN '{n}' THEN {n}_amount" for n in SOURCES[1:])} END AS amount,
+            CASE o {" ".join(f"WHEN '{n}' THEN {n}_records" for n in SOURCES[1:])} END AS records
+        FROM ({RECONCILED_SQL}), (SELECT unnest([{", ".join(f"'{n}'" for n in SOURCES[1:])}]) AS o))
+    SELECT order_number, error_type, severity, 'hardware' AS source_table, o AS target_table, conflicting_values FROM (
+        SELECT order_number, o, CASE WHEN has_main AND records = 0 THEN 'missing_record' WHEN NOT has_main AND records > 0 THEN 'orphan_record'
+                WHEN abs(hardware_amount - amount) > 0.01 THEN 'amount_mismatch' END AS error_type,
+            CASE WHEN has_main AND records = 0 THEN 'low' WHEN NOT has_main AND records > 0 THEN 'high'
+                WHEN abs(hardware_amount - amount) >= 1000 THEN 'high' ELSE 'medium' END AS severity,
+            CASE WHEN has_main AND records > 0 THEN {_pair("hardware", "hardware_amount", "o")} ELSE '{{}}' END AS conflicting_values FROM e
+        UNION ALL SELECT order_number, o, 'duplicate_record', 'medium', {_pair("records", "records", "o")} FROM e WHERE records > 1)
+    WHERE error_type IS NOT NULL"""
 
 
 def conflict_rows(t):
-    return Q.conflicts(reconciled(t), "hardware", ["sales", "payme"])
+    return Q.conflicts(reconciled(t), SOURCES[0], SOURCES[1:])
 
 
 @query("dq_3_conflicts", CONFLICTS_SQL)

@@ -29,7 +29,7 @@ def as_of():
       AND id IN (SELECT order_id FROM {{order_changes}} WHERE change_type = 'filled')""",
 )
 def flt_1(t):
-    spec = P.OrderFilters(
+    spec = P.OrderCriteria(
         order_number="vn0", payment_type="Cash", match_status="matched",
         date_from="1997-01-01", date_to="1999-06-30", change_type="filled",
     )
@@ -47,7 +47,7 @@ def flt_2(t):
     WHERE machine_code = 'VM-007' AND payment_type = 'Card' AND match_status = 'unmatched'""",
 )
 def flt_3(t):
-    spec = P.OrderFilters(machine_code="VM-007", payment_type="Card", match_status="unmatched")
+    spec = P.OrderCriteria(machine_code="VM-007", payment_type="Card", match_status="unmatched")
     return P.filter_orders(t.sales_orders, spec).select(ORDER_COLUMNS)
 
 
@@ -411,8 +411,9 @@ def agg_15_share(t):
 @query(
     "agg_15_top_locations",
     """SELECT machine_code, n AS orders_count, cast(total AS double) AS total_revenue, n_name AS location
-    FROM (SELECT machine_code, count(*) AS n, sum(order_price) AS total FROM {sales_orders} GROUP BY 1)
-    JOIN {nation} ON cast(substr(machine_code, 4) AS int) = n_nationkey
+    FROM (SELECT coalesce(machine_code, 'Unknown') AS machine_code, count(*) AS n, coalesce(sum(order_price), 0) AS total
+          FROM {sales_orders} GROUP BY 1)
+    LEFT JOIN {nation} ON try_cast(substr(machine_code, 4) AS int) = n_nationkey
     ORDER BY total DESC, machine_code LIMIT 5""",
 )
 def agg_15_locations(t):
@@ -493,11 +494,12 @@ def fn_11(t):
         (F.col("creation_time") <= F.lit("1998-12-31").cast("timestamp_ntz"))
         & (F.col("creation_time") >= F.lit("1998-10-02").cast("timestamp_ntz"))
     ).groupBy(F.col("creation_time").cast("date").alias("day")).agg(A.count_rows().alias("n"))
-    presets = counts.select(F.explode(V.preset_ranges(today)).alias("p"), "day", "n")
-    inside = F.when(F.col("day") >= F.col("p.date_from"), F.col("n"))
-    return presets.groupBy("p.days", "p.date_from", "p.date_to").agg(
-        F.coalesce(F.sum(inside), F.lit(0)).alias("orders")
-    )
+    # One row of totals, so that all presets come out even if no order falls into the period.
+    inside = lambda p: F.coalesce(F.sum(F.when(F.col("day") >= F.date_sub(today, p), F.col("n"))), F.lit(0))
+    totals = counts.agg(*[inside(p).alias(f"_{p}") for p in V.DATE_PRESETS])
+    number = F.create_map(*[x for p in V.DATE_PRESETS for x in (F.lit(p), F.col(f"_{p}"))])
+    presets = totals.select(number.alias("_n"), F.explode(V.preset_ranges(today)).alias("p"))
+    return presets.select("p.days", "p.date_from", "p.date_to", F.col("_n")[F.col("p.days")].alias("orders"))
 
 
 @query(

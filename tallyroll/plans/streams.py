@@ -9,7 +9,7 @@ from tallyroll.plans.ingest import delivery, write_delimited
 from tallyroll.plans.registry import query
 from tallyroll.session import scratch_dir
 from tallyroll.streaming import ingest as I, limits as M, logs as S
-from tallyroll.streaming.runs import StreamTables, for_each_batch, to_parquet
+from tallyroll.streaming.runs import StreamTables, for_each_batch, tick, to_parquet, with_clock
 
 
 def streams(t):
@@ -20,6 +20,12 @@ def result(t, stream, label):
     return to_parquet(stream, scratch_dir(t.spark, label))
 
 
+def all_windows(t, stream, time, build, label):
+    """The result of ``build`` over a stream with every window closed: what is there, then a clock tick."""
+    folder = scratch_dir(t.spark, label)
+    return to_parquet(build(with_clock(stream, folder)), folder, lambda: tick(stream, time, folder))
+
+
 # ---- log parsing on batches --------------------------------------------------------------------
 
 TAGS_SQL = """CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 'error,alert' ELSE '' END ||
@@ -65,18 +71,28 @@ def fn_17(t):
 @query(
     "fn_18_gateway",
     """SELECT id, 'c' || client AS client_ip, method, endpoint AS uri, cast(status AS bigint) AS status,
-        cast(duration_ms AS double) AS latency_ms, 't' || id AS correlation_id FROM {requests}""",
+        cast(duration_ms AS double) AS latency_ms, 't' || id AS trace_id, 'gateway' AS service, 'api-gateway' AS components,
+        cast(seen_at AS string) AS time FROM {requests}""",
 )
 def fn_18(t):
+    rows = L.enrich(gateway_lines(t.requests, "id"))
+    return rows.select(
+        "id", "client_ip", "method", F.col("request").alias("uri"), F.col("response_code").alias("status"), "latency_ms",
+        "trace_id", "service", "components", "time",
+    )
+
+
+def gateway_lines(requests, *keep):
+    """Requests as the gateway logs them, one JSON record per line."""
     record = F.struct(
         F.concat(F.lit("c"), F.col("client").cast("string")).alias("client_ip"),
         F.struct("method", F.col("endpoint").alias("uri")).alias("request"),
         F.struct("status").alias("response"),
         F.struct(F.col("duration_ms").alias("request")).alias("latencies"),
         F.concat(F.lit("t"), F.col("id").cast("string")).alias("correlation_id"),
+        F.unix_millis(F.col("seen_at").cast("timestamp")).alias("started_at"),
     )
-    messages = t.requests.select("id", F.to_json(record).alias("message"))
-    return messages.withColumn("f", L.gateway_fields(F.col("message"))).select("id", "f.*")
+    return requests.select(*keep, F.to_json(record).alias("line"))
 
 
 # ---- log streams -------------------------------------------------------------------------------
@@ -104,11 +120,17 @@ def src_12_json(t):
 @query(
     "str_3_log_route",
     f"""SELECT cast(seen_at AS string) AS time, severity AS level, {COMPONENTS_SQL} AS components, {TAGS_SQL} AS tags,
-        'backend' AS service, body AS message FROM {{log_records}}""",
+        'backend' AS service, body AS message, cast(NULL AS bigint) AS response_code, NULL AS trace_id FROM {{log_records}}
+    UNION ALL SELECT cast(seen_at AS string), NULL, '', '', 'backend', NULL, CASE event_type WHEN 'error' THEN 500 ELSE 200 END, NULL
+        FROM {{log_records}}
+    UNION ALL SELECT cast(seen_at AS string), NULL, 'api-gateway', '', 'gateway', NULL, status, 't' || id FROM {{requests}}""",
 )
 def str_3(t):
-    enriched = S.parsed(streams(t).log_lines)
-    return result(t, enriched.select("time", "level", "components", "tags", "service", "message"), "enriched")
+    s = streams(t)
+    lines = s.log_lines.select("line").union(s.access_lines.select("line")).union(gateway_lines(s.requests))
+    message = F.when(F.col("level").isNotNull(), F.col("message")).alias("message")
+    enriched = S.parsed(lines).select("time", "level", "components", "tags", "service", message, "response_code", "trace_id")
+    return result(t, enriched, "enriched")
 
 
 @query(
@@ -129,28 +151,25 @@ def snk_6(t):
     return out.groupBy("route", "day").agg(F.count(F.lit(1)).alias("records"))
 
 
-CLOSED = "INTERVAL '10' MINUTE <= (SELECT max(seen_at) FROM {requests}) - INTERVAL '10' MINUTE"
-
-
 @query(
     "str_4_tumbling",
-    f"""SELECT cast(date_trunc('minute', seen_at) AS string) AS window_start, method, endpoint, count(*) AS requests,
-        cast(sum(duration_ms) AS double) AS total_ms, cast(max(duration_ms) AS double) AS slowest_ms FROM {{requests}}
-    GROUP BY date_trunc('minute', seen_at), method, endpoint
-    HAVING date_trunc('minute', seen_at) + {CLOSED.replace("'10' MINUTE <=", "'1' MINUTE <=")}""",
+    """SELECT cast(date_trunc('minute', seen_at) AS string) AS window_start, method, endpoint, count(*) AS requests,
+        cast(sum(duration_ms) AS double) AS total_ms, cast(max(duration_ms) AS double) AS slowest_ms FROM {requests}
+    GROUP BY date_trunc('minute', seen_at), method, endpoint""",
 )
 def str_4(t):
-    return result(t, S.request_rates(streams(t).requests), "rates")
+    return all_windows(t, streams(t).requests, "seen_at", S.request_rates, "rates")
 
 
 @query(
     "str_4_histogram",
-    f"""SELECT cast(date_trunc('hour', seen_at) AS string) AS window_start, count(*) FILTER (duration_ms <= 10) AS le_10,
-        count(*) FILTER (duration_ms <= 100) AS le_100, count(*) AS requests FROM {{requests}}
-    GROUP BY date_trunc('hour', seen_at) HAVING date_trunc('hour', seen_at) + {CLOSED.replace("'10' MINUTE <=", "'1' HOUR <=")}""",
+    """SELECT cast(date_trunc('hour', seen_at) AS string) AS window_start, count(*) FILTER (duration_ms <= 10) AS le_10,
+        count(*) FILTER (duration_ms <= 100) AS le_100, count(*) AS requests FROM {requests}
+    GROUP BY date_trunc('hour', seen_at)""",
 )
 def str_4_histogram(t):
-    return result(t, S.duration_rates(streams(t).requests, {"le_10": 10, "le_100": 100}), "durations")
+    bounds = {"le_10": 10, "le_100": 100}
+    return all_windows(t, streams(t).requests, "seen_at", partial(S.duration_rates, bounds=bounds), "durations")
 
 
 @query(
@@ -159,26 +178,50 @@ def str_4_histogram(t):
         round(count(*) FILTER (status >= 500) / count(*), 4) AS error_share, cast(max(duration_ms) AS double) AS slowest_ms,
         count(*) FILTER (status >= 500) > count(*) * 0.05 AS too_many_errors, max(duration_ms) > 400 AS too_slow
     FROM (SELECT *, date_trunc('minute', seen_at) - i * INTERVAL '1' MINUTE AS w FROM {{requests}}, (SELECT unnest([0, 1, 2, 3, 4]) AS i))
-    GROUP BY w HAVING w + {CLOSED.replace("'10' MINUTE <=", "'5' MINUTE <=")}
-        AND (count(*) FILTER (status >= 500) > count(*) * 0.05 OR max(duration_ms) > 400)""",
+    GROUP BY w HAVING count(*) FILTER (status >= 500) > count(*) * 0.05 OR max(duration_ms) > 400""",
 )
 def str_5(t):
-    return result(t, S.alerts(streams(t).requests, slow_ms=400.0), "alerts")
+    return all_windows(t, streams(t).requests, "seen_at", partial(S.alerts, slow_ms=400.0), "alerts")
+
 
+# The fixed limits, brought down to the rate of these tables' clients.
+SCALE = 10_000
+GLOBAL_LIMITS = {unit: max(1, n // SCALE) for unit, n in S.GLOBAL_LIMITS.items()}
+SERVICE_LIMITS = {unit: max(1, n // SCALE) for unit, n in S.SERVICE_LIMITS.items()}
 
-def _limit_sql(unit, limit):
-    return f"""SELECT '{unit}' AS unit, cast(date_trunc('{unit}', seen_at) AS string) AS window_start, client, count(*) AS requests,
-        count(*) - {limit} AS excess FROM {{requests}} GROUP BY date_trunc('{unit}', seen_at), client
-    HAVING count(*) > {limit} AND date_trunc('{unit}', seen_at) + {CLOSED.replace("'10' MINUTE <=", f"'1' {unit.upper()} <=")}"""
 
+def _limit_sql(unit, limit, service):
+    return f"""SELECT '{unit}' AS unit, cast(date_trunc('{unit}', seen_at) AS string) AS window_start, {service} AS service, client,
+        count(*) AS requests, count(*) - {limit} AS excess FROM {{requests}} GROUP BY date_trunc('{unit}', seen_at), {service}, client
+    HAVING count(*) > {limit}"""
 
-@query("str_6_limits", " UNION ALL ".join(_limit_sql(u, n) for u, n in (("minute", 1), ("hour", 1), ("day", 4))))
+
+@query(
+    "str_6_limits",
+    " UNION ALL ".join(
+        [_limit_sql(u, n, "'all'") for u, n in GLOBAL_LIMITS.items()]
+        + [_limit_sql(u, n, "substr(endpoint, 9)") for u, n in SERVICE_LIMITS.items()]
+    ),
+)
 def str_6(t):
-    return result(t, S.over_limits(streams(t).requests, {"minute": 1, "hour": 1, "day": 4}), "limits")
+    columns = ["unit", "window_start", "service", "client", "requests", "excess"]
+
+    def both(requests):
+        everywhere = S.over_limits(requests, GLOBAL_LIMITS).withColumn("service", F.lit("all"))
+        return everywhere.select(columns).union(S.service_limits(requests, SERVICE_LIMITS).select(columns))
+
+    return all_windows(t, streams(t).requests, "seen_at", both, "limits")
 
 
 # ---- keyed state -------------------------------------------------------------------------------
 
+def counted_stream(t, stream, build, label):
+    """Counts per client and second, as a stream of the files that the counting query wrote."""
+    folder = scratch_dir(t.spark, label)
+    counts = to_parquet(build(with_clock(stream, folder)), folder, lambda: tick(stream, "seen_at", folder))
+    return t.spark.readStream.schema(counts.schema).parquet(f"{folder}/out")
+
+
 ANCHORED_SQL = """WITH RECURSIVE points AS (SELECT client, epoch(seen_at)::bigint AS s, count(*) AS n,
         row_number() OVER (PARTITION BY client ORDER BY epoch(seen_at)::bigint) AS rn FROM {requests} GROUP BY client, epoch(seen_at)::bigint),
     walk AS (SELECT client, rn, s, s AS start, least(n, 2) AS passed, n - least(n, 2) AS refused, least(n, 2) AS used FROM points WHERE rn = 1
@@ -188,12 +231,13 @@ ANCHORED_SQL = """WITH RECURSIVE points AS (SELECT client, epoch(seen_at)::bigin
             p.n - CASE WHEN p.s - w.start > 86400 THEN least(p.n, 2) ELSE least(p.n, 2 - w.used) END,
             CASE WHEN p.s - w.start > 86400 THEN least(p.n, 2) ELSE w.used + least(p.n, 2 - w.used) END
         FROM walk w JOIN points p ON p.client = w.client AND p.rn = w.rn + 1)
-    SELECT client, s AS second, start AS window_start, passed, refused FROM walk"""
+    SELECT cast(client AS string) AS client, s AS second, start AS window_start, passed, refused FROM walk"""
 
 
 @query("str_7_anchored_limit", ANCHORED_SQL)
 def str_7(t):
-    return result(t, M.anchored_limit(streams(t).requests, 2, 86400), "anchored")
+    counted = counted_stream(t, streams(t).requests, M.request_seconds, "request-seconds")
+    return result(t, M.anchored_limit(counted, 2, 86400), "anchored")
 
 
 BRUTE_SQL = """WITH RECURSIVE points AS (SELECT client, epoch(seen_at)::bigint AS s, count(*) FILTER (NOT success) AS bad,
@@ -210,12 +254,13 @@ BRUTE_SQL = """WITH RECURSIVE points AS (SELECT client, epoch(seen_at)::bigint A
                             CASE WHEN w.f IS NOT NULL AND p.s - w.f > 172800 THEN NULL ELSE w.f END AS f0,
                             CASE WHEN w.f IS NOT NULL AND p.s - w.f > 172800 THEN 0 ELSE w.c END AS c0
                           FROM walk w JOIN points p ON p.client = w.client AND p.rn = w.rn + 1))))
-    SELECT client, s AS second, failed, succeeded, blocked FROM walk WHERE rn > 0"""
+    SELECT cast(client AS string) AS client, s AS second, failed, succeeded, blocked FROM walk WHERE rn > 0"""
 
 
 @query("str_8_brute_force", BRUTE_SQL)
 def str_8(t):
-    return result(t, M.brute_force(streams(t).logins, 2, 172800), "brute-force")
+    counted = counted_stream(t, streams(t).logins, M.login_seconds, "login-seconds")
+    return result(t, M.brute_force(counted, 2, 172800), "brute-force")
 
 
 @query(
@@ -224,44 +269,41 @@ def str_8(t):
         FROM {requests} WINDOW w AS (PARTITION BY client ORDER BY seen_at)),
     y AS (SELECT client, seen_at, sum(fresh::int) OVER (PARTITION BY client ORDER BY seen_at ROWS UNBOUNDED PRECEDING) AS g FROM x)
     SELECT client, cast(min(seen_at) AS string) AS session_start, cast(max(seen_at) + INTERVAL '30' MINUTE AS string) AS session_end,
-        count(*) AS requests FROM y GROUP BY client, g
-    HAVING max(seen_at) + INTERVAL '30' MINUTE <= (SELECT max(seen_at) FROM {requests}) - INTERVAL '10' MINUTE""",
+        count(*) AS requests FROM y GROUP BY client, g""",
 )
 def str_9(t):
-    return result(t, S.activity_sessions(streams(t).requests), "sessions")
+    return all_windows(t, streams(t).requests, "seen_at", S.activity_sessions, "sessions")
 
 
 @query(
     "str_9_cleanup",
     """SELECT cast(time_bucket(INTERVAL '5' MINUTE, expires_at) + INTERVAL '5' MINUTE AS string) AS cleanup_at, count(*) AS expired
-    FROM {access_sessions} GROUP BY time_bucket(INTERVAL '5' MINUTE, expires_at)
-    HAVING time_bucket(INTERVAL '5' MINUTE, expires_at) + INTERVAL '5' MINUTE
-        <= (SELECT max(expires_at) FROM {access_sessions}) - INTERVAL '10' MINUTE""",
+    FROM {access_sessions} GROUP BY time_bucket(INTERVAL '5' MINUTE, expires_at)""",
 )
 def str_9_cleanup(t):
-    return result(t, S.cleanup_ticks(streams(t).access_sessions), "cleanup")
+    return all_windows(t, streams(t).access_sessions, "expires_at", S.cleanup_ticks, "cleanup")
 
 
 @query("str_10_dedup", "SELECT DISTINCT sha256(content) AS content_hash FROM {file_entries}")
 def str_10(t):
     files = streams(t).file_entries.select("id", "uploaded_at", V.content_hash(F.col("content")).alias("content_hash"))
-    return result(t, M.first_deliveries(files), "first-files").select("content_hash")
+    folder = scratch_dir(t.spark, "first-files")
+    for_each_batch(files, folder, partial(M.keep_first_deliveries, folder=folder))
+    return M.first_deliveries(t.spark, folder).select("content_hash")
 
 
 @query(
     "str_11_interval_join",
-    """WITH c AS (SELECT user_id, date_trunc('minute', ts) AS m, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY 1, 2),
-    p AS (SELECT user_id, date_trunc('minute', ts) AS m, count(*) AS n FROM {events} WHERE event_type = 'purchase' GROUP BY 1, 2),
-    w AS (SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL '10' MINUTE AS t FROM {events})
-    SELECT p.user_id, cast(p.m AS string) AS purchases_minute, p.n AS purchases, cast(c.m AS string) AS clicks_minute, c.n AS clicks
-    FROM p JOIN c ON c.user_id = p.user_id AND c.m BETWEEN p.m - INTERVAL '30' MINUTE AND p.m, w
-    WHERE p.m + INTERVAL '1' MINUTE <= w.t AND c.m + INTERVAL '1' MINUTE <= w.t""",
+    """SELECT p.user_id, p.event_id AS purchase_id, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS purchase_time,
+        c.event_id AS click_id, strftime(c.ts, '%Y-%m-%d %H:%M:%S') AS click_time
+    FROM {events} p JOIN {events} c ON c.user_id = p.user_id AND c.ts BETWEEN p.ts - INTERVAL '30' MINUTE AND p.ts
+    WHERE p.event_type = 'purchase' AND c.event_type = 'click'""",
 )
 def str_11(t):
     events = streams(t).events
     purchases = events.filter(F.col("event_type") == "purchase")
     clicks = events.filter(F.col("event_type") == "click")
-    return result(t, S.minute_matches(purchases, clicks), "matches")
+    return result(t, S.interval_matches(purchases, clicks), "matches")
 
 
 # ---- incremental ingest ------------------------------------------------------------------------

@@ -149,6 +149,9 @@ DERIVED: dict[str, str] = {
                     WHEN payment_type IS NULL THEN '' ELSE order_number END AS order_number,
                order_price AS amount, creation_time AS seen_at
         FROM {sales_orders} WHERE payment_type IS NULL OR payment_type <> 'Cash'""",
+    # receipts of the cash register, which know only amount and time
+    "fiscal_receipts": """
+        SELECT id, amount, seen_at + id % 5 * INTERVAL '1' MINUTE AS seen_at FROM {timed_orders} WHERE id % 3 = 0""",
     # sales on a short price list, and payments that carry no order number
     "timed_orders": """
         SELECT o_orderkey AS id,

@@ -8,9 +8,10 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallyroll.operators import analytics as A, filters as P, history as H, reconcile as R, relations as J, spread
+from tallyroll.operators import analytics as A, filters as P, history as H, quality as Q, reconcile as R, relations as J, spread
+from tallyroll.sinks import exports as X
 from tallyroll.streaming import limits as M
-from tallyroll.streaming.runs import to_parquet
+from tallyroll.streaming.runs import tick, to_parquet, with_clock
 
 SNAPSHOT = "order_number string, machine_code string, order_price decimal(12,2), payment_type string, match_status string"
 
@@ -64,9 +65,9 @@ def test_upsert_is_idempotent_and_the_log_explains_it(spark, old, new):
 def change_log(spark):
     at = datetime(2024, 1, 1)
     return spark.createDataFrame(
-        [(1, 2, "order_price", "12", at), (1, 2, "payment_type", "Card", at), (1, 3, "order_price", "13", at),
-         (1, 1500, "machine_code", "VM-9", at)],
-        "order_id bigint, version bigint, field_name string, new_value string, changed_at timestamp_ntz",
+        [(1, 2, "order_price", "12", at, "changed"), (1, 2, "payment_type", "Card", at, "filled"), (1, 3, "order_price", "13", at, "changed"),
+         (1, 1500, "machine_code", "VM-9", at, "changed")],
+        "order_id bigint, version bigint, field_name string, new_value string, changed_at timestamp_ntz, change_type string",
     )
 
 
@@ -77,11 +78,70 @@ def test_versions(spark):
     assert state == {2: ("12", "Card", None), 3: ("13", "Card", None), 1500: ("13", "Card", "VM-9")}
 
 
-def test_long_histories_are_paged(spark):
-    log = change_log(spark).withColumns({"old_value": F.lit(""), "change_type": F.lit("new")})
+def test_first_version_starts_from_the_order(spark):
+    log = change_log(spark).withColumn("change_type", F.when(F.col("version") == 2, F.when(F.col("field_name") == "order_price", "new").otherwise("filled")).otherwise("changed"))
+    orders = spark.createDataFrame([(1, "A", "VM-1", Decimal("7.00"))], "id bigint, order_number string, machine_code string, order_price decimal(12,2)")
+    got = {r.version: r.fields for r in H.versions(log, orders).collect()}
+    assert got[2] == {"order_number": "A", "machine_code": "VM-1", "order_price": "7.00", "payment_type": "Card"}
+    assert got[3] == {"order_price": "13"}
+    assert {r.version: r.fields for r in H.versions(log, orders.limit(0)).collect()}[2] == {"payment_type": "Card"}
+
+
+def test_histories_have_one_form(spark):
+    """Null versions stay, and changes of unknown orders go whatever their version is."""
+    at = datetime(2024, 1, 1)
+    more = spark.createDataFrame([(1, None, "f", "x", at, "new"), (9, 5, "f", "x", at, "new"), (9, 1500, "f", "x", at, "new"), (None, 1, "f", "x", at, "new")], change_log(spark).schema)
+    log = change_log(spark).union(more).withColumn("old_value", F.lit(""))
     orders = spark.createDataFrame([(1, "A"), (2, "B")], "id bigint, order_number string")
-    got = {(r.id, r.page): len(r.changes) for r in J.nest_changes(orders, log).collect()}
-    assert got == {(1, 0): 3, (1, 1): 1, (2, 0): 0}
+    got = {(r.id, r.version): len(r.changes or []) for r in J.nest_changes(orders, log).collect()}
+    assert got == {(1, 2): 2, (1, 3): 1, (1, 1500): 1, (1, None): 1, (2, None): 0}
+    documents = X.change_documents(orders, log, F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    assert sorted((r.export_info.order_id, r.summary.total_changes) for r in documents) == [(1, 1), (1, 1), (1, 1), (1, 2), (2, 0)]
+
+
+def test_appends_repeat_without_doubling(spark, tmp_path):
+    rows, as_of = spark.createDataFrame([("A",), ("B",)], "order_number string"), F.lit("2024-01-01").cast("timestamp_ntz")
+    for batch in (0, 1, 1):
+        X.append_rows(rows, str(tmp_path / "out"), as_of, batch)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_sessions_keep_every_row(spark):
+    start = datetime(2024, 1, 1, 10)
+    sessions = spark.createDataFrame([(1, 7, start), (2, None, start), (3, 7, None), (4, 7, start + timedelta(hours=2)), (5, 8, start)], "id bigint, created_by bigint, started_at timestamp_ntz")
+    files = spark.createDataFrame([(10, 7, start, 5), (11, 7, start + timedelta(hours=3), 6), (12, None, start, 7), (13, 8, None, 9)], "id bigint, uploaded_by bigint, uploaded_at timestamp_ntz, size bigint")
+    got = {r.id: (r.files, r.bytes) for r in J.session_file_totals(sessions, files, "size").collect()}
+    assert got == {1: (2, 11), 2: (0, 0), 3: (0, 0), 4: (1, 6), 5: (0, 0)}
+    assert [r.id for r in J.session_files(sessions, files).collect()] == [11, 10]
+
+
+def test_validity_keeps_sessions_without_user(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(1, 7, start), (2, 7, start + timedelta(hours=1)), (3, None, start), (4, None, start + timedelta(hours=5)), (5, 8, None)]
+    sessions = spark.createDataFrame([(*r, datetime(2024, 2, 1)) for r in rows], "id bigint, user_id bigint, created_at timestamp_ntz, expires_at timestamp_ntz")
+    got = {r.id: r.is_latest for r in J.session_validity(sessions).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_carried_values_keep_rows_without_key_or_order(spark):
+    rows = [("a", 1, "x"), ("a", 2, None), ("a", None, "n"), (None, 1, "y"), (None, 2, None)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v string")
+    got = {(r.k, r.o): r.v for r in spread.carry_last(df, ["k"], "o", ["v"]).collect()}
+    assert got == {("a", None): "n", ("a", 1): "x", ("a", 2): "x", (None, 1): "y", (None, 2): "y"}
+
+
+def test_filters_of_changes(spark):
+    df = spark.createDataFrame([(i, c, k) for i, (c, k) in enumerate([("new", "a"), ("new", "b"), ("changed", "a")])], "row_number bigint, change_type string, column_name string")
+    assert P.filter_changes(df, {}).count() == 3
+    assert P.filter_changes(df, {"change_type": "new", "row_range": {"max": 0}}).count() == 1
+    assert P.filter_changes(df, {"columns": ["a"], "row_range": {"min": 1}}).count() == 1
+
+
+def test_keys_from_a_list_and_a_frame(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(3000)] + [("",), (None,)], "k string")
+    wanted = [str(i) for i in range(0, 5000, 2)] + ["", None]
+    assert P.by_keys(df, "k", wanted).count() == P.by_keys(df, "k", spark.createDataFrame([(w,) for w in wanted], "w string")).count() == 1500
+    assert P.by_keys(df, "k", ["7", "7"]).count() == 1
 
 
 def test_unreadable_dates_do_not_filter(spark):
@@ -97,8 +157,7 @@ def test_empty_summary(spark):
     assert A.summary_distinct(empty).collect()[0].avg_order_value == 0.0
 
 
-def test_hot_and_null_keys_join_like_any_other(spark, monkeypatch):
-    monkeypatch.setattr(spread, "HOT_ROWS", 10)
+def test_hot_and_null_keys_join_like_any_other(spark):
     facts = [(i, 1 if i % 3 else (None if i % 2 else i)) for i in range(300)]
     fact = spark.createDataFrame(facts, "id bigint, k bigint")
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(200)], "k bigint, name string")
@@ -111,11 +170,21 @@ def test_hot_and_null_keys_join_like_any_other(spark, monkeypatch):
 def test_row_numbers_across_buckets(spark):
     values = [(k, v) for k in ("a", None) for v in random.Random(1).sample(range(1000), 60)]
     df = spark.createDataFrame(values, "k string, v bigint")
-    got = {(r.k, r.v): r.row_number for r in spread.row_numbers(df, ["k"], ["v"], 10).collect()}
+    got = {(r.k, r.v): r.row_number for r in spread.row_numbers(df.repartition(5), ["k"], ["v"]).collect()}
     for k in ("a", None):
         assert [got[k, v] for v in sorted(v for x, v in values if x == k)] == list(range(1, 61))
 
 
+def test_ranges_are_even_despite_an_outlier(spark):
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit one range
+    try:
+        parts = [r["count"] for r in spread.in_ranges(df.repartition(7), ["k"], ["v"]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(parts) < 2000
+
+
 def test_matching_against_brute_force(spark):
     rng = random.Random(7)
     base = datetime(2024, 1, 1)
@@ -145,11 +214,15 @@ def test_reconcile_levels(spark):
         return spark.createDataFrame([(n, Decimal(a), at) for n, a in pairs], schema)
 
     got = R.reconcile(
-        {"hardware": source([("A", "1"), ("B", "2"), ("C", "3")]), "sales": source([("A", "1"), ("B", "9"), ("", "4")]), "payme": source([("A", "1"), ("X", "5")])}
-    ).collect()
-    assert {r.order_number: (r.match_status, r.match_score) for r in got} == {
-        "A": ("matched", 3), "B": ("partial", 1), "C": ("unmatched", 1), "X": ("unmatched", 1)
+        {"hardware": source([("A", "1"), ("B", "2"), ("C", "3")]), "sales": source([("A", "1"), ("B", "9"), ("", "4")]), "payme": source([("A", "0.25"), ("A", "0.75"), ("X", "5")])}
+    )
+    rows = got.collect()
+    assert {r.order_number: (r.match_status, r.match_score, r.is_temporary) for r in rows} == {
+        "A": ("matched", 3, False), "B": ("partial", 1, False), "C": ("unmatched", 1, False), "X": ("unmatched", 1, True)
     }
+    assert {r.order_number: r.payme_records for r in rows}["A"] == 2
+    errors = Q.conflicts(got, "hardware", ["sales", "payme"]).collect()
+    assert ("A", "duplicate_record", "payme") in {(r.order_number, r.error_type, r.target_table) for r in errors}
 
 
 # ---- keyed state -------------------------------------------------------------------------------
@@ -167,19 +240,54 @@ def at(second):
     return datetime(2024, 1, 1) + timedelta(seconds=second)
 
 
+START = int((datetime(2024, 1, 1) - datetime(1970, 1, 1)).total_seconds())
+
+
+def limited(spark, tmp_path, stream, count, limit):
+    """Counts per second in one query, the limit in the next, a batch of files at a time."""
+    folder = str(tmp_path / "count")
+    counts = to_parquet(count(with_clock(stream, folder)), folder, lambda: tick(stream, "seen_at", folder))
+    seconds = spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/out")
+    return to_parquet(limit(seconds), str(tmp_path / "limit")).collect()
+
+
 def test_anchored_limit(spark, tmp_path):
     waves = [[(1, at(0)), (1, at(10)), (1, at(20))], [(1, at(30)), (1, at(60)), (1, at(61))]]
     stream = stream_of(spark, tmp_path, waves, "client bigint, seen_at timestamp_ntz")
-    start = int((datetime(2024, 1, 1) - datetime(1970, 1, 1)).total_seconds())
-    got = {r.second - start: r.passed for r in to_parquet(M.anchored_limit(stream, 3, 60), str(tmp_path / "run")).collect()}
+    got = {r.second - START: r.passed for r in limited(spark, tmp_path, stream, M.request_seconds, lambda s: M.anchored_limit(s, 3, 60))}
     assert got == {0: 1, 10: 1, 20: 1, 30: 0, 60: 0, 61: 1}
 
 
+def test_late_and_unknown_clients(spark, tmp_path):
+    """Shuffled arrivals give what ordered ones give, and requests without a client share one limit."""
+    rows = [(c, at(s)) for c in (1, None) for s in (10, 20, 100, 101, 101, 101)]
+    want = {(str(c or "unknown"), s): p for c in (1, None) for s, p in ((10, 1), (20, 1), (100, 1), (101, 1))}
+    for i, order in enumerate((rows, rows[::-1], random.Random(3).sample(rows, len(rows)))):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        stream = stream_of(spark, folder, [order[:5], order[5:8], order[8:]], "client bigint, seen_at timestamp_ntz")
+        got = limited(spark, folder, stream, M.request_seconds, lambda s: M.anchored_limit(s, 2, 60))
+        assert {(r.client, r.second - START): r.passed for r in got} == want
+        assert sum(r.passed + r.refused for r in got) == len(rows)
+
+
+def test_copies_are_found_however_late(spark, tmp_path):
+    from functools import partial
+
+    from tallyroll.streaming.runs import for_each_batch
+
+    waves = [[("h1", 1, at(10**7)), ("h1", 2, at(10**7))], [("h2", 3, at(0)), ("h1", 4, at(2 * 10**7))], [("h3", 5, at(1)), ("h2", 6, at(3 * 10**7))]]
+    stream = stream_of(spark, tmp_path, waves, "content_hash string, id bigint, uploaded_at timestamp_ntz")
+    folder = str(tmp_path / "run")
+    for_each_batch(stream, folder, partial(M.keep_first_deliveries, folder=folder))
+    assert sorted((r.content_hash, r.id) for r in M.first_deliveries(spark, folder).collect()) == [("h1", 1), ("h2", 3), ("h3", 5)]
+
+
 @pytest.mark.parametrize("clearing", [False, True])
 def test_brute_force(spark, tmp_path, clearing):
     waves = [[(1, at(60 * i), clearing and i == 4) for i in range(5)], [(1, at(301), False), (1, at(302), True), (1, at(901), True)]]
     stream = stream_of(spark, tmp_path, waves, "client bigint, seen_at timestamp_ntz, success boolean")
-    got = to_parquet(M.brute_force(stream, 5, 900), str(tmp_path / "run")).orderBy("second").collect()
+    got = sorted(limited(spark, tmp_path, stream, M.login_seconds, lambda s: M.brute_force(s, 5, 900)), key=lambda r: r.second)
     blocked = [r.blocked for r in got]
     assert blocked == ([0] * 8 if clearing else [0, 0, 0, 0, 0, 1, 1, 0])
     assert got[-1].succeeded == 1
@@ -202,18 +310,57 @@ def test_ingest_survives_bad_files_and_rows(spark, tmp_path):
     def run():
         for_each_batch(I.arriving_files(spark, str(source)), folder, handle)
 
-    deliver("a.csv", b"order_number,price\nA,10\nA,11\nB,5,surplus\n,7\n")
+    deliver("a.csv", b"order_number,price,date\nA,10\nA,11\nB,5,,surplus\n,7\nD,\"1,\nE,1,soon\nF,99999999999999999999\n")
     deliver("b.csv", b"  \n")
+    deliver("x.exe", b"?")
     run()
-    deliver("c.csv", "номер_заказа,цена\nA,12\nC,1\n".encode("cp1251"))
+    deliver("c.CSV", "номер_заказа,цена\nA,12\nC,1\n".encode("cp1251"))
     run()
     orders = {r.order_number[:5]: (float(r.order_price), r.batch) for r in I.current_orders(spark, folder).collect()}
     assert orders == {"A": (12.0, 1), "AUTO_": (7.0, 0), "C": (1.0, 1)}
     changes = [tuple(r)[:5] for r in I.read_kind(spark, folder, "changes").collect()]
-    assert changes == [("A", "order_price", "10.00", "12.00", "changed")]
-    files = {r.file[-5:]: (r.status, r.new_rows, r.updated_rows) for r in I.read_kind(spark, folder, "files").collect()}
-    assert files == {"a.csv": ("completed", 2, 0), "b.csv": ("failed", 0, 0), "c.csv": ("completed", 1, 1)}
-    rejects = I.read_kind(spark, folder, "rejects").collect()
-    assert [(r.order_number, r.failed_checks) for r in rejects] == [("B", ["field_count"])]
+    assert [c for c in changes if c[4] != "new"] == [("A", "order_price", "10.00", "12.00", "changed")]
+    assert ("C", "order_price", "", "1.00", "new") in changes
+    files = {r.file[-5:]: (r.status, r.total_rows, r.new_rows, r.updated_rows, r.rejected_rows) for r in I.read_kind(spark, folder, "files").collect()}
+    assert files == {"a.csv": ("completed", 7, 2, 0, 4), "b.csv": ("failed", 0, 0, 0, 0), "x.exe": ("failed", 0, 0, 0, 0), "c.CSV": ("completed", 2, 1, 1, 0)}
+    rejects = {r.order_number: r.failed_checks for r in I.read_kind(spark, folder, "rejects").collect()}
+    assert rejects == {"B": ["field_count"], "D": ["closed_quotes"], "E": ["time_readable"], "F": ["price_fits"]}
     log = [(r.type, r.batch, r.files, r.failed_files) for r in I.run_log(spark, folder).orderBy("type", "batch").collect()]
-    assert log == [("completed", 1, 3, 1), ("progress", 0, 2, 1), ("progress", 1, 3, 1)]
+    assert log == [("completed", 1, 4, 2), ("progress", 0, 3, 2), ("progress", 1, 4, 2)]
+    steps = sorted((r.file[-5:], r.step, r.status) for r in I.read_kind(spark, folder, "steps").collect())
+    assert steps[:3] == [("a.csv", 0, "pending"), ("a.csv", 1, "processing"), ("a.csv", 2, "completed")] and steps[-1] == ("x.exe", 2, "failed")
+
+
+@pytest.mark.parametrize("per_trigger", [None, 1, 2])
+def test_ingest_does_not_depend_on_batches(spark, tmp_path, per_trigger):
+    """The same files in one, two or many triggers; the order of arrival decides, and the log rebuilds the orders."""
+    import json
+    import os
+    import zipfile
+    from functools import partial
+
+    from tallyroll.streaming import ingest as I
+    from tallyroll.streaming.runs import for_each_batch
+
+    source, folder = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    made = ["z_first.csv", "a_second.tsv", "m.json", "k.ZIP", "b.txt"]
+    (source / made[0]).write_text("order_number,price,payment_type\nA,10,Cash\nB,1,Card\n")
+    (source / made[1]).write_text("order_number\tprice\nA\t12\nC\t3\n")
+    (source / made[2]).write_text(json.dumps({"order_number": "A", "price": "14", "payment_type": "Cash"}))
+    with zipfile.ZipFile(source / made[3], "w") as z:
+        z.writestr("in/x.csv", "order_number,price\nB,2\nD,4\n")
+        z.writestr("skip.exe", "?")
+    (source / made[4]).write_text("some text\n\nmore\n")
+    for i, name in enumerate(made):
+        os.utime(source / name, (1_700_000_000 + 10 * i,) * 2)
+    for_each_batch(I.arriving_files(spark, str(source), per_trigger), folder, partial(I.ingest_batch, folder=folder, as_of="2024-01-01", author=1))
+    orders = {r.order_number: (float(r.order_price), r.payment_type) for r in I.current_orders(spark, folder).collect()}
+    assert orders == {"A": (14.0, "Cash"), "B": (2.0, "unknown"), "C": (3.0, "unknown"), "D": (4.0, "unknown")}
+    state = {}
+    for r in I.read_kind(spark, folder, "changes").orderBy("arrived", "file").collect():
+        state.setdefault(r.order_number, {})[r.field_name] = r.new_value
+    assert {k: (float(v["order_price"]), v["payment_type"]) for k, v in state.items()} == orders
+    assert sorted(r.new_value for r in I.read_kind(spark, folder, "changes").filter("order_number = 'A' and field_name = 'order_price'").collect()) == ["10.00", "12.00", "14.00"]
+    files = {os.path.basename(r.file): (r.status, r.total_rows, r.new_rows, r.updated_rows) for r in I.read_kind(spark, folder, "files").collect()}
+    assert files == {"z_first.csv": ("completed", 2, 2, 0), "a_second.tsv": ("completed", 2, 1, 1), "m.json": ("completed", 1, 0, 1), "k.ZIP": ("completed", 2, 1, 1), "b.txt": ("completed", 2, 0, 0)}

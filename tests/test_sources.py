@@ -1,5 +1,6 @@
 """Files on disk: encodings, quoting, nested formats, archives, validation."""
 
+import json
 import zipfile
 
 import pytest
@@ -76,9 +77,73 @@ def test_flatten(spark):
     assert [(r.path, r.value) for r in X.flatten_xml(xml, "t").orderBy("pos").collect()] == [("r.o@id", "1"), ("r.o.p", "5")]
 
 
+@pytest.mark.parametrize("depth", [10, 990, 20_000])
+def test_json_of_any_depth(depth):
+    assert [v for _, _, v in X.json_rows("[" * depth + "7" + "]" * depth)] == ["7"]
+    assert list(X.json_rows('{"a":' * depth + "7" + "}" * (depth - 1))) == []
+
+
+@pytest.mark.parametrize("text", ["", "[1,]", '{"a" 1}', "[1 2]", "1 2", '{"a":1,}', "{1:2}", "[", "nul"])
+def test_json_that_is_none(text):
+    with pytest.raises(ValueError):
+        json.loads(text)
+    assert list(X.json_rows(text)) == []
+
+
 def test_broken_archives_do_not_stop_the_run(spark, folder):
     rows = X.expand_archives(S.binary_files(spark, folder, "zip"), "file").collect()
-    assert sorted((r.member or "", r.error is None) for r in rows) == [("", False), ("in/d.txt", True)]
+    assert sorted((r.member or "", r.error is None) for r in rows) == [("", False), ("in/d.txt", True), ("x.exe", False)]
+
+
+def test_what_is_not_read_says_so(spark, folder, tmp_path):
+    (tmp_path / "i.Csv").write_text("a\n1\n")
+    (tmp_path / "j.pdf").write_text("x")
+    got = {(r.file, r.column_name): r.new_value for r in S.read_cells(spark, folder).withColumn("file", short()).collect()}
+    assert got["i.Csv", "a"] == "1"
+    assert got["j.pdf", "error"] == "no reader for format: pdf"
+    assert got["g.zip/x.exe", "error"] == "unsupported format: exe" and any(f == "h.zip" and c == "error" for f, c in got)
+
+
+def test_files_beyond_the_limit(spark, tmp_path, monkeypatch):
+    """Delimited and text files of any size give the same rows as small ones; others give the reason."""
+    rows = [f'{i},"say ""{i}""",x' for i in range(500)]
+    (tmp_path / "a.csv").write_text("id,text,id\n" + "\n".join(rows) + '\n7,"open,1\n')
+    (tmp_path / "b.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "c.json").write_text('{"a": "' + "x" * 100 + '"}')
+    cells = lambda: sorted(tuple(r) for r in S.read_cells(spark, str(tmp_path)).withColumn("file", short()).collect())
+    whole = cells()
+    monkeypatch.setattr(S, "MAX_FILE_BYTES", 5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        split = cells()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x for x in split if x[0] != "c.json"] == [x for x in whole if x[0] != "c.json"] and len(whole) > 1500
+    assert [x for x in split if x[0] == "c.json"] == [("c.json", 0, "error", "file too large")]
+
+
+@pytest.mark.parametrize(
+    "text,rows",
+    [
+        ('h,i,j\nA,5" pipe,10\n', [({"h": "A", "i": '5" pipe', "j": "10"}, False)]),
+        ('h,i\nA,"open\nB,2\n', [({"h": "A", "i": '"open'}, True), ({"h": "B", "i": "2"}, False)]),
+        ('h,i\n"a,""b""\nc"x,2\n\n\nB\n', [({"h": 'a,"b"\ncx', "i": "2"}, False), ({"h": "B", "i": ""}, False)]),
+        ("a,a,a.1\n1,2,3\n", [({"a": "1", "a.1": "2", "a.1.1": "3"}, False)]),
+        (",1\n", []),
+        ("", []),
+    ],
+)
+def test_records(spark, text, rows):
+    df = spark.createDataFrame([("f", bytearray(text.encode()))], "file string, content binary")
+    got = S.delimited_records(df).orderBy("row_number").collect()
+    assert [(r.cells, r.unclosed) for r in got] == rows
+
+
+def test_strings_scan_goes_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_number,price\nA,1\n")
+    (tmp_path / "b.csv").write_text('Price,order_number\n2,"B\nx"\n3,C\n')
+    got = sorted((r.order_number, r.price) for r in S.csv_strings(spark, str(tmp_path)).collect())
+    assert got == [("A", "1"), ("B\nx", "2"), ("C", "3")]
 
 
 @pytest.mark.parametrize(

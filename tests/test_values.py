@@ -18,6 +18,7 @@ def test_price(spark):
         "1.": 1.00, ".5": 0.50, None: 0.00, "12.345": 12.35,
     }
     assert [float(x) for x in values(spark, list(cases), V.parse_price)] == list(cases.values())
+    assert [str(x) for x in values(spark, ["99999999999.99", "9" * 30], V.parse_price)] == ["99999999999.99", "None"]
 
 
 @settings(max_examples=5, deadline=None)
@@ -30,6 +31,13 @@ def test_time(spark):
     texts = ["2024-01-02 03:04:05", "2024-01-02T03:04", "05.02.2024 10:11", "12/31/2024", "2024-13-01", "soon", None]
     want = ["2024-01-02 03:04:05", "2024-01-02 03:04:00", "2024-02-05 10:11:00", "2024-12-31 00:00:00"]
     assert values(spark, texts, lambda c: V.parse_time(c).cast("string")) == want + [None] * 3
+    more = {
+        "2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02T03:04:05+05:00": "2024-01-01 22:04:05",
+        "2024-01-02 03:04:05.25-0330": "2024-01-02 06:34:05.25", "01/02/2024 10:00": "2024-01-02 10:00:00",
+        "1.2.2024": "2024-02-01 00:00:00", "2024/01/02": "2024-01-02 00:00:00", "31/12/2024 9:05:06": "2024-12-31 09:05:06",
+        "31.02.2024": None, "1.2.2024 25:00": None,
+    }
+    assert values(spark, list(more), lambda c: V.parse_time(c).cast("string")) == list(more.values())
     assert values(spark, ["soon"], lambda c: V.parse_time(c, F.lit("2024-01-01")).cast("string")) == ["2024-01-01 00:00:00"]
 
 
