@@ -251,7 +251,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer)
-        for part in slices(batches, "text"):
+        for part in slices(batches, 1):
             raw = coder.encode(part.column(1).to_pylist())
             flat = np.frombuffer(b"".join(raw), "<i4")
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroll import session
 
@@ -32,16 +32,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Columns that an operator only hands on, as one column, so that their names meet no other."""
+    return F.struct(*[df[f"`{c}`"] for c in columns]).alias("_kept")
+
+
 def empty(df: DataFrame) -> bool:
     """True if a stored table has no row."""
     return not df.take(1)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut batches where their texts pass ``limit`` bytes; one longer text is a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Cut batches where the texts of a column pass ``limit`` bytes; one longer text is a slice of its own."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > limit:

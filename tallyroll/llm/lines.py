@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyroll.llm.common import stored
+from tallyroll.llm.common import stored, together
 
 LOG_BUCKETS = 12
 ERROR = 1.04 / 2 ** (LOG_BUCKETS / 2)
@@ -51,15 +51,18 @@ def without_boilerplate(
 ) -> DataFrame:
     """The rows of ``df``, boilerplate lines taken out of ``text``, with their number as ``removed_lines``."""
     columns = [c for c in df.columns if c != "removed_lines"]
-    lines = lines_of(df, id_column, text, site, min_chars)
+    rows = df.select(together(df, columns), *[F.col(f"`{c}`").alias(n) for c, n in ((id_column, "_id"), (text, "_text"), (site, "_site"))])
+    lines = lines_of(rows, "_id", "_text", "_site", min_chars)
     found = boilerplate(lines, min_sites)
     later = lines.join(found, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place"))))
     drops = later.groupBy("row").agg(F.collect_set("place").alias("_drops"))
     drops = stored(drops.withColumnRenamed("row", "_of"), "drops")
-    marked = df.withColumn("_row", F.xxhash64(f"`{id_column}`", f"`{text}`")).join(drops, F.col("_row") == F.col("_of"), "left")
-    marked = marked.withColumn("_lines", F.when(F.col("_drops").isNotNull(), F.split(F.col(f"`{text}`").cast("string"), "\n")))
+    marked = rows.withColumn("_row", F.xxhash64("_id", "_text")).join(drops, F.col("_row") == F.col("_of"), "left")
+    marked = marked.withColumn("_lines", F.when(F.col("_drops").isNotNull(), F.split(F.col("_text").cast("string"), "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drops")
     rest = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    new = {text: F.when(F.col("_drops").isNotNull(), rest).otherwise(F.col(f"`{text}`")).alias(text)}
-    removed = F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("removed_lines")
-    return marked.select(*[new.get(c, F.col(f"`{c}`")) for c in columns], F.when(F.col("_drops").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("removed_lines"))
+    new = F.when(F.col("_drops").isNotNull(), rest).otherwise(F.col("_text"))
+    removed = F.when(F.col("_drops").isNotNull(), F.size("_drops")).otherwise(0).cast("long")
+    return marked.select(
+        *[(new if c == text else F.col("_kept").getField(c)).alias(c) for c in columns], removed.alias("removed_lines")
+    )

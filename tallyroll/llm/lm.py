@@ -150,7 +150,7 @@ def trained(df: DataFrame, text: str, vocabulary: list[str], rounds: int, rate:
     def work_from(start: np.ndarray):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, network, sums, seen = Words(zip(vocabulary, range(1, FREQUENT + 1))), Network(start), np.full(LENGTH, 1e-6, np.float32), 0
-            for part in slices(batches, "text", 1_000_000):
+            for part in slices(batches, 0, 1_000_000):
                 ids, around, _ = windows(part.column(0).to_pylist(), words)
                 for at in range(0, len(ids), BATCH):
                     network.train(ids[at : at + BATCH], around[:, at : at + BATCH], rate, sums)
@@ -183,7 +183,7 @@ def score(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network = Words(zip(vocabulary, range(1, FREQUENT + 1))), Network(flat)
-        for part in slices(batches, "_scored", 1_000_000):
+        for part in slices(batches, -1, 1_000_000):
             ids, around, sizes = windows(part.columns[-1].to_pylist(), words)
             logs = network.log_probability(ids, around)
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum(sizes)])])

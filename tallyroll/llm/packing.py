@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyroll.llm.bpe import codec
-from tallyroll.llm.common import slices, stored
+from tallyroll.llm.common import slices, stored, together
 
 Group = tuple[tuple[int, ...], int]  # the lengths in a sequence, how many such sequences
 
@@ -50,7 +50,7 @@ def token_pieces(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, closing = codec(tokenizer), end_id.to_bytes(4, "little")
-        for part in slices(batches, "text"):
+        for part in slices(batches, 1):
             row, out = [], ([], [], [], [])
             for i, raw in enumerate(coder.encode(part.column(1).to_pylist())):
                 raw += closing
@@ -188,24 +188,27 @@ def slots(groups: Sequence[Group]) -> list[tuple[int, int, int, int, int, int]]:
 def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", buckets: int = 256) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: as few sequences of at most ``size`` as the search finds."""
     spark = pieces.sparkSession
-    kept = stored(pieces.select(*[f"`{c}`" for c in pieces.columns if c not in ("sequence_id", "offset")]), "pieces")
-    histogram = {r[0]: r[1] for r in kept.groupBy(length).count().collect()}  # at most ``size`` rows
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [f"_k{i}" for i in range(len(keys))]
+    kept = pieces.select(together(pieces, columns), F.col(f"`{length}`").alias("_n"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)])
+    kept = stored(kept, "pieces")
+    histogram = {r[0]: r[1] for r in kept.groupBy("_n").count().collect()}  # at most ``size`` rows
     plan = slots(local_search(best_fit(histogram, size), histogram, size)) if histogram else []
     places = spark.createDataFrame(plan, "_length long, _from long, _to long, _copies long, _sequence long, _at long")
-    marked = kept.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = marked.groupBy(F.col(length).alias("_l"), F.col("_bucket").alias("_b")).count()
+    marked = kept.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    counts = marked.groupBy(F.col("_n").alias("_l"), F.col("_bucket").alias("_b")).count()
     earlier = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_l", "_b", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(length, "_bucket").orderBy(*keys)
+    inside = Window.partitionBy("_n", "_bucket").orderBy(*names)
     ranked = marked.withColumn("_inside", F.row_number().over(inside) - 1)
-    ranked = ranked.join(F.broadcast(before), (F.col(length) == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
+    ranked = ranked.join(F.broadcast(before), (F.col("_n") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))
     placed = ranked.join(
-        F.broadcast(places), (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+        F.broadcast(places), (F.col("_n") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     )
     turn = F.col("_rank") - F.col("_from")
     return placed.select(
-        *[f"`{c}`" for c in kept.columns],
+        "_kept.*",
         (F.col("_sequence") + F.floor(turn / F.col("_copies"))).cast("long").alias("sequence_id"),
-        (F.col("_at") + turn % F.col("_copies") * F.col(length)).cast("long").alias("offset"),
+        (F.col("_at") + turn % F.col("_copies") * F.col("_n")).cast("long").alias("offset"),
     )

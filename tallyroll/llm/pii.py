@@ -277,7 +277,7 @@ def with_pseudonyms(df: DataFrame, key: bytes, text: str = "text", keep: Sequenc
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, place):
             done = [masked(t, key) for t in part.column(place).to_pylist()]
             new = [*part.columns, pa.array([s for _, s in done], spans)]
             new[place] = pa.array([t for t, _ in done], pa.string())

@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyroll.llm.common import stored
+from tallyroll.llm.common import stored, together
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -59,7 +59,7 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
     """
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     body = F.btrim(source, F.lit(" \t\n\x0b\f\r"))
-    out = df.drop(*COUNTS).withColumn("_words", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE)))
+    out = df.withColumn("_words", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE)))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
     lines = F.filter(F.split(source, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     out = out.withColumns(
@@ -197,9 +197,9 @@ def judge(
     d = len(SPREADS)
     results = [*COUNTS, "base_failed", "distance", "kept"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in results]
-    rows = counted(df, text).withColumn("base_failed", base_failed())
-    name = {"_lang": F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")), "_source": F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))}
-    rows = stored(rows.select(*[f"`{c}`" for c in keep], *COUNTS, "base_failed", *[c.alias(n) for n, c in name.items()], *statistics()), "quality")
+    names = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "_lang"), (source, "_source"))]
+    rows = counted(df.select(together(df, keep), *names, F.col(f"`{text}`").alias("_text")), "_text").withColumn("base_failed", base_failed())
+    rows = stored(rows.select("_kept", "_lang", "_source", *COUNTS, "base_failed", *statistics()), "quality")
     x = [f"_x{i}" for i in range(d)]
     scored = rows.filter(~F.col("base_failed")).select("_lang", "_source", *x)
     sizes = scored.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_size"))
@@ -220,4 +220,4 @@ def judge(
     verdict = rows.join(model, ["_lang", "_source"], "left")
     verdict = verdict.withColumn("distance", F.sqrt(distance(d)))
     far = F.coalesce(F.col("distance") > math.sqrt(chi_square(d, confidence)), F.lit(False))
-    return verdict.withColumn("kept", ~F.col("base_failed") & ~far).select(*[f"`{c}`" for c in keep], *results)
+    return verdict.withColumn("kept", ~F.col("base_failed") & ~far).select("_kept.*", *results)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyroll.llm.common import empty, slices, stored
+from tallyroll.llm.common import empty, slices, stored, together
 
 WIDTH = 64
 BUCKET = 64
@@ -59,7 +59,7 @@ def with_fingerprints(df: DataFrame, words: int = 3, text: str = "text", keep: S
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("fingerprint", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_shingled"):
+        for part in slices(batches, -1):
             found = [fingerprint(t, words) for t in part.columns[-1].to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.int64())], names=schema.names)
 
@@ -168,10 +168,11 @@ def near_duplicates(
 
 def first_of_each(df: DataFrame, words: int = 3, bits: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the least id stays."""
-    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    grouped = near_duplicates(rows, words, bits, id_column, text, ["_row", id_column])
+    rows = df.select(together(df, df.columns), df[f"`{id_column}`"].alias("_id"), df[f"`{text}`"].alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = stored(rows, "rows")
+    grouped = near_duplicates(rows, words, bits, "_id", "_text", ["_row", "_id"])
     # A component without any id has none to go by, so there the fingerprint stands for it.
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-    first = F.min(F.struct(F.col(id_column).isNull().alias("last"), F.col(id_column).alias("id"), "_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row"))
     winners = grouped.groupBy(group.alias("group")).agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(winners, "_row", "left_semi").select(*[f"`{c}`" for c in df.columns])
+    return rows.join(winners, "_row", "left_semi").select("_kept.*")

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyroll.llm.common import stored
+from tallyroll.llm.common import stored, together
 
 Rule = tuple[str, str, str]  # verdict, host, path
 SMOOTH = 10.0
@@ -131,7 +131,7 @@ def judge(
     """
     results = ["host", "path", "rule", "verdict", "block_score"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in results]
-    rows = with_features(df.select(*[f"`{c}`" for c in keep], F.col(f"`{url}`").alias("_url")), "_url")
+    rows = with_features(df.select(together(df, keep), F.col(f"`{url}`").alias("_url")), "_url")
     rows = rows.withColumn("_rule", rule_for(rules, F.col("host"), F.col("path")) if rules else F.lit(None).cast("struct<rule:string,verdict:string>"))
     if labelled is None:
         known = rows.filter("_rule is not null").withColumn("label", (F.col("_rule.verdict") == "block").cast("int"))
@@ -147,5 +147,5 @@ def judge(
         scored = model.transform(vectors).withColumn("block_score", vector_to_array("_probability")[1])
     learnt = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     return scored.select(
-        *[f"`{c}`" for c in keep], "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", learnt).alias("verdict"), "block_score"
+        "_kept.*", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", learnt).alias("verdict"), "block_score"
     )

@@ -82,7 +82,7 @@ def write_archives(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in slices(batches, "payload"):
+        for part in slices(batches, 2):
             for r in part.to_pylist():
                 held.append(member(r["id"], r["uri"], r["payload"], r["revisits"], date))
                 size += len(held[-1])
