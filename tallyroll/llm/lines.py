@@ -56,7 +56,8 @@ def without_boilerplate(
     found = boilerplate(lines, min_sites)
     later = lines.join(found, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place"))))
     drops = later.groupBy("row").agg(F.collect_set("place").alias("_drops"))
-    drops = stored(drops.withColumnRenamed("row", "_of"), "drops")
+    # Merged at every size: a broadcast that only small inputs allow would change the plan as they grow.
+    drops = stored(drops.withColumnRenamed("row", "_of"), "drops").hint("merge")
     marked = rows.withColumn("_row", F.xxhash64("_id", "_text")).join(drops, F.col("_row") == F.col("_of"), "left")
     marked = marked.withColumn("_lines", F.when(F.col("_drops").isNotNull(), F.split(F.col("_text").cast("string"), "\n")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drops")
