@@ -14,12 +14,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from array import array
+from collections.abc import Collection, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, types as T
 
 from tallyroll.llm.common import slices
@@ -32,6 +34,7 @@ ODD_SPACE = regex.compile("[\x1c-\x1f]")
 DOUBLE_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 NO_RANK = np.iinfo(np.int64).max
 CACHED = 300_000
+MARKS = ".,;:!?"
 
 
 def byte_letters() -> list[str]:
@@ -151,25 +154,43 @@ def spelled(piece: str, lower: bool) -> str:
 
 
 class Codec:
-    """Encodes and decodes batches of texts; keeps two generations of recent pieces."""
+    """Encodes and decodes batches of texts; keeps two generations of recent pieces.
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    With ``library`` a byte vocabulary's new pieces go to tiktoken one by one instead of the merge rounds,
+    for callers that need ids only and need them fast. The ids are the same.
+    """
+
+    def __init__(self, path: str, library: bool = False):
+        self.vocabulary = v = Vocabulary(path)
+        self.piece_ids = None
+        if library and not v.lower:
+            ranks = {b"".join(map(v.letters.__getitem__, t)): i for i, t in enumerate(v.names) if t and t not in v.special}
+            coder = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.piece_ids = coder.encode_ordinary
+            self.marks = {c: array("I", coder.encode_ordinary(c)).tobytes() for c in MARKS}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make sure that every piece has its ids (as little-endian 32-bit integers) in ``young``."""
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a piece by the library; a mark after a word is a word of its own."""
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            word = self.young.get(piece[:-1]) or self.old.get(piece[:-1])
+            if word is not None:
+                return word + self.marks[piece[-1]]
+        return array("I", self.piece_ids(spelled(piece, False))).tobytes()
+
+    def learn(self, missing: Collection[str]) -> None:
+        """Put the ids of pieces that are not in ``young`` there, as little-endian 32-bit integers."""
         v = self.vocabulary
-        missing = [p for p in pieces if p not in self.young]
         if len(self.young) + len(missing) > CACHED:
             self.old, self.young = self.young, {}
-            missing = list(pieces)
         new, cuts = [], []
         for piece in missing:
             known = self.old.get(piece)
             if known is not None:
                 self.young[piece] = known
+            elif self.piece_ids:
+                self.young[piece] = self.ids_of(piece)
             else:
                 text = spelled(piece, v.lower)
                 found = [text] if text[text[:1] == " " :].isalpha() else v.words.findall(text)
@@ -197,20 +218,25 @@ class Codec:
             if any(s in parts[0] for s in v.special):
                 parts = v.split_special.split(parts[0])
             cut.append([p if p in v.special else pieces_of(p, v.lower) for p in parts])
-        seen: set[str] = set()
+        known, gaps, missing = [], [], set()
         for parts in cut:
             for p in parts:
-                if not isinstance(p, str):
-                    seen.update(p)
-        self.learn(seen)
-        known, skip = self.young, 0 if v.lower else 4  # the line break in front
-        return [
-            b"".join(
-                v.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(known.__getitem__, p))[skip:]
-                for p in parts
-            )
-            for parts in cut
-        ]
+                found = [] if isinstance(p, str) else list(map(self.young.get, p))
+                holes = [i for i, x in enumerate(found) if x is None]
+                missing.update([p[i] for i in holes])
+                known.append(found)
+                gaps.append(holes)
+        self.learn(missing)
+        out, at, skip = [], 0, 0 if v.lower else 4  # the line break in front
+        for parts in cut:
+            whole = []
+            for p, found, holes in zip(parts, known[at : at + len(parts)], gaps[at : at + len(parts)]):
+                for i in holes:
+                    found[i] = self.young[p[i]]
+                whole.append(v.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(found)[skip:])
+            out.append(b"".join(whole))
+            at += len(parts)
+        return out
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids, special tokens kept: names joined by spaces, or bytes where the file names no word ends."""
@@ -230,9 +256,9 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
+def codec(path: str, library: bool = False) -> Codec:
     """One codec for each worker process and vocabulary."""
-    return Codec(path)
+    return Codec(path, library)
 
 
 def encode_decode(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:

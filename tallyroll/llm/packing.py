@@ -49,7 +49,7 @@ def token_pieces(
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, closing = codec(tokenizer), end_id.to_bytes(4, "little")
+        coder, closing = codec(tokenizer, library=True), end_id.to_bytes(4, "little")
         for part in slices(batches, 1):
             row, out = [], ([], [], [], [])
             for i, raw in enumerate(coder.encode(part.column(1).to_pylist())):
@@ -185,7 +185,7 @@ def slots(groups: Sequence[Group]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", buckets: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", buckets: int = 64) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: as few sequences of at most ``size`` as the search finds."""
     spark = pieces.sparkSession
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
