@@ -80,25 +80,29 @@ def current_orders(
     return deltas.groupBy("order_number").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("order_number", "_r.*")
 
 
-def records_of(spark: SparkSession, good: DataFrame) -> DataFrame:
-    """(file, row_number, cells, surplus, unclosed) of all formats.
+def records_of(batch: DataFrame, states: DataFrame) -> DataFrame:
+    """(file, row_number, cells, surplus, unclosed) of the valid files, each by the reader of its format.
 
     Delimited files give their records. Of the others only cells whose name is an order field come into the
     records; a JSON file is one row.
     """
-    kind = S.extension(F.col("file"))
+    spark, kind = batch.sparkSession, S.extension(F.col("file"))
     columns = ["file", "row_number", "cells", "surplus", "unclosed"]
-    large = [r["file"] for r in good.filter(F.col("content").isNull()).select("file").collect()]  # files of one trigger
-    parts = []
+    valid = states.filter("valid")
+    kinds = [r[0] for r in valid.select(kind).distinct().collect()]  # at most as many as there are formats
+    large = [r["file"] for r in valid.filter("large").select("file").collect()]  # files of one trigger
+    good = batch.filter(F.col("content").isNotNull()).join(valid.select("file"), "file", "left_semi").select("file", "content")
+    parts = [spark.createDataFrame([], "file string, row_number bigint, cells map<string,string>, surplus int, unclosed boolean")]
     for ext, sep in (("csv", ","), ("tsv", "\t")):
-        small = good.filter((kind == ext) & F.col("content").isNotNull()).select("file", "content")
-        parts.append(S.delimited_records(small, sep, lower_headers=True).select(columns))
+        if ext in kinds:
+            parts.append(S.delimited_records(good.filter(kind == ext), sep, lower_headers=True).select(columns))
         if paths := [p for p in large if p.lower().endswith(f".{ext}")]:
             parts.append(S.split_records(spark, paths, sep, lower_headers=True).select(columns))
     names = [a for aliases in V.FIELD_ALIASES.values() for a in aliases]
-    for ext in ("txt", "json", "xml", "zip"):
-        small = good.filter((kind == ext) & F.col("content").isNotNull()).select("file", "content")
-        cells = S.READERS[ext](small).filter(F.col("column_name") != S.ERROR)
+    for ext in (k for k in ("txt", "json", "xml", "zip") if k in kinds):
+        cells = S.READERS[ext](good.filter(kind == ext))
+        paths = [p for p in large if p.lower().endswith(f".{ext}")]  # texts only, the others are refused
+        cells = (cells.union(S.SPLIT[ext](spark, paths)) if paths else cells).filter(F.col("column_name") != S.ERROR)
         name = F.lower(F.trim("column_name"))
         found = [F.min(F.when(name == n, F.col("new_value"))) for n in names]
         entries = F.create_map(*[x for n, v in zip(names, found) for x in (F.lit(n), v)])
@@ -134,8 +138,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
     started = batch.select("file")
     write(step(started, 0, F.lit("pending")).union(step(started, 1, F.lit("processing"))), "steps", "/part=0")
     checked = Q.validate_files(batch, "file", "content", "length", splittable=list(S.SPLIT))
-    states = stored(checked.select("file", "arrived", "valid", "errors"), "arrived")
-    rows = H.typed_rows(records_of(spark, checked.filter("valid")), ["surplus", "unclosed"], flags=True)
+    large = F.col("content").isNull() & (F.col("length") > 0)
+    states = stored(checked.select("file", "arrived", "valid", "errors", large.alias("large")), "arrived")
+    rows = H.typed_rows(records_of(batch, states), ["surplus", "unclosed"], flags=True)
     # A member of an archive arrived with its archive.
     source = F.regexp_extract("file", r"(?i)^(.*?\.zip)/", 1)
     rows = stored(rows.withColumn("source", F.when(source != "", source).otherwise(F.col("file"))), "rows")
