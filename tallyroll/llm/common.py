@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroll import session
+from tallyroll.session import stored  # noqa: F401
 
 # Rows in one Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 512
@@ -21,17 +22,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back.
-
-    It cuts the lineage, survives lost executors, and gives later joins two plain inputs whose
-    skewed partitions adaptive execution can split.
-    """
-    path = session.scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def together(df: DataFrame, columns: Sequence[str]) -> Column:
     """Columns that an operator only hands on, as one column, so that their names meet no other."""
     return F.struct(*[df[f"`{c}`"] for c in columns]).alias("_kept")
