@@ -1,12 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every word from both its sides.
 
-The vocabulary comes from word counts over the whole corpus: the most frequent words have an id each, all
-others share hashed ids. The network adds one learnt vector per neighbour and place, squashes the sum, and
-predicts the id in two steps, its group and its place in the group, so probabilities are exact and cheap.
+The vocabulary is every word of the corpus with its count, a table in Spark that grows with the corpus. The
+network works on classes of words: the most frequent words are a class each, all others fall into hashed
+classes, and a word's probability is that of its class times the word's share of the class:
+ln P(word | around) = ln P(class | around) + ln(count(word) / (count(class) + 1)). The one added occurrence is
+kept back for words that the corpus does not hold; such a word counts as UNSEEN occurrences. The network adds one learnt vector per neighbour and place, squashes the sum, and
+predicts the class in two steps, its group and its place in the group, so probabilities are exact and cheap.
 It is trained in numpy on all documents: in each round every task trains on its part of one share of the
 documents, starting from the common weights, and an aggregation averages the tasks' weights by their words.
 What is gathered (word counts, weights per task) grows with the corpus; what reaches the driver is one row
-per frequent word and per weight. A document's score is the sum of ln P(word | two words on each side).
+per class, per weight, and per word with over KNOWN_SHARE of all words, so at most 1 / KNOWN_SHARE. The tasks
+hold the counts of those words, a join brings in the counts of all others; the result is the same wherever
+the line is drawn. A document's score is the sum of ln P(word | two words on each side).
 
 Null and empty texts have no words, score 0 and no mean. Texts are scored as a whole. Words of equal
 frequency rank by their letters. Repeated rows get equal scores; an empty table gives an empty result.
@@ -16,13 +21,15 @@ Columns that carry a result's name give way to it.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyroll.llm.common import slices
+from tallyroll.llm.common import slices, stored
 
 PLACES = (-2, -1, 1, 2)
 GROUPS, MEMBERS, HIDDEN = 16, 32, 16
@@ -30,6 +37,12 @@ SIZE = GROUPS * MEMBERS
 HASHED = 128
 FREQUENT = SIZE - HASHED - 1  # id 0 stands beyond both ends of a text
 BATCH = 8192
+# A word with more than this share of all words has its count in every task.
+KNOWN_SHARE = 2e-6
+# Fixed value: how many occurrences a word counts as that the corpus does not hold.
+UNSEEN = 0.5
+# Distinct words that a task counts before it hands them on.
+COUNTED = 200_000
 SHAPES = {"context": (len(PLACES), SIZE, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_bias": (GROUPS, MEMBERS)}
 LENGTH = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -41,6 +54,13 @@ class Words(dict):
         return 1 + FREQUENT + zlib.crc32(word.encode()) % HASHED
 
 
+class Known(dict):
+    """ln(count) of words whose count is at hand, else NaN."""
+
+    def __missing__(self, word: str) -> float:
+        return np.nan
+
+
 def split(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of the weights in one flat array."""
     out, at = {}, 0
@@ -122,10 +142,18 @@ class Network:
         self.flat -= rate * flat / (np.sqrt(sums) + np.float32(1e-8))
 
 
+def tokens(texts: Sequence[str | None]) -> list[list[str]]:
+    return [(t or "").lower().split() for t in texts]
+
+
 def windows(texts: Sequence[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all words, ids at PLACES around each, and the number of words of each text."""
+    return laid_out(tokens(texts), words)
+
+
+def laid_out(found: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``windows`` of texts that are words already."""
     reach = max(PLACES)
-    found = [(t or "").lower().split() for t in texts]
     sizes = np.array([len(f) for f in found], np.int64)
     line = np.zeros(int(sizes.sum()) + reach * (len(found) + 1), np.int64)
     starts = np.cumsum(sizes + reach) - sizes
@@ -135,10 +163,46 @@ def windows(texts: Sequence[str | None], words: Words) -> tuple[np.ndarray, np.n
     return line[spot], np.stack([line[spot + p] for p in PLACES]), sizes
 
 
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n) of every word of the corpus, the words as they are scored."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        for part in slices(batches, 0, 1_000_000):
+            for found in tokens(part.column(0).to_pylist()):
+                counts.update(found)
+            if len(counts) > COUNTED:
+                yield out()
+                counts.clear()
+        yield out()
+
+    parts = df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(work, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def frequent_words(df: DataFrame, text: str) -> list[str]:
     """The FREQUENT most frequent words of the corpus."""
-    counts = df.select(F.explode(F.split(F.lower(F.col(f"`{text}`").cast("string")), "\\s+")).alias("word")).filter("word != ''").groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(FREQUENT).collect()]
+    return most_frequent(word_counts(df, text))
+
+
+def most_frequent(counts: DataFrame) -> list[str]:
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+
+
+def class_shares(counts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], np.ndarray]:
+    """ln(count) of the common words outside the vocabulary, and ln(count + 1) of every class, 0 where a class is one word."""
+    crc = F.crc32(F.col("word").cast("binary"))
+    own = F.col("word").isin(vocabulary)
+    classes = counts.groupBy(F.pmod(crc, F.lit(HASHED)).alias("class")).agg(F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("hashed"), F.sum("n").alias("n")).collect()
+    totals = np.zeros(SIZE)
+    for r in classes:
+        totals[1 + FREQUENT + r["class"]] = np.log1p(r["hashed"])
+    common = counts.filter(F.col("n") > sum(r["n"] for r in classes) * KNOWN_SHARE).filter(~own)
+    return {r["word"]: float(np.log(r["n"])) for r in common.collect()}, totals
 
 
 def trained(df: DataFrame, text: str, vocabulary: list[str], rounds: int, rate: float) -> np.ndarray:
@@ -170,24 +234,46 @@ def trained(df: DataFrame, text: str, vocabulary: list[str], rounds: int, rate:
 
 
 def score(
-    df: DataFrame, text: str = "text", keep: Sequence[str] | None = None, rounds: int = 2, rate: float = 0.1
+    df: DataFrame, text: str = "text", keep: Sequence[str] | None = None, rounds: int = 2, rate: float = 0.1, corpus: DataFrame | None = None
 ) -> DataFrame:
-    """The columns ``keep`` (default all) with ``n_tokens``, ``log_probability`` and ``mean_log_probability``."""
+    """The columns ``keep`` (default all) with ``n_tokens``, ``log_probability`` and ``mean_log_probability``.
+
+    The model comes from the column ``text`` of ``corpus``, by default of the table itself.
+    """
     results = ["n_tokens", "log_probability", "mean_log_probability"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in results]
-    vocabulary = frequent_words(df, text)
-    flat = trained(df, text, vocabulary, rounds, rate)
-    kept = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias("_scored"))
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_probability", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())]
+    corpus = df if corpus is None else corpus
+    counts = stored(word_counts(corpus, text), "words")
+    vocabulary = most_frequent(counts)
+    common, totals = class_shares(counts, vocabulary)
+    flat = trained(corpus, text, vocabulary, rounds, rate)
+    kept = df.select(*[df[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(keep)], df[f"`{text}`"].cast("string").alias("_scored"))
+    added = [T.StructField("_n", T.LongType()), T.StructField("_log", T.DoubleType()), T.StructField("_rare", T.ArrayType(T.StringType()))]
     schema = T.StructType([*kept.schema.fields[:-1], *added])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network = Words(zip(vocabulary, range(1, FREQUENT + 1))), Network(flat)
+        known = Known(dict.fromkeys(vocabulary, 0.0) | common)
         for part in slices(batches, -1, 1_000_000):
-            ids, around, sizes = windows(part.columns[-1].to_pylist(), words)
-            logs = network.log_probability(ids, around)
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum(sizes)])])
-            means = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), pa.array(np.where(sizes > 0, sums, 0.0)), means], names=schema.names)
-
-    return kept.mapInArrow(work, schema)
+            found = tokens(part.columns[-1].to_pylist())
+            ids, around, sizes = laid_out(found, words)
+            flat_words = list(chain.from_iterable(found))
+            own = np.array(list(map(known.__getitem__, flat_words)), np.float64)
+            rare = np.flatnonzero(np.isnan(own))
+            own[rare] = 0
+            logs = network.log_probability(ids, around) - totals[ids] + own
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[bounds])
+            cuts = pa.array(np.searchsorted(rare, bounds), pa.int32())
+            rest = pa.ListArray.from_arrays(cuts, pa.array([flat_words[i] for i in rare], pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), pa.array(np.where(sizes > 0, sums, 0.0)), rest], names=schema.names)
+
+    # Written once, so that a row keeps its number while the counts of its rare words come in.
+    scored = stored(kept.mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
+    more = rare.groupBy("_row").agg(F.sum(F.log(F.coalesce(F.col("n"), F.lit(UNSEEN)))).alias("_more"))
+    total = F.col("_log") + F.coalesce(F.col("_more"), F.lit(0.0))
+    return scored.drop("_rare").join(more, "_row", "left").select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)],
+        F.col("_n").alias("n_tokens"), total.alias("log_probability"), F.when(F.col("_n") > 0, total / F.col("_n")).alias("mean_log_probability"),
+    )

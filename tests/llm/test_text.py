@@ -344,5 +344,31 @@ def test_scores_prefer_real_word_order(session, docs):
     assert lm.score(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [lm.KNOWN_SHARE, 0.01, 1.0])
+def test_every_word_counts_beyond_the_frequent_ones(session, monkeypatch, share):
+    """Rare words of one hashed class score by their own counts, never-seen ones lowest; the line of the join changes nothing."""
+    monkeypatch.setattr(lm, "KNOWN_SHARE", share)
+    frequent = [f"f{i}" for i in range(lm.FREQUENT)]
+    alike = [w for w in (f"w{i}" for i in range(4000)) if zlib.crc32(w.encode()) % lm.HASHED == 7][:5]
+    often, seldom, gibberish = alike[0], alike[1], alike[4]
+    texts = [" ".join(frequent) for _ in range(9)] + [f"f1 {w} f2" for w in alike[:4] for _ in range(6 if w == often else 2)]
+    corpus = session.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    rows = [(i, f"f1 {w} f2", "en", "s") for i, w in enumerate([often, seldom, gibberish])] + [(3, f"f1 {often} {gibberish} f2", "en", "s")]
+    got = {r["doc_id"]: r["log_probability"] for r in lm.score(session.createDataFrame(rows, DOCS), rounds=1, corpus=corpus).collect()}
+    assert got[0] - got[1] == pytest.approx(np.log(6 / 2), abs=1e-6) and got[1] - got[2] == pytest.approx(np.log(2 / lm.UNSEEN), abs=1e-6)
+    counts = {r["word"]: r["n"] for r in lm.word_counts(corpus, "text").collect()}
+    assert len(counts) == lm.FREQUENT + 4 and counts[often] == 6
+    flat = lm.trained(corpus, "text", vocabulary := lm.frequent_words(corpus, "text"), 1, 0.1)
+    words, network = lm.Words(zip(vocabulary, range(1, lm.FREQUENT + 1))), lm.Network(flat)
+    plain = network.log_probability(*lm.windows([rows[3][1]], words)[:2]).sum() + np.log(6 / 13) + np.log(lm.UNSEEN / 13)
+    assert got[3] == pytest.approx(plain, abs=1e-3)
+
+
+def test_words_are_counted_as_they_are_scored(session, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED", 1)
+    df = session.createDataFrame([(1, "A\u00a0b \u2003B\x1cc", "en", "s"), (2, None, "en", "s"), (3, "b", "en", "s")], DOCS)
+    assert {r["word"]: r["n"] for r in lm.word_counts(df, "text").collect()} == {"a": 1, "b": 3, "c": 1}
+
+
 def test_crc_of_ids_is_unsigned(session):
     assert session.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00"))).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
