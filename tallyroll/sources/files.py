@@ -1,8 +1,9 @@
 """Delivered files to rows.
 
 A file of at most MAX_FILE_BYTES is a bounded unit of work: it is read whole, decoded and split inside the
-JVM, and its row numbers need no shuffle. Larger delimited and text files are scanned in splits, line by
-line, and numbered afterwards; larger files of other formats and unsupported ones give one row that says why.
+JVM, and its row numbers need no shuffle. Larger delimited and text files are scanned in splits and numbered
+afterwards; lines that one record spans are put together, so the rows are the same. A piece up to a line feed
+is the least that is read at once. Larger files of other formats and unsupported ones give one row that says why.
 Every reader takes a frame (file, content) and gives the long cell log
 (file, row_number, column_name, new_value); the column ``error`` of row 0 holds what could not be read.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroll.functions import flatten
 from tallyroll.functions.values import content_hash, normalise_headers
-from tallyroll.operators.spread import row_numbers
+from tallyroll.operators.spread import carry_last, row_numbers, running_sums
 from tallyroll.session import stored
 
 # Supported formats and their mime types.
@@ -130,16 +131,31 @@ def catalogue(files: DataFrame, name: str, content: str, storage: str = "uploads
 def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``encoding`` and ``text``: utf-8 when valid, else cp1251, else latin-1."""
     raw = F.col(content).cast("string")
-    latin = F.decode(F.col(content).cast("binary"), "ISO-8859-1")
-    encoding = (
-        F.when(F.is_valid_utf8(raw), "utf-8").when(~latin.contains("\u0098"), "cp1251").otherwise("iso-8859-1")
-    )
-    text = (
-        F.when(F.col("encoding") == "utf-8", F.regexp_replace(raw, "^\ufeff", ""))
-        .when(F.col("encoding") == "cp1251", F.translate(latin, _LATIN, _CYRILLIC))
-        .otherwise(latin)
+    found = files.withColumn("encoding", _encoding(F.is_valid_utf8(raw), _no_cp1251(content)))
+    return found.withColumn("text", _decoded(content, F.lit(True)))
+
+
+def _latin(content: str) -> Column:
+    return F.decode(F.col(content).cast("binary"), "ISO-8859-1")
+
+
+def _no_cp1251(content: str) -> Column:
+    return _latin(content).contains("\u0098")
+
+
+def _encoding(utf8: Column, no_cp1251: Column) -> Column:
+    return F.when(utf8, "utf-8").when(~no_cp1251, "cp1251").otherwise("iso-8859-1")
+
+
+def _decoded(content: str, first: Column) -> Column:
+    """Text by the column ``encoding``; a mark of the byte order goes where a file begins."""
+    raw = F.col(content).cast("string")
+    return (
+        F.when((F.col("encoding") == "utf-8") & first, F.regexp_replace(raw, "^\ufeff", ""))
+        .when(F.col("encoding") == "utf-8", raw)
+        .when(F.col("encoding") == "cp1251", F.translate(_latin(content), _LATIN, _CYRILLIC))
+        .otherwise(_latin(content))
     )
-    return files.withColumn("encoding", encoding).withColumn("text", text)
 
 
 # ---- delimited text --------------------------------------------------------------------------
@@ -234,29 +250,71 @@ def _by_name(records: DataFrame, sep: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, row_number, encoding, text) of every line, blank ones too; files of any size in splits."""
-    raw = spark.read.text(list(paths)).select(
+    """(file, row_number, encoding, text) of every line, blank ones too; files of any size in splits.
+
+    Lines end at a line feed, and a file has one encoding, as where files are read whole.
+    """
+    raw = spark.read.option("lineSep", "\n").text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("content"),
     )
     # Written once, as the numbering reads the lines several times.
-    lines = row_numbers(stored(raw, "lines"), ["file"], ["_block", "_at"])
-    return decode_text(lines).select("file", "row_number", "encoding", "text")
+    raw = stored(raw, "lines")
+    utf8, other = F.min(F.is_valid_utf8(F.col("content").cast("string"))), F.max(_no_cp1251("content"))
+    kinds = raw.groupBy(F.col("file").alias("_file")).agg(_encoding(utf8, other).alias("encoding"))
+    lines = row_numbers(raw, ["file"], ["_block", "_at"]).join(F.broadcast(kinds), F.col("file") == F.col("_file"))
+    return lines.select("file", "row_number", "encoding", _decoded("content", F.col("row_number") == 1).alias("text"))
 
 
-def split_records(spark: SparkSession, paths: Sequence[str], sep: str = ",", lower_headers: bool = False) -> DataFrame:
-    """What ``delimited_records`` gives, for files too large to read whole.
+def _opens(line: Column, sep: str) -> Column:
+    """Whether a line that begins with a field ends inside a quoted one."""
+    mark = _mark(sep)
+    field = f'(?:{QUOTED}[^{mark}\\r]*+|(?!")[^{mark}\\r]*+)'
+    return line.contains('"') & line.rlike(f'^(?:{field}[{mark}\\r])*+"[^"]*+(?:""[^"]*+)*+\\z')
+
 
-    Every line is a record: a quoted line break shows as an unclosed quote. Row numbers count lines.
+def line_groups(lines: DataFrame, sep: str) -> DataFrame:
+    """The numbered lines with ``_group``: lines joined by line breaks inside quotes have the same.
+
+    A line turns the state before it (inside quotes or not) into one after it. It keeps it, swaps it, or sets
+    it whatever it was; so the state is what the last setting line gave, swapped by the lines since. A quote
+    that no later line closes spans nothing: from the line that opens it, lines stand alone.
     """
-    lines = stored(numbered_lines(spark, paths), "lines")
-    names = lines.filter(F.col("row_number") == 1).select(
-        F.col("file").alias("_file"), _header_names(_unquoted(_fields(F.col("text"), sep)), lower_headers).alias("_names")
+    known = lines.withColumns({"_out": _opens(F.col("text"), sep), "_in": _opens(F.concat(F.lit('"'), "text"), sep)})
+    known = known.withColumns({"_swap": (F.col("_out") & ~F.col("_in")).cast("int"), "_sets": F.col("_out") == F.col("_in")})
+    summed = running_sums(known, ["file"], ["row_number"], {"_swaps": "_swap"})
+    odd = F.col("_swaps") % 2
+    # What the state would be without the swaps so far.
+    summed = summed.withColumn("_base", F.when(F.col("_sets"), F.col("_out").cast("int").bitwiseXOR(odd.cast("int"))))
+    states = carry_last(summed, ["file"], "row_number", ["_base"])
+    states = states.withColumn("_inside", F.coalesce("_base", F.lit(0)).bitwiseXOR(odd.cast("int")) == 1)
+    # A line that ends inside quotes opened them if it swaps, or if it would first close earlier ones.
+    closes = F.concat(F.lit('"'), "text").rlike(f"^{QUOTED}")
+    opening = F.when(F.col("_inside") & ((F.col("_swap") == 1) | closes), F.col("row_number"))
+    states = stored(states.withColumn("_opening", opening), "states")
+    ends = states.groupBy(F.col("file").alias("_file")).agg(
+        F.when(F.max_by("_inside", "row_number"), F.max("_opening")).alias("_open_from")
+    )
+    marked = states.join(F.broadcast(ends), F.col("file") == F.col("_file"), "left").withColumn(
+        "_end", (~F.col("_inside") | F.coalesce(F.col("row_number") >= F.col("_open_from"), F.lit(False))).cast("int")
     )
-    body = lines.filter((F.col("row_number") > 1) & (F.col("text") != "")).join(names, F.col("file") == F.col("_file"))
-    return _by_name(
-        body.select("file", "encoding", "_names", (F.col("row_number") - 1).alias("row_number"), F.col("text").alias("_record")), sep
+    marked = marked.select("file", "row_number", "encoding", "text", "_end")
+    return running_sums(marked, ["file"], ["row_number"], {"_ends": "_end"}).withColumn("_group", F.col("_ends") - F.col("_end"))
+
+
+def split_records(spark: SparkSession, paths: Sequence[str], sep: str = ",", lower_headers: bool = False) -> DataFrame:
+    """What ``delimited_records`` gives, for files too large to read whole."""
+    grouped = line_groups(stored(numbered_lines(spark, paths), "lines"), sep)
+    ordered = F.array_sort(F.collect_list(F.struct("row_number", "text")))
+    texts = grouped.groupBy("file", "encoding", "_group").agg(F.array_join(ordered["text"], "\n").alias("_text"))
+    records = F.regexp_extract_all(F.col("_text"), F.lit(_record_pattern(sep)), F.lit(0))
+    found = texts.select("file", "encoding", "_group", F.posexplode(records).alias("_place", "_record"))
+    rows = stored(row_numbers(found, ["file"], ["_group", "_place"]), "records")
+    names = rows.filter(F.col("row_number") == 1).select(
+        F.col("file").alias("_file"), _header_names(_unquoted(_fields(F.col("_record"), sep)), lower_headers).alias("_names")
     )
+    body = rows.filter(F.col("row_number") > 1).join(names, F.col("file") == F.col("_file"))
+    return _by_name(body.select("file", "encoding", "_names", (F.col("row_number") - 1).alias("row_number"), "_record"), sep)
 
 
 def record_cells(records: DataFrame) -> DataFrame:

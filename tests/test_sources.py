@@ -1,6 +1,7 @@
 """Files on disk: encodings, quoting, nested formats, archives, validation."""
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -122,6 +123,35 @@ def test_files_beyond_the_limit(spark, tmp_path, monkeypatch):
     assert [x for x in split if x[0] == "c.json"] == [("c.json", 0, "error", "file too large")]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_files_give_the_records_of_small_ones(spark, tmp_path, monkeypatch, end):
+    """Line breaks inside quotes, blank lines, one encoding per file, whichever reader takes a file."""
+    rnd = random.Random(3)
+    pieces = ['"', '""', '"x"', ",", ",", end, end, "a", '5" b', '"two' + end + 'lines"', "c"]
+    for i in range(12):
+        (tmp_path / f"r{i}.csv").write_bytes((f"h,i,j{end}" + "".join(rnd.choices(pieces, k=120)) + end).encode())
+    (tmp_path / "a.csv").write_bytes((end + f'id,text{end}1,"two{end}{end}lines"{end}{end}2,"a ""b{end}c"" d"{end}3,x{end}').encode())
+    (tmp_path / "open.csv").write_bytes(f'id,text{end}1,"a{end}b"{end}2,"open{end}3,"",{end}4,x{end}'.encode())
+    (tmp_path / "ru.csv").write_bytes(f"id,text{end}1,plain{end}2,Привет{end}".encode("cp1251"))
+    (tmp_path / "latin.tsv").write_bytes(f"id\ttext{end}1\té{end}2\t".encode("latin-1") + b"\x98" + end.encode())
+    sizes = [S.binary_files(spark, str(tmp_path), k) for k in ("csv", "tsv")]
+    columns = ["file", "encoding", "row_number", "cells", "surplus", "unclosed"]
+
+    def rows(df):
+        return sorted((r.file.split("/")[-1], *r[1:3], sorted(r.cells.items()), *r[4:]) for r in df.select(columns).collect())
+
+    whole = [rows(S.delimited_records(f, sep)) for f, sep in zip(sizes, ",\t")]
+    monkeypatch.setattr(S, "MAX_FILE_BYTES", 5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    try:
+        split = [rows(S.split_records(spark, S.large_files(spark, str(tmp_path), k), sep)) for k, sep in (("csv", ","), ("tsv", "\t"))]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert split == whole
+    assert [r[2:4] for r in whole[0] if r[0] == "a.csv"][0] == (1, [("id", "1"), ("text", f"two{end}{end}lines")])
+    assert {r[1] for r in whole[1]} == {"iso-8859-1"} and any(r[5] for r in whole[0] if r[0] == "open.csv")
+
+
 @pytest.mark.parametrize(
     "text,rows",
     [
