@@ -20,10 +20,17 @@ def result(t, stream, label):
     return to_parquet(stream, scratch_dir(t.spark, label))
 
 
-def all_windows(t, stream, time, build, label):
-    """The result of ``build`` over a stream with every window closed: what is there, then a clock tick."""
-    folder = scratch_dir(t.spark, label)
-    return to_parquet(build(with_clock(stream, folder)), folder, lambda: tick(stream, time, folder))
+def whole_delay(t, name, time):
+    """A delay by which no row of a table is late, in whatever order its files arrive: the time it spans."""
+    low, high = getattr(t, name).agg(F.min(time), F.max(time)).first()
+    return f"{int((high - low).total_seconds()) + 1 if low else 0} seconds"
+
+
+def all_windows(t, name, time, build, label):
+    """The result of ``build`` over a table's stream with every window closed: what is there, then a clock tick."""
+    folder, stream = scratch_dir(t.spark, label), getattr(streams(t), name)
+    built = build(with_clock(stream, folder), delay=whole_delay(t, name, time))
+    return to_parquet(built, folder, lambda: tick(stream, time, folder))
 
 
 # ---- log parsing on batches --------------------------------------------------------------------
@@ -158,7 +165,7 @@ def snk_6(t):
     GROUP BY date_trunc('minute', seen_at), method, endpoint""",
 )
 def str_4(t):
-    return all_windows(t, streams(t).requests, "seen_at", S.request_rates, "rates")
+    return all_windows(t, "requests", "seen_at", S.request_rates, "rates")
 
 
 @query(
@@ -169,7 +176,7 @@ def str_4(t):
 )
 def str_4_histogram(t):
     bounds = {"le_10": 10, "le_100": 100}
-    return all_windows(t, streams(t).requests, "seen_at", partial(S.duration_rates, bounds=bounds), "durations")
+    return all_windows(t, "requests", "seen_at", partial(S.duration_rates, bounds=bounds), "durations")
 
 
 @query(
@@ -181,7 +188,7 @@ def str_4_histogram(t):
     GROUP BY w HAVING count(*) FILTER (status >= 500) > count(*) * 0.05 OR max(duration_ms) > 400""",
 )
 def str_5(t):
-    return all_windows(t, streams(t).requests, "seen_at", partial(S.alerts, slow_ms=400.0), "alerts")
+    return all_windows(t, "requests", "seen_at", partial(S.alerts, slow_ms=400.0), "alerts")
 
 
 # The fixed limits, brought down to the rate of these tables' clients.
@@ -206,19 +213,19 @@ def _limit_sql(unit, limit, service):
 def str_6(t):
     columns = ["unit", "window_start", "service", "client", "requests", "excess"]
 
-    def both(requests):
-        everywhere = S.over_limits(requests, GLOBAL_LIMITS).withColumn("service", F.lit("all"))
-        return everywhere.select(columns).union(S.service_limits(requests, SERVICE_LIMITS).select(columns))
+    def both(requests, delay):
+        everywhere = S.over_limits(requests, GLOBAL_LIMITS, delay=delay).withColumn("service", F.lit("all"))
+        return everywhere.select(columns).union(S.service_limits(requests, SERVICE_LIMITS, delay=delay).select(columns))
 
-    return all_windows(t, streams(t).requests, "seen_at", both, "limits")
+    return all_windows(t, "requests", "seen_at", both, "limits")
 
 
 # ---- keyed state -------------------------------------------------------------------------------
 
-def counted_stream(t, stream, build, label):
+def counted_stream(t, name, build, label):
     """Counts per client and second, as a stream of the files that the counting query wrote."""
-    folder = scratch_dir(t.spark, label)
-    counts = to_parquet(build(with_clock(stream, folder)), folder, lambda: tick(stream, "seen_at", folder))
+    folder, stream = scratch_dir(t.spark, label), getattr(streams(t), name)
+    counts = to_parquet(build(with_clock(stream, folder), delay=whole_delay(t, name, "seen_at")), folder, lambda: tick(stream, "seen_at", folder))
     return t.spark.readStream.schema(counts.schema).parquet(f"{folder}/out")
 
 
@@ -236,7 +243,7 @@ ANCHORED_SQL = """WITH RECURSIVE points AS (SELECT client, epoch(seen_at)::bigin
 
 @query("str_7_anchored_limit", ANCHORED_SQL)
 def str_7(t):
-    counted = counted_stream(t, streams(t).requests, M.request_seconds, "request-seconds")
+    counted = counted_stream(t, "requests", M.request_seconds, "request-seconds")
     return result(t, M.anchored_limit(counted, 2, 86400), "anchored")
 
 
@@ -259,7 +266,7 @@ BRUTE_SQL = """WITH RECURSIVE points AS (SELECT client, epoch(seen_at)::bigint A
 
 @query("str_8_brute_force", BRUTE_SQL)
 def str_8(t):
-    counted = counted_stream(t, streams(t).logins, M.login_seconds, "login-seconds")
+    counted = counted_stream(t, "logins", M.login_seconds, "login-seconds")
     return result(t, M.brute_force(counted, 2, 172800), "brute-force")
 
 
@@ -272,7 +279,7 @@ def str_8(t):
         count(*) AS requests FROM y GROUP BY client, g""",
 )
 def str_9(t):
-    return all_windows(t, streams(t).requests, "seen_at", S.activity_sessions, "sessions")
+    return all_windows(t, "requests", "seen_at", S.activity_sessions, "sessions")
 
 
 @query(
@@ -281,7 +288,7 @@ def str_9(t):
     FROM {access_sessions} GROUP BY time_bucket(INTERVAL '5' MINUTE, expires_at)""",
 )
 def str_9_cleanup(t):
-    return all_windows(t, streams(t).access_sessions, "expires_at", S.cleanup_ticks, "cleanup")
+    return all_windows(t, "access_sessions", "expires_at", S.cleanup_ticks, "cleanup")
 
 
 @query("str_10_dedup", "SELECT DISTINCT sha256(content) AS content_hash FROM {file_entries}")
@@ -303,7 +310,7 @@ def str_11(t):
     events = streams(t).events
     purchases = events.filter(F.col("event_type") == "purchase")
     clicks = events.filter(F.col("event_type") == "click")
-    return result(t, S.interval_matches(purchases, clicks), "matches")
+    return result(t, S.interval_matches(purchases, clicks, delay=whole_delay(t, "events", "ts")), "matches")
 
 
 # ---- incremental ingest ------------------------------------------------------------------------

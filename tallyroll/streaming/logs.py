@@ -54,10 +54,10 @@ def timed(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return requests.withColumn("time", F.col("seen_at").cast("timestamp")).withWatermark("time", delay)
 
 
-def request_rates(requests: DataFrame, size: str = "1 minute") -> DataFrame:
+def request_rates(requests: DataFrame, size: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Requests, total and slowest duration per window, method and endpoint."""
     return (
-        timed(requests)
+        timed(requests, delay)
         .groupBy(F.window("time", size), "method", "endpoint")
         .agg(
             count_rows().alias("requests"),
@@ -68,10 +68,10 @@ def request_rates(requests: DataFrame, size: str = "1 minute") -> DataFrame:
     )
 
 
-def duration_rates(requests: DataFrame, bounds: Mapping[str, float], size: str = "1 hour") -> DataFrame:
+def duration_rates(requests: DataFrame, bounds: Mapping[str, float], size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Cumulative duration histogram per window, one column per bound (in milliseconds)."""
     return (
-        timed(requests)
+        timed(requests, delay)
         .groupBy(F.window("time", size))
         .agg(*[F.count_if(F.col("duration_ms") <= b).alias(n) for n, b in bounds.items()], count_rows().alias("requests"))
         .select(F.col("window.start").alias("window_start"), *bounds, "requests")
@@ -79,12 +79,13 @@ def duration_rates(requests: DataFrame, bounds: Mapping[str, float], size: str =
 
 
 def alerts(
-    requests: DataFrame, size: str = "5 minutes", slide: str = "1 minute", share: float = ERROR_SHARE, slow_ms: float = SLOW_MS
+    requests: DataFrame, size: str = "5 minutes", slide: str = "1 minute", share: float = ERROR_SHARE, slow_ms: float = SLOW_MS,
+    delay: str = "10 minutes",
 ) -> DataFrame:
     """Sliding windows with too many failures or a slow answer."""
     failed = F.count_if(F.col("status") >= 500)
     return (
-        timed(requests)
+        timed(requests, delay)
         .groupBy(F.window("time", size, slide))
         .agg(count_rows().alias("requests"), failed.alias("failures"), F.max("duration_ms").alias("slowest_ms"))
         .withColumn("error_share", F.round(F.col("failures") / F.col("requests"), 4))
@@ -98,12 +99,12 @@ def alerts(
     )
 
 
-def over_limits(requests: DataFrame, limits: Mapping[str, int] = GLOBAL_LIMITS, by: Sequence[str] = ("client",)) -> DataFrame:
+def over_limits(requests: DataFrame, limits: Mapping[str, int] = GLOBAL_LIMITS, by: Sequence[str] = ("client",), delay: str = "10 minutes") -> DataFrame:
     """Calendar windows in which a client, or a client of a service, exceeds the limit of that window size."""
     out = None
     for unit, limit in limits.items():
         part = (
-            timed(requests)
+            timed(requests, delay)
             .groupBy(F.window("time", f"1 {unit}"), *by)
             .agg(count_rows().alias("requests"))
             .filter(F.col("requests") > limit)
@@ -116,10 +117,10 @@ def over_limits(requests: DataFrame, limits: Mapping[str, int] = GLOBAL_LIMITS,
     return out
 
 
-def service_limits(requests: DataFrame, limits: Mapping[str, int] = SERVICE_LIMITS) -> DataFrame:
+def service_limits(requests: DataFrame, limits: Mapping[str, int] = SERVICE_LIMITS, delay: str = "10 minutes") -> DataFrame:
     """The same per service and client; the service is the path's part after the version."""
     service = F.regexp_extract("endpoint", r"^/api/v\d+/([^/?]+)", 1)
-    return over_limits(requests.withColumn("service", service), limits, ["service", "client"])
+    return over_limits(requests.withColumn("service", service), limits, ["service", "client"], delay)
 
 
 def interval_matches(purchases: DataFrame, clicks: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
@@ -145,13 +146,13 @@ def interval_matches(purchases: DataFrame, clicks: DataFrame, minutes: int = 30,
     )
 
 
-def activity_sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
+def activity_sessions(requests: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Activity sessions per client: a pause longer than ``gap`` ends one.
 
     The runner has sessions merge inside each task before the shuffle, which keeps a busy client cheap.
     """
     return (
-        timed(requests)
+        timed(requests, delay)
         .groupBy(F.session_window("time", gap), "client")
         .agg(count_rows().alias("requests"))
         .select(

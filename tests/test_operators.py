@@ -9,8 +9,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tallyroll.operators import analytics as A, filters as P, history as H, quality as Q, reconcile as R, relations as J, spread
+from tallyroll.plans import run
 from tallyroll.sinks import exports as X
-from tallyroll.streaming import limits as M
+from tallyroll.streaming import limits as M, runs
 from tallyroll.streaming.runs import tick, to_parquet, with_clock
 
 SNAPSHOT = "order_number string, machine_code string, order_price decimal(12,2), payment_type string, match_status string"
@@ -236,6 +237,20 @@ def stream_of(spark, tmp_path, waves, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
 
 
+@pytest.mark.parametrize("name", ["str_9_cleanup", "str_7_anchored_limit", "str_11_interval_join"])
+def test_files_out_of_order_in_several_batches(spark, tmp_path, monkeypatch, name):
+    """The latest events arrive first, a file a batch; no row is late."""
+    rows = [(i, at(60 * i + i % 7), i % 5, ["signup", "purchase", "click", "view"][i % 4], float(i % 50)) for i in range(1200)]
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    events.coalesce(1).write.parquet(f"{whole}/events.parquet")
+    for low in (800, 400, 0):
+        events.filter(F.col("event_id").between(low, low + 399)).coalesce(1).write.mode("append").parquet(f"{parts}/events.parquet")
+    want = sorted(tuple(r) for r in run(name, spark, whole).collect())
+    monkeypatch.setattr(runs, "BYTES_PER_TRIGGER", "1")
+    assert sorted(tuple(r) for r in run(name, spark, parts).collect()) == want and len(want) > 10
+
+
 def at(second):
     return datetime(2024, 1, 1) + timedelta(seconds=second)
 
