@@ -9,10 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroll import session
-from tallyroll.session import stored  # noqa: F401
+from tallyroll.operators.spread import join_dimension
+from tallyroll.session import stored
 
 # Rows in one Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 512
+# A table with one row per group is broadcast up to so many rows and bytes of its keys.
+GROUP_ROWS, GROUP_BYTES = 20_000, 4_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,6 +30,19 @@ def together(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.struct(*[df[f"`{c}`"] for c in columns]).alias("_kept")
 
 
+def beside_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The rows with the columns of their group; ``groups`` is a stored table of numbers, unique on its key.
+
+    The key is a struct of names. Few groups are broadcast, so the rows stay where they are; beyond the bounds
+    the rows are dealt by key and salt, so that no group meets in one task. Rows without a group go.
+    """
+    names = [F.octet_length(f"{key}.{f.name}") for f in groups.schema[key].dataType if f.dataType.typeName() == "string"]
+    n, size = groups.agg(F.count(F.lit(1)), F.sum(sum(names, F.lit(0)))).first()
+    if n <= GROUP_ROWS and (size or 0) <= GROUP_BYTES:
+        return rows.join(F.broadcast(groups), key)
+    return join_dimension(rows, groups, key, how="inner")
+
+
 def empty(df: DataFrame) -> bool:
     """True if a stored table has no row."""
     return not df.take(1)
