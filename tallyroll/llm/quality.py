@@ -1,14 +1,17 @@
 """Quality rules: counts of every text, fixed base rules, and robust multivariate outliers.
 
 Per language and source the minimum-covariance-determinant estimate (centre and scatter of the least
-spread three quarters of the documents) is found by concentration steps. Each step is one aggregation:
-documents are pre-aggregated by group and distance bucket, so a source that holds a third of all rows is
-summed map-side and no group meets in one task. Statistics are rounded to whole 1/4096, and sums of whole
-numbers do not depend on their order, so neither do the verdicts.
+spread three quarters of the documents) is found by concentration steps, until no group's scatter
+changes any more.
+Each step is one aggregation: the groups' estimates go to the documents (broadcast up to a stated size,
+salted beyond it), and documents are summed by group and distance bucket before anything is dealt by group.
+Statistics are rounded to whole 1/4096, and sums of whole numbers do not depend on their order, so neither
+do the verdicts.
 
 Only DataFrame functions are used. Null text counts as empty; null language or source counts as an empty
-name. Sources with few documents of a language share one estimate; if even those are few, the base rules
-alone decide. Repeated rows are judged each for itself. An empty table gives an empty result. Columns of the
+name. Sources with few documents of a language share one estimate; languages whose shared documents are few
+share one over all such languages, however many documents that has, where the least spreads keep the
+scatter regular. So every document past the base rules has a distance. Repeated rows are judged each for itself. An empty table gives an empty result. Columns of the
 input that carry a result's name give way to it.
 """
 
@@ -20,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyroll.llm.common import stored, together
+from tallyroll.llm.common import beside_groups, empty, stored, together
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -30,6 +33,8 @@ SPREADS = {"word_length": 0.05, "symbols": 0.10, "capitals": 0.08, "marks": 0.08
 UNIT = 4096
 SHARE = 0.75
 MIN_WORDS = 50
+# Buckets per unit of the squared distance's logarithm.
+BUCKETS = 32
 
 
 def gamma_share(a: float, x: float) -> float:
@@ -144,6 +149,25 @@ def with_factor(sums: DataFrame, keys: Sequence[str], scale: float) -> DataFrame
     return out.drop(*[f"_c{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
+def log_volume() -> Column:
+    """Logarithm of the scatter's determinant."""
+    return reduce(lambda a, b: a + b, [2 * F.log(f"_l{i}{i}") for i in range(len(SPREADS))])
+
+
+def grouped(scored: DataFrame, min_group: int) -> DataFrame:
+    """The group of every language and source: (_names, _lang, _group), stored.
+
+    The source itself, the language's few or, where those are below ``min_group`` too, all few.
+    """
+    sizes = scored.groupBy("_names").agg(F.count(F.lit(1)).alias("_size"))
+    small = F.col("_size") < min_group
+    sizes = stored(sizes.withColumn("_lang", F.col("_names.lang")), "sizes")
+    few = sizes.filter(small).groupBy("_lang").agg((F.sum("_size") < min_group).alias("_lone"))
+    own = sizes.join(few, "_lang", "left").withColumn("_lone", small & F.coalesce("_lone", F.lit(False)))
+    group = F.when(F.col("_lone"), "all").when(small, "few").otherwise(F.concat(F.lit("="), "_names.source"))
+    return stored(own.select("_names", F.struct(F.when(F.col("_lone"), "").otherwise(F.col("_lang")).alias("lang"), group.alias("name")).alias("_group")), "groups")
+
+
 def closest(buckets: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Sums over the nearest SHARE of each group, from rows per (group, distance bucket)."""
     up_to = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,39 +209,43 @@ def judge(
     lang: str = "lang",
     source: str = "source",
     keep: Sequence[str] | None = None,
-    steps: int = 4,
+    steps: int = 20,
     min_group: int = 200,
     confidence: float = 1 - 1e-5,
 ) -> DataFrame:
     """The columns ``keep`` (default all) with the counts, ``base_failed``, ``distance`` and ``kept``.
 
-    ``steps`` is the number of concentration steps. Groups below ``min_group`` rows are pooled by language.
-    ``distance`` is null where no estimate applies.
+    Concentration steps end when no group's log determinant moves by more than the width of a distance bucket,
+    below which a few documents on the edge may go back and forth, or after ``steps``. Groups below ``min_group``
+    rows are pooled. ``distance`` is null for documents that fail the base rules.
     """
     d = len(SPREADS)
     results = [*COUNTS, "base_failed", "distance", "kept"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in results]
-    names = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "_lang"), (source, "_source"))]
-    rows = counted(df.select(together(df, keep), *names, F.col(f"`{text}`").alias("_text")), "_text").withColumn("base_failed", base_failed())
-    rows = stored(rows.select("_kept", "_lang", "_source", *COUNTS, "base_failed", *statistics()), "quality")
+    names = F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))])
+    rows = counted(df.select(together(df, keep), names.alias("_names"), F.col(f"`{text}`").alias("_text")), "_text").withColumn("base_failed", base_failed())
+    rows = stored(rows.select("_kept", "_names", *COUNTS, "base_failed", *statistics()), "quality")
     x = [f"_x{i}" for i in range(d)]
-    scored = rows.filter(~F.col("base_failed")).select("_lang", "_source", *x)
-    sizes = scored.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_size"))
-    own = stored(sizes.withColumn("_group", F.when(F.col("_size") >= min_group, F.concat(F.lit("="), "_source")).otherwise(F.lit("few"))).drop("_size"), "groups")
-    keys = ["_lang", "_group"]
-    scored = scored.join(own, ["_lang", "_source"]).select(*keys, *x)
+    scored = rows.filter(~F.col("base_failed")).select("_names", *x)
+    own = grouped(scored, min_group)
+    keys = ["_group"]
+    scored = beside_groups(scored, own, "_names").select("_group", *x)
 
     sums = {"_n": F.count(F.lit(1))} | {f"_s{i}": F.sum(x[i]) for i in range(d)}
     sums |= {f"_p{i}{j}": F.sum((F.col(x[i]) * F.col(x[j])).cast("decimal(20,0)")) for i in range(d) for j in range(i + 1)}
     scale = SHARE / gamma_share(d / 2 + 1, chi_square(d, SHARE) / 2)
     model = stored(start(scored, keys), "model")
     for _ in range(steps):
-        bucket = F.floor(F.log(distance(d) + 1e-6) * 32).cast("int").alias("_bucket")
-        near = scored.join(model, keys).select(*keys, *x, bucket).groupBy(*keys, "_bucket").agg(*[c.alias(n) for n, c in sums.items()])
-        model = stored(with_factor(closest(near, keys, [n for n in sums if n != "_n"]), keys, scale), "model")
-    big = own.join(scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") >= min_group).drop("_size"), keys)
-    model = stored(big.join(model, keys).drop("_group"), "model")
-    verdict = rows.join(model, ["_lang", "_source"], "left")
-    verdict = verdict.withColumn("distance", F.sqrt(distance(d)))
-    far = F.coalesce(F.col("distance") > math.sqrt(chi_square(d, confidence)), F.lit(False))
-    return verdict.withColumn("kept", ~F.col("base_failed") & ~far).select("_kept.*", *results)
+        bucket = F.floor(F.log(distance(d) + 1e-6) * BUCKETS).cast("int").alias("_bucket")
+        near = beside_groups(scored, model, "_group").select("_group", *x, bucket).groupBy("_group", "_bucket").agg(*[c.alias(n) for n, c in sums.items()])
+        last, model = model, stored(with_factor(closest(near, keys, [n for n in sums if n != "_n"]), keys, scale), "model")
+        moved = model.select("_group", log_volume().alias("_new")).join(last.select("_group", log_volume().alias("_old")), "_group")
+        if empty(moved.filter(F.abs(F.col("_new") - F.col("_old")) > 1 / BUCKETS)):
+            break
+    model = stored(own.join(model, "_group").drop("_group"), "model")
+    # Documents that fail the base rules have no statistics, and their names may have no estimate.
+    passed = beside_groups(rows.filter(~F.col("base_failed")), model, "_names").withColumn("distance", F.sqrt(distance(d)))
+    passed = passed.select("_kept", *COUNTS, "base_failed", "distance")
+    failed = rows.filter("base_failed").select("_kept", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"))
+    kept = F.coalesce(F.col("distance") <= math.sqrt(chi_square(d, confidence)), F.lit(False)).alias("kept")
+    return passed.unionByName(failed).select("_kept.*", *results[:-1], kept)
