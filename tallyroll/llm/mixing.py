@@ -7,7 +7,7 @@ those that come first in a seeded order; the document on the edge repeats in par
 its target to the word.
 
 The seeded order is a hash of the id. Sizes are summed per source and bucket of the hash, which finds the
-bucket of the edge; only that bucket's documents, about one in 65,536, are put into order, by ranges that Spark
+bucket of the edge; only that bucket's documents, about one in a thousand, are put into order, by ranges that Spark
 cuts, so neither a source with a third of all rows nor an id that fills one meets in one task.
 
 Only DataFrame functions are used. Null text has no words, a null source is a source of its own, and null ids
@@ -28,7 +28,7 @@ from tallyroll.operators.spread import row_numbers, running_sums
 WORD = "[^\\x20\\x09-\\x0D]+"
 RESULTS = ("size", "source_size", "target", "repeats", "part_words", "taken")
 # Bits of the hash, and those that number its buckets.
-HASH_BITS, BUCKET_BITS = 60, 16
+HASH_BITS, BUCKET_BITS = 60, 10
 
 
 def seeded(seed: int, doc_id: Column) -> Column:
