@@ -206,9 +206,21 @@ def compare_keys(stored: DataFrame, incoming: DataFrame, key: str = "order_numbe
     )
 
 
-def partial_update(stored: DataFrame, incoming: DataFrame, key: str = "order_number", fields: Sequence[str] = COMPARED) -> DataFrame:
-    """Stored rows with only the non-null incoming fields written over."""
-    news = incoming.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+def last_value(column: str, order: Sequence[str]) -> Column:
+    """Aggregate: the last non-null value in the order; rows that tie in it give the greatest value."""
+    value = F.col(column)
+    return F.max_by(value, F.when(value.isNotNull(), F.struct(*order, value)))
+
+
+def partial_update(
+    stored: DataFrame, incoming: DataFrame, key: str = "order_number", fields: Sequence[str] = COMPARED, order: Sequence[str] = ()
+) -> DataFrame:
+    """Stored rows with only the non-null incoming fields written over.
+
+    Several incoming rows of a key count as written one after the other in ``order``: the last non-null value
+    of each field stays, so every stored row comes out once. A null key meets nothing.
+    """
+    news = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(*[last_value(f, order).alias(f"_{f}") for f in fields])
     return (
         stored.join(news, key, "left")
         .withColumns({f: F.coalesce(f"_{f}", f) for f in fields})
@@ -219,20 +231,37 @@ def partial_update(stored: DataFrame, incoming: DataFrame, key: str = "order_num
 # ---- maintenance -------------------------------------------------------------------------------
 
 
-def apply_status(rows: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
-    """Status updates by id, with the start or finish time the status calls for."""
+def apply_status(rows: DataFrame, updates: DataFrame, as_of: Column, order: Sequence[str] = ()) -> DataFrame:
+    """Status updates by id, with the start or finish time the status calls for.
+
+    Several updates of an id are applied one after the other in ``order`` (ties: the greatest status): the last
+    status and the last message stay. A time is written only by the statuses that call for it; all else, also
+    what an id without updates has, keeps its earlier value. Every row comes out once.
+    """
     now = as_of.cast("timestamp_ntz")
-    new = updates.select("id", F.col("status").alias("_status"), F.col("error_message").alias("error_message"))
+    started, finished = F.col("status") == "processing", F.col("status").isin("completed", "failed")
+    new = updates.filter(F.col("id").isNotNull()).groupBy("id").agg(
+        last_value("status", order).alias("_status"),
+        last_value("error_message", order).alias("_message"),
+        F.coalesce(F.bool_or(started), F.lit(False)).alias("_started"),
+        F.coalesce(F.bool_or(finished), F.lit(False)).alias("_finished"),
+    )
+    have = set(rows.columns)
+
+    def earlier(name: str, kind: str) -> Column:
+        return F.col(name) if name in have else F.lit(None).cast(kind)
+
     return (
         rows.join(new, "id", "left")
         .withColumns(
             {
-                "processing_started_at": F.when(F.col("_status") == "processing", now),
-                "processing_finished_at": F.when(F.col("_status").isin("completed", "failed"), now),
+                "error_message": F.coalesce("_message", earlier("error_message", "string")),
+                "processing_started_at": F.when(F.col("_started"), now).otherwise(earlier("processing_started_at", "timestamp_ntz")),
+                "processing_finished_at": F.when(F.col("_finished"), now).otherwise(earlier("processing_finished_at", "timestamp_ntz")),
                 "processing_status": F.coalesce("_status", "processing_status"),
             }
         )
-        .drop("_status")
+        .drop("_status", "_message", "_started", "_finished")
     )
 
 

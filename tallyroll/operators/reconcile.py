@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyroll.operators.filters import present
+from tallyroll.operators.spread import carry_last, join_dimension, row_numbers
+from tallyroll.session import stored
 
 TOLERANCE = 0.01
+# A block of time is so many matching windows long; a point of up to so many rows is ranked as one group.
+BLOCK_WINDOWS, CROWDED = 48, 1000
 
 
 def reconcile(sources: Mapping[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
@@ -59,68 +67,294 @@ def reconcile(sources: Mapping[str, DataFrame], tolerance: float = TOLERANCE) ->
     )
 
 
-def matched_source(orders: DataFrame, payments: DataFrame, numbers: DataFrame, minutes: int = 5) -> DataFrame:
-    """Payments without an order number as a source (order_number, amount, seen_at), by their nearest order.
+def matched_source(orders: DataFrame, payments: DataFrame, lanes: Sequence[str], minutes: int = 5) -> dict[str, DataFrame]:
+    """Payments without an order number as sources (order_number, amount, seen_at), by stable matching.
 
-    ``numbers`` gives (id, order_number) of the orders.
+    ``orders`` are (id, order_number, amount, seen_at), ``payments`` (id, lane, amount, seen_at). Each lane matches
+    by itself, all in one pass over the orders.
     """
-    matches = match_by_amount(orders, payments, minutes)
-    found = matches.join(payments.withColumnRenamed("id", "payment_id"), "payment_id")
-    return found.join(numbers, found["order_id"] == numbers["id"]).select("order_number", "amount", "seen_at")
+    found = stored(match_by_amount(orders, payments, minutes, "lane", ["order_number"], ["seen_at"]), "matches")
+    return {x: found.filter(F.col("lane") == x).select("order_number", "amount", "seen_at") for x in lanes}
 
 
-def match_by_amount(orders: DataFrame, payments: DataFrame, minutes: int = 5) -> DataFrame:
-    """Payments to orders of equal amount within +-``minutes``: (payment_id, order_id, seconds_apart).
+def match_by_amount(
+    orders: DataFrame,
+    payments: DataFrame,
+    minutes: int = 5,
+    lane: str | None = None,
+    order_columns: Sequence[str] = (),
+    payment_columns: Sequence[str] = (),
+) -> DataFrame:
+    """One-to-one matching of payments to orders of equal amount within +-``minutes``.
 
-    Each payment picks its nearest order (then the lower id), and each order keeps its nearest
-    payment (then the lower id). Nothing pairs all candidates: equal (amount, time) points
-    collapse to their lowest id first, so a group holds at most the distinct seconds of three
-    buckets even if every row has the same price, and the nearest neighbour comes from the last
-    and the next order point in time order. Times count in whole seconds.
+    Gives (payment_id, order_id, seconds_apart, amount), the column ``lane`` of the payments if it is named, and
+    the named columns of both sides. Of all pairs that are still free the one with the least time apart is taken
+    first; then the earlier payment, the earlier order, the lower payment id and the lower order id decide. So no
+    payment and order that both would rather have each other stay apart (the matching is stable), and who loses
+    the nearest partner gets the next one. Payments of different lanes do not compete: an order can serve each.
+
+    Nothing pairs all candidates. Equal (amount, second) points collapse to their number of rows. Points are cut
+    into blocks of time, which also hold the points of two more windows on either side, so a group is bounded by
+    the seconds of a block, whatever the price. A block takes the nearest neighbours in turn, as far as it sees
+    that no point outside can matter; the few points that it cannot decide go to the next round, with other
+    borders. The least free pair is always seen whole, so the rounds end. Points of several rows are resolved
+    by the rows' ranks, in ranges that Spark cuts, so one crowded second is no group of its own.
+
+    Times count in whole seconds. Rows without amount or time match nothing; null ids come first.
     """
     width = minutes * 60
+    sides = [_side(payments, 0, lane, payment_columns), _side(orders, 1, None, order_columns)]
+    points = [
+        rows.groupBy("lane", "amount", "second").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "more")).alias("first")) for rows in sides
+    ]
+    kinds = [p.schema["first"].dataType.simpleString() for p in points]
+    both = None
+    for i, p in enumerate(points):
+        firsts = [(F.col("first") if i == k else F.lit(None).cast(kinds[k])).alias(f"first{k}") for k in (0, 1)]
+        p = p.select("lane", "amount", F.lit(i).alias("kind"), "second", "n", F.lit(0).cast("bigint").alias("done"), *firsts)
+        both = p if both is None else both.unionByName(p)
+    runs, turn = None, 0
+    while True:
+        decided = stored(_blocks(both, width, turn), "matching")
+        new = decided.filter("not open").drop("open").dropDuplicates(["lane", "amount", "second0", "second1"])
+        runs = new if runs is None else runs.unionByName(new)
+        left = decided.filter("open")
+        if not left.take(1):
+            break
+        used = runs.select("lane", "amount", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"second{k}").alias("second"), "n") for k in (0, 1)])))
+        used = used.groupBy("lane", "amount", "kind", "second").agg(F.sum("n").alias("done"))
+        kind = F.col("second0").isNull().cast("int").alias("kind")
+        left = left.select("lane", "amount", kind, F.coalesce("second0", "second1").alias("second"), F.coalesce("total0", "total1").alias("n"), "first0", "first1")
+        both = left.join(used, ["lane", "amount", "kind", "second"], "left").fillna(0, ["done"]).filter("done < n")
+        both = stored(both, "open")
+        turn += 1
+    return _resolved(stored(runs, "runs"), sides, lane, payment_columns, order_columns)
 
-    def points(df: DataFrame) -> DataFrame:
-        second = F.unix_seconds(F.col("seen_at").cast("timestamp"))
-        return (
-            df.filter(F.col("amount").isNotNull() & F.col("seen_at").isNotNull())
-            .groupBy("amount", second.alias("second"))
-            .agg(F.min("id").alias("id"))
-        )
 
-    bucket = F.floor(F.col("second") / width)
-    near = points(orders).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    own = points(payments).withColumn("bucket", bucket)
-    both = near.select(
-        "amount", "bucket", "second", F.struct("second", "id").alias("order"), F.lit(None).cast("bigint").alias("payment_id")
-    ).unionByName(
-        own.select(
-            "amount", "bucket", "second",
-            F.lit(None).cast("struct<second:bigint,id:bigint>").alias("order"), F.col("id").alias("payment_id"),
-        )
+def _side(df: DataFrame, kind: int, lane: str | None, columns: Sequence[str]) -> DataFrame:
+    """(lane, amount, second, id, more) of the rows that can match; orders have no lane, as they serve each."""
+    own = F.coalesce(F.col(lane).cast("string"), F.lit("")) if lane else F.lit(None if kind else "").cast("string")
+    second = F.unix_seconds(F.col("seen_at").cast("timestamp"))
+    more = F.struct(*columns) if columns else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = df.filter(F.col("amount").isNotNull() & F.col("seen_at").isNotNull())
+    return rows.select(own.alias("lane"), "amount", second.alias("second"), "id", more.alias("more"))
+
+
+def _blocks(points: DataFrame, width: int, turn: int) -> DataFrame:
+    """What the blocks of one round decide: runs of matches, and the points that stay open."""
+    size, reach = BLOCK_WINDOWS * width, 2 * width
+    at = F.col("second") + (size // 2 if turn % 2 else 0)
+    near = F.sequence(F.floor((at - reach) / size), F.floor((at + reach) / size))
+    cut = points.select("*", F.explode(near).alias("block")).repartition("amount", "block").sortWithinPartitions("amount", "block", "second", "kind")
+    cut = cut.select("lane", "amount", "block", "kind", "second", "n", "done", "first0", "first1")
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
+    schema = f"lane string, amount {kinds['amount']}, second0 bigint, second1 bigint, from0 bigint, from1 bigint, n bigint, " + (
+        f"total0 bigint, total1 bigint, first0 {kinds['first0']}, first1 {kinds['first1']}, open boolean"
     )
-    group = Window.partitionBy("amount", "bucket").orderBy("second")
-    upto = group.rangeBetween(Window.unboundedPreceding, 0)
-    onward = group.rangeBetween(0, Window.unboundedFollowing)
-    beside = both.withColumns(
-        {
-            "_before": F.last("order", ignorenulls=True).over(upto),
-            "_after": F.first("order", ignorenulls=True).over(onward),
-        }
-    ).filter(F.col("payment_id").isNotNull())
-
-    def candidate(side: str) -> Column:
-        apart = F.abs(F.col(f"{side}.second") - F.col("second"))
-        return F.when(apart <= width, F.struct(apart.alias("apart"), F.col(f"{side}.id").alias("order_id")))
-
-    best = beside.select("payment_id", F.least(candidate("_before"), candidate("_after")).alias("_best")).filter(
-        F.col("_best").isNotNull()
+    shift = size // 2 if turn % 2 else 0
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            edges = _edges(table)
+            # The last group may go on in the next batch.
+            yield from _decided(table, edges[:-1], width, size, shift)
+            rest = table.slice(edges[-2])
+        if rest is not None and rest.num_rows:
+            yield from _decided(rest, [0, rest.num_rows], width, size, shift)
+
+    return cut.mapInArrow(decide, schema)
+
+
+def _edges(table: pa.Table) -> list[int]:
+    """Where the groups (amount, block) begin, and the end."""
+    n = table.num_rows
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for c in ("amount", "block"):
+        values = table.column(c).combine_chunks()
+        change[1:] |= pc.not_equal(values.slice(1), values.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return [*np.flatnonzero(change).tolist(), n]
+
+
+def _decided(table: pa.Table, edges: Sequence[int], width: int, size: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Output rows of the whole groups between the edges."""
+    if len(edges) < 2:
+        return
+    lanes, kinds, seconds, counts, done, blocks = (table.column(c).to_pylist() for c in ("lane", "kind", "second", "n", "done", "block"))
+    found: list[tuple] = []
+    for a, b in zip(edges, edges[1:]):
+        here = range(a, b)
+        low = blocks[a] * size - shift
+        for lane in {lanes[i] for i in here if kinds[i] == 0}:
+            own = [i for i in here if lanes[i] == lane or (kinds[i] == 1 and lanes[i] is None)]
+            if all(kinds[i] == 0 for i in own):
+                continue
+            free = {i: counts[i] - done[i] for i in own}
+            runs, stuck = nearest_in_turn([(seconds[i], kinds[i], free[i]) for i in own], width, low - 2 * width, low + size + 2 * width)
+            for p, o, n in runs:
+                p, o = own[p], own[o]
+                found.append((lane, p, o, counts[p] - free[p], counts[o] - free[o], n, False))
+                free[p] -= n
+                free[o] -= n
+            for k in stuck:
+                i = own[k]
+                if low <= seconds[i] < low + size:
+                    found.append((lane, *((i, None) if kinds[i] == 0 else (None, i)), None, None, None, True))
+    if not found:
+        return
+    lane, p, o, from0, from1, n, is_open = zip(*found)
+    at = [pa.array(p, pa.int64()), pa.array(o, pa.int64())]
+    any_row = pa.array([a if b is None else b for a, b in zip(p, o)], pa.int64())
+    whole = pa.Table.from_arrays(
+        [
+            pa.chunked_array([pa.array(lane, pa.string())]),
+            table.column("amount").take(any_row),
+            *[table.column("second").take(x) for x in at],
+            pa.chunked_array([pa.array(from0, pa.int64())]),
+            pa.chunked_array([pa.array(from1, pa.int64())]),
+            pa.chunked_array([pa.array(n, pa.int64())]),
+            *[table.column("n").take(x) for x in at],
+            *[table.column(f"first{k}").take(x) for k, x in enumerate(at)],
+            pa.chunked_array([pa.array(is_open, pa.bool_())]),
+        ],
+        names=["lane", "amount", "second0", "second1", "from0", "from1", "n", "total0", "total1", "first0", "first1", "open"],
     )
-    return (
-        best.select("payment_id", F.col("_best.order_id").alias("order_id"), F.col("_best.apart").alias("apart"))
-        .groupBy("order_id")
-        .agg(F.min(F.struct("apart", "payment_id")).alias("_kept"))
-        .select(
-            F.col("_kept.payment_id").alias("payment_id"), "order_id", F.col("_kept.apart").alias("seconds_apart")
-        )
+    yield from whole.combine_chunks().to_batches()
+
+
+def nearest_in_turn(points: Sequence[tuple[int, int, int]], width: int, low: int, high: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Match points (second, kind, rows), sorted, that are all there is from ``low`` up to ``high``.
+
+    Gives runs (payment point, order point, rows) in the order they were taken, and the points that have a
+    partner in reach but depend on what lies outside. The nearest pair of free points always lies side by side, so
+    a heap over neighbours in a linked list finds it.
+    """
+    n = len(points)
+    free = [p[2] for p in points]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple] = []
+
+    def key(i: int, j: int) -> tuple:
+        p, o = (i, j) if points[i][1] == 0 else (j, i)
+        return (abs(points[i][0] - points[j][0]), points[p][0], points[o][0])
+
+    def push(i: int, j: int) -> None:
+        if 0 <= i and j < n and points[i][1] != points[j][1] and points[j][0] - points[i][0] <= width:
+            heapq.heappush(heap, (*key(i, j), i, j))
+
+    def rival(i: int, step: Sequence[int], best: tuple) -> bool:
+        """True if the other side of a point holds an undecided partner that it likes better."""
+        k = step[i]
+        while 0 <= k < n and abs(points[k][0] - points[i][0]) <= best[0]:
+            if points[k][1] != points[i][1]:
+                return key(i, k) < best
+            k = step[k]
+        return False
+
+    for i in range(n - 1):
+        push(i, i + 1)
+    runs: list[tuple[int, int, int]] = []
+    stuck = False
+    while heap:
+        *best, i, j = heapq.heappop(heap)
+        if not free[i] or not free[j] or after[i] != j:
+            continue
+        apart = best[0]
+        if points[i][0] - apart < low or points[j][0] + apart >= high:
+            stuck = True
+            continue
+        if stuck and (rival(i, before, tuple(best)) or rival(j, after, tuple(best))):
+            continue
+        took = min(free[i], free[j])
+        runs.append((i, j, took) if points[i][1] == 0 else (j, i, took))
+        free[i] -= took
+        free[j] -= took
+        left, right = (before[i], i), (j, after[j])
+        for k in (i, j):
+            if not free[k]:
+                a, b = before[k], after[k]
+                if a >= 0:
+                    after[a] = b
+                if b < n:
+                    before[b] = a
+        for a in {left[0], i, j, right[0]}:
+            if a >= 0 and free[a]:
+                push(a, after[a])
+    return runs, _in_reach(points, free, width) if stuck else []
+
+
+def _in_reach(points: Sequence[tuple[int, int, int]], free: Sequence[int], width: int) -> list[int]:
+    """Free points that have a free point of the other kind within ``width``."""
+    out = set()
+    for order in (range(len(points)), range(len(points) - 1, -1, -1)):
+        last: list[int | None] = [None, None]
+        for i in order:
+            if free[i]:
+                second, kind, _ = points[i]
+                other = last[1 - kind]
+                if other is not None and abs(points[other][0] - second) <= width:
+                    out.add(i)
+                last[kind] = i
+    return sorted(out)
+
+
+def _resolved(runs: DataFrame, sides: Sequence[DataFrame], lane: str | None, payment_columns: Sequence[str], order_columns: Sequence[str]) -> DataFrame:
+    """Pairs of rows from runs of points; points of one row each are resolved already."""
+    most = F.greatest("total0", "total1")
+    pairs = runs.filter(most == 1).select("lane", "amount", "second0", "second1", "first0", "first1")
+    for crowded, halves in ((runs.filter(most.between(2, CROWDED)), _few), (runs.filter(most > CROWDED), _many)):
+        if crowded.take(1):
+            p, o = (halves(crowded, rows, k) for k, rows in enumerate(sides))
+            met = p.join(o, ["lane", "amount", "second0", "second1", "offset"])
+            pairs = pairs.unionByName(met.drop("offset"))
+    return pairs.select(
+        F.col("first0.id").alias("payment_id"),
+        F.col("first1.id").alias("order_id"),
+        F.abs(F.col("second0") - F.col("second1")).alias("seconds_apart"),
+        "amount",
+        *([F.col("lane").alias(lane)] if lane else []),
+        *[F.col(f"first0.more.`{c}`").alias(c) for c in payment_columns],
+        *[F.col(f"first1.more.`{c}`").alias(c) for c in order_columns],
+    )
+
+
+def _starts(runs: DataFrame, k: int) -> DataFrame:
+    """Per run of one side: its point, the point's rank where the run begins, and its number of rows."""
+    point = F.struct(*(["lane"] if k == 0 else []), "amount", F.col(f"second{k}").alias("second")).alias("point")
+    return runs.select(point, F.col(f"from{k}").alias("at"), F.struct("lane", "amount", "second0", "second1").alias("run"), "n")
+
+
+def _held(rows: DataFrame, k: int) -> DataFrame:
+    point = F.struct(*(["lane"] if k == 0 else []), "amount", "second").alias("point")
+    return rows.select(point, F.struct("id", "more").alias("first"))
+
+
+def _few(runs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The rows of the runs' points with their run and offset, where a point has at most CROWDED rows."""
+    starts = _starts(runs, k).withColumn("offset", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    starts = starts.select("point", "run", "offset", (F.col("at") + F.col("offset") + 1).alias("rank"))
+    # The points are listed in full before the rows meet them, so a point without a run keeps out.
+    own = _held(rows, k).join(starts.select("point").distinct(), "point", "left_semi")
+    own = own.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("first")).cast("bigint"))
+    return own.join(starts, ["point", "rank"]).select("run.*", "offset", F.col("first").alias(f"first{k}"))
+
+
+def _many(runs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """As ``_few`` for points of any number of rows, which spread over ranges of their ranks."""
+    starts = _starts(runs, k)
+    lanes = starts.groupBy("point").agg(F.collect_set("run.lane").alias("lanes"))
+    own = row_numbers(join_dimension(_held(rows, k), lanes, "point", how="inner"), ["point"], ["first"], "rank")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in starts.dtypes if c in ("at", "run", "n")]
+    own = own.select("point", F.explode("lanes").alias("lane"), ((F.col("rank") - 1) * 2 + 1).alias("place"), "first", *none)
+    marks = starts.select(
+        "point", F.col("run.lane").alias("lane"), (F.col("at") * 2).alias("place"), F.lit(None).cast(dict(own.dtypes)["first"]).alias("first"), "at", "run", "n"
     )
+    # Every row takes the last run that begins at or before its rank.
+    lined = carry_last(marks.unionByName(own), ["point", "lane"], "place", ["run", "at", "n"]).filter("first is not null")
+    offset = (F.col("place") - 1) / 2 - F.col("at")
+    lined = lined.withColumn("offset", offset.cast("bigint")).filter("offset < n")
+    return lined.select("run.*", "offset", F.col("first").alias(f"first{k}"))

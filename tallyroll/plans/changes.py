@@ -75,15 +75,23 @@ def cdc_4_counts(t):
     return H.action_counts(H.upsert(t.stored_orders, t.incoming_orders))
 
 
+# Two deliveries of fields to write over, the first of them in part; many orders are in both.
+PARTIAL_SQL = """SELECT 1 AS seq, order_number, machine_code, order_price, payment_type, match_status FROM {incoming_orders}
+    UNION ALL SELECT 0, order_number, 'VM-777', CASE WHEN created_by % 2 = 0 THEN order_price + 1 END, CAST(NULL AS string), 'partial'
+    FROM {sales_orders} WHERE id % 3 = 0"""
+
+
 @query(
     "cdc_5_partial_update",
-    """SELECT s.order_number, coalesce(i.machine_code, s.machine_code) AS machine_code,
+    f"""WITH i AS (SELECT order_number, {", ".join(f"last({f} ORDER BY seq) FILTER ({f} IS NOT NULL) AS {f}" for f in H.COMPARED)}
+        FROM ({PARTIAL_SQL}) GROUP BY order_number)
+    SELECT s.order_number, coalesce(i.machine_code, s.machine_code) AS machine_code,
         cast(coalesce(i.order_price, s.order_price) AS double) AS order_price,
         coalesce(i.payment_type, s.payment_type) AS payment_type, coalesce(i.match_status, s.match_status) AS match_status
-    FROM {stored_orders} s LEFT JOIN {incoming_orders} i USING (order_number)""",
+    FROM {{stored_orders}} s LEFT JOIN i USING (order_number)""",
 )
 def cdc_5(t):
-    return H.partial_update(t.stored_orders, t.incoming_orders).select("order_number", *H.COMPARED)
+    return H.partial_update(t.stored_orders, t.sql(PARTIAL_SQL), order=["seq"]).select("order_number", *H.COMPARED)
 
 
 @query(
@@ -105,22 +113,31 @@ def cdc_7(t):
     return H.cell_log(t.sales_orders.select("id", *H.COMPARED, "creation_time"), ["id"])
 
 
+# Files with earlier times and messages, and one to three updates of each labelled file, in the order of seq.
+TRACKED_SQL = """SELECT id, processing_status, CASE WHEN id % 4 = 0 THEN 'earlier' END AS error_message,
+        CASE WHEN id % 3 = 0 THEN cast('2023-05-06 07:08:09' AS timestamp) END AS processing_started_at,
+        CASE WHEN id % 5 = 0 THEN cast('2023-05-06 08:09:10' AS timestamp) END AS processing_finished_at
+    FROM {file_entries}"""
+UPDATES_SQL = """SELECT doc_id AS id, 0 AS seq, 'processing' AS status, CAST(NULL AS string) AS error_message FROM {labels} WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 1, 'failed', 'first try' FROM {labels} WHERE toxic = 1
+    UNION ALL SELECT doc_id, 2, CASE WHEN quality = 1 THEN 'completed' WHEN toxic = 1 THEN 'failed' ELSE 'processing' END,
+        CASE WHEN quality = 0 AND toxic = 1 THEN 'rejected' END FROM {labels}"""
+
+
 @query(
     "cdc_8_status_update",
-    f"""SELECT f.id, coalesce(u.status, f.processing_status) AS processing_status, u.error_message,
-        CASE WHEN u.status = 'processing' THEN '{NOW}' END AS processing_started_at,
-        CASE WHEN u.status IN ('completed', 'failed') THEN '{NOW}' END AS processing_finished_at
-    FROM {{file_entries}} f LEFT JOIN (SELECT doc_id AS id,
-        CASE WHEN quality = 1 THEN 'completed' WHEN toxic = 1 THEN 'failed' ELSE 'processing' END AS status,
-        CASE WHEN quality = 0 AND toxic = 1 THEN 'rejected' END AS error_message FROM {{labels}}) u USING (id)""",
+    f"""WITH u AS (SELECT id, last(status ORDER BY seq) AS status, last(error_message ORDER BY seq) FILTER (error_message IS NOT NULL) AS message,
+            bool_or(status = 'processing') AS started, bool_or(status IN ('completed', 'failed')) AS finished
+        FROM ({UPDATES_SQL}) GROUP BY id)
+    SELECT f.id, coalesce(u.status, f.processing_status) AS processing_status, coalesce(u.message, f.error_message) AS error_message,
+        CASE WHEN u.started THEN '{NOW}' ELSE strftime(f.processing_started_at, '%Y-%m-%d %H:%M:%S') END AS processing_started_at,
+        CASE WHEN u.finished THEN '{NOW}' ELSE strftime(f.processing_finished_at, '%Y-%m-%d %H:%M:%S') END AS processing_finished_at
+    FROM ({TRACKED_SQL}) f LEFT JOIN u USING (id)""",
 )
 def cdc_8(t):
-    updates = t.sql(
-        """SELECT doc_id AS id,
-        CASE WHEN quality = 1 THEN 'completed' WHEN toxic = 1 THEN 'failed' ELSE 'processing' END AS status,
-        CASE WHEN quality = 0 AND toxic = 1 THEN 'rejected' END AS error_message FROM {labels}"""
-    )
-    return H.apply_status(t.file_entries.select("id", "processing_status"), updates, now())
+    tracked = t.sql(TRACKED_SQL)
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("processing_started_at", "processing_finished_at")}
+    return H.apply_status(tracked.withColumns(times), t.sql(UPDATES_SQL), now(), ["seq"])
 
 
 @query(

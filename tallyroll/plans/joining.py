@@ -164,36 +164,38 @@ SOURCES = ("hardware", "sales", "payme", "fiscal", "click", "uzum")
 def reconciled(t):
     """Sources with an order number, and those that get one by amount and time."""
     hardware = t.sales_orders.select("order_number", F.col("order_price").alias("amount"), F.col("creation_time").alias("seen_at"))
-    numbers = t.sales_orders.select("id", "order_number")
-
-    def matched(payments):
-        return R.matched_source(t.timed_orders, payments.select("id", "amount", "seen_at"), numbers)
-
-    return R.reconcile(
-        {
-            "hardware": hardware,
-            "sales": t.sales_reports,
-            "payme": t.payme_payments,
-            "fiscal": matched(t.fiscal_receipts),
-            "click": matched(t.loose_payments.filter("provider = 'click'")),
-            "uzum": matched(t.loose_payments.filter("provider = 'uzum'")),
-        }
-    )
+    orders = t.timed_orders.join(t.sales_orders.select("id", "order_number"), "id")
+    receipts = t.fiscal_receipts.select("id", F.lit("fiscal").alias("lane"), "amount", "seen_at")
+    loose = receipts.unionByName(t.loose_payments.select("id", F.col("provider").alias("lane"), "amount", "seen_at"))
+    found = R.matched_source(orders, loose, ["fiscal", "click", "uzum"])
+    return R.reconcile({"hardware": hardware, "sales": t.sales_reports, "payme": t.payme_payments, **found})
+
+
+def _match_sql(payments, lane="''"):
+    """Rounds of mutual nearest neighbours over all candidate pairs."""
+    return f"""WITH RECURSIVE o AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {{timed_orders}}),
+    p AS (SELECT {lane} AS lane, id, amount, epoch(seen_at)::bigint AS s FROM {payments}),
+    c AS (SELECT p.lane, p.id AS payment_id, o.id AS order_id, abs(o.s - p.s) AS apart,
+            row_number() OVER (ORDER BY abs(o.s - p.s), p.s, o.s, p.id, o.id) AS place
+          FROM p JOIN o ON o.amount = p.amount AND o.s BETWEEN p.s - 300 AND p.s + 300),
+    m AS (
+        SELECT *, place = min(place) OVER (PARTITION BY lane, payment_id) AND place = min(place) OVER (PARTITION BY lane, order_id) AS fixed FROM c
+        UNION ALL
+        SELECT lane, payment_id, order_id, apart, place,
+            place = min(place) OVER (PARTITION BY lane, payment_id) AND place = min(place) OVER (PARTITION BY lane, order_id)
+        FROM (SELECT *, bool_or(fixed) OVER (PARTITION BY lane, payment_id) OR bool_or(fixed) OVER (PARTITION BY lane, order_id) AS gone FROM m)
+        WHERE NOT gone)
+    SELECT lane, payment_id, order_id, apart AS seconds_apart FROM m WHERE fixed"""
 
 
-def _match_sql(payments):
-    return f"""WITH o AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {{timed_orders}}),
-    p AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {payments}),
-    c AS (SELECT p.id AS payment_id, o.id AS order_id, abs(o.s - p.s) AS apart
-          FROM p JOIN o ON o.amount = p.amount AND o.s BETWEEN p.s - 300 AND p.s + 300),
-    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY apart, order_id) = 1)
-    SELECT payment_id, order_id, apart AS seconds_apart FROM b
-    QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY apart, payment_id) = 1"""
+# Payments of all providers that carry no order number.
+LOOSE_SQL = """(SELECT 'fiscal' AS provider, id, amount, seen_at FROM {fiscal_receipts}
+    UNION ALL SELECT provider, id, amount, seen_at FROM {loose_payments})"""
 
 
-def _loose_source(name, payments):
-    return f"""SELECT n.order_number, '{name}', p.amount, p.seen_at FROM ({_match_sql(payments)}) m
-        JOIN {payments} p ON p.id = m.payment_id JOIN {{sales_orders}} n ON n.id = m.order_id"""
+def _loose_source():
+    return f"""SELECT n.order_number, m.lane, p.amount, p.seen_at FROM ({_match_sql(LOOSE_SQL, "provider")}) m
+        JOIN {LOOSE_SQL} p ON p.id = m.payment_id AND p.provider = m.lane JOIN {{sales_orders}} n ON n.id = m.order_id"""
 
 
 RECONCILED_SQL = f"""SELECT order_number, {", ".join(f"{n}_amount, {n}_records" for n in SOURCES)}, first_seen,
@@ -210,9 +212,7 @@ RECONCILED_SQL = f"""SELECT order_number, {", ".join(f"{n}_amount, {n}_records"
                 FROM (SELECT order_number, 'hardware' AS source, order_price AS amount, creation_time AS seen_at FROM {{sales_orders}}
                     UNION ALL SELECT order_number, 'sales', amount, seen_at FROM {{sales_reports}}
                     UNION ALL SELECT order_number, 'payme', amount, seen_at FROM {{payme_payments}}
-                    UNION ALL {_loose_source("fiscal", "{fiscal_receipts}")}
-                    UNION ALL {_loose_source("click", "(SELECT * FROM {loose_payments} WHERE provider = 'click')")}
-                    UNION ALL {_loose_source("uzum", "(SELECT * FROM {loose_payments} WHERE provider = 'uzum')")})
+                    UNION ALL {_loose_source()})
                 WHERE trim(order_number) <> '' GROUP BY order_number)))"""
 
 
@@ -226,9 +226,9 @@ def join_11(t):
     return reconciled(t)
 
 
-@query("join_12_fuzzy_match", _match_sql("{loose_payments}"))
+@query("join_12_fuzzy_match", f"SELECT payment_id, order_id, seconds_apart FROM ({_match_sql('{loose_payments}')})")
 def join_12(t):
-    return R.match_by_amount(t.timed_orders, t.loose_payments, 5)
+    return R.match_by_amount(t.timed_orders, t.loose_payments, 5).drop("amount")
 
 
 def _pair(name, value, other):
