@@ -1,14 +1,14 @@
 """Streams run over what has arrived (SRC-12, SNK-6, STR) and log parsing (FN-15 to FN-18)."""
 
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyroll.functions import logs as L, values as V
 from tallyroll.plans.ingest import delivery, write_delimited
 from tallyroll.plans.registry import query
-from tallyroll.session import scratch_dir
-from tallyroll.streaming import ingest as I, limits as M, logs as S
+from tallyroll.session import scratch_dir, stored
+from tallyroll.streaming import ingest as I, limits as M, logs as S, views as W
 from tallyroll.streaming.runs import StreamTables, for_each_batch, tick, to_parquet, with_clock
 
 
@@ -358,6 +358,73 @@ def str_2(t):
     return I.run_log(t.spark, ingested(t)).select("type", "batch", "processed_rows")
 
 
+# ---- aggregates kept up to date ----------------------------------------------------------------
+
+
+PURGED = "1994-01-01"
+
+
+def kept(t, after):
+    """Three deliveries and a purge, each taken into the order table and the views; ``after(folder, batch)`` follows."""
+    folder = scratch_dir(t.spark, "kept")
+    incoming = t.incoming_orders
+    for batch, rows in enumerate([t.stored_orders, incoming.filter("id % 2 = 0"), incoming.filter("id % 2 = 1")]):
+        added = {"order_price": F.col("order_price").cast("decimal(20,2)"), "file": F.lit("f"), "arrived": F.lit("2024-01-01").cast("timestamp")}
+        marks = {"batch": F.lit(batch).cast("bigint"), "deleted": F.lit(False)}
+        columns = [c.split()[0] for c in I.ORDER_SCHEMA.split(", ")]
+        delta = stored(rows.withColumns(added | marks).select(columns), "delivery")
+        I.commit(t.spark, folder, batch, delta, I.current_orders(t.spark, folder, batch, delta))
+        after(folder, batch)
+    I.purge_orders(t.spark, folder, 3, F.col("creation_time") < F.lit(PURGED).cast("timestamp_ntz"), views=True)
+    after(folder, 3)
+
+
+KEPT_SQL = f"""WITH rows AS (
+        SELECT order_number, machine_code, order_price, payment_type, creation_time, 0 AS batch FROM {{stored_orders}}
+        UNION ALL SELECT order_number, machine_code, order_price, payment_type, creation_time, 1 + id % 2 FROM {{incoming_orders}}),
+    states AS (
+        SELECT b.batch, r.* EXCLUDE (batch) FROM rows r JOIN (SELECT unnest([0, 1, 2, 3]) AS batch) b ON r.batch <= b.batch
+        QUALIFY row_number() OVER (PARTITION BY b.batch, order_number ORDER BY r.batch DESC) = 1),
+    named AS (
+        SELECT batch, order_price, unnest(['total', 'payment_type', 'machine', 'day', 'month']) AS view,
+            unnest(['', coalesce(nullif(trim(payment_type), ''), 'Unknown'), coalesce(nullif(trim(machine_code), ''), 'Unknown'),
+                strftime(creation_time, '%Y-%m-%d'), strftime(creation_time, '%Y-%m')]) AS name
+        FROM states WHERE batch < 3 OR creation_time >= timestamp '{PURGED}'),
+    kept AS (SELECT cast(batch AS bigint) AS batch, view, name, count(*) AS orders, count(order_price) AS priced,
+            coalesce(sum(order_price), 0) AS revenue FROM named GROUP BY batch, view, name)"""
+
+
+@query(
+    "agg_1_kept_views",
+    f"""{KEPT_SQL} SELECT batch, view, name, orders, priced, cast(revenue AS double) AS revenue,
+        CASE WHEN priced > 0 THEN cast(revenue AS double) / priced END AS average_price FROM kept""",
+)
+def agg_1_kept(t):
+    states = []
+
+    def after(folder, batch):
+        states.append(stored(W.current(t.spark, folder).withColumn("batch", F.lit(batch)), "state"))
+
+    kept(t, after)
+    return reduce(DataFrame.unionByName, states)
+
+
+@query(
+    "agg_5_kept_top_machines",
+    f"""{KEPT_SQL} SELECT batch, name AS machine_code, orders, cast(revenue AS double) AS revenue,
+        row_number() OVER (PARTITION BY batch ORDER BY revenue DESC, name) AS place FROM kept WHERE view = 'machine'
+        QUALIFY place <= 10""",
+)
+def agg_5_kept(t):
+    top, rows = W.TopNames("machine", n=10, reserve=10), []
+
+    def after(folder, batch):
+        rows.extend((batch, name, orders, revenue, i) for i, (name, revenue, orders) in enumerate(top.update(t.spark, folder, batch), 1))
+
+    kept(t, after)
+    return t.spark.createDataFrame(rows, "batch bigint, machine_code string, orders bigint, revenue decimal(38,2), place int")
+
+
 @query(
     "udf_1_reader_registry",
     """SELECT column_name, count(*) AS cells FROM (

@@ -1,9 +1,10 @@
 """Incremental ingest of arriving files of all formats, with status steps, change log and run log.
 
-The order table is a list of append-only deltas, one per micro-batch, holding only inserted and updated rows,
-bucketed by order number; the current state is the latest row per order number. A batch therefore reads and
-writes work in proportion to itself, and a repeated batch overwrites its own folders. Files count in the
-order in which they arrived, so the cut into batches does not change orders, log or totals.
+The order table (``deltas.DeltaTable``) takes one delta per micro-batch, holding only inserted, updated and deleted
+rows; the current state is the latest row per order number. A batch reads the buckets of its own order numbers in
+a few merged pieces, and a repeated batch overwrites what it wrote. Files count in the order in which they arrived,
+so the cut into batches does not change orders, log or totals. Views of the orders can be kept up to date along
+the way (``views``).
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from tallyroll.operators import history as H, quality as Q
 from tallyroll.operators.analytics import count_rows
 from tallyroll.session import stored
 from tallyroll.sources import files as S
+from tallyroll.streaming import views as W
+from tallyroll.streaming.deltas import DeltaTable
 
 ORDER_SCHEMA = (
     "order_number string, machine_code string, order_price decimal(20,2), payment_type string, "
-    "creation_time timestamp_ntz, match_status string, file string, arrived timestamp, batch bigint, bucket int"
+    "creation_time timestamp_ntz, match_status string, file string, arrived timestamp, batch bigint, deleted boolean"
 )
 CHANGE_SCHEMA = (
     "order_number string, field_name string, old_value string, new_value string, change_type string, "
@@ -35,8 +38,7 @@ REJECT_SCHEMA = (
     "payment_type string, creation_time timestamp_ntz, failed_checks array<string>, batch bigint"
 )
 STEP_SCHEMA = "file string, step int, status string, at timestamp_ntz, batch bigint"
-KINDS = {"orders": ORDER_SCHEMA, "changes": CHANGE_SCHEMA, "files": STATUS_SCHEMA, "rejects": REJECT_SCHEMA, "steps": STEP_SCHEMA}
-BUCKETS = 16
+KINDS = {"changes": CHANGE_SCHEMA, "files": STATUS_SCHEMA, "rejects": REJECT_SCHEMA, "steps": STEP_SCHEMA}
 
 
 def arriving_files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -59,25 +61,37 @@ def read_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.schema(KINDS[kind]).parquet(f"{folder}/{kind}")
 
 
-def bucket_of() -> Column:
-    return F.pmod(F.hash("order_number"), F.lit(BUCKETS))
+def latest(rows: DataFrame, whole: bool) -> DataFrame:
+    """The last row of every order number; marks of deletion stay as long as older rows may lie elsewhere."""
+    rest = [c for c in rows.columns if c != "order_number"]
+    last = rows.groupBy("order_number").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("order_number", "_r.*")
+    return last.filter(~F.col("deleted")) if whole else last
 
 
-def current_orders(
-    spark: SparkSession, folder: str, before: int | None = None, keys: DataFrame | None = None
-) -> DataFrame:
-    """Latest row per order number, optionally of earlier batches or of some order numbers only.
+def order_table(spark: SparkSession, folder: str) -> DeltaTable:
+    return DeltaTable(spark, f"{folder}/orders", ORDER_SCHEMA, ["order_number"], latest)
 
-    Wanted keys name the buckets that are read at all, and cut the deltas down before they are grouped.
-    """
-    deltas = read_kind(spark, folder, "orders")
-    if before is not None:
-        deltas = deltas.filter(F.col("batch") < before)
-    if keys is not None:
-        touched = [r[0] for r in keys.select(bucket_of()).distinct().collect()]  # at most BUCKETS numbers
-        deltas = deltas.filter(F.col("bucket").isin(touched)).join(keys.select("order_number"), "order_number", "left_semi")
-    rest = [c for c in deltas.columns if c not in ("order_number", "bucket")]
-    return deltas.groupBy("order_number").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("order_number", "_r.*")
+
+def current_orders(spark: SparkSession, folder: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Latest row per order number that is not deleted, optionally of earlier batches or of some order numbers only."""
+    return order_table(spark, folder).current(before, keys).drop("deleted")
+
+
+def purge_orders(spark: SparkSession, folder: str, batch_id: int, gone: Column, views: bool = False) -> None:
+    """Delete the orders that meet a condition, as a batch of its own: marks of deletion, no rewriting."""
+    known = stored(current_orders(spark, folder, batch_id).filter(gone), "purged")
+    marks = known.withColumns({"batch": F.lit(batch_id).cast("bigint"), "deleted": F.lit(True)})
+    commit(spark, folder, batch_id, marks, known if views else None)
+
+
+def commit(spark: SparkSession, folder: str, batch_id: int, delta: DataFrame, known: DataFrame | None = None) -> None:
+    """Add a stored delta to the order table; with the rows ``known`` before it, to the kept views as well."""
+    if known is not None:
+        W.apply(spark, folder, batch_id, known, delta.filter(~F.col("deleted")))
+    table = order_table(spark, folder)
+    table.append(batch_id, delta)
+    table.merge(batch_id)
+    table.clean()
 
 
 def records_of(batch: DataFrame, states: DataFrame) -> DataFrame:
@@ -121,10 +135,10 @@ def checks() -> dict[str, Column]:
     }
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, author: int) -> None:
+def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, author: int, views: bool = False) -> None:
     """One micro-batch: validate, parse once, clean, compare in order of arrival, write what is new.
 
-    Bad files and rows are recorded with their reasons; the run goes on.
+    Bad files and rows are recorded with their reasons; the run goes on. ``views`` keeps the aggregates too.
     """
     spark = batch.sparkSession
     now = F.lit(as_of).cast("timestamp_ntz")
@@ -157,8 +171,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
     effective = compared.filter(F.col("first") | (F.size("changes") > 0))
     rest = [c for c in fields if c != "order_number"]
     last = effective.groupBy("order_number").agg(F.max_by(F.struct(*rest), F.struct("arrived", "file")).alias("_r"))
-    delta = last.select("order_number", "_r.*").withColumn("bucket", bucket_of())
-    delta.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/orders/batch={batch_id}")
+    marks = {"batch": F.lit(batch_id).cast("bigint"), "deleted": F.lit(False)}
+    delta = stored(last.select("order_number", "_r.*").withColumns(marks), "delta")
+    before = known.join(delta.select("order_number"), "order_number", "left_semi") if views else None
+    commit(spark, folder, batch_id, delta, before)
     log = effective.select("order_number", F.inline("changes"), "file", "arrived")
     write(H.change_log(log, now, F.lit(author).cast("bigint")).select(*[c.split()[0] for c in CHANGE_SCHEMA.split(", ")][:-1]), "changes")
     write(misfits.drop("surplus", "unclosed", "price_unfit", "time_unread", "source"), "rejects")

@@ -18,7 +18,8 @@ GLOBAL_LIMITS = {"minute": 1000, "hour": 10000, "day": 50000}
 ERROR_SHARE = 0.05
 SLOW_MS = 1000.0
 ROUTES = {"logs": None, "errors": "error", "performance": "performance"}
-FILES_PER_DAY = 4
+# Rows that one task writes of a route.
+ROWS_PER_TASK = 2_000_000
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -39,14 +40,16 @@ def parsed(lines: DataFrame) -> DataFrame:
 def route(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Every record to the daily log; errors and performance records to their own places as well.
 
-    The batch is parsed once, a day goes to a few files, and a repeated batch overwrites its own folders.
+    The batch is parsed once, and a repeated batch overwrites its own folders. A route's counted rows choose the
+    number of its tasks, and Spark cuts ranges of days from a sample: a large day spans several tasks, small ones share.
     """
     day = F.coalesce(F.date_format("time", "yyyy.MM.dd"), F.lit("unknown"))
-    spread = F.pmod(F.xxhash64("message"), F.lit(FILES_PER_DAY))
-    rows = stored(batch.withColumn("day", day).repartition("day", spread), "routed")
+    rows = stored(batch.withColumn("day", day), "parsed")
     for name, tag in ROUTES.items():
         part = rows if tag is None else rows.filter(F.array_contains("tags", tag))
-        part.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}/batch={batch_id}")
+        tasks = -(-part.count() // ROWS_PER_TASK)
+        cut = part.repartitionByRange(tasks, "day", F.xxhash64("message"), F.monotonically_increasing_id()) if tasks > 1 else part.coalesce(1)
+        cut.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}/batch={batch_id}")
 
 
 def timed(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -186,25 +186,82 @@ def test_ranges_are_even_despite_an_outlier(spark):
     assert len(parts) == 4 and max(parts) < 2000
 
 
-def test_matching_against_brute_force(spark):
-    rng = random.Random(7)
+MATCHED = "id bigint, lane string, amount decimal(12,2), seen_at timestamp_ntz, note string"
+
+
+def brute_matching(orders, payments, width=300):
+    """Least pair first, over all pairs."""
+    second = lambda t: int((t - datetime(1970, 1, 1)).total_seconds())
+    pairs = sorted(
+        (abs(second(p[3]) - second(o[3])), second(p[3]), second(o[3]), p[0], o[0], p, o)
+        for p in payments for o in orders if p[2] is not None and p[2] == o[2] and abs(second(p[3]) - second(o[3])) <= width
+    )
+    paid, served, out = set(), set(), []
+    for apart, *_, p, o in pairs:
+        if (p[1], p[0]) not in paid and (p[1], o[0]) not in served:
+            paid.add((p[1], p[0]))
+            served.add((p[1], o[0]))
+            out.append((p[1], p[0], o[0], apart, p[4], o[4]))
+    return sorted(out)
+
+
+def matched_rows(spark, orders, payments):
+    orders = spark.createDataFrame(orders, MATCHED).withColumnRenamed("note", "order_note")
+    payments = spark.createDataFrame(payments, MATCHED).withColumnRenamed("note", "payment_note")
+    found = R.match_by_amount(orders, payments, 5, "lane", ["order_note"], ["payment_note"])
+    return sorted((r["lane"], r["payment_id"], r["order_id"], r["seconds_apart"], r["payment_note"], r["order_note"]) for r in found.collect())
+
+
+@pytest.mark.parametrize("case", ["spread", "crowded", "small blocks", "hot point"])
+def test_matching_against_brute_force(spark, monkeypatch, case):
+    rng = random.Random(case)
     base = datetime(2024, 1, 1)
+    if case != "spread":
+        monkeypatch.setattr(R, "CROWDED", 3)
+    if case == "small blocks":
+        monkeypatch.setattr(R, "BLOCK_WINDOWS", 1)
+    step = {"spread": 1, "crowded": 60, "small blocks": 7, "hot point": 20}[case]
 
-    def points(n):
+    def points(n, lanes, first):
         # a third of all rows share one price
-        return [(i, Decimal(100 if rng.random() < 0.34 else rng.choice([200, 300])), base + timedelta(seconds=rng.randrange(7200))) for i in range(n)]
-
-    orders, payments = points(150), points(150)
-    best = {}
-    for pid, amount, time in payments:
-        near = [(abs((t - time).total_seconds()), oid) for oid, a, t in orders if a == amount and abs((t - time).total_seconds()) <= 300]
-        if near:
-            apart, oid = min(near)
-            best.setdefault(oid, []).append((apart, pid))
-    want = sorted((min(v)[1], oid, int(min(v)[0])) for oid, v in best.items())
-    schema = "id bigint, amount decimal(12,2), seen_at timestamp_ntz"
-    got = R.match_by_amount(spark.createDataFrame(orders, schema), spark.createDataFrame(payments, schema), 5)
-    assert sorted(tuple(r) for r in got.collect()) == want
+        rows = [
+            (first + i, rng.choice(lanes), Decimal(100 if rng.random() < 0.34 else rng.choice([200, 300])),
+             base + timedelta(seconds=step * rng.randrange(7200 // step), milliseconds=rng.randrange(1000)), f"n{i}")
+            for i in range(n)
+        ]
+        if case == "hot point":
+            rows += [(first + n + i, rng.choice(lanes), Decimal(200), base, "hot") for i in range(40)]
+        return rows + [(first + 5000, lanes[0], None, base, "none")]
+
+    orders, payments = points(220, [None], 0), points(220, ["", "a", "b"], 10_000)
+    assert matched_rows(spark, orders, payments) == brute_matching(orders, payments)
+
+
+def test_losers_are_offered_the_next_order(spark):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    orders = [(i, None, Decimal(5), at(10 * i), "") for i in range(3)]
+    payments = [(i, "a", Decimal(5), at(0), "") for i in range(3)]
+    assert [r[1:4] for r in matched_rows(spark, orders, payments)] == [(0, 0, 0), (1, 1, 10), (2, 2, 20)]
+    assert matched_rows(spark, orders, []) == matched_rows(spark, [], payments) == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.integers(0, 1), st.integers(1, 3)), max_size=40), st.integers(10, 60), st.integers(0, 300))
+def test_what_a_block_decides_holds_in_the_whole(points, width, begin):
+    """Runs from a cut of the points are runs of all points; what a cut leaves open says so."""
+    merged = {}
+    for s, k, n in points:
+        merged[s, k] = merged.get((s, k), 0) + n
+    whole = [(s, k, n) for (s, k), n in sorted(merged.items())]
+    full, stuck = R.nearest_in_turn(whole, width, -(10**9), 10**9)
+    assert not stuck
+    named = lambda pts, runs: {(pts[p][0], pts[o][0], n) for p, o, n in runs}
+    part = [x for x in whole if begin <= x[0] < begin + 150]
+    runs, stuck = R.nearest_in_turn(part, width, begin, begin + 150)
+    assert named(part, runs) <= named(whole, full)
+    missed = {r for r in named(whole, full) - named(part, runs) if begin + 2 * width <= r[0] < begin + 150 - 2 * width}
+    left = {part[i][0] for i in stuck}
+    assert all(p in left for p, _, _ in missed)
 
 
 def test_reconcile_levels(spark):
@@ -226,6 +283,39 @@ def test_reconcile_levels(spark):
     assert ("A", "duplicate_record", "payme") in {(r.order_number, r.error_type, r.target_table) for r in errors}
 
 
+# ---- updates of one key, several times -----------------------------------------------------------
+
+
+def test_repeated_updates_leave_one_row_and_earlier_times(spark):
+    early = datetime(2023, 1, 1)
+    rows = spark.createDataFrame(
+        [(1, "pending", "old", early, None), (2, "processing", None, early, early), (3, "pending", None, None, None), (None, "pending", None, None, None)],
+        "id bigint, processing_status string, error_message string, processing_started_at timestamp_ntz, processing_finished_at timestamp_ntz",
+    )
+    updates = spark.createDataFrame(
+        [(1, 2, "completed", None), (1, 1, "processing", "slow"), (2, 1, "completed", None), (3, 1, "failed", "a"), (3, 1, "failed", "b"), (None, 1, "failed", "x"), (9, 1, "failed", "x")],
+        "id bigint, seq int, status string, error_message string",
+    )
+    now = datetime(2024, 2, 1)
+    got = {r[0]: tuple(r)[1:] for r in H.apply_status(rows, updates, F.lit("2024-02-01").cast("timestamp"), ["seq"]).select(rows.columns).collect()}
+    assert got == {
+        1: ("completed", "slow", now, now),
+        2: ("completed", None, early, now),
+        3: ("failed", "b", None, now),
+        None: ("pending", None, None, None),
+    }
+
+
+def test_repeated_partial_rows_fold_in_order(spark):
+    stored = spark.createDataFrame([("A", "m", Decimal(1), "Cash", "old"), ("B", "m", None, None, None)], SNAPSHOT)
+    incoming = spark.createDataFrame(
+        [("A", 2, None, Decimal(3), None, "new"), ("A", 1, "x", Decimal(2), None, None), (None, 1, "y", None, None, None), ("C", 1, "y", None, None, None)],
+        "order_number string, seq int, " + SNAPSHOT.split(", ", 1)[1],
+    )
+    got = sorted(tuple(r) for r in H.partial_update(stored, incoming, order=["seq"]).collect())
+    assert got == [("A", "x", Decimal(3), "Cash", "new"), ("B", "m", None, None, None)]
+
+
 # ---- keyed state -------------------------------------------------------------------------------
 
 
@@ -379,3 +469,95 @@ def test_ingest_does_not_depend_on_batches(spark, tmp_path, per_trigger):
     assert sorted(r.new_value for r in I.read_kind(spark, folder, "changes").filter("order_number = 'A' and field_name = 'order_price'").collect()) == ["10.00", "12.00", "14.00"]
     files = {os.path.basename(r.file): (r.status, r.total_rows, r.new_rows, r.updated_rows) for r in I.read_kind(spark, folder, "files").collect()}
     assert files == {"z_first.csv": ("completed", 2, 2, 0), "a_second.tsv": ("completed", 2, 1, 1), "m.json": ("completed", 1, 0, 1), "k.ZIP": ("completed", 2, 1, 1), "b.txt": ("completed", 2, 0, 0)}
+
+
+# ---- tables of deltas ----------------------------------------------------------------------------
+
+
+def delta_table(spark, folder):
+    from tallyroll.streaming.deltas import DeltaTable
+
+    def fold(rows, whole):
+        last = rows.groupBy("k").agg(F.max_by(F.struct("v", "gone"), "v").alias("r")).select("k", "r.*")
+        return last.filter(~F.col("gone")) if whole else last
+
+    return DeltaTable(spark, str(folder), "k bigint, v bigint, gone boolean", ["k"], fold)
+
+
+def test_many_batches_cost_what_they_bring(spark, tmp_path, monkeypatch):
+    """Pieces stay few, rows are rewritten a few times, and one key opens one file a piece."""
+    import glob
+
+    from tallyroll.streaming import deltas as D
+
+    monkeypatch.setattr(D, "BUCKET_ROWS", 64)
+    table, want, rewritten = delta_table(spark, tmp_path), {}, 0
+    for b in range(24):
+        rows = [(k, b, False) for k in range(b * 8, b * 8 + 8)] + [(k, b, b % 2 == 0) for k in range(max(0, b * 4 - 2), b * 4)]
+        table.append(b, spark.createDataFrame(rows, "k bigint, v bigint, gone boolean").coalesce(1))
+        rewritten += table.merge(b)
+        for k, v, gone in rows:
+            want.pop(k, None) if gone else want.update({k: v})
+        assert len(table.pieces()) <= 3 * 4
+    table.clean()
+    pieces = table.pieces()
+    assert rewritten <= 24 * 10 * 3
+    assert max(p.buckets for p in pieces) >= 2
+    key = spark.createDataFrame([(95,)], "k bigint")
+    opened = [1 if x is None else len(x) for x in table.touched(pieces, key)]
+    assert all(n == 1 for n in opened)
+    for p in pieces:
+        folders = glob.glob(f"{tmp_path}/pieces/{p.name}/_bucket=*")
+        assert len(folders) <= p.buckets and all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in folders)
+    assert {r.k: r.v for r in table.current().collect()} == want
+    assert [tuple(r)[:2] for r in table.current(keys=key).collect()] == ([(95, want[95])] if 95 in want else [])
+    assert len(glob.glob(f"{tmp_path}/pieces/*")) <= len(pieces) + 2 * D.KEEP
+
+
+def test_a_reader_keeps_its_state_and_a_broken_batch_leaves_none(spark, tmp_path, monkeypatch):
+    table = delta_table(spark, tmp_path)
+    assert table.current().count() == 0
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k bigint, v bigint, gone boolean")
+    state = lambda before=None: {r.k: r.v for r in table.current(before).collect()}
+    for b in range(3):
+        table.append(b, frame((1, b, False), (10 + b, b, False)))
+    reader = table.current()
+    table.append(3, frame((1, 3, True)))
+    table.merge(3)
+    assert len(table.pieces()) == 1 and state() == {10: 0, 11: 1, 12: 2}
+    assert {r.k: r.v for r in reader.collect()} == {1: 2, 10: 0, 11: 1, 12: 2}
+    assert state(3) == {1: 2, 10: 0, 11: 1, 12: 2}
+
+    def broken(*_):
+        raise RuntimeError("lost before the manifest")
+
+    with monkeypatch.context() as m:
+        m.setattr(table, "_publish", broken)
+        with pytest.raises(RuntimeError):
+            table.append(4, frame((1, 9, False)))
+    assert state() == {10: 0, 11: 1, 12: 2}
+    table.append(4, frame((1, 4, False)))
+    table.append(4, frame((1, 4, False)))
+    assert state() == {1: 4, 10: 0, 11: 1, 12: 2}
+    table.append(5, frame().limit(0))
+    table.clean()
+    assert state() == {1: 4, 10: 0, 11: 1, 12: 2}
+
+
+def test_top_names_need_a_full_look_only_when_the_reserve_is_gone(spark, tmp_path):
+    from tallyroll.streaming import views as W
+
+    rng, top, totals = random.Random(4), W.TopNames("machine", n=3, reserve=3), {}
+    schema = "machine_code string, payment_type string, order_price decimal(20,2), creation_time timestamp_ntz"
+    for b in range(8):
+        before = [(f"m{i}", None, Decimal(totals.get(f"m{i}", 0)), None) for i in rng.sample(range(20), 4)] if b else []
+        before = [r for r in before if r[2]]
+        after = [(f"m{i}", None, Decimal(rng.randrange(1, 900)), None) for i in (range(20) if b == 0 else rng.sample(range(20), 3))]
+        for r in before:
+            totals.pop(r[0])
+        for r in after:
+            totals[r[0]] = totals.get(r[0], 0) + int(r[2])
+        W.apply(spark, str(tmp_path), b, spark.createDataFrame(before, schema), spark.createDataFrame(after, schema))
+        got = [(name, int(revenue)) for name, revenue, _ in top.update(spark, str(tmp_path), b)]
+        assert got == sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:3]
+    assert top.full_looks < 8
