@@ -4,14 +4,20 @@ The vocabulary is every word of the corpus with its count, a table in Spark that
 network works on classes of words: the most frequent words are a class each, all others fall into hashed
 classes, and a word's probability is that of its class times the word's share of the class:
 ln P(word | around) = ln P(class | around) + ln(count(word) / (count(class) + 1)). The one added occurrence is
-kept back for words that the corpus does not hold; such a word counts as UNSEEN occurrences. The network adds one learnt vector per neighbour and place, squashes the sum, and
-predicts the class in two steps, its group and its place in the group, so probabilities are exact and cheap.
-It is trained in numpy on all documents: in each round every task trains on its part of one share of the
-documents, starting from the common weights, and an aggregation averages the tasks' weights by their words.
-What is gathered (word counts, weights per task) grows with the corpus; what reaches the driver is one row
-per class, per weight, and per word with over KNOWN_SHARE of all words, so at most 1 / KNOWN_SHARE. The tasks
-hold the counts of those words, a join brings in the counts of all others; the result is the same wherever
-the line is drawn. A document's score is the sum of ln P(word | two words on each side).
+kept back for words that the corpus does not hold; such a word counts as UNSEEN occurrences. The network adds
+one learnt vector per neighbour and place, squashes the sum, and predicts the class in two steps, its group and
+its place in the group, so probabilities are exact and cheap. Its biases start at the classes' shares, so it starts
+as the unigram model of the classes and learns what neighbours add.
+
+It is trained in numpy on all different texts: a hash of the text deals them to shards of about SHARD_WORDS words,
+and a shard trains in the order of the hash, in steps of BATCH words, so the weights depend on the corpus alone
+and not on how its rows are cut into files or tasks. In each round the round's shards start from the common
+weights, and their weights, one array a shard, are averaged by their words as a tree. Copies of a text
+that a task has met stay out before the shuffle, so a text that fills a third of the table is no large shard.
+What is gathered (word counts, weights per shard) grows with the corpus; what reaches the driver is one row
+per class, at most TREE arrays, and one row per word with over KNOWN_SHARE of all words, so at most
+1 / KNOWN_SHARE. The tasks hold the counts of those words, a join brings in the counts of all others; the result
+is the same wherever the line is drawn. A document's score is the sum of ln P(word | two words on each side).
 
 Null and empty texts have no words, score 0 and no mean. Texts are scored as a whole. Words of equal
 frequency rank by their letters. Repeated rows get equal scores; an empty table gives an empty result.
@@ -26,6 +32,7 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -41,8 +48,10 @@ BATCH = 8192
 KNOWN_SHARE = 2e-6
 # Fixed value: how many occurrences a word counts as that the corpus does not hold.
 UNSEEN = 0.5
-# Distinct words that a task counts before it hands them on.
-COUNTED = 200_000
+# Distinct words that a task counts before it hands them on; text hashes that it remembers.
+COUNTED, REMEMBERED = 200_000, 500_000
+# Words of a shard, and arrays of weights that are added up at once.
+SHARD_WORDS, TREE = 4_000_000, 64
 SHAPES = {"context": (len(PLACES), SIZE, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_bias": (GROUPS, MEMBERS)}
 LENGTH = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -135,9 +144,10 @@ class Network:
             back[rows] += p @ self.w["member"][g].T
         back *= 1 - h * h
         grad["bias"][:] = back.sum(axis=0)
+        columns = np.ascontiguousarray(back.T, np.float64)
         for p in range(len(PLACES)):
             for k in range(HIDDEN):
-                grad["context"][p, :, k] = np.bincount(around[p], back[:, k], SIZE)
+                grad["context"][p, :, k] = np.bincount(around[p], columns[k], SIZE)
         sums += flat * flat
         self.flat -= rate * flat / (np.sqrt(sums) + np.float32(1e-8))
 
@@ -151,14 +161,14 @@ def windows(texts: Sequence[str | None], words: Words) -> tuple[np.ndarray, np.n
     return laid_out(tokens(texts), words)
 
 
-def laid_out(found: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``windows`` of texts that are words already."""
+def laid_out(found: Sequence[Sequence], words: Words | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``windows`` of texts that are words already, or ids if no ``words`` are given."""
     reach = max(PLACES)
     sizes = np.array([len(f) for f in found], np.int64)
     line = np.zeros(int(sizes.sum()) + reach * (len(found) + 1), np.int64)
     starts = np.cumsum(sizes + reach) - sizes
     for f, at in zip(found, starts):
-        line[at : at + len(f)] = list(map(words.__getitem__, f))
+        line[at : at + len(f)] = f if words is None else list(map(words.__getitem__, f))
     spot = np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
     return line[spot], np.stack([line[spot + p] for p in PLACES]), sizes
 
@@ -193,46 +203,124 @@ def most_frequent(counts: DataFrame) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
-def class_shares(counts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], np.ndarray]:
-    """ln(count) of the common words outside the vocabulary, and ln(count + 1) of every class, 0 where a class is one word."""
+def class_shares(counts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], np.ndarray, np.ndarray, int]:
+    """ln(count) of the common words outside the vocabulary; ln(count + 1) of every class, 0 where a class is one
+    word; the biases of the classes' shares; and the number of all words."""
     crc = F.crc32(F.col("word").cast("binary"))
     own = F.col("word").isin(vocabulary)
     classes = counts.groupBy(F.pmod(crc, F.lit(HASHED)).alias("class")).agg(F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("hashed"), F.sum("n").alias("n")).collect()
-    totals = np.zeros(SIZE)
+    totals, sizes = np.zeros(SIZE), np.zeros(SIZE)
     for r in classes:
         totals[1 + FREQUENT + r["class"]] = np.log1p(r["hashed"])
-    common = counts.filter(F.col("n") > sum(r["n"] for r in classes) * KNOWN_SHARE).filter(~own)
-    return {r["word"]: float(np.log(r["n"])) for r in common.collect()}, totals
+        sizes[1 + FREQUENT + r["class"]] = r["hashed"]
+    place = dict(zip(vocabulary, range(1, FREQUENT + 1)))
+    for r in counts.filter(own).collect():
+        sizes[place[r["word"]]] = r["n"]
+    every = sum(r["n"] for r in classes)
+    common = counts.filter(F.col("n") > every * KNOWN_SHARE).filter(~own)
+    return {r["word"]: float(np.log(r["n"])) for r in common.collect()}, totals, np.log(sizes + 1), every
 
 
-def trained(df: DataFrame, text: str, vocabulary: list[str], rounds: int, rate: float) -> np.ndarray:
-    """Weights after ``rounds`` rounds; each document trains in one of them."""
-    texts = df.select(F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
-    texts = texts.withColumn("round", F.pmod(F.xxhash64("text"), F.lit(rounds)))
+def first_weights(sizes: np.ndarray) -> np.ndarray:
+    """Weights that start as the unigram model, from ln(count + 1) of the classes."""
     flat = Network.fresh()
+    w, by_group = split(flat), np.exp(sizes).reshape(GROUPS, MEMBERS)
+    w["group_bias"][:] = np.log(by_group.sum(axis=1))
+    w["member_bias"][:] = np.log(by_group)
+    return flat
+
 
-    def work_from(start: np.ndarray):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, network, sums, seen = Words(zip(vocabulary, range(1, FREQUENT + 1))), Network(start), np.full(LENGTH, 1e-6, np.float32), 0
-            for part in slices(batches, 0, 1_000_000):
-                ids, around, _ = windows(part.column(0).to_pylist(), words)
-                for at in range(0, len(ids), BATCH):
-                    network.train(ids[at : at + BATCH], around[:, at : at + BATCH], rate, sums)
-                seen += len(ids)
-            if seen:
-                weight = np.full(LENGTH, float(seen))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(LENGTH, dtype=np.int32)), pa.array(network.flat * weight), pa.array(weight)], names=["place", "value", "weight"])
+def coded(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(shard, hash, ids) of texts (text, shard, hash), without copies that lie near each other."""
 
-        return work
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, met = Words(zip(vocabulary, range(1, FREQUENT + 1))), set()
+        for part in slices(batches, 0, 1_000_000):
+            hashes, fresh = part.column(2).to_pylist(), []
+            for i, h in enumerate(hashes):
+                if h not in met:
+                    met.add(h)
+                    fresh.append(i)
+            if len(met) > REMEMBERED:
+                met.clear()
+            part = part.take(pa.array(fresh, pa.int64()))
+            ids = [np.fromiter(map(words.__getitem__, f), np.int16, len(f)).tobytes() for f in tokens(part.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(ids, pa.binary())], names=["shard", "hash", "ids"])
+
+    return texts.select("text", "shard", "hash").mapInArrow(work, "shard long, hash long, ids binary")
+
+
+def trained_shards(rows: DataFrame, start: np.ndarray, rate: float) -> DataFrame:
+    """(shard, total, seen) of shards (shard, hash, ids): each one's weights times its words."""
+
+    def train(found: list[np.ndarray]) -> tuple[bytes, float]:
+        network, sums = Network(start), np.full(LENGTH, 1e-6, np.float32)
+        ids, around, _ = laid_out(found, None)
+        for at in range(0, len(ids), BATCH):
+            network.train(ids[at : at + BATCH], around[:, at : at + BATCH], rate, sums)
+        return (network.flat.astype(np.float64) * len(ids)).tobytes(), float(len(ids))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, last, found = None, None, []
 
+        def out() -> pa.RecordBatch:
+            total, seen = train(found)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([total], pa.binary()), pa.array([seen])], names=["shard", "total", "seen"])
+
+        for batch in batches:
+            for s, h, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != shard:
+                    if found:
+                        yield out()
+                    shard, last, found = s, None, []
+                if h != last and ids:
+                    found.append(np.frombuffer(ids, np.int16))
+                last = h
+        if found:
+            yield out()
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "hash").mapInArrow(work, "shard long, total binary, seen double")
+
+
+def added_up(parts: DataFrame, n: int) -> tuple[np.ndarray, float] | None:
+    """Sum of at most ``n`` shards' weights and words, TREE at a time in the order of the shards."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("shard")
+        total = np.sum([np.frombuffer(x, np.float64) for x in frame["total"]], axis=0)
+        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0]) // TREE], "total": [total.tobytes()], "seen": [frame["seen"].sum()]})
+
+    while n > TREE:
+        parts = stored(parts.groupBy(F.floor(F.col("shard") / TREE).alias("branch")).applyInPandas(add, "shard long, total binary, seen double"), "branch")
+        n = -(-n // TREE)
+    rows = sorted(parts.collect())
+    if not rows:
+        return None
+    return np.sum([np.frombuffer(r["total"], np.float64) for r in rows], axis=0), sum(r["seen"] for r in rows)
+
+
+def trained(df: DataFrame, text: str, vocabulary: list[str], rounds: int, rate: float, first: np.ndarray, every: int) -> np.ndarray:
+    """Weights after ``rounds`` rounds from ``first`` on a corpus of ``every`` words; each text trains in one of them."""
+    shards = -(-every // (SHARD_WORDS * rounds)) or 1
+    texts = df.select(F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null").withColumn("hash", F.xxhash64("text"))
+    texts = texts.withColumns({"round": F.pmod("hash", F.lit(rounds)), "shard": F.pmod(F.shiftrightunsigned("hash", 8), F.lit(shards))})
+    flat = first
     for r in range(rounds):
-        parts = texts.filter(F.col("round") == r).select("text").mapInArrow(work_from(flat), "place int, value double, weight double")
-        mean = parts.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()  # one row per weight
-        for row in mean:
-            flat[row["place"]] = row["value"]
+        parts = stored(trained_shards(coded(texts.filter(F.col("round") == r), vocabulary), flat, rate), "shards")
+        if found := added_up(parts, shards):
+            flat = found[0] / found[1]
     return flat
 
 
+def fitted(corpus: DataFrame, text: str, rounds: int = 2, rate: float = 0.1) -> tuple[DataFrame, list[str], dict[str, float], np.ndarray, np.ndarray, np.ndarray]:
+    """Word counts, vocabulary, ln(count) of common words, ln(count + 1) of hashed classes, first and trained weights."""
+    counts = stored(word_counts(corpus, text), "words")
+    vocabulary = most_frequent(counts)
+    common, totals, sizes, every = class_shares(counts, vocabulary)
+    first = first_weights(sizes)
+    return counts, vocabulary, common, totals, first, trained(corpus, text, vocabulary, rounds, rate, first, every)
+
+
 def score(
     df: DataFrame, text: str = "text", keep: Sequence[str] | None = None, rounds: int = 2, rate: float = 0.1, corpus: DataFrame | None = None
 ) -> DataFrame:
@@ -243,10 +331,7 @@ def score(
     results = ["n_tokens", "log_probability", "mean_log_probability"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in results]
     corpus = df if corpus is None else corpus
-    counts = stored(word_counts(corpus, text), "words")
-    vocabulary = most_frequent(counts)
-    common, totals = class_shares(counts, vocabulary)
-    flat = trained(corpus, text, vocabulary, rounds, rate)
+    counts, vocabulary, common, totals, _, flat = fitted(corpus, text, rounds, rate)
     kept = df.select(*[df[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(keep)], df[f"`{text}`"].cast("string").alias("_scored"))
     added = [T.StructField("_n", T.LongType()), T.StructField("_log", T.DoubleType()), T.StructField("_rare", T.ArrayType(T.StringType()))]
     schema = T.StructType([*kept.schema.fields[:-1], *added])

@@ -333,8 +333,7 @@ def test_scores_prefer_real_word_order(session, docs):
         mixed.append(" ".join(words))
     made = session.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
     both = session.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts[:20])] + [(100 + i, t, "en", "s") for i, t in enumerate(mixed)], DOCS)
-    vocabulary = lm.frequent_words(made, "text")
-    flat = lm.trained(made, "text", vocabulary, 2, 0.1)
+    _, vocabulary, _, _, _, flat = lm.fitted(made, "text")
     words, network = lm.Words(zip(vocabulary, range(1, lm.FREQUENT + 1))), lm.Network(flat)
     means = [network.log_probability(*lm.windows([r["text"]], words)[:2]).mean() for r in both.orderBy("doc_id").collect()]
     assert sum(a > b for a, b in zip(means[:20], means[20:])) == 20
@@ -358,12 +357,42 @@ def test_every_word_counts_beyond_the_frequent_ones(session, monkeypatch, share)
     assert got[0] - got[1] == pytest.approx(np.log(6 / 2), abs=1e-6) and got[1] - got[2] == pytest.approx(np.log(2 / lm.UNSEEN), abs=1e-6)
     counts = {r["word"]: r["n"] for r in lm.word_counts(corpus, "text").collect()}
     assert len(counts) == lm.FREQUENT + 4 and counts[often] == 6
-    flat = lm.trained(corpus, "text", vocabulary := lm.frequent_words(corpus, "text"), 1, 0.1)
+    _, vocabulary, _, _, _, flat = lm.fitted(corpus, "text", 1)
     words, network = lm.Words(zip(vocabulary, range(1, lm.FREQUENT + 1))), lm.Network(flat)
     plain = network.log_probability(*lm.windows([rows[3][1]], words)[:2]).sum() + np.log(6 / 13) + np.log(lm.UNSEEN / 13)
     assert got[3] == pytest.approx(plain, abs=1e-3)
 
 
+def test_scores_do_not_depend_on_the_cut(session, monkeypatch):
+    """The same rows in 1, 3 and 8 parts, over several shards and a tree of sums; columns with a result's or a helper's name."""
+    monkeypatch.setattr(lm, "SHARD_WORDS", 4000)
+    monkeypatch.setattr(lm, "TREE", 2)
+    monkeypatch.setattr(lm, "REMEMBERED", 50)
+    df = session.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = df.unionByName(df.filter("doc_id < 20")).unionByName(session.createDataFrame([(-1, "long " * 30_000), (None, None)], df.schema))
+    df = df.withColumns({"shard": F.lit("x"), "hash": F.lit("x"), "n_tokens": F.lit("x"), "_n": F.lit("x")})
+    found = []
+    for parts in (1, 3, 8):
+        scored = lm.score(df.repartition(parts))
+        assert scored.columns == ["doc_id", "text", "shard", "hash", "_n", "n_tokens", "log_probability", "mean_log_probability"]
+        found.append(sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["mean_log_probability"] or 0) for r in scored.collect()))
+    for other in found[1:]:
+        assert [r[:3] for r in other] == [r[:3] for r in found[0]]
+        assert np.allclose([r[3] for r in other], [r[3] for r in found[0]], atol=1e-4)
+
+
+def test_network_beats_unigrams_on_held_out_documents(session):
+    df = session.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("out", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
+    _, vocabulary, _, _, first, flat = lm.fitted(df.filter("not out"), "text")
+    words = lm.Words(zip(vocabulary, range(1, lm.FREQUENT + 1)))
+    ids, around, _ = lm.windows([r["text"] for r in df.filter("out").select("text").distinct().collect()], words)
+    plain = np.zeros(lm.LENGTH)
+    for name in ("group_bias", "member_bias"):
+        lm.split(plain)[name][:] = lm.split(first)[name]
+    gain = lm.Network(flat).log_probability(ids, around).mean() - lm.Network(plain).log_probability(ids, around).mean()
+    assert gain > 0.05, gain
+
+
 def test_words_are_counted_as_they_are_scored(session, monkeypatch):
     monkeypatch.setattr(lm, "COUNTED", 1)
     df = session.createDataFrame([(1, "A\u00a0b \u2003B\x1cc", "en", "s"), (2, None, "en", "s"), (3, "b", "en", "s")], DOCS)
