@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from tallyroll.functions import values as V
-from tallyroll.operators import analytics as A, filters as P, history as H, quality as Q, reconcile as R, relations as J
+from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J
 from tallyroll.operators.spread import row_numbers
 from tallyroll.plans.registry import query
-from tallyroll.session import scratch_dir
+from tallyroll.session import scratch_dir, stored
 
 
 @query(
@@ -171,9 +171,9 @@ def reconciled(t):
     return R.reconcile({"hardware": hardware, "sales": t.sales_reports, "payme": t.payme_payments, **found})
 
 
-def _match_sql(payments, lane="''"):
+def _match_sql(payments, lane="''", orders="{timed_orders}"):
     """Rounds of mutual nearest neighbours over all candidate pairs."""
-    return f"""WITH RECURSIVE o AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {{timed_orders}}),
+    return f"""WITH RECURSIVE o AS (SELECT id, amount, epoch(seen_at)::bigint AS s FROM {orders}),
     p AS (SELECT {lane} AS lane, id, amount, epoch(seen_at)::bigint AS s FROM {payments}),
     c AS (SELECT p.lane, p.id AS payment_id, o.id AS order_id, abs(o.s - p.s) AS apart,
             row_number() OVER (ORDER BY abs(o.s - p.s), p.s, o.s, p.id, o.id) AS place
@@ -231,6 +231,62 @@ def join_12(t):
     return R.match_by_amount(t.timed_orders, t.loose_payments, 5).drop("amount")
 
 
+# What the fit starts from. Time apart: none, up to one, three and five minutes.
+START = E.Fit(
+    0.9,
+    {"time_level": [0.4, 0.3, 0.2, 0.1], "machine_agrees": [0.1, 0.9], "kind_agrees": [0.1, 0.9]},
+    {"time_level": [0.1, 0.2, 0.3, 0.4], "machine_agrees": [0.9, 0.1], "kind_agrees": [0.7, 0.3]},
+)
+STEPS = 20
+
+
+def _confidence_sql():
+    """The fit as a recursion over one row: the share, and lists of the levels' probabilities."""
+    fields = list(START.true)
+
+    def like(side):
+        return " * ".join(f"CASE WHEN {f} IS NULL THEN 1.0::DOUBLE ELSE {side}_{f}[{f} + 1] END" for f in fields)
+
+    def lists(side, weight):
+        return ", ".join(
+            f"""CASE WHEN sum({weight}) FILTER ({f} IS NOT NULL) > 0 THEN [
+                {", ".join(f"coalesce(sum({weight}) FILTER ({f} = {i}), 0) / sum({weight}) FILTER ({f} IS NOT NULL)" for i in range(len(getattr(START, side)[f])))}]
+                ELSE any_value({side}_{f}) END"""
+            for f in fields
+        )
+
+    names = [f"{side}_{f}" for side in ("true", "accidental") for f in fields]
+    begin = ", ".join(f"{getattr(START, side)[f]}::DOUBLE[] AS {side}_{f}" for side in ("true", "accidental") for f in fields)
+    posterior = f"share * {like('true')} / (share * {like('true')} + (1 - share) * {like('accidental')})"
+    return f"""WITH RECURSIVE pairs AS (
+        SELECT m.payment_id, m.order_id, m.seconds_apart,
+            (m.seconds_apart > 0)::int + (m.seconds_apart > 60)::int + (m.seconds_apart > 180)::int AS time_level,
+            (o.machine_code = p.machine)::int AS machine_agrees, (o.payment_type = p.kind)::int AS kind_agrees
+        FROM ({_match_sql("{terminal_payments}", orders="{terminal_orders}")}) m
+        JOIN {{terminal_orders}} o ON o.id = m.order_id JOIN {{terminal_payments}} p ON p.id = m.payment_id),
+    patterns AS (SELECT {", ".join(fields)}, count(*)::DOUBLE AS n FROM pairs GROUP BY ALL),
+    fit AS (
+        SELECT 0 AS step, {START.share}::DOUBLE AS share, {begin}
+        UNION ALL
+        SELECT step + 1, sum(n * g) / sum(n), {lists("true", "n * g")}, {lists("accidental", "(n - n * g)")}
+        FROM (SELECT fit.*, patterns.*, {posterior} AS g FROM fit, patterns WHERE step < {STEPS}) GROUP BY step)
+    SELECT payment_id, order_id, seconds_apart, time_level::BIGINT AS time_level, machine_agrees::BIGINT AS machine_agrees,
+        kind_agrees::BIGINT AS kind_agrees, round({posterior}, 2) AS confidence
+    FROM pairs, (SELECT share, {", ".join(names)} FROM fit WHERE step = {STEPS})"""
+
+
+@query("join_11_confidence", _confidence_sql())
+def join_11_confidence(t):
+    found = R.match_by_amount(t.terminal_orders, t.terminal_payments, 5, None, ["machine_code", "payment_type"], ["machine", "kind"])
+    pairs = found.select(
+        "payment_id", "order_id", "seconds_apart",
+        E.level_of(F.col("seconds_apart"), [0, 60, 180]).alias("time_level"),
+        E.agreement(F.col("machine_code"), F.col("machine")).alias("machine_agrees"),
+        E.agreement(F.col("payment_type"), F.col("kind")).alias("kind_agrees"),
+    )
+    return E.with_confidence(stored(pairs, "pairs"), START, STEPS)
+
+
 def _pair(name, value, other):
     """Text of a JSON object with the two values, as DuckDB puts it together."""
     return f"'{{{{\"{name}\":\"' || {value} || '\",\"' || {other} || '\":\"' || amount || '\"}}}}'".replace("{{", "{").replace("}}", "}")

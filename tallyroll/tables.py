@@ -158,6 +158,15 @@ DERIVED: dict[str, str] = {
                cast(1000 + cast(floor(o_totalprice / 25000) AS int) * 500 AS decimal(12,2)) AS amount,
                o_orderdate + (o_custkey * 37 % 1440) * INTERVAL '1' MINUTE AS seen_at
         FROM {orders}""",
+    # the same with machine and kind of payment, as terminals report them: sometimes missing, sometimes wrong
+    "terminal_orders": """
+        SELECT t.id, t.amount, t.seen_at, s.machine_code, s.payment_type
+        FROM {timed_orders} t JOIN {sales_orders} s ON s.id = t.id""",
+    "terminal_payments": """
+        SELECT p.id, p.amount, p.seen_at,
+               CASE WHEN p.id % 11 = 0 THEN NULL WHEN p.id % 13 = 0 THEN 'VM-999' ELSE s.machine_code END AS machine,
+               CASE WHEN p.id % 17 = 0 THEN 'Cash' ELSE s.payment_type END AS kind
+        FROM {loose_payments} p JOIN {sales_orders} s ON s.id = p.id""",
     "loose_payments": """
         SELECT o_orderkey AS id,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'click' WHEN '2-HIGH' THEN 'click'

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallyroll.operators import analytics as A, filters as P, history as H, quality as Q, reconcile as R, relations as J, spread
+from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J, spread
 from tallyroll.plans import run
 from tallyroll.sinks import exports as X
 from tallyroll.streaming import limits as M, runs
@@ -283,6 +283,43 @@ def test_reconcile_levels(spark):
     assert ("A", "duplicate_record", "payme") in {(r.order_number, r.error_type, r.target_table) for r in errors}
 
 
+def test_confidence_equals_a_plain_fit_over_all_pairs(spark):
+    """Row by row in numpy; the order of rows and their cut have no influence."""
+    import numpy as np
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(600):
+        true = rng.random() < 0.7
+        machine = rng.choice([None, int(rng.random() < (0.95 if true else 0.2))])
+        rows.append((min(3, int(rng.expovariate(2 if true else 0.5))), machine, int(rng.random() < (0.9 if true else 0.4))))
+    start = E.Fit(0.6, {"time": [0.4, 0.3, 0.2, 0.1], "machine": [0.2, 0.8], "kind": [0.2, 0.8]}, {"time": [0.25] * 4, "machine": [0.6, 0.4], "kind": [0.5, 0.5]})
+    p, m, u = start.share, [np.array(v) for v in start.true.values()], [np.array(v) for v in start.accidental.values()]
+    known = [np.array([r[k] is not None for r in rows]) for k in range(3)]
+    level = [np.array([r[k] or 0 for r in rows]) for k in range(3)]
+
+    def posterior():
+        a, b = np.full(len(rows), p), np.full(len(rows), 1 - p)
+        for k in range(3):
+            a, b = a * np.where(known[k], m[k][level[k]], 1), b * np.where(known[k], u[k][level[k]], 1)
+        return a / (a + b)
+
+    for _ in range(12):
+        g = posterior()
+        p = g.mean()
+        for k in range(3):
+            m[k] = np.array([g[known[k] & (level[k] == i)].sum() for i in range(len(m[k]))]) / g[known[k]].sum()
+            u[k] = np.array([(1 - g)[known[k] & (level[k] == i)].sum() for i in range(len(u[k]))]) / (1 - g)[known[k]].sum()
+    want = sorted((r[0], -1 if r[1] is None else r[1], r[2], round(float(x), 2)) for r, x in zip(rows, posterior()))
+    schema, seen = "time int, machine int, kind int", set()
+    for parts in (1, 5):
+        got = E.with_confidence(spark.createDataFrame(rows, schema).repartition(parts), start, 12).collect()
+        assert sorted((r[0], -1 if r[1] is None else r[1], r[2], float(r[3])) for r in got) == want
+        seen.add(tuple(sorted((r[0], -1 if r[1] is None else r[1], r[2], r[3]) for r in got)))
+    assert len(seen) == 1
+    assert E.with_confidence(spark.createDataFrame([], schema), start).count() == 0
+
+
 # ---- updates of one key, several times -----------------------------------------------------------
 
 
