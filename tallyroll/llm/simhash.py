@@ -168,9 +168,9 @@ def near_duplicates(
 
 def first_of_each(df: DataFrame, words: int = 3, bits: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the least id stays."""
-    rows = df.select(together(df, df.columns), df[f"`{id_column}`"].alias("_id"), df[f"`{text}`"].alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    rows = stored(rows, "rows")
-    grouped = near_duplicates(rows, words, bits, "_id", "_text", ["_row", "_id"])
+    rows = stored(df.select(together(df, df.columns), F.monotonically_increasing_id().alias("_row")), "rows")
+    texts = rows.select("_row", F.col("_kept").getField(id_column).alias("_id"), F.col("_kept").getField(text).alias("_text"))
+    grouped = near_duplicates(texts, words, bits, "_id", "_text", ["_row", "_id"])
     # A component without any id has none to go by, so there the fingerprint stands for it.
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
     first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_row"))
