@@ -50,17 +50,22 @@ KNOWN_SHARE = 2e-6
 UNSEEN = 0.5
 # Distinct words that a task counts before it hands them on; text hashes that it remembers.
 COUNTED, REMEMBERED = 200_000, 500_000
+# Words whose hashed class a task remembers.
+HASHED_KNOWN = 100_000
 # Words of a shard, and arrays of weights that are added up at once.
-SHARD_WORDS, TREE = 4_000_000, 64
+SHARD_WORDS, TREE = 2_000_000, 64
 SHAPES = {"context": (len(PLACES), SIZE, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_bias": (GROUPS, MEMBERS)}
 LENGTH = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
 class Words(dict):
-    """Ids of words; those that are not frequent are hashed when they come up."""
+    """Ids of words; those that are not frequent are hashed when they come up, and some of them remembered."""
 
     def __missing__(self, word: str) -> int:
-        return 1 + FREQUENT + zlib.crc32(word.encode()) % HASHED
+        found = 1 + FREQUENT + zlib.crc32(word.encode()) % HASHED
+        if len(self) < HASHED_KNOWN:
+            self[word] = found
+        return found
 
 
 class Known(dict):
@@ -82,7 +87,8 @@ def split(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e /= e.sum(axis=1, keepdims=True)
+    return e
 
 
 class Network:
@@ -106,8 +112,9 @@ class Network:
             h += self.w["context"][p][around[p]]
         np.tanh(h, out=h)
         groups = softmax(h @ self.w["group"] + self.w["group_bias"])
-        order = np.argsort(ids // MEMBERS, kind="stable")
-        cuts = np.searchsorted(ids[order] // MEMBERS, np.arange(GROUPS + 1))
+        group = (ids // MEMBERS).astype(np.int16)  # short numbers sort by radix
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
         members = []
         for g in range(GROUPS):
             rows = order[cuts[g] : cuts[g + 1]]
