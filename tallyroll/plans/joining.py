@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyroll.functions import values as V
-from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J
+from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J, similarity as S
 from tallyroll.operators.spread import row_numbers
 from tallyroll.plans.registry import query
 from tallyroll.session import scratch_dir, stored
@@ -135,6 +135,38 @@ def flt_13(t):
     return P.worth_processing(J.duplicate_files(hashed_files(t))).select("id", "original_name")
 
 
+# Shared lines of every two files by a plain self join; the first of equal files stands for all of them.
+SIMILAR_SQL = """WITH each AS (SELECT DISTINCT id, line FROM (
+        SELECT id, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM {{file_entries}}
+    ) WHERE trim(line, ' ') <> ''),
+    sets AS (SELECT f.id, f.original_name, CASE WHEN f.content IS NOT NULL THEN coalesce(e.lines, '') END AS lines, coalesce(e.n, 0) AS n
+        FROM {{file_entries}} f LEFT JOIN (SELECT id, string_agg(line, chr(10) ORDER BY line) AS lines, count(*) AS n FROM each GROUP BY id) e ON e.id = f.id),
+    marked AS (SELECT *, CASE WHEN lines IS NULL THEN id ELSE min(id) OVER (PARTITION BY lines) END AS first FROM sets),
+    shared AS (SELECT a.id, b.id AS other, count(*) AS s FROM each a JOIN each b ON a.line = b.line AND b.id < a.id GROUP BY 1, 2),
+    near AS (SELECT s.id, min(s.other) AS other, arg_min(100.0::double * s.s / (a.n + b.n - s.s), s.other) AS similarity
+        FROM shared s JOIN marked a ON a.id = s.id JOIN marked b ON b.id = s.other
+        WHERE s.s * 100 >= {percent} * (a.n + b.n - s.s) GROUP BY 1)
+    SELECT m.id, m.original_name,
+        CASE WHEN m.id <> m.first THEN 100.0::double ELSE coalesce(n.similarity, 0.0::double) END AS similarity,
+        CASE WHEN m.id <> m.first THEN m.first ELSE n.other END AS duplicate_of_id
+    FROM marked m LEFT JOIN near n ON n.id = m.id"""
+
+
+def similar_files(t, percent):
+    files = t.file_entries.select("id", S.line_records(F.col("content")).alias("records"))
+    return t.file_entries.select("id", "original_name").join(S.similar_files(files, percent), "id")
+
+
+@query("join_8_similar_files", SIMILAR_SQL.format(percent=30))
+def join_8_similar(t):
+    return similar_files(t, 30)
+
+
+@query("flt_13_skip_near_copies", f"SELECT id, original_name FROM ({SIMILAR_SQL.format(percent=90)}) WHERE similarity < 90")
+def flt_13_near(t):
+    return P.worth_processing(similar_files(t, 90)).select("id", "original_name")
+
+
 @query(
     "join_9_live_tokens",
     """SELECT s.id, s.token, u.id AS user_id, u.username, u.status, u.role FROM {access_sessions} s

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J, spread
+from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J, similarity as S, spread
 from tallyroll.plans import run
 from tallyroll.sinks import exports as X
 from tallyroll.streaming import limits as M, runs
@@ -598,3 +598,66 @@ def test_top_names_need_a_full_look_only_when_the_reserve_is_gone(spark, tmp_pat
         got = [(name, int(revenue)) for name, revenue, _ in top.update(spark, str(tmp_path), b)]
         assert got == sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:3]
     assert top.full_looks < 8
+
+
+def plain_similar(files, percent):
+    """Every two files compared, in the order of their ids."""
+    out = {}
+    for i, mine in files.items():
+        equal = min((j for j, other in files.items() if j < i and mine is not None and other == mine), default=None)
+        near = [
+            (j, 100.0 * len(mine & other) / len(mine | other))
+            for j, other in sorted(files.items())
+            if j < i and mine and other and 100 * len(mine & other) >= percent * len(mine | other)
+        ]
+        out[i] = (100.0, equal) if equal is not None else next(((s, j) for j, s in near), (0.0, None))
+    return out
+
+
+@pytest.mark.parametrize("percent, block", [(100, 2), (90, 2), (50, 32)])
+def test_similar_files_against_all_pairs(spark, percent, block):
+    rng = random.Random(percent)
+    files = {0: set(), 1: None, 2: None, 3: set(), 4: {7}, 5: {7}}
+    template = set(range(1000, 1040))
+    for i in range(6, 160):
+        kind = rng.randrange(4)
+        if kind == 0:  # variants of one template, some of them equal
+            files[i] = (template - set(rng.sample(sorted(template), rng.randrange(4)))) | {rng.randrange(2000, 2005) for _ in range(rng.randrange(3))}
+        elif kind == 1:  # a variant of any earlier file
+            base = sorted(files[rng.randrange(6, i)] if i > 6 else template)
+            files[i] = set(base[rng.randrange(0, 2):]) | {rng.randrange(3000)}
+        elif kind == 2:  # the border: 9 of 10, 8 of 10
+            files[i] = set(range(5000, 5000 + rng.randrange(8, 12)))
+        else:
+            files[i] = {rng.randrange(60) for _ in range(rng.randrange(1, 25))}
+    df = spark.createDataFrame([(i, None if r is None else list(r)) for i, r in files.items()], "id long, records array<long>")
+    want = plain_similar(files, percent)
+    got = {r.id: (r.similarity, r.duplicate_of_id) for r in S.similar_files(df, percent, block).collect()}
+    assert {i: v[1] for i, v in got.items()} == {i: v[1] for i, v in want.items()}
+    assert all(got[i][0] == pytest.approx(want[i][0]) for i in want)
+
+
+def test_variants_of_one_template_meet_its_first_block(spark, monkeypatch):
+    base = list(range(100))
+    rows = [(i, base[:-1] + [1000 + i]) for i in range(600)] + [(i, base) for i in range(600, 1600)]
+    sizes = {}
+    store = S.stored
+
+    def counted(df, label):
+        out = store(df, label)
+        sizes[label] = sizes.get(label, 0) + (out.count() if label in ("candidates", "sets") else 0)
+        return out
+
+    monkeypatch.setattr(S, "stored", counted)
+    got = S.similar_files(spark.createDataFrame(rows, "id long, records array<long>"), 90).groupBy("duplicate_of_id").count().collect()
+    assert {r[0]: r[1] for r in got} == {None: 1, 0: 600, 600: 999}
+    assert sizes["sets"] == 601  # equal files are one
+    assert sizes["candidates"] <= 601 * S.FIRST_BLOCK  # of 180,300 pairs
+
+
+def test_lines_of_files(spark):
+    df = spark.createDataFrame([(1, "a\r\nb\n\n b"), (2, "b\ra\r b\na"), (3, " \n"), (4, ""), (5, None)], "id long, content string")
+    got = S.similar_files(df.select("id", S.line_records(F.col("content")).alias("records")))
+    assert {r.id: r.duplicate_of_id for r in got.collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None}
+    empty = S.similar_files(df.limit(0).select("id", S.line_records(F.col("content")).alias("records")))
+    assert empty.collect() == []
