@@ -15,8 +15,10 @@ whole. Rows that repeat are packed each for itself, ties in any order. Columns c
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 import pyarrow as pa
@@ -114,18 +116,30 @@ def least_sequences(histogram: Mapping[int, int], size: int) -> int:
     return best
 
 
-def exchange(lower: tuple[int, ...], upper: tuple[int, ...], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+def given_totals(items: tuple[int, ...]) -> tuple[list[int], dict[int, tuple[int, ...]]]:
+    """What one or two pieces of a sequence add up to, in order, and the pieces for each sum."""
+    counts = Counter(items)
+    kinds = list(counts)
+    gives = {a + b: (a, b) for a, b in combinations(kinds, 2)} | {2 * a: (a, a) for a, n in counts.items() if n > 1}
+    gives |= {a: (a,) for a in kinds}
+    return sorted(gives), gives
+
+
+def exchange(
+    lower: tuple[int, ...], upper: tuple[int, ...], room: int, totals: tuple[list[int], dict[int, tuple[int, ...]]] | None = None
+) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
     """The exchange that fills ``upper`` most: one or two pieces of ``lower`` for none or one of ``upper``.
 
     It must raise the sum of squared fills, so ``upper`` has to end fuller than ``lower`` was.
     """
-    gives = {g: (g,) for g in lower} | {sum(g): g for g in combinations(lower, 2)}
+    order, gives = totals or given_totals(lower)
     best, found = max(0, sum(lower) - sum(upper)), None
-    for total, given in gives.items():
-        for back in ((), *((b,) for b in dict.fromkeys(upper))):
-            gain = total - sum(back)
-            if best < gain <= room:
-                best, found = gain, (given, back)
+    for back in (0, *dict.fromkeys(upper)):
+        at = bisect_right(order, room + back) - 1
+        if at >= 0 and order[at] - back > best:
+            best, found = order[at] - back, (gives[order[at]], (back,) if back else ())
+            if best == room:
+                break
     return found
 
 
@@ -136,39 +150,68 @@ def without(items: tuple[int, ...], out: Sequence[int], more: Sequence[int]) ->
     return tuple(sorted([*kept, *more], reverse=True))
 
 
-def local_search(groups: Sequence[Group], histogram: Mapping[int, int], size: int, trials: int = 200_000) -> list[Group]:
-    """Exchange pieces between underfull groups, emptiest first, while sequences may still be saved.
+def local_search(groups: Sequence[Group], histogram: Mapping[int, int], size: int) -> list[Group]:
+    """Exchange pieces between underfull groups, emptiest first, until no sequence can be saved or no exchange helps.
 
-    It ends at the lower bound, where no exchange raises the squared fills, or after ``trials`` pairs;
-    the packing is whole at every moment.
+    Whether an exchange helps depends on what two groups hold alone. So a group is tried once against each other
+    one; no two of the ``settled`` ones can exchange, and only groups that an exchange has made queue again. Every
+    exchange raises the squared fills, which are bounded, so the search ends by itself.
     """
     bins: Counter = Counter()
     for items, number in groups:
         bins[tuple(sorted(items, reverse=True))] += number
-    goal, moved = least_sequences(histogram, size), True
-    while moved and trials > 0 and sum(bins.values()) > goal:
-        moved = False
-        underfull = sorted((b for b in bins if sum(b) < size), key=lambda b: (sum(b), b))
-        for i, lower in enumerate(underfull):
-            for upper in reversed(underfull[i:]):
-                trials -= 1
-                number = min(bins[lower], bins[upper]) if lower != upper else bins[lower] // 2
-                if trials < 0 or not number:
-                    continue
-                found = exchange(lower, upper, size - sum(upper))
-                if not found:
-                    continue
-                given, back = found
-                bins.subtract({lower: number})
-                bins.subtract({upper: number})
-                if rest := without(lower, given, back):
-                    bins[rest] += number
-                bins[without(upper, back, given)] += number
-                bins = +bins
-                moved = True
-                break
-            if moved or trials < 0:
-                break
+    goal, total = least_sequences(histogram, size), sum(bins.values())
+    queue = [(sum(b), b) for b in bins if sum(b) < size]
+    heapify(queue)
+    settled: list[tuple[int, tuple[int, ...]]] = []
+    inside: set[tuple[int, ...]] = set()
+    totals = {}
+
+    def change(items: tuple[int, ...], number: int) -> None:
+        """Add to a group's number; a group that is gone leaves, one that is new or has a twin now queues."""
+        bins[items] += number
+        if not bins[items]:
+            del bins[items]
+            totals.pop(items, None)
+            if items in inside:
+                inside.remove(items)
+                settled.pop(bisect_left(settled, (sum(items), items)))
+        elif number > 0 and sum(items) < size and (items not in inside or bins[items] > 1):
+            heappush(queue, (sum(items), items))
+
+    while queue and total > goal:
+        fill, new = heappop(queue)
+        if new not in bins:
+            continue
+        pairs = [(new, new)]
+        if new not in inside:
+            fuller, emptier = settled[bisect_left(settled, (fill,)) :], settled[: bisect_left(settled, (fill + 1,))]
+            pairs += [(new, other) for _, other in reversed(fuller)] + [(other, new) for _, other in emptier]
+        for lower, upper in pairs:
+            number = bins[new] // 2 if lower == upper else min(bins[lower], bins[upper])
+            if not number:
+                if new not in bins:
+                    break
+                continue
+            if lower not in totals:
+                totals[lower] = given_totals(lower)
+            found = exchange(lower, upper, size - sum(upper), totals[lower])
+            if not found:
+                continue
+            given, back = found
+            rest = without(lower, given, back)
+            change(lower, -number)
+            change(upper, -number)
+            change(without(upper, back, given), number)
+            if rest:
+                change(rest, number)
+            else:
+                total -= number
+                if total <= goal:
+                    break
+        if new in bins and new not in inside:
+            inside.add(new)
+            insort(settled, (fill, new))
     return sorted(bins.items())
 
 
@@ -185,8 +228,12 @@ def slots(groups: Sequence[Group]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", buckets: int = 64) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``: as few sequences of at most ``size`` as the search finds."""
+def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", bucket_rows: int = 20_000) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``: as few sequences of at most ``size`` as the search finds.
+
+    The pieces of a length are ranked in hashed buckets of about ``bucket_rows``. A bucket's ranks begin where
+    the earlier ones end, and the plan is cut along the buckets, so all tables meet by (length, bucket) and none has to be broadcast.
+    """
     spark = pieces.sparkSession
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     names = [f"_k{i}" for i in range(len(keys))]
@@ -195,18 +242,22 @@ def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str =
     histogram = {r[0]: r[1] for r in kept.groupBy("_n").count().collect()}  # at most ``size`` rows
     plan = slots(local_search(best_fit(histogram, size), histogram, size)) if histogram else []
     places = spark.createDataFrame(plan, "_length long, _from long, _to long, _copies long, _sequence long, _at long")
-    marked = kept.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
-    counts = marked.groupBy(F.col("_n").alias("_l"), F.col("_bucket").alias("_b")).count()
-    earlier = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_l", "_b", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    buckets = F.element_at(F.lit([-(-histogram.get(n, 1) // bucket_rows) for n in range(1, size + 1)]), F.col("_n").cast("int"))
+    marked = kept.withColumn("_bucket", F.pmod(F.xxhash64(*names), buckets).cast("int"))
+    counts = marked.groupBy("_n", "_bucket").count()
+    earlier = Window.partitionBy("_n").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    cuts = before.join(
+        places, (F.col("_n") == F.col("_length")) & (F.col("_from") < F.col("_before") + F.col("count")) & (F.col("_to") > F.col("_before"))
+    )
+    cuts = stored(cuts.drop("_length", "count").withColumnsRenamed({"_n": "_l", "_bucket": "_b"}), "cuts")
     inside = Window.partitionBy("_n", "_bucket").orderBy(*names)
     ranked = marked.withColumn("_inside", F.row_number().over(inside) - 1)
-    ranked = ranked.join(F.broadcast(before), (F.col("_n") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))
+    rank = F.col("_before") + F.col("_inside")
     placed = ranked.join(
-        F.broadcast(places), (F.col("_n") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+        cuts, (F.col("_n") == F.col("_l")) & (F.col("_bucket") == F.col("_b")) & (rank >= F.col("_from")) & (rank < F.col("_to"))
     )
-    turn = F.col("_rank") - F.col("_from")
+    turn = rank - F.col("_from")
     return placed.select(
         "_kept.*",
         (F.col("_sequence") + F.floor(turn / F.col("_copies"))).cast("long").alias("sequence_id"),

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -85,7 +86,33 @@ def test_packings_hold_every_piece(size, data):
             held.update({x: n * number for x, n in Counter(items).items()})
         assert held == histogram
     count = [sum(n for _, n in g) for g in (first, better)]
-    assert packing.least_sequences(histogram, size) <= count[1] <= count[0]
+    goal = packing.least_sequences(histogram, size)
+    assert goal <= count[1] <= count[0]
+    if count[1] > goal:  # the search ends only where no exchange helps
+        for (a, m), (b, n) in product(better, better):
+            if sum(a) <= sum(b) < size and (a != b or m > 1):
+                assert plain_exchange(a, b, size - sum(b)) is None
+
+
+def plain_exchange(lower, upper, room):
+    """Any exchange of one or two pieces for none or one that raises the squared fills."""
+    for given in [(x,) for x in lower] + list(combinations(lower, 2)):
+        for back in [(), *((x,) for x in upper)]:
+            if max(0, sum(lower) - sum(upper)) < sum(given) - sum(back) <= room:
+                return given, back
+    return None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=6), st.lists(st.integers(1, 30), max_size=6), st.integers(0, 40))
+def test_exchange_fills_most(lower, upper, room):
+    least = max(0, sum(lower) - sum(upper))
+    gains = [sum(g) - b for g in [(x,) for x in lower] + list(combinations(lower, 2)) for b in (0, *upper)]
+    best = max((g for g in gains if least < g <= room), default=None)
+    found = packing.exchange(tuple(lower), tuple(upper), room)
+    assert (None if found is None else sum(found[0]) - sum(found[1])) == best
+    if found:
+        assert Counter(found[0]) <= Counter(lower) and Counter(found[1]) <= Counter(upper)
 
 
 def test_local_search_empties_a_sequence():
@@ -98,7 +125,7 @@ def test_pack(docs):
     df, rows = docs
     library = Tokenizer.from_file(public_tokenizers.path(FILES[0]))
     pieces = packing.token_pieces(df, public_tokenizers.path(FILES[0]), size=256)
-    got = packing.pack(pieces, ["doc_id", "piece"], size=256, buckets=8).collect()
+    got = packing.pack(pieces, ["doc_id", "piece"], size=256, bucket_rows=5).collect()
     held, by_id = defaultdict(list), defaultdict(list)
     for r in got:
         held[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -116,6 +143,22 @@ def test_pack(docs):
     assert packing.pack(pieces.limit(0), ["doc_id", "piece"], size=256).count() == 0
 
 
+def test_pack_spreads_a_hot_length(session):
+    df = session.range(6000).select("id", F.when(F.col("id") % 3 > 0, 400).otherwise(F.col("id") % 900 + 1).alias("length"))
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = packing.pack(df, ["id"], bucket_rows=100).collect()
+    finally:
+        session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["id"] for r in got) == list(range(6000))
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in map(sorted, held.values()):
+        assert places[0][0] == 0 and sum(places[-1]) <= 1024
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
+
+
 # ---- fingerprints --------------------------------------------------------------------------------
 
 
