@@ -4,8 +4,8 @@ A rule (verdict, host, path) fits its host and all subdomains if the url's path
 of several the longest wins, of equally long ones the first in the alphabet. The trees are trained on labelled
 urls: lengths, depth, digit ratio, entropy, parameter counts and statistics of the suffix, that is how often
 labelled urls with the same last host label, or the same last label and first path segment, are blocked. The
-statistics cover all labelled urls; the trees are fitted on at most ``train_rows`` of them, those with the
-least hashes. Training and scoring are Spark's own; no Python runs on the executors.
+statistics cover all labelled urls; the trees are fitted on at most ``train_rows`` different ones, up to half
+of them of each label and those with the least hashes, weighted back to the labels' shares. Training and scoring are Spark's own; no Python runs on the executors.
 
 Null urls and those without ``://`` have empty host and path and fit no rule. Without labelled urls of both
 kinds everything that no rule fits is allowed. Repeated rows are judged each for itself, an empty table gives
@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyroll.llm.common import stored, together
+from tallyroll.llm.common import empty, stored, together
 
 Rule = tuple[str, str, str]  # verdict, host, path
 SMOOTH = 10.0
@@ -105,14 +106,32 @@ def with_statistics(df: DataFrame, statistics: DataFrame) -> DataFrame:
     return df
 
 
-def fitted(labelled: DataFrame, train_rows: int, trees: int, depth: int) -> GBTClassificationModel | None:
-    """Trees on the ``train_rows`` labelled rows with the least hashes; null if they are all of one kind."""
-    order = [F.xxhash64("_url"), F.col("_url")]
-    sample = stored(labelled.orderBy(*order).limit(train_rows).select(*FEATURES, F.col("label").cast("double").alias("label")), "train")
-    if sample.select("label").distinct().count() < 2:
+def training_urls(known: DataFrame, train_rows: int) -> DataFrame:
+    """(_hash, label, weight) of the different labelled urls to train on, at most ``train_rows`` / 2 of each label.
+
+    Those with the least hashes are taken, a url counts once however often it stands in the table, and the weights
+    restore the labels' shares of all different urls. Empty unless both labels exist.
+    """
+    each = stored(known.select(F.xxhash64("_url").alias("_hash"), "label").distinct(), "labelled")
+    totals = {r["label"]: r["count"] for r in each.groupBy("label").count().collect()}  # the labels are 0 and 1
+    most = max(1, train_rows // 2) if len(totals) > 1 else 0
+    parts = [
+        each.filter(F.col("label") == label).orderBy("_hash").limit(most).withColumn("weight", F.lit(max(1.0, n / max(most, 1))))
+        for label, n in sorted(totals.items())
+    ]
+    return stored(reduce(DataFrame.union, parts, each.limit(0).withColumn("weight", F.lit(1.0))), "training")
+
+
+def fitted(known: DataFrame, statistics: DataFrame, train_rows: int, trees: int, depth: int) -> GBTClassificationModel | None:
+    """Trees on at most ``train_rows`` different labelled urls; null if all labels are of one kind."""
+    chosen = training_urls(known, train_rows)
+    if empty(chosen):
         return None
+    rows = known.withColumn("_hash", F.xxhash64("_url")).join(F.broadcast(chosen), ["_hash", "label"])  # at most ``train_rows``
+    rows = with_statistics(rows.dropDuplicates(["_hash", "label"]), statistics)
+    sample = stored(rows.select(*FEATURES, "weight", F.col("label").cast("double").alias("label")), "train")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(vectors.select("features", "label"))
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, weightCol="weight").fit(vectors.select("features", "label", "weight"))
 
 
 def judge(
@@ -138,7 +157,7 @@ def judge(
     else:
         known = with_features(labelled.select(F.col("url").alias("_url"), "label").filter("label is not null"), "_url")
     statistics = stored(suffix_statistics(known), "suffixes")
-    model = fitted(with_statistics(known, statistics), train_rows, trees, depth)
+    model = fitted(known, statistics, train_rows, trees, depth)
     if model is None:
         scored = rows.withColumn("block_score", F.lit(None).cast("double"))
     else:

@@ -5,7 +5,7 @@ import math
 import random
 import re
 import tempfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -180,6 +180,26 @@ def test_held_out_accuracy(session):
     assert counts[0] >= 0.97 * counts[3] and counts[1] >= 0.8 * counts[2]
 
 
+def test_training_urls(session):
+    rows = [("http://hot.example.com/", 0)] * 500 + [(f"http://a{i}.example.com/", 0) for i in range(99)] + [(f"http://b{i}.example.net/", 1) for i in range(3)]
+    known = session.createDataFrame(rows, "_url string, label int")
+    got = urls.training_urls(known, 20).collect()
+    assert Counter(r["label"] for r in got) == {0: 10, 1: 3} and len({r["_hash"] for r in got}) == 13
+    assert {(r["label"], r["weight"]) for r in got} == {(0, 10.0), (1, 1.0)}
+    assert urls.training_urls(known.filter("label = 0"), 20).count() == 0 and urls.training_urls(known.limit(0), 20).count() == 0
+
+
+def test_rare_labels_and_hot_urls_still_train(session):
+    rows = [("http://hot.example.com/", 0)] * 3000 + [(f"http://a{i}.example.com/x", 0) for i in range(300)] + [(f"http://casino{i}.example.net/?a=1&b=2&c=3", 1) for i in range(8)]
+    rows += [("http://unlabelled.example.com/", None), (None, 0), (None, None)]
+    labelled = session.createDataFrame(rows, "url string, label int")
+    pages = session.createDataFrame([(1, "http://casino99.example.net/?a=1&b=2&c=3"), (2, "http://a999.example.com/x"), (3, None)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, [], labelled=labelled, train_rows=50).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+    alone = urls.judge(pages, [], labelled=labelled.filter("label = 0"), train_rows=50)
+    assert {r["verdict"] for r in alone.collect()} == {"allow"}
+
+
 def test_entropy(session):
     got = session.createDataFrame([("aabb",), ("",), ("abcd",), ("a.+[",)], "s string").select(urls.entropy(F.col("s"))).collect()
     assert [r[0] for r in got] == [1.0, 0.0, 2.0, 2.0]
