@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroll.operators.analytics import count_rows, money_sum
-from tallyroll.operators.spread import join_dimension, key_counts, next_in_group, running_sums
+from tallyroll.operators.spread import in_parts, join_dimension, key_counts, next_in_group, running_sums
+
+# The most changes that one document holds.
+PART_ROWS = 1000
 
 
 def pending_users_with_stats(users: DataFrame, orders: DataFrame) -> DataFrame:
@@ -58,13 +61,20 @@ def with_orders(documents: DataFrame, orders: DataFrame) -> DataFrame:
     return found.unionByName(alone, allowMissingColumns=True)
 
 
-def nest_changes(orders: DataFrame, changes: DataFrame) -> DataFrame:
-    """One document per order and version, (id, version, changes, order), changes in time order.
+def in_documents(changes: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Changes of known orders with the ``part`` of the document that they go to; changes without an order drop out."""
+    return in_parts(changes.filter(F.col("order_id").isNotNull()), ["order_id", "version"], order, part_rows)
+
+
+def nest_changes(orders: DataFrame, changes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """One document per order and version, (id, version, part, changes, order), changes in time order.
 
-    The form is the same for short and long histories, and changes without a version are one version.
+    The form is the same for short and long histories, and changes without a version are one version. More than
+    ``part_rows`` changes go on in the documents of the next parts, so no document grows with a history.
     """
-    entry = F.struct("changed_at", "version", "field_name", "old_value", "new_value", "change_type")
-    documents = changes.groupBy(F.col("order_id").alias("id"), "version").agg(
+    order = ["changed_at", "field_name", "old_value", "new_value", "change_type"]
+    entry = F.struct("changed_at", "version", *order[1:])
+    documents = in_documents(changes, order, part_rows).groupBy(F.col("order_id").alias("id"), "version", "part").agg(
         F.array_sort(F.collect_list(entry)).alias("changes")
     )
     return with_orders(documents, orders)

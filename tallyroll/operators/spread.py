@@ -65,6 +65,17 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return found.withColumn(name, (F.row_number().over(inside) + F.col("_start")).cast("bigint")).drop("_part", "_start")
 
 
+def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """Numbers pieces of at most ``size`` rows of each group, in order, as ``part`` from 0.
+
+    One count per group tells whether any group needs more than one piece; if none does, no rows are sorted for it.
+    """
+    if not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).take(1):
+        return df.withColumn("part", F.lit(0).cast("bigint"))
+    numbered = row_numbers(df, keys, order, "_row")
+    return numbered.withColumn("part", F.floor((F.col("_row") - 1) / F.lit(size)).cast("bigint")).drop("_row")
+
+
 def carry_last(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """Replace each value by the last non-null one so far; one row per key and range travels between ranges."""
     rows = in_ranges(df, keys, [order])

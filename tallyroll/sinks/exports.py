@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroll.functions.values import iso_text, shorten
 from tallyroll.operators import analytics as A
-from tallyroll.operators.relations import with_orders
+from tallyroll.operators.relations import PART_ROWS, in_documents, with_orders
 
 # Widths and rows of the preview, the mark and names of the information rows, change types.
 VALUE_WIDTH = 30
@@ -56,16 +56,18 @@ def write_change_csv(order: DataFrame, changes: DataFrame, folder: str) -> None:
     ).write.mode("errorifexists").csv(folder, header=True)
 
 
-def change_documents(orders: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+def change_documents(orders: DataFrame, changes: DataFrame, as_of: Column, part_rows: int = PART_ROWS) -> DataFrame:
     """{export_info, order, changes, summary} per order and version, the same form for all histories.
 
-    The summary of a document counts its own changes, so the documents of an order add up.
+    The summary of a document counts its own changes, so the documents of an order add up. A version of more than
+    ``part_rows`` changes goes on in documents of further parts.
     """
     entry = F.struct(
         F.col("version").alias("row_number"), F.col("field_name").alias("column_name"), "old_value", "new_value",
         "change_type", iso_text(F.col("changed_at")).alias("created_at"),
     )
-    documents = changes.groupBy(F.col("order_id").alias("id"), "version").agg(
+    kept = in_documents(changes, ["field_name", "old_value", "new_value", "change_type", "changed_at"], part_rows)
+    documents = kept.groupBy(F.col("order_id").alias("id"), "version", "part").agg(
         F.array_sort(F.collect_list(entry)).alias("changes"),
         A.count_rows().alias("total_changes"),
         *[F.count_if(F.col("change_type") == k).alias(f"_{k}") for k in CHANGE_TYPES],
@@ -73,7 +75,7 @@ def change_documents(orders: DataFrame, changes: DataFrame, as_of: Column) -> Da
     whole = with_orders(documents, orders).fillna(0, ["total_changes", *[f"_{k}" for k in CHANGE_TYPES]])
     return whole.select(
         F.struct(
-            F.col("id").alias("order_id"), "version", iso_text(as_of).alias("export_date"), F.lit("json").alias("format")
+            F.col("id").alias("order_id"), "version", "part", iso_text(as_of).alias("export_date"), F.lit("json").alias("format")
         ).alias("export_info"),
         "order",
         "changes",

@@ -100,6 +100,24 @@ def test_histories_have_one_form(spark):
     assert sorted((r.export_info.order_id, r.summary.total_changes) for r in documents) == [(1, 1), (1, 1), (1, 1), (1, 2), (2, 0)]
 
 
+def test_long_histories_go_on_in_further_documents(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(1, 1 if i % 2 else None, "f", str(i % 30), at + timedelta(minutes=i), "new") for i in range(250)]
+    rows += [(2, 1, "f", "x", at, "new")] + [(None, 1, "f", "x", at, "new")] * 300
+    log = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), change_log(spark).schema).withColumn("old_value", F.lit(""))
+    orders = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id bigint, order_number string")
+    got = J.nest_changes(orders, log, part_rows=50).collect()
+    assert {(r.id, r.version, r.part): len(r.changes or []) for r in got} == {
+        **{(1, v, p): n for v in (1, None) for p, n in enumerate([50, 50, 25])}, (2, 1, 0): 1, (3, None, None): 0
+    }
+    for version in (1, None):
+        parts = sorted((r for r in got if (r.id, r.version) == (1, version)), key=lambda r: r.part)
+        times = [c.changed_at for r in parts for c in r.changes]
+        assert len(times) == 125 and times == sorted(times)
+    documents = X.change_documents(orders, log, F.lit("2024-01-01").cast("timestamp_ntz"), part_rows=50).collect()
+    assert sorted((r.export_info.order_id, r.summary.total_changes) for r in documents) == [(1, 25)] * 2 + [(1, 50)] * 4 + [(2, 1), (3, 0)]
+
+
 def test_appends_repeat_without_doubling(spark, tmp_path):
     rows, as_of = spark.createDataFrame([("A",), ("B",)], "order_number string"), F.lit("2024-01-01").cast("timestamp_ntz")
     for batch in (0, 1, 1):
