@@ -228,11 +228,11 @@ def slots(groups: Sequence[Group]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", bucket_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str = "length", bucket_rows: int | None = None) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: as few sequences of at most ``size`` as the search finds.
 
-    The pieces of a length are ranked in hashed buckets of about ``bucket_rows``. A bucket's ranks begin where
-    the earlier ones end, and the plan is cut along the buckets, so all tables meet by (length, bucket) and none has to be broadcast.
+    The pieces of a length are ranked in hashed buckets of about ``bucket_rows``, by default a thousandth of all
+    pieces, but 500 at least and 20,000 at most. A bucket's ranks begin where the earlier ones end, and the plan is cut along the buckets, so all tables meet by (length, bucket) and none has to be broadcast.
     """
     spark = pieces.sparkSession
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
@@ -242,6 +242,7 @@ def pack(pieces: DataFrame, keys: Sequence[str], size: int = 1024, length: str =
     histogram = {r[0]: r[1] for r in kept.groupBy("_n").count().collect()}  # at most ``size`` rows
     plan = slots(local_search(best_fit(histogram, size), histogram, size)) if histogram else []
     places = spark.createDataFrame(plan, "_length long, _from long, _to long, _copies long, _sequence long, _at long")
+    bucket_rows = bucket_rows or max(500, min(20_000, sum(histogram.values()) // 1000))
     buckets = F.element_at(F.lit([-(-histogram.get(n, 1) // bucket_rows) for n in range(1, size + 1)]), F.col("_n").cast("int"))
     marked = kept.withColumn("_bucket", F.pmod(F.xxhash64(*names), buckets).cast("int"))
     counts = marked.groupBy("_n", "_bucket").count()
