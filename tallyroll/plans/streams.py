@@ -33,6 +33,18 @@ def all_windows(t, name, time, build, label):
     return to_parquet(built, folder, lambda: tick(stream, time, folder))
 
 
+def windowed(t, name, windows, change=None):
+    """What each kind of windows holds after a table has been read as a stream, late rows and open windows included."""
+    folder, stream = scratch_dir(t.spark, "windows"), getattr(streams(t), name)
+
+    def take(batch, batch_id):
+        for i, w in enumerate(windows):
+            w.take(batch, batch_id, f"{folder}/{i}")
+
+    for_each_batch(change(stream) if change else stream, folder, take)
+    return [w.results(t.spark, f"{folder}/{i}") for i, w in enumerate(windows)]
+
+
 # ---- log parsing on batches --------------------------------------------------------------------
 
 TAGS_SQL = """CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 'error,alert' ELSE '' END ||
@@ -165,7 +177,7 @@ def snk_6(t):
     GROUP BY date_trunc('minute', seen_at), method, endpoint""",
 )
 def str_4(t):
-    return all_windows(t, "requests", "seen_at", S.request_rates, "rates")
+    return windowed(t, "requests", [S.request_rates()])[0].drop("window_end")
 
 
 @query(
@@ -175,8 +187,7 @@ def str_4(t):
     GROUP BY date_trunc('hour', seen_at)""",
 )
 def str_4_histogram(t):
-    bounds = {"le_10": 10, "le_100": 100}
-    return all_windows(t, "requests", "seen_at", partial(S.duration_rates, bounds=bounds), "durations")
+    return windowed(t, "requests", [S.duration_rates({"le_10": 10, "le_100": 100})])[0].drop("window_end")
 
 
 @query(
@@ -188,7 +199,7 @@ def str_4_histogram(t):
     GROUP BY w HAVING count(*) FILTER (status >= 500) > count(*) * 0.05 OR max(duration_ms) > 400""",
 )
 def str_5(t):
-    return all_windows(t, "requests", "seen_at", partial(S.alerts, slow_ms=400.0), "alerts")
+    return S.alerts(windowed(t, "requests", [S.failure_rates()])[0], slow_ms=400.0)
 
 
 # The fixed limits, brought down to the rate of these tables' clients.
@@ -212,12 +223,10 @@ def _limit_sql(unit, limit, service):
 )
 def str_6(t):
     columns = ["unit", "window_start", "service", "client", "requests", "excess"]
-
-    def both(requests, delay):
-        everywhere = S.over_limits(requests, GLOBAL_LIMITS, delay=delay).withColumn("service", F.lit("all"))
-        return everywhere.select(columns).union(S.service_limits(requests, SERVICE_LIMITS, delay=delay).select(columns))
-
-    return all_windows(t, "requests", "seen_at", both, "limits")
+    limits = [(u, n, ["client"]) for u, n in GLOBAL_LIMITS.items()] + [(u, n, ["service", "client"]) for u, n in SERVICE_LIMITS.items()]
+    counts = windowed(t, "requests", [S.request_counts(u, by) for u, _, by in limits], S.with_service)
+    over = [S.over_limit(c, u, n) for c, (u, n, _) in zip(counts, limits)]
+    return reduce(DataFrame.union, [(o if "service" in o.columns else o.withColumn("service", F.lit("all"))).select(columns) for o in over])
 
 
 # ---- keyed state -------------------------------------------------------------------------------
@@ -288,7 +297,7 @@ def str_9(t):
     FROM {access_sessions} GROUP BY time_bucket(INTERVAL '5' MINUTE, expires_at)""",
 )
 def str_9_cleanup(t):
-    return all_windows(t, "access_sessions", "expires_at", S.cleanup_ticks, "cleanup")
+    return windowed(t, "access_sessions", [S.cleanup_ticks()])[0].select(F.col("window_end").alias("cleanup_at"), "expired")
 
 
 @query("str_10_dedup", "SELECT DISTINCT sha256(content) AS content_hash FROM {file_entries}")

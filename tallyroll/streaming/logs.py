@@ -10,6 +10,7 @@ from tallyroll.functions.logs import enrich
 from tallyroll.operators.analytics import count_rows
 from tallyroll.session import stored
 from tallyroll.streaming.runs import BYTES_PER_TRIGGER
+from tallyroll.streaming.windows import Windows
 
 # A service may get this many requests of a client per calendar window.
 SERVICE_LIMITS = {"minute": 100, "hour": 1000}
@@ -57,73 +58,51 @@ def timed(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return requests.withColumn("time", F.col("seen_at").cast("timestamp")).withWatermark("time", delay)
 
 
-def request_rates(requests: DataFrame, size: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+def request_rates(size: str = "1 minute", delay: int = 600) -> Windows:
     """Requests, total and slowest duration per window, method and endpoint."""
-    return (
-        timed(requests, delay)
-        .groupBy(F.window("time", size), "method", "endpoint")
-        .agg(
-            count_rows().alias("requests"),
-            F.sum("duration_ms").alias("total_ms"),
-            F.max("duration_ms").alias("slowest_ms"),
-        )
-        .select(F.col("window.start").alias("window_start"), "method", "endpoint", "requests", "total_ms", "slowest_ms")
-    )
+    sums = {"requests": count_rows(), "total_ms": F.sum("duration_ms")}
+    return Windows("seen_at", size, ["method", "endpoint"], sums, {"slowest_ms": F.max("duration_ms")}, delay=delay)
 
 
-def duration_rates(requests: DataFrame, bounds: Mapping[str, float], size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+def duration_rates(bounds: Mapping[str, float], size: str = "1 hour", delay: int = 600) -> Windows:
     """Cumulative duration histogram per window, one column per bound (in milliseconds)."""
-    return (
-        timed(requests, delay)
-        .groupBy(F.window("time", size))
-        .agg(*[F.count_if(F.col("duration_ms") <= b).alias(n) for n, b in bounds.items()], count_rows().alias("requests"))
-        .select(F.col("window.start").alias("window_start"), *bounds, "requests")
-    )
+    sums = {n: F.count_if(F.col("duration_ms") <= b) for n, b in bounds.items()}
+    return Windows("seen_at", size, [], sums | {"requests": count_rows()}, delay=delay)
+
 
+def failure_rates(size: str = "5 minutes", slide: str = "1 minute", delay: int = 600) -> Windows:
+    """Requests, failures and the slowest answer in sliding windows."""
+    sums = {"requests": count_rows(), "failures": F.count_if(F.col("status") >= 500)}
+    return Windows("seen_at", size, [], sums, {"slowest_ms": F.max("duration_ms")}, slide, delay)
 
-def alerts(
-    requests: DataFrame, size: str = "5 minutes", slide: str = "1 minute", share: float = ERROR_SHARE, slow_ms: float = SLOW_MS,
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """Sliding windows with too many failures or a slow answer."""
-    failed = F.count_if(F.col("status") >= 500)
+
+def alerts(rates: DataFrame, share: float = ERROR_SHARE, slow_ms: float = SLOW_MS) -> DataFrame:
+    """Of ``failure_rates`` the windows with too many failures or a slow answer."""
     return (
-        timed(requests, delay)
-        .groupBy(F.window("time", size, slide))
-        .agg(count_rows().alias("requests"), failed.alias("failures"), F.max("duration_ms").alias("slowest_ms"))
-        .withColumn("error_share", F.round(F.col("failures") / F.col("requests"), 4))
+        rates.withColumn("error_share", F.round(F.col("failures") / F.col("requests"), 4))
         .withColumn("too_many_errors", F.col("failures") > F.col("requests") * share)
         .withColumn("too_slow", F.col("slowest_ms") > slow_ms)
         .filter(F.col("too_many_errors") | F.col("too_slow"))
         .select(
-            F.col("window.start").alias("window_start"), "requests", "failures", "error_share", "slowest_ms",
-            "too_many_errors", "too_slow",
+            "window_start", "requests", "failures", "error_share", "slowest_ms", "too_many_errors", "too_slow",
         )
     )
 
 
-def over_limits(requests: DataFrame, limits: Mapping[str, int] = GLOBAL_LIMITS, by: Sequence[str] = ("client",), delay: str = "10 minutes") -> DataFrame:
-    """Calendar windows in which a client, or a client of a service, exceeds the limit of that window size."""
-    out = None
-    for unit, limit in limits.items():
-        part = (
-            timed(requests, delay)
-            .groupBy(F.window("time", f"1 {unit}"), *by)
-            .agg(count_rows().alias("requests"))
-            .filter(F.col("requests") > limit)
-            .select(
-                F.lit(unit).alias("unit"), F.col("window.start").alias("window_start"), *by, "requests",
-                (F.col("requests") - limit).alias("excess"),
-            )
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+def request_counts(unit: str, by: Sequence[str] = ("client",), delay: int = 600) -> Windows:
+    """Requests per calendar window of one unit and client, or client of a service."""
+    return Windows("seen_at", f"1 {unit}", by, {"requests": count_rows()}, delay=delay)
+
 
+def with_service(requests: DataFrame) -> DataFrame:
+    """The service is the path's part after the version."""
+    return requests.withColumn("service", F.regexp_extract("endpoint", r"^/api/v\d+/([^/?]+)", 1))
 
-def service_limits(requests: DataFrame, limits: Mapping[str, int] = SERVICE_LIMITS, delay: str = "10 minutes") -> DataFrame:
-    """The same per service and client; the service is the path's part after the version."""
-    service = F.regexp_extract("endpoint", r"^/api/v\d+/([^/?]+)", 1)
-    return over_limits(requests.withColumn("service", service), limits, ["service", "client"], delay)
+
+def over_limit(counts: DataFrame, unit: str, limit: int) -> DataFrame:
+    """Of ``request_counts`` the windows in which the limit of that window size is exceeded."""
+    over = counts.filter(F.col("requests") > limit).drop("window_end")
+    return over.withColumns({"unit": F.lit(unit), "excess": F.col("requests") - limit})
 
 
 def interval_matches(purchases: DataFrame, clicks: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
@@ -165,12 +144,6 @@ def activity_sessions(requests: DataFrame, gap: str = "30 minutes", delay: str =
     )
 
 
-def cleanup_ticks(sessions: DataFrame, every: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions each periodic cleanup removes: those whose end fell in the interval before it."""
-    return (
-        sessions.withColumn("time", F.col("expires_at").cast("timestamp"))
-        .withWatermark("time", delay)
-        .groupBy(F.window("time", every))
-        .agg(count_rows().alias("expired"))
-        .select(F.col("window.end").alias("cleanup_at"), "expired")
-    )
+def cleanup_ticks(every: str = "5 minutes", delay: int = 600) -> Windows:
+    """Sessions each periodic cleanup removes: those whose end fell in the interval before it (``window_end``)."""
+    return Windows("expires_at", every, [], {"expired": count_rows()}, delay=delay)

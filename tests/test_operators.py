@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J, similarity as S, spread
 from tallyroll.plans import run
 from tallyroll.sinks import exports as X
-from tallyroll.streaming import limits as M, runs
+from tallyroll.streaming import limits as M, runs, windows as W
 from tallyroll.streaming.runs import tick, to_parquet, with_clock
 
 SNAPSHOT = "order_number string, machine_code string, order_price decimal(12,2), payment_type string, match_status string"
@@ -382,7 +382,7 @@ def stream_of(spark, tmp_path, waves, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
 
 
-@pytest.mark.parametrize("name", ["str_9_cleanup", "str_7_anchored_limit", "str_11_interval_join"])
+@pytest.mark.parametrize("name", ["str_4_tumbling", "str_4_histogram", "str_9_cleanup", "str_7_anchored_limit", "str_11_interval_join"])
 def test_files_out_of_order_in_several_batches(spark, tmp_path, monkeypatch, name):
     """The latest events arrive first, a file a batch; no row is late."""
     rows = [(i, at(60 * i + i % 7), i % 5, ["signup", "purchase", "click", "view"][i % 4], float(i % 50)) for i in range(1200)]
@@ -396,6 +396,42 @@ def test_files_out_of_order_in_several_batches(spark, tmp_path, monkeypatch, nam
     assert sorted(tuple(r) for r in run(name, spark, parts).collect()) == want and len(want) > 10
 
 
+def test_windows_keep_a_bounded_state_and_correct_late_rows(spark, tmp_path):
+    """Batches mostly in order, some rows long after their window: the state holds the open windows only."""
+    rng, folder = random.Random(5), str(tmp_path)
+    kept = W.Windows("seen_at", "1 minute", ["key"], {"n": F.count(F.lit(1)), "total": F.sum("v")}, {"top": F.max("v")}, delay=120)
+    everything, schema = [], "key string, seen_at timestamp_ntz, v decimal(10,2)"
+    for b in range(13):
+        rows = [(rng.choice(["a", "b", None]), at(300 * b + rng.randrange(300)), rng.choice([None, *map(Decimal, range(9))])) for _ in range(30)]
+        rows += [("late", at(rng.randrange(300 * b + 1)), Decimal(1)) for _ in range(2)] if b % 4 == 3 else []
+        rows += [("a", None, Decimal(5))] if b == 7 else []  # belongs to no window
+        rows = [] if b == 9 else rows
+        everything += rows
+        batch = spark.createDataFrame(rows, schema)
+        kept.take(batch, b, folder)
+        if b in (0, 11):
+            before = sorted(map(tuple, kept.results(spark, folder).collect()), key=repr)
+            kept.take(batch, b, folder)  # repeated after a failure
+            assert sorted(map(tuple, kept.results(spark, folder).collect()), key=repr) == before
+        # Open are at most the windows of the delay and of one that it cuts, for every key.
+        assert W.mark(spark, folder, b)["open_rows"] <= 4 * (120 // 60 + 2)
+    want = kept.merged(kept.partial(spark.createDataFrame(everything, schema)).drop("_seen"))
+    got = kept.results(spark, folder)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    late = kept.corrections(spark, folder).collect()
+    assert {r.key for r in late} >= {"late"} and sum(r.n for r in late) == sum(r.n for r in late if r.batch > 0) > 3
+    closed = kept.results(spark, folder, open_too=False)
+    assert closed.count() + W.mark(spark, folder, 12)["open_rows"] >= want.count() > closed.count()
+
+
+def test_windows_of_nothing(spark, tmp_path):
+    kept = W.Windows("seen_at", "1 minute", ["key"], {"n": F.count(F.lit(1))})
+    for b in range(2):
+        kept.take(spark.createDataFrame([], "key string, seen_at timestamp_ntz"), b, str(tmp_path))
+    assert kept.results(spark, str(tmp_path)).collect() == [] and kept.corrections(spark, str(tmp_path)).collect() == []
+
+
 def at(second):
     return datetime(2024, 1, 1) + timedelta(seconds=second)
 
@@ -600,9 +636,9 @@ def test_a_reader_keeps_its_state_and_a_broken_batch_leaves_none(spark, tmp_path
 
 
 def test_top_names_need_a_full_look_only_when_the_reserve_is_gone(spark, tmp_path):
-    from tallyroll.streaming import views as W
+    from tallyroll.streaming import views as V
 
-    rng, top, totals = random.Random(4), W.TopNames("machine", n=3, reserve=3), {}
+    rng, top, totals = random.Random(4), V.TopNames("machine", n=3, reserve=3), {}
     schema = "machine_code string, payment_type string, order_price decimal(20,2), creation_time timestamp_ntz"
     for b in range(8):
         before = [(f"m{i}", None, Decimal(totals.get(f"m{i}", 0)), None) for i in rng.sample(range(20), 4)] if b else []
@@ -612,7 +648,7 @@ def test_top_names_need_a_full_look_only_when_the_reserve_is_gone(spark, tmp_pat
             totals.pop(r[0])
         for r in after:
             totals[r[0]] = totals.get(r[0], 0) + int(r[2])
-        W.apply(spark, str(tmp_path), b, spark.createDataFrame(before, schema), spark.createDataFrame(after, schema))
+        V.apply(spark, str(tmp_path), b, spark.createDataFrame(before, schema), spark.createDataFrame(after, schema))
         got = [(name, int(revenue)) for name, revenue, _ in top.update(spark, str(tmp_path), b)]
         assert got == sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:3]
     assert top.full_looks < 8
