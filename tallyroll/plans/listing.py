@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyroll.functions import values as V
-from tallyroll.operators import analytics as A, filters as P
+from tallyroll.operators import analytics as A, filters as P, paging as G
 from tallyroll.plans.registry import query
 from tallyroll.sources.files import extension
 
@@ -165,6 +165,17 @@ def ord_1(t):
     return A.page_of(t.sales_orders, 3, 50, [F.desc("creation_time"), "id"]).select(ORDER_COLUMNS)
 
 
+@query(
+    "ord_1_deep_page",
+    f"""SELECT {ORDER_SQL} FROM (SELECT *, row_number() OVER (ORDER BY creation_time DESC NULLS LAST, id) AS place,
+        count(*) OVER () AS total FROM {{sales_orders}}) WHERE place > total // 2 // 50 * 50 AND place <= total // 2 // 50 * 50 + 50""",
+)
+def ord_1_deep(t):
+    """The page in the middle of the table."""
+    page = t.sales_orders.count() // 2 // 50 + 1
+    return G.deep_page(t.sales_orders, page, 50, {"creation_time": True, "id": False}).select(ORDER_COLUMNS)
+
+
 @query(
     "ord_1_page_info",
     """SELECT cast(3 AS bigint) AS page, cast(50 AS bigint) AS page_size, count(*) AS total,

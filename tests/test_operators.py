@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, quality as Q, reconcile as R, relations as J, similarity as S, spread
+from tallyroll.operators import analytics as A, confidence as E, filters as P, history as H, paging as G, quality as Q, reconcile as R, relations as J, similarity as S, spread
 from tallyroll.plans import run
 from tallyroll.sinks import exports as X
 from tallyroll.streaming import limits as M, runs, windows as W
@@ -371,6 +371,32 @@ def test_repeated_partial_rows_fold_in_order(spark):
     assert got == [("A", "x", Decimal(3), "Cash", "new"), ("B", "m", None, None, None)]
 
 
+@pytest.mark.parametrize("down", [True, False])
+def test_deep_pages_against_a_sorted_list(spark, monkeypatch, down):
+    """Ties, nulls and a hot value in the first column; pages from the first to beyond the end."""
+    monkeypatch.setattr(G, "SAMPLE", 64)
+    monkeypatch.setattr(G, "RANGES", 8)
+    monkeypatch.setattr(G, "NEAR", 20)
+    rng = random.Random(11)
+    rows = [(i, rng.choice([None, at(0), at(0), at(0), at(rng.randrange(90))]), rng.choice([None, "x", "Y"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id bigint, t timestamp_ntz, s string").repartition(3)
+    order = {"t": down, "s": not down, "id": False}
+
+    def place(row):
+        head = ((row[1] is None) == down, 0 if row[1] is None else (row[1] - at(0)).seconds * (-1 if down else 1))
+        word = ["Y", "x"].index(row[2]) if row[2] else 0
+        return head, ((row[2] is None) != down, word if down else -word), row[0]
+
+    want = sorted(rows, key=place)
+    for page in (1, 75, 150, 151):
+        assert [tuple(r) for r in G.deep_page(df, page, 10, order).collect()] == want[10 * page - 10 : 10 * page]
+    assert G.page_start(df, 1490, order)[1] <= 20  # rows that a task may hold before the page
+    assert G.page_start(df, 5000, order) is None
+    equal = spark.createDataFrame([(7,)] * 200, "id bigint")
+    assert G.deep_page(equal, 15, 10, {"id": False}).count() == 10
+    assert G.deep_page(df.limit(0), 9, 10, order).collect() == []
+
+
 # ---- keyed state -------------------------------------------------------------------------------
 
 
