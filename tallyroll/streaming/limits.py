@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyroll.operators.analytics import count_rows
+from tallyroll.session import stored
+from tallyroll.streaming.deltas import DeltaTable
 
 UNKNOWN = "unknown"
 
@@ -139,20 +141,31 @@ def brute_force(counted: DataFrame, most: int = 5, seconds: int = 900) -> DataFr
 FIRST_SCHEMA = "content_hash string, id bigint, time timestamp, batch bigint"
 
 
+def hash_index(spark: SparkSession, folder: str) -> DeltaTable:
+    """All hashes seen, in buckets by hash; no hash comes twice, so merged pieces are just put together."""
+    return DeltaTable(spark, f"{folder}/first", FIRST_SCHEMA, ["content_hash"], lambda rows, whole: rows)
+
+
 def first_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """The first delivery of every content so far."""
-    return spark.read.schema(FIRST_SCHEMA).parquet(f"{folder}/first")
+    table = hash_index(spark, folder)
+    return table.rows(table.pieces()).withColumn("content_hash", F.nullif("content_hash", F.lit("")))
 
 
 def keep_first_deliveries(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Files whose content has never come before, whenever that was; copies in the batch count once.
 
-    The hashes of all earlier batches are kept, so nothing is forgotten and nothing is late.
+    The hashes of all earlier batches are kept, so nothing is forgotten and nothing is late. A batch opens only the
+    buckets of its own hashes, in a few merged pieces. Files without a hash are one content, kept under an empty text.
     """
-    slim = batch.select("content_hash", "id", F.col("uploaded_at").cast("timestamp").alias("time"))
+    table = hash_index(batch.sparkSession, folder)
+    key = F.coalesce("content_hash", F.lit("")).alias("content_hash")
+    slim = batch.select(key, "id", F.col("uploaded_at").cast("timestamp").alias("time"))
     first = slim.groupBy("content_hash").agg(F.min(F.struct("time", "id")).alias("_f"))
-    first = first.select("content_hash", "_f.id", "_f.time")
-    if batch_id > 0:
-        known = first_deliveries(batch.sparkSession, folder).filter(F.col("batch") < batch_id)
-        first = first.join(known.select("content_hash"), "content_hash", "left_anti")
-    first.write.mode("overwrite").parquet(f"{folder}/first/batch={batch_id}")
+    first = stored(first.select("content_hash", "_f.id", "_f.time", F.lit(batch_id).cast("bigint").alias("batch")), "deliveries")
+    if pieces := table.pieces(batch_id):
+        known = table.rows(pieces, first).select("content_hash")
+        first = stored(first.join(known, "content_hash", "left_anti"), "fresh")
+    table.append(batch_id, first)
+    table.merge(batch_id)
+    table.clean()

@@ -505,6 +505,31 @@ def test_copies_are_found_however_late(spark, tmp_path):
     assert sorted((r.content_hash, r.id) for r in M.first_deliveries(spark, folder).collect()) == [("h1", 1), ("h2", 3), ("h3", 5)]
 
 
+def test_a_batch_opens_the_buckets_of_its_hashes(spark, tmp_path, monkeypatch):
+    from tallyroll.streaming import deltas as D
+
+    monkeypatch.setattr(D, "BUCKET_ROWS", 8)
+    opened, touched = [], D.DeltaTable.touched
+
+    def watched(self, pieces, keys):
+        out = touched(self, pieces, keys)
+        opened.append([(p.buckets, len(b) if b is not None else p.buckets) for p, b in zip(pieces, out)])
+        return out
+
+    monkeypatch.setattr(D.DeltaTable, "touched", watched)
+    folder, want = str(tmp_path), {}
+    batches = [[f"h{i}" for i in range(64)], ["h3", "new", "new"], [None, None], ["h60", None, "h3", "later"], ["new", "last"]]
+    for b, hashes in enumerate(batches):
+        rows = [(h, 100 * b + i, at(i)) for i, h in enumerate(hashes)]
+        for h, i, _ in rows:
+            want.setdefault(h, i)
+        batch = spark.createDataFrame(rows, "content_hash string, id bigint, uploaded_at timestamp_ntz")
+        for _ in range(2 if b == 3 else 1):  # a repeated batch
+            M.keep_first_deliveries(batch, b, folder)
+    assert [o[0] for o in opened if o and o[0][1] < o[0][0]][:1] == [(8, 2)]  # two hashes, two of eight buckets
+    assert {r.content_hash: r.id for r in M.first_deliveries(spark, folder).collect()} == want
+
+
 @pytest.mark.parametrize("clearing", [False, True])
 def test_brute_force(spark, tmp_path, clearing):
     waves = [[(1, at(60 * i), clearing and i == 4) for i in range(5)], [(1, at(301), False), (1, at(302), True), (1, at(901), True)]]
