@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyroll.functions import flatten as X, values as V
 from tallyroll.operators import analytics as A, history as H, quality as Q
 from tallyroll.plans.registry import query
-from tallyroll.session import scratch_dir
+from tallyroll.session import dealt, scratch_dir
 from tallyroll.sources import files as S
 
 # Keeps every written file far below the size limit of one file.
@@ -106,7 +106,7 @@ FLAT_JSON_SQL = f"""SELECT event_id, path, value FROM (
 
 def json_bodies(t):
     """JSON documents of several levels, put together from events by Spark."""
-    return t.events.select(
+    return dealt(t.events.select("event_id", "user_id", "event_type", "value", "props")).select(
         "event_id",
         F.concat(
             F.lit('{"event":{"id":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), "event_type", F.lit('","props":'), "props",

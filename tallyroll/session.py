@@ -64,6 +64,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores by a hash of their columns, for work that costs far more than reading them.
+
+    A scan has at most one working task per row group, and few of them where the rows are small.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+
+
 def _files(spark: SparkSession, path: str):
     """The path and its file system, as Spark's own readers reach it."""
     jvm = spark.sparkContext._jvm
