@@ -1,11 +1,32 @@
 """What larger tables need: work that is dealt to all cores, and bytes that stay few."""
 
+import glob
+import os
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyroll.functions import flatten as X
 from tallyroll.plans.ingest import json_bodies
 from tallyroll.session import dealt, scratch_dir
+from tallyroll.sinks import exports
+
+CHANGES = "order_id bigint, version bigint, field_name string, old_value string, new_value string, change_type string, changed_at timestamp_ntz"
+
+
+def test_change_documents_are_written_compressed(spark):
+    rows = [(i, 1, "price", "", str(i), "new", datetime(2024, 1, 1)) for i in range(500)]
+    orders = spark.createDataFrame([(i, f"VN{i}") for i in range(500)], "id bigint, order_number string")
+    folder = scratch_dir(spark, "json")
+    exports.write_change_json(orders, spark.createDataFrame(rows, CHANGES), F.lit("2024-01-01").cast("timestamp_ntz"), folder)
+    names = glob.glob(f"{folder.removeprefix('file:')}/part-*")
+    assert names and all(n.endswith(".json.gz") for n in names)
+    # 500 documents of over 300 characters each.
+    assert sum(os.path.getsize(n) for n in names) < 50_000
+    back = spark.read.schema("export_info struct<order_id:bigint>, changes array<struct<new_value:string>>").json(folder)
+    assert sorted((r[0].order_id, r[1][0].new_value) for r in back.collect()) == sorted((i, str(i)) for i in range(500))
+
 
 @pytest.mark.parametrize(
     "text",
