@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 APP_LINE = (
@@ -27,15 +31,23 @@ DURATION_PATTERN = r".*duration[:\s]+(\d+\.?\d*)"
 _MARK = "\u0001"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; a branch would compute it again wherever it names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _groups(line: Column, pattern: str, count: int) -> Column:
     """All groups of the pattern as an array; null when the line does not match."""
     joined = F.regexp_replace(line, pattern, _MARK + _MARK.join(f"${i}" for i in range(1, count + 1)))
-    return F.when(joined.startswith(_MARK), F.split(joined, _MARK))
+    return _once(joined, lambda j: F.when(j.startswith(_MARK), F.split(j, _MARK)))
 
 
 def app_fields(line: Column) -> Column:
     """struct(time, level, logger, message); null for lines of another form."""
-    parts = _groups(line, APP_LINE, 4)
+    return _once(_groups(line, APP_LINE, 4), _app_record)
+
+
+def _app_record(parts: Column) -> Column:
     stamp = F.replace(F.replace(parts[1], F.lit("T"), F.lit(" ")), F.lit(","), F.lit("."))
     return F.when(
         parts.isNotNull(),
@@ -50,7 +62,10 @@ def app_fields(line: Column) -> Column:
 
 def access_fields(line: Column) -> Column:
     """struct(client_ip, time, method, request, http_version, response_code, bytes)."""
-    parts = _groups(line, ACCESS_LINE, 7)
+    return _once(_groups(line, ACCESS_LINE, 7), _access_record)
+
+
+def _access_record(parts: Column) -> Column:
     return F.when(
         parts.isNotNull(),
         F.struct(
@@ -67,7 +82,10 @@ def access_fields(line: Column) -> Column:
 
 def gateway_fields(message: Column) -> Column:
     """Fields of a gateway record in JSON; null when it is not JSON."""
-    doc = F.try_parse_json(message)
+    return _once(F.try_parse_json(message), _gateway_record)
+
+
+def _gateway_record(doc: Column) -> Column:
     return F.when(
         doc.isNotNull(),
         F.struct(
@@ -82,15 +100,22 @@ def gateway_fields(message: Column) -> Column:
     )
 
 
+def _mentions(message: Column, pattern: str) -> Column:
+    """Whether the pattern is found; alternatives that are plain words need no regular expression."""
+    if any(c in r".^$*+?{}[]()\\" for c in pattern):
+        return message.rlike(pattern)
+    return reduce(operator.or_, [message.contains(word) for word in pattern.split("|")])
+
+
 def components(message: Column) -> Column:
-    hits = [F.when(message.rlike(p), F.lit(name)) for name, p in COMPONENT_RULES.items()]
+    hits = [F.when(_mentions(message, p), F.lit(name)) for name, p in COMPONENT_RULES.items()]
     return F.array_compact(F.array(*hits))
 
 
 def duration_of(message: Column) -> Column:
     """Number after the last 'duration'; null when there is none."""
     found = F.regexp_extract(message, DURATION_PATTERN, 1)
-    return F.when(message.rlike(PERFORMANCE_PATTERN), F.nullif(found, F.lit("")).try_cast("double"))
+    return F.when(_mentions(message, PERFORMANCE_PATTERN), found.try_cast("double"))
 
 
 def tags(level: Column, duration: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyroll.functions import logs as L, values as V
 from tallyroll.plans.ingest import delivery, write_delimited
 from tallyroll.plans.registry import query
-from tallyroll.session import scratch_dir, stored
+from tallyroll.session import dealt, scratch_dir, stored
 from tallyroll.streaming import ingest as I, limits as M, logs as S, views as W
 from tallyroll.streaming.runs import StreamTables, for_each_batch, tick, to_parquet, with_clock
 
@@ -16,6 +16,13 @@ def streams(t):
     return StreamTables(t.spark, t.folder)
 
 
+def dealt_streams(t, name):
+    """The streams, with the rows of one base table dealt over all cores before anything is made of them."""
+    s = streams(t)
+    s._made[name] = dealt(getattr(s, name))
+    return s
+
+
 def result(t, stream, label):
     return to_parquet(stream, scratch_dir(t.spark, label))
 
@@ -145,7 +152,7 @@ def src_12_json(t):
     UNION ALL SELECT cast(seen_at AS string), NULL, 'api-gateway', '', 'gateway', NULL, status, 't' || id FROM {{requests}}""",
 )
 def str_3(t):
-    s = streams(t)
+    s = dealt_streams(t, "events")
     lines = s.log_lines.select("line").union(s.access_lines.select("line")).union(gateway_lines(s.requests))
     message = F.when(F.col("level").isNotNull(), F.col("message")).alias("message")
     enriched = S.parsed(lines).select("time", "level", "components", "tags", "service", message, "response_code", "trace_id")

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyroll.functions import flatten as X
+from tallyroll.functions import flatten as X, logs as L
 from tallyroll.plans.ingest import json_bodies
 from tallyroll.session import dealt, scratch_dir
 from tallyroll.sinks import exports
@@ -77,3 +77,36 @@ def test_json_bodies_of_one_row_group_are_parsed_in_many_tasks(spark):
 def test_dealt_rows_stay_the_same_rows(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (None, "x")], "a bigint, b string")
     assert sorted(map(str, dealt(rows).collect())) == sorted(map(str, rows.collect()))
+
+
+LINES = [
+    "2024-01-01T10:00:00,5 - ERROR - app.x - SQL duration: 3.5 then duration 7",
+    '10.0.0.1 - - [02/Jan/2024:03:04:05 +0000] "GET /a HTTP/1.1" 500 12',
+    '2024-01-01 10:00:00 - INFO - app.web - 10.0.0.1 - - [02/Jan/2024:03:04:05 +0000] "GET /a HTTP/1.1" 404 12',
+    '{"client_ip":"c1","request":{"method":"GET","uri":"/u"},"response":{"status":200},"correlation_id":"t1"}',
+    "{broken", "no form, Auth duration", "", None,
+]
+
+
+def test_log_lines_match_each_pattern_once(spark):
+    lines = spark.createDataFrame([(x,) for x in LINES], "line string")
+    plan = L.enrich(lines)._jdf.queryExecution().analyzed().toString()
+    # Once per form of line, however many of its groups are named.
+    assert plan.count("regexp_replace(") == 2 and plan.count("try_parse_json(") == 1
+    rows = L.enrich(lines).select("level", "response_code", "components", "tags", "duration", "service", "trace_id").collect()
+    assert [tuple(r) for r in rows] == [
+        ("ERROR", None, ["database"], ["error", "alert", "performance"], 7.0, "backend", None),
+        (None, 500, [], [], None, "backend", None),
+        ("INFO", 404, [], [], None, "backend", None),
+        (None, 200, ["api-gateway"], [], None, "gateway", "t1"),
+        (None, None, [], [], None, "backend", None),
+        (None, None, ["authentication"], [], None, "backend", None),
+        (None, None, [], [], None, "backend", None),
+        (None, None, [], [], None, "backend", None),
+    ]
+
+
+@pytest.mark.parametrize("pattern", ["SQL|database", r"dur\w+", "a.b"])
+def test_mentions_are_those_of_the_pattern(spark, pattern):
+    texts = spark.createDataFrame([(x,) for x in ["SQL", "my database", "duration", "axb", "a.b", "", None]], "t string")
+    assert texts.filter(~L._mentions(F.col("t"), pattern).eqNullSafe(F.col("t").rlike(pattern))).count() == 0
