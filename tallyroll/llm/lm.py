@@ -14,6 +14,7 @@ and a shard trains in the order of the hash, in steps of BATCH words, so the wei
 and not on how its rows are cut into files or tasks. In each round the round's shards start from the common
 weights, and their weights, one array a shard, are averaged by their words as a tree. Copies of a text
 that a task has met stay out before the shuffle, so a text that fills a third of the table is no large shard.
+Texts are split twice, to count the words and to turn them into class ids; training and scoring read the stored ids.
 What is gathered (word counts, weights per shard) grows with the corpus; what reaches the driver is one row
 per class, at most TREE arrays, and one row per word with over KNOWN_SHARE of all words, so at most
 1 / KNOWN_SHARE. The tasks hold the counts of those words, a join brings in the counts of all others; the result
@@ -68,11 +69,18 @@ class Words(dict):
         return found
 
 
-class Known(dict):
-    """ln(count) of words whose count is at hand, else NaN."""
+class Places(dict):
+    """Places of frequent and common words in a table; other words give minus their hashed class, some remembered."""
 
-    def __missing__(self, word: str) -> float:
-        return np.nan
+    def __init__(self, words: Sequence[str]):
+        super().__init__(zip(words, range(1, len(words) + 1)))
+        self.most = len(self) + HASHED_KNOWN
+
+    def __missing__(self, word: str) -> int:
+        found = -(1 + FREQUENT + zlib.crc32(word.encode()) % HASHED)
+        if len(self) < self.most:
+            self[word] = found
+        return found
 
 
 def split(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -86,9 +94,11 @@ def split(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
-    return e
+    """Probabilities down the columns, in place: sums along the long axis are several times as fast."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
+    return logits
 
 
 class Network:
@@ -106,52 +116,64 @@ class Network:
         return flat
 
     def forward(self, ids: np.ndarray, around: np.ndarray):
-        """Hidden layer, group probabilities, and (rows, probabilities) of the members of each group at hand."""
-        h = self.w["context"][0][around[0]] + self.w["bias"]
+        """Of words sorted by group: hidden layer, group probabilities, and (words, probabilities) of the members of each group."""
+        w = self.w
+        h = w["context"][0].take(around[0], axis=0)
+        h += w["bias"]
         for p in range(1, len(PLACES)):
-            h += self.w["context"][p][around[p]]
+            h += w["context"][p].take(around[p], axis=0)
         np.tanh(h, out=h)
-        groups = softmax(h @ self.w["group"] + self.w["group_bias"])
-        group = (ids // MEMBERS).astype(np.int16)  # short numbers sort by radix
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        logits = w["group"].T @ h.T
+        logits += w["group_bias"][:, None]
+        cuts = np.searchsorted(ids, np.arange(GROUPS + 1) * MEMBERS)
         members = []
         for g in range(GROUPS):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                members.append((g, rows, softmax(h[rows] @ self.w["member"][g] + self.w["member_bias"][g])))
-        return h, groups, members
+            if cuts[g] < cuts[g + 1]:
+                part = slice(cuts[g], cuts[g + 1])
+                own = w["member"][g].T @ h[part].T
+                own += w["member_bias"][g][:, None]
+                members.append((g, part, softmax(own)))
+        return h, softmax(logits), members
+
+    @staticmethod
+    def by_group(ids: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the words by class, and so by group, and ids and neighbours in that order."""
+        order = np.argsort(ids.astype(np.int16), kind="stable")  # short numbers sort by radix
+        return order, ids[order], around.take(order, axis=1)
 
     def log_probability(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids), np.float64)
         for at in range(0, len(ids), BATCH):
             cut = slice(at, at + BATCH)
-            own = ids[cut]
-            _, groups, members = self.forward(own, around[:, cut])
-            part = np.log(groups[np.arange(len(own)), own // MEMBERS].astype(np.float64))
+            order, own, near = self.by_group(ids[cut], around[:, cut])
+            _, groups, members = self.forward(own, near)
+            part = np.log(groups[own // MEMBERS, np.arange(len(own))].astype(np.float64))
             for _, rows, p in members:
-                part[rows] += np.log(p[np.arange(len(rows)), own[rows] % MEMBERS].astype(np.float64))
-            out[cut] = part
+                part[rows] += np.log(p[own[rows] % MEMBERS, np.arange(p.shape[1])].astype(np.float64))
+            out[cut][order] = part
         return out
 
     def train(self, ids: np.ndarray, around: np.ndarray, rate: float, sums: np.ndarray) -> None:
         """One Adagrad step on a batch."""
         n = np.float32(len(ids))
+        _, ids, around = self.by_group(ids, around)
         h, groups, members = self.forward(ids, around)
         flat = np.zeros(LENGTH, np.float32)
         grad = split(flat)
-        groups[np.arange(len(ids)), ids // MEMBERS] -= 1
+        groups[ids // MEMBERS, np.arange(len(ids))] -= 1
         groups /= n
-        grad["group"][:], grad["group_bias"][:] = h.T @ groups, groups.sum(axis=0)
-        back = groups @ self.w["group"].T
+        grad["group"][:], grad["group_bias"][:] = h.T @ groups.T, groups.sum(axis=1)
+        back = self.w["group"] @ groups
         for g, rows, p in members:
-            p[np.arange(len(rows)), ids[rows] % MEMBERS] -= 1
+            p[ids[rows] % MEMBERS, np.arange(p.shape[1])] -= 1
             p /= n
-            grad["member"][g], grad["member_bias"][g] = h[rows].T @ p, p.sum(axis=0)
-            back[rows] += p @ self.w["member"][g].T
-        back *= 1 - h * h
-        grad["bias"][:] = back.sum(axis=0)
-        columns = np.ascontiguousarray(back.T, np.float64)
+            grad["member"][g], grad["member_bias"][g] = h[rows].T @ p.T, p.sum(axis=1)
+            back[:, rows] += self.w["member"][g] @ p
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h.T
+        grad["bias"][:] = back.sum(axis=1)
+        columns = back.astype(np.float64)
         for p in range(len(PLACES)):
             for k in range(HIDDEN):
                 grad["context"][p, :, k] = np.bincount(around[p], columns[k], SIZE)
@@ -237,24 +259,45 @@ def first_weights(sizes: np.ndarray) -> np.ndarray:
     return flat
 
 
-def coded(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(shard, hash, ids) of texts (text, shard, hash), without copies that lie near each other."""
+def coded(df: DataFrame, text: str, keep: Sequence[str], vocabulary: list[str], common: dict[str, float], totals: np.ndarray) -> DataFrame:
+    """The rows in class ids, stored: the columns ``keep`` as _0, _1, ... and what training and scoring both read.
+
+    That is ``_n`` (words), ``_log`` (sum of ln share of the class, rare words without their counts), ``_rare`` (words whose count is not
+    at hand), ``_ids`` (16-bit class ids), ``_hash`` (of the text), ``_again`` (its task has met the text before) and ``_row``.
+    """
+    value = df[f"`{text}`"].cast("string")
+    given = df.select(*[df[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(keep)], F.xxhash64(value).alias("_hash"), value.alias("_coded"))
+    added = [("_n", T.LongType()), ("_log", T.DoubleType()), ("_rare", T.ArrayType(T.StringType())), ("_ids", T.BinaryType()), ("_again", T.BooleanType())]
+    schema = T.StructType([*given.schema.fields[:-1], *[T.StructField(n, t) for n, t in added]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, met = Words(zip(vocabulary, range(1, FREQUENT + 1))), set()
-        for part in slices(batches, 0, 1_000_000):
-            hashes, fresh = part.column(2).to_pylist(), []
-            for i, h in enumerate(hashes):
-                if h not in met:
-                    met.add(h)
-                    fresh.append(i)
+        places, met = Places([*vocabulary, *common]), set()
+        classes, shares = np.zeros(1 + len(vocabulary) + len(common), np.int16), np.zeros(1 + len(vocabulary) + len(common))
+        classes[1 : FREQUENT + 1] = np.arange(1, FREQUENT + 1)[: len(vocabulary)]
+        for place, (word, share) in enumerate(common.items(), 1 + len(vocabulary)):
+            classes[place], shares[place] = 1 + FREQUENT + zlib.crc32(word.encode()) % HASHED, share
+        for part in slices(batches, -1, 1_000_000):
+            again = []
+            for h in part.column(part.num_columns - 2).to_pylist():
+                again.append(h in met)
+                met.add(h)
             if len(met) > REMEMBERED:
                 met.clear()
-            part = part.take(pa.array(fresh, pa.int64()))
-            ids = [np.fromiter(map(words.__getitem__, f), np.int16, len(f)).tobytes() for f in tokens(part.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(ids, pa.binary())], names=["shard", "hash", "ids"])
+            found = tokens(part.columns[-1].to_pylist())
+            sizes = np.array([len(f) for f in found], np.int64)
+            flat_words = list(chain.from_iterable(found))
+            at = np.fromiter(map(places.__getitem__, flat_words), np.int64, len(flat_words))
+            rare, seen = np.flatnonzero(at < 0), np.maximum(at, 0)
+            ids = np.where(at < 0, -at, classes[seen]).astype(np.int16)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            sums = np.diff(np.concatenate([[0.0], np.cumsum(shares[seen] - totals[ids])])[bounds])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, bounds), pa.int32()), pa.array([flat_words[i] for i in rare], pa.string()))
+            raw = ids.tobytes()
+            binary = pa.array([raw[2 * b : 2 * e] for b, e in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), pa.array(sums), rest, binary, pa.array(again, pa.bool_())], names=schema.names)
 
-    return texts.select("text", "shard", "hash").mapInArrow(work, "shard long, hash long, ids binary")
+    # Written once, so that a row keeps its number while the counts of its rare words come in.
+    return stored(given.mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()), "coded")
 
 
 def trained_shards(rows: DataFrame, start: np.ndarray, rate: float) -> DataFrame:
@@ -306,26 +349,33 @@ def added_up(parts: DataFrame, n: int) -> tuple[np.ndarray, float] | None:
     return np.sum([np.frombuffer(r["total"], np.float64) for r in rows], axis=0), sum(r["seen"] for r in rows)
 
 
-def trained(df: DataFrame, text: str, vocabulary: list[str], rounds: int, rate: float, first: np.ndarray, every: int) -> np.ndarray:
-    """Weights after ``rounds`` rounds from ``first`` on a corpus of ``every`` words; each text trains in one of them."""
+def trained(rows: DataFrame, rounds: int, rate: float, first: np.ndarray, every: int) -> np.ndarray:
+    """Weights after ``rounds`` rounds from ``first`` on the coded rows of a corpus of ``every`` words; each text trains in one of them."""
     shards = -(-every // (SHARD_WORDS * rounds)) or 1
-    texts = df.select(F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null").withColumn("hash", F.xxhash64("text"))
-    texts = texts.withColumns({"round": F.pmod("hash", F.lit(rounds)), "shard": F.pmod(F.shiftrightunsigned("hash", 8), F.lit(shards))})
+    texts = rows.filter("not _again and _n > 0").select(
+        F.pmod("_hash", F.lit(rounds)).alias("round"), F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(shards)).alias("shard"), F.col("_hash").alias("hash"), F.col("_ids").alias("ids")
+    )
     flat = first
     for r in range(rounds):
-        parts = stored(trained_shards(coded(texts.filter(F.col("round") == r), vocabulary), flat, rate), "shards")
+        parts = stored(trained_shards(texts.filter(F.col("round") == r).drop("round"), flat, rate), "shards")
         if found := added_up(parts, shards):
             flat = found[0] / found[1]
     return flat
 
 
-def fitted(corpus: DataFrame, text: str, rounds: int = 2, rate: float = 0.1) -> tuple[DataFrame, list[str], dict[str, float], np.ndarray, np.ndarray, np.ndarray]:
-    """Word counts, vocabulary, ln(count) of common words, ln(count + 1) of hashed classes, first and trained weights."""
+def counted(corpus: DataFrame, text: str) -> tuple[DataFrame, list[str], dict[str, float], np.ndarray, np.ndarray, int]:
+    """Word counts, vocabulary, ln(count) of common words, ln(count + 1) of hashed classes, first weights, number of words."""
     counts = stored(word_counts(corpus, text), "words")
     vocabulary = most_frequent(counts)
     common, totals, sizes, every = class_shares(counts, vocabulary)
-    first = first_weights(sizes)
-    return counts, vocabulary, common, totals, first, trained(corpus, text, vocabulary, rounds, rate, first, every)
+    return counts, vocabulary, common, totals, first_weights(sizes), every
+
+
+def fitted(corpus: DataFrame, text: str, rounds: int = 2, rate: float = 0.1) -> tuple[DataFrame, list[str], dict[str, float], np.ndarray, np.ndarray, np.ndarray]:
+    """Word counts, vocabulary, ln(count) of common words, ln(count + 1) of hashed classes, first and trained weights."""
+    counts, vocabulary, common, totals, first, every = counted(corpus, text)
+    rows = coded(corpus, text, [], vocabulary, common, totals)
+    return counts, vocabulary, common, totals, first, trained(rows, rounds, rate, first, every)
 
 
 def score(
@@ -337,35 +387,23 @@ def score(
     """
     results = ["n_tokens", "log_probability", "mean_log_probability"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in results]
-    corpus = df if corpus is None else corpus
-    counts, vocabulary, common, totals, _, flat = fitted(corpus, text, rounds, rate)
-    kept = df.select(*[df[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(keep)], df[f"`{text}`"].cast("string").alias("_scored"))
-    added = [T.StructField("_n", T.LongType()), T.StructField("_log", T.DoubleType()), T.StructField("_rare", T.ArrayType(T.StringType()))]
-    schema = T.StructType([*kept.schema.fields[:-1], *added])
+    counts, vocabulary, common, totals, first, every = counted(df if corpus is None else corpus, text)
+    rows = coded(df, text, keep, vocabulary, common, totals)
+    flat = trained(rows if corpus is None else coded(corpus, text, [], vocabulary, common, totals), rounds, rate, first, every)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = Words(zip(vocabulary, range(1, FREQUENT + 1))), Network(flat)
-        known = Known(dict.fromkeys(vocabulary, 0.0) | common)
-        for part in slices(batches, -1, 1_000_000):
-            found = tokens(part.columns[-1].to_pylist())
-            ids, around, sizes = laid_out(found, words)
-            flat_words = list(chain.from_iterable(found))
-            own = np.array(list(map(known.__getitem__, flat_words)), np.float64)
-            rare = np.flatnonzero(np.isnan(own))
-            own[rare] = 0
-            logs = network.log_probability(ids, around) - totals[ids] + own
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[bounds])
-            cuts = pa.array(np.searchsorted(rare, bounds), pa.int32())
-            rest = pa.ListArray.from_arrays(cuts, pa.array([flat_words[i] for i in rare], pa.string()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), pa.array(np.where(sizes > 0, sums, 0.0)), rest], names=schema.names)
-
-    # Written once, so that a row keeps its number while the counts of its rare words come in.
-    scored = stored(kept.mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
-    more = rare.groupBy("_row").agg(F.sum(F.log(F.coalesce(F.col("n"), F.lit(UNSEEN)))).alias("_more"))
-    total = F.col("_log") + F.coalesce(F.col("_more"), F.lit(0.0))
-    return scored.drop("_rare").join(more, "_row", "left").select(
+        network = Network(flat)
+        for part in slices(batches, 1, 400_000):
+            ids, around, sizes = laid_out([np.frombuffer(x, np.int16) for x in part.column(1).to_pylist()], None)
+            logs = np.concatenate([[0.0], np.cumsum(network.log_probability(ids, around))])
+            sums = np.diff(logs[np.concatenate([[0], np.cumsum(sizes)])])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums)], names=["_row", "_more"])
+
+    networks = stored(rows.select("_row", "_ids").mapInArrow(work, "_row long, _more double"), "scored")
+    rare = rows.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
+    logs = networks.unionAll(rare.select("_row", F.log(F.coalesce(F.col("n"), F.lit(UNSEEN)))))
+    total = F.col("_log") + F.col("_more")
+    return rows.drop("_rare", "_ids").join(logs.groupBy("_row").agg(F.sum("_more").alias("_more")), "_row").select(
         *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)],
         F.col("_n").alias("n_tokens"), total.alias("log_probability"), F.when(F.col("_n") > 0, total / F.col("_n")).alias("mean_log_probability"),
     )

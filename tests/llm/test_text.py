@@ -444,3 +444,17 @@ def test_words_are_counted_as_they_are_scored(session, monkeypatch):
 
 def test_crc_of_ids_is_unsigned(session):
     assert session.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00"))).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_texts_are_split_into_words_twice(session, monkeypatch):
+    """Once to count the words, once to code them: training and scoring read the ids, whatever the number of rounds."""
+    df = session.createDataFrame([(i, f"one two w{i % 7} three", "en", "s") for i in range(40)], DOCS)
+    passes, work = [], type(df).mapInArrow
+
+    def counted(self, func, schema, *args):
+        passes.append("string" in [t for c, t in self.dtypes if c not in ("lang", "source")])
+        return work(self, func, schema, *args)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    assert lm.score(df, keep=["doc_id"], rounds=3).count() == 40
+    assert sum(passes) == 2, passes
