@@ -2,8 +2,8 @@
 
 Requests are first counted per client and second, with a partial count before the shuffle, and leave that
 query (``per_second``, written to a folder) when the watermark has passed their second. The limits read that
-folder as a stream. So the state function of a client sees one row per second however many requests there
-are, and sees the seconds in order however they arrived. Seconds are the resolution of the logs. Requests
+folder as a stream. So the state function sees one row per client and second however many requests there
+are, and sees a client's seconds in order however they arrived. Seconds are the resolution of the logs. Requests
 without a client count as those of the client ``unknown``.
 """
 
@@ -20,6 +20,8 @@ from tallyroll.session import stored
 from tallyroll.streaming.deltas import DeltaTable
 
 UNKNOWN = "unknown"
+# Groups of clients whose states are kept together; fixed, as a checkpoint holds them by their numbers.
+BUCKETS = 2048
 
 
 def per_second(requests: DataFrame, counts: Mapping[str, Column], delay: str) -> DataFrame:
@@ -47,30 +49,35 @@ def stepped(
 ) -> DataFrame:
     """Run ``step(state, row) -> (state, result)`` over each client's seconds in order.
 
-    ``end(state)`` is the last second at which the state still matters; after it the state goes.
+    ``end(state)`` is the last second at which the state still matters; after it the state goes. Clients share
+    their calls and their stored rows by BUCKETS, since a call costs far more than the few seconds of one client.
     """
     names = [part.split()[0] for part in output.split(", ")]
+    fields = ", ".join(f"{name} array<{kind}>" for name, kind in (part.split() for part in state.split(", ")))
 
     def decide(key, batches: Iterator[pd.DataFrame], held: GroupState):
-        if held.hasTimedOut:
-            held.remove()
-            return
-        now = held.get if held.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("second")
-        out = []
-        for row in rows[["second", *counts]].itertuples(index=False, name=None):
-            now, result = step(now, tuple(int(x) for x in row))
-            out.append((key[0], row[0], *result))
-        if now is not None:
-            held.update(now)
-            held.setTimeoutTimestamp(max((end(now) + 1) * 1000, held.getCurrentWatermarkMs() + 1))
+        clients, *values = held.get if held.exists else ([],)
+        states, out = dict(zip(clients, zip(*values))), []
+        if not held.hasTimedOut:
+            rows = sorted(row for b in batches for row in zip(*(b[c].tolist() for c in ["client", "second", *counts])))
+            for client, *row in rows:
+                now, result = step(states.pop(client, None), tuple(row))
+                if now is not None:
+                    states[client] = now
+                out.append((client, row[0], *result))
+        passed = held.getCurrentWatermarkMs()
+        states = {client: now for client, now in states.items() if (end(now) + 1) * 1000 > passed}
+        if states:
+            held.update((list(states), *map(list, zip(*states.values()))))
+            held.setTimeoutTimestamp((min(map(end, states.values())) + 1) * 1000)
         elif held.exists:
             held.remove()
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(dict(zip(names, zip(*out))))
 
-    timed = seconds.withWatermark("time", "0 seconds")
-    return timed.groupBy("client").applyInPandasWithState(
-        decide, output, state, "append", GroupStateTimeout.EventTimeTimeout
+    timed = seconds.withWatermark("time", "0 seconds").withColumn("bucket", F.pmod(F.xxhash64("client"), F.lit(BUCKETS)))
+    return timed.groupBy("bucket").applyInPandasWithState(
+        decide, output, f"clients array<string>, {fields}", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -42,6 +42,8 @@ def tick(stream: DataFrame, time: str, folder: str) -> None:
     spark.range(1).select(*row).write.mode("append").parquet(f"{folder}/clock")
 
 
+# Partitions of state for each core; a checkpoint keeps the number it began with.
+STORES_PER_CORE = 4
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -59,17 +61,25 @@ def to_parquet(stream: DataFrame, folder: str, then: Callable[[], None] | None =
     ``then`` may make more arrive, such as a clock tick, which the same query processes next.
     """
     prepare_state(stream)
+    conf = stream.sparkSession.conf
+    parts = conf.get("spark.sql.shuffle.partitions")
+    # Every batch opens, saves and closes a store per partition and operator, which is most of its time in small ones.
+    stores = min(int(parts), STORES_PER_CORE * stream.sparkSession.sparkContext.defaultParallelism)
 
     def run() -> None:
-        (
-            stream.writeStream.format("parquet")
-            .option("path", f"{folder}/out")
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+        conf.set("spark.sql.shuffle.partitions", str(stores))
+        try:
+            query = (
+                stream.writeStream.format("parquet")
+                .option("path", f"{folder}/out")
+                .option("checkpointLocation", f"{folder}/checkpoint")
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
+        finally:
+            conf.set("spark.sql.shuffle.partitions", parts)
+        query.awaitTermination()
 
     run()
     if then:

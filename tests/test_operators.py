@@ -493,6 +493,32 @@ def test_late_and_unknown_clients(spark, tmp_path):
         assert sum(r.passed + r.refused for r in got) == len(rows)
 
 
+def test_state_stores_follow_the_cores(spark, tmp_path):
+    """Not the shuffle partitions, of which a small batch opens far too many; the setting is as before afterwards."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        stream = stream_of(spark, tmp_path, [[(1, at(0)), (2, at(1))]], "client bigint, seen_at timestamp_ntz")
+        to_parquet(M.request_seconds(stream), str(tmp_path / "count"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    stores = [f for f in (tmp_path / "count/checkpoint/state/0").iterdir() if f.name.isdigit()]
+    assert 0 < len(stores) <= 4 * spark.sparkContext.defaultParallelism < 200
+
+
+def test_clients_share_calls_but_no_limits(spark, tmp_path, monkeypatch):
+    """One bucket for all: each client has its own window, also one that ends batches earlier than another's."""
+    monkeypatch.setattr(M, "BUCKETS", 1)
+    rows = [(c, at(s)) for c, seconds in ((1, (0, 5, 9, 70, 300)), (2, (8, 9, 10, 200)), (3, (299, 300, 301))) for s in seconds]
+    rows.sort(key=lambda r: r[1])
+    stream = stream_of(spark, tmp_path, [rows[:4], rows[4:8], rows[8:]], "client bigint, seen_at timestamp_ntz")
+    got = limited(spark, tmp_path, stream, M.request_seconds, lambda s: M.anchored_limit(s, 2, 60))
+    want = {1: (1, 1, 0, 1, 1), 2: (1, 1, 0, 1), 3: (1, 1, 0)}
+    passed = {c: tuple(r.passed for r in sorted(got, key=lambda r: r.second) if r.client == str(c)) for c in want}
+    assert passed == want
+
+
 def test_copies_are_found_however_late(spark, tmp_path):
     from functools import partial
 
