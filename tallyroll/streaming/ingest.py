@@ -9,6 +9,7 @@ the way (``views``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -135,6 +136,15 @@ def checks() -> dict[str, Column]:
     }
 
 
+def with_last(states: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Adds ``effective``, a delivered state that is new or changes something, and ``last``, the key's last of those."""
+    beside = Window.partitionBy("order_number").orderBy(*order)
+    marked = states.withColumn("effective", ~F.col("known") & (F.col("first") | (F.size("changes") > 0)))
+    sofar = F.count_if("effective").over(beside.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.count_if("effective").over(beside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return marked.withColumn("last", F.col("effective") & (sofar == total))
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, author: int, views: bool = False) -> None:
     """One micro-batch: validate, parse once, clean, compare in order of arrival, write what is new.
 
@@ -164,15 +174,19 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, as_of: str, autho
     # Rows without any order field, as of plain texts, are counted but give no order.
     orders = fitting.filter(F.greatest(*[F.col(c).isNotNull() for c in ("machine_code", "payment_type", "creation_time")]) | (F.col("order_number") != "") | (F.col("order_price") > 0))
     clean = H.clean_orders(orders.select("file", "row_number", "source", "order_number", "machine_code", "order_price", "payment_type", "creation_time"), now)
-    incoming = stored(clean.join(arrivals, "source").select(fields), "incoming")
-    known = current_orders(spark, folder, batch_id, incoming).select(fields) if batch_id > 0 else spark.createDataFrame([], ORDER_SCHEMA).select(fields)
+    incoming = clean.join(arrivals, "source").select(fields)
+    if batch_id > 0:
+        incoming = stored(incoming, "incoming")  # read for the keys and for the rows
+        known = current_orders(spark, folder, batch_id, incoming).select(fields)
+    else:
+        known = spark.createDataFrame([], ORDER_SCHEMA).select(fields)
     both = known.withColumn("known", F.lit(True)).union(incoming.withColumn("known", F.lit(False)))
-    compared = stored(H.in_sequence(both, [F.desc("known"), "arrived", "file"]).filter(~F.col("known")), "compared")
-    effective = compared.filter(F.col("first") | (F.size("changes") > 0))
-    rest = [c for c in fields if c != "order_number"]
-    last = effective.groupBy("order_number").agg(F.max_by(F.struct(*rest), F.struct("arrived", "file")).alias("_r"))
+    order = [F.desc("known"), "arrived", "file"]
+    compared = stored(with_last(H.in_sequence(both, order), order).filter(~F.col("known")), "compared")
+    effective = compared.filter("effective")
+    # Picked where the states were in sequence, so the delta needs no shuffle and no copy of its own.
     marks = {"batch": F.lit(batch_id).cast("bigint"), "deleted": F.lit(False)}
-    delta = stored(last.select("order_number", "_r.*").withColumns(marks), "delta")
+    delta = compared.filter("last").select(fields).withColumns(marks)
     before = known.join(delta.select("order_number"), "order_number", "left_semi") if views else None
     commit(spark, folder, batch_id, delta, before)
     log = effective.select("order_number", F.inline("changes"), "file", "arrived")

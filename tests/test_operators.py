@@ -639,6 +639,37 @@ def test_ingest_does_not_depend_on_batches(spark, tmp_path, per_trigger):
     assert files == {"z_first.csv": ("completed", 2, 2, 0), "a_second.tsv": ("completed", 2, 1, 1), "m.json": ("completed", 1, 0, 1), "k.ZIP": ("completed", 2, 1, 1), "b.txt": ("completed", 2, 0, 0)}
 
 
+def test_ingest_picks_the_last_change_in_sequence(spark, tmp_path, monkeypatch):
+    """The last state that changes something becomes the order, without a copy of the rows for it or of a first delivery."""
+    import os
+    from functools import partial
+
+    from tallyroll.streaming import ingest as I
+    from tallyroll.streaming.runs import for_each_batch
+
+    source, folder, labels = tmp_path / "in", str(tmp_path / "state"), []
+    source.mkdir()
+    monkeypatch.setattr(I, "stored", lambda df, label, kept=I.stored: (labels.append(label), kept(df, label))[1])
+
+    def run(files):
+        for i, (name, prices) in enumerate(files):
+            (source / name).write_text("order_number,price\n" + "".join(f"{k},{v}\n" for k, v in prices.items()))
+            os.utime(source / name, (1_700_000_000 + 10 * (i + 100 * len(labels)),) * 2)
+        for_each_batch(I.arriving_files(spark, str(source)), folder, partial(I.ingest_batch, folder=folder, as_of="2024-01-01", author=1))
+        return {r.order_number: (float(r.order_price), os.path.basename(r.file), r.batch) for r in I.current_orders(spark, folder).collect()}
+
+    # The last file of A repeats what the one before it said.
+    assert run([("c.csv", {"A": 1, "B": 1}), ("b.csv", {"A": 2}), ("a.csv", {"A": 2, "C": 3})]) == {
+        "A": (2.0, "b.csv", 0), "B": (1.0, "c.csv", 0), "C": (3.0, "a.csv", 0)
+    }
+    assert labels == ["arrived", "rows", "compared"]
+    # B goes to and fro, C does not change.
+    assert run([("f.csv", {"B": 5, "C": 3}), ("e.csv", {"B": 1}), ("d.csv", {"D": 4})]) == {
+        "A": (2.0, "b.csv", 0), "B": (1.0, "e.csv", 1), "C": (3.0, "a.csv", 0), "D": (4.0, "d.csv", 1)
+    }
+    assert labels[3:] == ["arrived", "rows", "incoming", "compared"]
+
+
 # ---- tables of deltas ----------------------------------------------------------------------------
 
 
