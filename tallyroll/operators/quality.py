@@ -126,10 +126,11 @@ def domain_report(orders: DataFrame, users: DataFrame) -> DataFrame:
 def conflicts(reconciled: DataFrame, first: str, others: Sequence[str], large: float = 1000.0) -> DataFrame:
     """Errors of reconciled orders: amounts that differ, several records, missing reports and orphans.
 
-    All rules read the same wide row, so no join is needed.
+    All rules read the same wide row, so no join is needed. Of the rules but the one for several records, a source
+    can break one.
     """
     main = F.col(f"{first}_amount")
-    has_main = F.array_contains("source_files", first)
+    has_main = F.col(f"{first}_records") > 0
 
     def entry(kind: str, severity: Column, target: str, values: Column, hint: str) -> Column:
         return F.struct(
@@ -148,18 +149,15 @@ def conflicts(reconciled: DataFrame, first: str, others: Sequence[str], large: f
         gap = F.abs(main - amount)
         severity = F.when(gap >= large, "high").otherwise("medium")
         both = F.to_json(F.struct(main.cast("string").alias(first), amount.cast("string").alias(other)))
-        has_other = F.array_contains("source_files", other)
-        found.append(F.when(gap > 0.01, entry("amount_mismatch", severity, other, both, "check the amounts")))
+        differs = F.when(gap > 0.01, entry("amount_mismatch", severity, other, both, "check the amounts"))
         number = F.col(f"{other}_records")
+        has_other = number > 0
+        missing = F.when(has_main & ~has_other, entry("missing_record", F.lit("low"), other, F.lit("{}"), "wait for the report"))
+        orphan = F.when(~has_main & has_other, entry("orphan_record", F.lit("high"), other, F.lit("{}"), "find the order"))
+        found.append(F.coalesce(differs, missing, orphan))
         several = F.to_json(F.struct(number.cast("string").alias("records"), amount.cast("string").alias(other)))
         found.append(F.when(number > 1, entry("duplicate_record", F.lit("medium"), other, several, "check for a double payment")))
-        found.append(
-            F.when(has_main & ~has_other, entry("missing_record", F.lit("low"), other, F.lit("{}"), "wait for the report"))
-        )
-        found.append(
-            F.when(~has_main & has_other, entry("orphan_record", F.lit("high"), other, F.lit("{}"), "find the order"))
-        )
-    return reconciled.select("order_number", F.inline(F.array_compact(F.array(*found))))
+    return reconciled.select("order_number", F.inline(F.array(*found))).filter("error_type is not null")
 
 
 def error_rollup(errors: DataFrame) -> DataFrame:

@@ -158,7 +158,14 @@ DERIVED: dict[str, str] = {
                cast(1000 + cast(floor(o_totalprice / 25000) AS int) * 500 AS decimal(12,2)) AS amount,
                o_orderdate + (o_custkey * 37 % 1440) * INTERVAL '1' MINUTE AS seen_at
         FROM {orders}""",
-    # the same with machine and kind of payment, as terminals report them: sometimes missing, sometimes wrong
+    # timed orders with their order number
+    "timed_sales": """
+        SELECT o_orderkey AS id,
+               'VN' || lpad(cast(o_orderkey AS string), 10, '0') AS order_number,
+               cast(1000 + cast(floor(o_totalprice / 25000) AS int) * 500 AS decimal(12,2)) AS amount,
+               o_orderdate + (o_custkey * 37 % 1440) * INTERVAL '1' MINUTE AS seen_at
+        FROM {orders} WHERE o_orderkey IS NOT NULL""",
+    # timed orders with machine and kind of payment, as terminals report them: sometimes missing, sometimes wrong
     "terminal_orders": """
         SELECT t.id, t.amount, t.seen_at, s.machine_code, s.payment_type
         FROM {timed_orders} t JOIN {sales_orders} s ON s.id = t.id""",

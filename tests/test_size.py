@@ -2,15 +2,21 @@
 
 import glob
 import os
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
+from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyroll.functions import flatten as X, logs as L
+from tallyroll.operators import quality as Q, reconcile as R
 from tallyroll.plans.ingest import json_bodies
+from tallyroll.plans.joining import numbered_sales
 from tallyroll.session import dealt, scratch_dir
 from tallyroll.sinks import exports
+from tallyroll.tables import Tables
 
 CHANGES = "order_id bigint, version bigint, field_name string, old_value string, new_value string, change_type string, changed_at timestamp_ntz"
 
@@ -110,3 +116,82 @@ def test_log_lines_match_each_pattern_once(spark):
 def test_mentions_are_those_of_the_pattern(spark, pattern):
     texts = spark.createDataFrame([(x,) for x in ["SQL", "my database", "duration", "axb", "a.b", "", None]], "t string")
     assert texts.filter(~L._mentions(F.col("t"), pattern).eqNullSafe(F.col("t").rlike(pattern))).count() == 0
+
+
+def shown(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def sold(spark, n, each):
+    """``each`` rows at every of so many minutes, all at one price."""
+    rows = [(i, f"VN{i}", Decimal(5), datetime(2024, 1, 1) + timedelta(minutes=20 * (i // each))) for i in range(n)]
+    return spark.createDataFrame(rows, "id bigint, order_number string, amount decimal(12,2), seen_at timestamp_ntz")
+
+
+def test_points_of_several_rows_are_paired_without_joins(spark):
+    orders = sold(spark, 600, 3)
+    payments = orders.select("id", F.lit("a").alias("lane"), "amount", "seen_at")
+    found = R.match_by_amount(orders, payments, 5, "lane", ["order_number"], ["seen_at"])
+    assert "Join" not in shown(found)
+    assert sorted((r.payment_id, r.order_number) for r in found.collect()) == sorted((i, f"VN{i}") for i in range(600))
+
+
+def test_sources_meet_without_a_shuffle_of_wide_sums(spark):
+    orders = sold(spark, 60, 1).select("order_number", "amount", "seen_at")
+    wide = R.reconcile({"hardware": orders, "sales": orders, "payme": orders})
+    # One per source, of its own sums.
+    assert shown(wide).count("Exchange hashpartitioning") == 3
+    rows = wide.collect()
+    assert len(rows) == 60 and all((r.sales_records, r.payme_amount, r.match_status) == (1, Decimal(5), "matched") for r in rows)
+
+
+def test_conflicts_are_told_apart_in_generated_code(spark):
+    orders = sold(spark, 3, 1).select("order_number", "amount", "seen_at")
+    double = orders.unionByName(orders).filter("order_number <> 'VN2'")
+    more = double.withColumn("order_number", F.concat(F.lit("X"), "order_number"))
+    errors = Q.conflicts(R.reconcile({"hardware": orders, "sales": double, "payme": more}), "hardware", ["sales", "payme"])
+    # A lambda would leave all rules to the interpreter.
+    assert "lambda" not in shown(errors)
+    got = sorted((r.order_number, r.error_type, r.severity, r.target_table) for r in errors.collect())
+    assert got == sorted(
+        [(f"VN{i}", k, "medium", "sales") for i in (0, 1) for k in ("amount_mismatch", "duplicate_record")]
+        + [("VN2", "missing_record", "low", "sales")] + [(f"VN{i}", "missing_record", "low", "payme") for i in range(3)]
+        + [(f"XVN{i}", *k, "payme") for i in (0, 1) for k in (("orphan_record", "high"), ("duplicate_record", "medium"))]
+    )
+
+
+def test_numbered_orders_are_those_of_the_join(spark):
+    rows = [(1, 7), (2, 8), (2, 9), (None, 9), (3, None)]
+    orders = spark.createDataFrame(
+        [(i, c, "P", 60_000.0, datetime(2024, 1, 1), "2-HIGH") for i, c in rows],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    )
+    folder = scratch_dir(spark, "tables")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    orders.filter("o_custkey < 9").write.parquet(f"{folder}/unique/orders.parquet")
+    for at in (folder, f"{folder}/unique"):
+        t = Tables(spark, at)
+        want = t.timed_orders.join(t.sales_orders.select("id", "order_number"), "id")
+        got = numbered_sales(t).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+@pytest.mark.parametrize("span", [400, 3000])
+def test_nearest_of_many_groups_are_those_of_the_heap(span):
+    rng = random.Random(span)
+    groups, expected, opened = [], set(), set()
+    for g in range(40):
+        points = sorted({(rng.randrange(0, span, 10), rng.randrange(2)) for _ in range(rng.randrange(60))})
+        groups += [(g, s, k, rng.randrange(1, 4)) for s, k in points]
+    low, high = 0, span - 60
+    for g in range(40):
+        own = [x for x in groups if x[0] == g]
+        runs, stuck = R.nearest_in_turn([x[1:] for x in own], 45, low, high)
+        expected |= {(g, own[p][1], own[o][1], n) for p, o, n in runs}
+        opened |= {(g, own[i][1], own[i][2]) for i in stuck}
+    group, second, kind, free = (np.array(x) for x in zip(*groups))
+    all_of = np.ones(len(group), dtype=np.int64)
+    (p, o, _, _, n), stuck = R._nearest(group, second, kind, free, 45, low * all_of, high * all_of)
+    got = {(g, a, b, m) for g, a, b, m in zip(group[p].tolist(), second[p].tolist(), second[o].tolist(), n.tolist())}
+    # What is nearest on both sides may be settled where the heap waits, and holds as well.
+    assert expected <= got and {(groups[i][0], groups[i][1], groups[i][2]) for i in stuck} <= opened
